@@ -46,6 +46,15 @@ def _norm(v):
     return str(v)
 
 
+def _kind(dtype: str) -> str:
+    """Coarse dtype class; nullable ints may surface as floats on one side."""
+    if dtype.startswith("datetime64"):
+        return "datetime"
+    if dtype in ("Int64", "Int32", "float64"):
+        return "float64"  # a nullable integer column: Int64 in DuckDB, float64 in Spark
+    return dtype
+
+
 def rows(pdf: pd.DataFrame) -> list:
     cols = sorted(pdf.columns)
     pdf = pdf[cols].astype(object).where(pdf[cols].notna(), None)
@@ -60,6 +69,11 @@ def compare(spark_df, sql: str, con) -> tuple[bool, str]:
         return False, f"columns differ: {sorted(a.columns)} vs {sorted(b.columns)}"
     if len(a) != len(b):
         return False, f"row count {len(a)} vs {len(b)}"
+    da = {c: str(a[c].dtype) for c in a.columns}
+    db = {c: str(b[c].dtype) for c in b.columns}
+    diff = {c: (da[c], db[c]) for c in da if _kind(da[c]) != _kind(db[c])}
+    if diff:
+        return False, f"dtypes differ (spark, duck): {diff}"
     ra, rb = rows(a), rows(b)
     for x, y in zip(ra, rb):
         if x != y:

@@ -57,3 +57,22 @@ CONDITION_CODE = ("CASE WHEN value >= 300 THEN 'HIGH_CONTRAINDICATION' "
 
 # Document score for evaluation queries: longer documents score higher.
 DOC_SCORE = "LEAST(n_chars / 4000.0, 1.0)"
+
+
+def _symptom_case() -> str:
+    from vigilo.presets.clinical import SYMPTOMS
+    whens = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SYMPTOMS))
+    return f"CASE CAST(floor(value) AS BIGINT) % {len(SYMPTOMS)} {whens} END"
+
+
+# Clinical-shaped fact rows derived from events (shared by Spark and DuckDB).
+FACT_TYPE = ("CASE event_type WHEN 'purchase' THEN 'CONDITIONS' WHEN 'error' THEN 'SYMPTOMS' "
+             "WHEN 'click' THEN 'SYMPTOMS' WHEN 'signup' THEN 'TREATMENTS' "
+             "ELSE CASE WHEN value >= 200 THEN 'CONTRAINDICATIONS' ELSE 'CONDITIONS' END END")
+FACT_DESC = ("CASE event_type WHEN 'purchase' THEN 'DISEASE_X' "
+             "WHEN 'signup' THEN CASE WHEN value >= 100 THEN 'DRUG A' ELSE 'DRUG B' END "
+             f"WHEN 'view' THEN {CONDITION_CODE} ELSE {_symptom_case()} END")
+FACT_PHYSICIAN = "CASE WHEN event_id % 97 = 0 THEN -1 ELSE event_id % 120 END"
+
+FACT_SQL = (f"SELECT event_id, ts AS txn_dt, user_id AS patient_id, {FACT_PHYSICIAN} AS physician_id, "
+            f"{FACT_TYPE} AS txn_type, {FACT_DESC} AS txn_desc FROM events")
