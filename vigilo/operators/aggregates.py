@@ -294,7 +294,9 @@ def metric_summary(df: DataFrame, id_col: str, metrics: Sequence[str]) -> DataFr
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
         (F.max("value") - F.min("value")).alias("range"),
-        F.min_by(F.col(id_col), F.struct(-F.col("value"), F.col(id_col))).alias("best"))
+        # Best id by value (nulls never win), first id on ties.
+        F.min_by(F.col(id_col), F.when(F.col("value").isNotNull(), F.struct(-F.col("value"), F.col(id_col))))
+        .alias("best"))
 
 
 # A20 ------------------------------------------------------------------------

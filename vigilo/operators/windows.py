@@ -68,14 +68,18 @@ def rank_desc(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
 
 
 # W5 -------------------------------------------------------------------------
-def cumulative_share(df: DataFrame, col: str, order_col: str | None = None) -> DataFrame:
-    """Running total and cumulative share, descending, zero values removed."""
-    order_col = order_col or col
+def cumulative_share(df: DataFrame, col: str) -> DataFrame:
+    """Running total and cumulative share, descending, zero values removed.
+
+    Rows with equal values share one running total (the total up to and
+    including their value), so the result does not depend on tie order.
+    """
     nz = df.filter(F.col(col) != 0)
-    total = nz.agg(F.sum(col).alias("t")).scalar()
-    cum = prefix_sums(nz, order_col, [col], descending=True)
-    return cum.withColumnRenamed("cum_" + col, "cumulative").withColumn(
-        "cumulative_share", F.col("cumulative") / total)
+    per = nz.groupBy(col).agg(F.sum(col).alias("_s"))
+    cum = prefix_sums(per, col, ["_s"], descending=True)
+    total = nz.agg(F.sum(col)).scalar()
+    return (nz.join(cum.select(col, F.col("cum__s").alias("cumulative")), [col], "left")
+            .withColumn("cumulative_share", F.col("cumulative") / total))
 
 
 # W6 -------------------------------------------------------------------------
@@ -105,23 +109,24 @@ def gaps(df: DataFrame, ts: str, key: str | None = None, name: str = "gap_days")
     return df.withColumn(name, day_diff(F.col(ts), F.lag(ts).over(w)))
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+def _score_counts(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
     return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(score)
+            .groupBy(*group_cols, score)
             .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
                  F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
 
 
 # W8 -------------------------------------------------------------------------
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC AUC with average ranks for ties (Mann-Whitney form), one row."""
-    counts = _score_counts(df, label, score)
-    cum = prefix_sums(counts, score, ["neg"])
-    part = cum.select((F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("u"),
+def roc_auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """ROC AUC with average ranks for ties (Mann-Whitney form), per group."""
+    g = list(group_cols)
+    counts = _score_counts(df, label, score, g)
+    cum = prefix_sums(counts, score, ["neg"], g)
+    part = cum.select(*g, (F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("u"),
                       "pos", "neg")
-    agg = part.agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return agg.select(F.when((F.col("p") > 0) & (F.col("n") > 0),
-                             F.col("u") / (F.col("p") * F.col("n"))).alias("roc_auc"))
+    agg = part.groupBy(*g).agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return agg.select(*g, F.when((F.col("p") > 0) & (F.col("n") > 0),
+                                 F.col("u") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 
 
 # W9 -------------------------------------------------------------------------
@@ -138,11 +143,12 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 # W10 ------------------------------------------------------------------------
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+def average_precision(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Step-sum average precision: sum over thresholds of (delta recall) x precision."""
-    counts = _score_counts(df, label, score)
-    cum = prefix_sums(counts, score, ["pos", "neg"], descending=True)
-    step = cum.select((F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("s"),
+    g = list(group_cols)
+    counts = _score_counts(df, label, score, g)
+    cum = prefix_sums(counts, score, ["pos", "neg"], g, descending=True)
+    step = cum.select(*g, (F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("s"),
                       "pos")
-    agg = step.agg(F.sum("s").alias("s"), F.sum("pos").alias("p"))
-    return agg.select(F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("average_precision"))
+    agg = step.groupBy(*g).agg(F.sum("s").alias("s"), F.sum("pos").alias("p"))
+    return agg.select(*g, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("average_precision"))

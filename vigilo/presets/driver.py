@@ -56,7 +56,7 @@ CONDITION_CODE = ("CASE WHEN value >= 300 THEN 'HIGH_CONTRAINDICATION' "
                   "ELSE 'OTHER' END")
 
 # Document score for evaluation queries: longer documents score higher.
-DOC_SCORE = "LEAST(n_chars / 4000.0, 1.0)"
+DOC_SCORE = "LEAST(CAST(n_chars AS DOUBLE) / 4000.0, CAST(1 AS DOUBLE))"
 
 
 def _symptom_case() -> str:
