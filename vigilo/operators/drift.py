@@ -22,6 +22,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilo.functions import scalar as S
 from vigilo.operators.aggregates import unpivot_numeric
@@ -92,7 +93,7 @@ def chi2_critical(dof: int, alpha: float = C.DRIFT_P_VALUE) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(float(s), float(d)) if pd.notna(s) and pd.notna(d) else float("nan")
                       for s, d in zip(stat, dof)])
