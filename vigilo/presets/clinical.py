@@ -87,3 +87,23 @@ DECLINE_LEVEL_DEFAULT = "low"
 # Alert severities in ordinal order (lowest first).
 SEVERITY_ORDER = ["low", "medium", "high", "critical"]
 # --- end fixed values -------------------------------------------------------
+
+# --- fixed values: monitoring ---------------------------------------------------
+BASELINE_METRICS = {"pr_auc": 0.881, "precision": 0.844, "recall": 0.849, "f1_score": 0.846,
+                    "accuracy": 0.746}
+DECLINE_THRESHOLDS = {"pr_auc": 0.05, "precision": 0.03, "recall": 0.03, "f1_score": 0.03,
+                      "accuracy": 0.05}
+MIN_PREDICTIONS_FOR_DRIFT = 100
+MAX_ALERTS_PER_HOUR = 10
+RETENTION_DAYS = 30
+ROLLUP_WINDOWS = ["1 minute", "5 minutes", "15 minutes", "1 hour"]
+
+# Default alert rules: name, alert type, threshold, severity, channels, cooldown minutes.
+DEFAULT_ALERT_RULES = [
+    ("Performance Drift - High", "performance_drift", 0.10, "high", ["log", "console"], 60),
+    ("Performance Drift - Critical", "performance_drift", 0.15, "critical", ["log", "console", "email"], 30),
+    ("Data Drift - High", "data_drift", 0.2, "high", ["log", "console"], 120),
+    ("Data Drift - Critical", "data_drift", 0.3, "critical", ["log", "console", "email"], 60),
+    ("Model Error Rate", "model_error", 0.05, "medium", ["log", "console"], 30),
+]
+# --- end fixed values -----------------------------------------------------------

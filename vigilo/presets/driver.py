@@ -76,3 +76,13 @@ FACT_PHYSICIAN = "CASE WHEN event_id % 97 = 0 THEN -1 ELSE event_id % 120 END"
 
 FACT_SQL = (f"SELECT event_id, ts AS txn_dt, user_id AS patient_id, {FACT_PHYSICIAN} AS physician_id, "
             f"{FACT_TYPE} AS txn_type, {FACT_DESC} AS txn_desc FROM events")
+
+# Prediction log derived from events: a probability from the value, labels for
+# purchases/signups (1), views/clicks (0) and none for errors.
+PRED_SQL = ("SELECT ts AS timestamp, CAST(value >= 100 AS INT) AS prediction, "
+            "LEAST(value / 400.0, CAST(1 AS DOUBLE)) AS probability, "
+            "CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN NULL ELSE 0 END "
+            "AS actual_label, value AS response_time_ms, 'v' || CAST(user_id % 3 AS STRING) AS model_version "
+            "FROM events")
+MONITOR_SINCE = "2024-01-15 00:00:00"
+MONITOR_AS_OF = "2024-01-30 12:00:00"
