@@ -62,6 +62,30 @@ def evaluate_rules(signals: DataFrame, rules: DataFrame, key_cols: Sequence[str]
         F.array_sort(F.collect_list("rule_name")).alias("matched_rules"))
 
 
+def evaluate_rules_inline(signals: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
+    """M11 without a join or shuffle: the enabled rules (a handful of rows,
+    read once on the driver) become a literal array, and every signal keeps
+    the rules it meets.  Works unchanged on a stream."""
+    rows = rules.filter(F.col("enabled")).collect()
+    if not rows:
+        return signals.limit(0)
+    arr = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["alert_type"]).alias("alert_type"),
+                             F.lit(float(r["threshold"])).alias("threshold"),
+                             F.lit(C.SEVERITY_ORDER.index(r["severity"]) + 1).alias("rank"),
+                             F.array(*[F.lit(c) for c in r["channels"]]).cast("array<string>").alias("channels"),
+                             F.lit(int(r["cooldown_minutes"])).alias("cooldown"))
+                    for r in rows])
+    matched = F.filter(arr, lambda r: (r["alert_type"] == F.col("alert_type")) & (F.col(value) >= r["threshold"]))
+    sev_order = F.array(*[F.lit(x) for x in C.SEVERITY_ORDER])
+    out = signals.withColumn("_m", matched).filter(F.size("_m") > 0)
+    return out.select(
+        *signals.columns,
+        F.element_at(sev_order, F.array_max(F.transform("_m", lambda r: r["rank"]))).alias("severity"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda r: r["channels"])))).alias("channels"),
+        F.array_max(F.transform("_m", lambda r: r["cooldown"])).alias("cooldown_minutes"),
+        F.array_sort(F.transform("_m", lambda r: r["name"])).alias("matched_rules"))
+
+
 # M12 / M13 folds --------------------------------------------------------------
 def _cooldown(pdf: pd.DataFrame, ts: str, order: list[str]) -> pd.DataFrame:
     pdf = pdf.sort_values([ts] + order, kind="mergesort").reset_index(drop=True)
