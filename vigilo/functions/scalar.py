@@ -216,7 +216,7 @@ def map_exact_or_contains(c: ColumnOrName, names: Sequence[str]) -> Column:
     v = col(c)
     arr = F.array(*[F.lit(n) for n in names])
     exact = F.when(F.array_contains(arr, v), v)
-    first_sub = F.element_at(F.filter(arr, lambda n: F.instr(v, n) > 0), 1)
+    first_sub = F.try_element_at(F.filter(arr, lambda n: F.instr(v, n) > 0), F.lit(1))
     return F.coalesce(exact, first_sub)
 
 
@@ -258,16 +258,47 @@ def null_if(c: ColumnOrName, value) -> Column:
 
 
 # P23 ------------------------------------------------------------------------
-def form_risk_score(comorbidities: ColumnOrName, symptoms: ColumnOrName, age: ColumnOrName) -> Column:
-    """2 per comorbidity + 1 per symptom + age points (3 at 65+, 1 at 50+)."""
+def form_risk_score(comorbidities: ColumnOrName, symptoms: ColumnOrName, age: ColumnOrName,
+                    contraindication: ColumnOrName | None = None) -> Column:
+    """Form score: 2 per comorbidity + 1 per symptom + age points (3 at 65+,
+    1 at 50+), times the contraindication multiplier (Low 1, Medium 1.5, High 2)."""
     a = col(age)
     age_pts = F.when(a >= 65, 3).when(a >= 50, 1).otherwise(0)
-    return F.lit(2) * F.coalesce(F.size(col(comorbidities)), F.lit(0)) + \
-        F.coalesce(F.size(col(symptoms)), F.lit(0)) + age_pts
+    base = (F.lit(2) * F.coalesce(F.size(col(comorbidities)), F.lit(0)) +
+            F.coalesce(F.size(col(symptoms)), F.lit(0)) + age_pts).cast("double")
+    if contraindication is None:
+        return base
+    return base * F.coalesce(map_values(contraindication, C.FORM_CONTRA_MULTIPLIER), F.lit(1.0))
 
 
-def risk_level(score: ColumnOrName, high: float = 8, medium: float = 5) -> Column:
-    return band(score, [(high, "high"), (medium, "medium")], "low")
+def form_risk_level(score: ColumnOrName) -> Column:
+    return band(score, C.FORM_RISK_LEVELS, "Low Risk")
+
+
+def form_alert(score: ColumnOrName, age: ColumnOrName, comorbidities: ColumnOrName) -> Column:
+    return (col(score) >= C.FORM_ALERT_SCORE) | \
+        ((col(age) >= 65) & (F.coalesce(F.size(col(comorbidities)), F.lit(0)) >= 2))
+
+
+def record_risk_score(age: ColumnOrName, comorbidities: ColumnOrName, symptoms: ColumnOrName) -> Column:
+    """Record score: age 3 (65+) / 2 (45+) / 1, + min(comorbidities, 3) + min(symptoms, 2)."""
+    a = col(age)
+    return (F.when(a >= 65, 3).when(a >= 45, 2).otherwise(1) +
+            F.least(F.coalesce(F.size(col(comorbidities)), F.lit(0)), F.lit(3)) +
+            F.least(F.coalesce(F.size(col(symptoms)), F.lit(0)), F.lit(2)))
+
+
+def record_risk_level(score: ColumnOrName) -> Column:
+    return band(score, C.RECORD_RISK_LEVELS, "Low Risk")
+
+
+def record_alert(age: ColumnOrName, comorbidities: ColumnOrName, symptoms: ColumnOrName) -> Column:
+    """Elderly and (a high-risk condition or a severe symptom)."""
+    hi = F.array(*[F.lit(x) for x in C.RECORD_HIGH_RISK_CONDITIONS])
+    sev = F.array(*[F.lit(x) for x in C.RECORD_SEVERE_SYMPTOMS])
+    return F.coalesce(col(age) >= 65, F.lit(False)) & (
+        F.coalesce(F.arrays_overlap(col(comorbidities), hi), F.lit(False)) |
+        F.coalesce(F.arrays_overlap(col(symptoms), sev), F.lit(False)))
 
 
 # P24 ------------------------------------------------------------------------

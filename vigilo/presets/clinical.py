@@ -107,3 +107,13 @@ DEFAULT_ALERT_RULES = [
     ("Model Error Rate", "model_error", 0.05, "medium", ["log", "console"], 30),
 ]
 # --- end fixed values -----------------------------------------------------------
+
+# --- fixed values: patient records and forms -------------------------------------
+FORM_CONTRA_MULTIPLIER = {"Low": 1.0, "Medium": 1.5, "High": 2.0}
+FORM_RISK_LEVELS = [(8, "High Risk"), (5, "Medium Risk")]   # else "Low Risk"
+FORM_ALERT_SCORE = 6
+RECORD_RISK_LEVELS = [(6, "High Risk"), (4, "Medium Risk")]  # else "Low Risk"
+RECORD_HIGH_RISK_CONDITIONS = ["IMMUNOCOMPROMISED", "DIABETES", "HEART_DISEASE"]
+RECORD_SEVERE_SYMPTOMS = ["SHORTNESS_OF_BREATH", "CHEST_PAIN", "FEVER"]
+RECENT_DAYS = 365
+# --- end fixed values -------------------------------------------------------------
