@@ -222,8 +222,8 @@ def compare_distributions(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -
 
 # D8 -------------------------------------------------------------------------
 def drift_summary(results: DataFrame, checked: int) -> DataFrame:
-    sev = [F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).cast("long").alias("severity_" + s)
-           for s in C.SEVERITY_ORDER]
+    sev = [F.coalesce(F.sum(F.when(F.col("severity") == s, 1).otherwise(0)), F.lit(0)).cast("long")
+           .alias("severity_" + s) for s in C.SEVERITY_ORDER]
     return results.agg(
         F.lit(checked).alias("features_checked"),
         F.count(F.lit(1)).alias("features_drifted"), *sev,

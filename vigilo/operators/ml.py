@@ -232,7 +232,8 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Batch scoring: ``score`` = positive-class probability (raw margin for SVM)."""
     out = model.transform(df)
     col = "probability" if "probability" in out.columns else "rawPrediction"
-    return out.withColumn("score", vector_to_array(F.col(col))[1]).withColumn(
+    # A model fitted on one class has a one-element probability vector: no score.
+    return out.withColumn("score", F.try_element_at(vector_to_array(F.col(col)), F.lit(2))).withColumn(
         "prediction", F.col("prediction").cast("int"))
 
 

@@ -132,10 +132,10 @@ def drift_summary_q(spark, sf):
 register("drift_summary", ops=("D8",), sql=f"""
 WITH {DETECT_SQL}
 SELECT {len(NUMERIC) + len(CATEGORICAL)} AS features_checked, count(*) AS features_drifted,
-       {", ".join(f"CAST(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS severity_{s}"
+       {", ".join(f"CAST(coalesce(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS severity_{s}"
                   for s in C.SEVERITY_ORDER)},
        arg_max(feature, (drift_score, feature)) AS most_drifted_feature, max(drift_score) AS max_drift_score,
-       array_to_string(list_sort(list(DISTINCT feature)), ',') AS drifted_features
+       coalesce(array_to_string(list_sort(list(DISTINCT feature)), ','), '') AS drifted_features
 FROM dd""")(drift_summary_q)
 
 
