@@ -175,3 +175,89 @@ def hyperparameter_search_q(spark, sf):
 
 
 register("hyperparameter_search", ops=("L18", "L19"))(hyperparameter_search_q)
+
+
+# ---- S11 + L10 + P19 + P20 + P8 + P21 + P24 + X4: the model input table -----------------------
+# --- fixed values: columns that leak the label or identify rows -------------------
+LEAKAGE = ["phys_treat_rate_all", "patient_id", "physician_id", "diseasex_dt", "symptom_onset_dt"]
+# --- end fixed values ----------------------------------------------------------------
+
+
+def feature_dictionary(spark, sf):
+    """The dictionary of the model-ready table, derived from its schema: model
+    features 'Yes', the label 'Yes (Target)', everything else 'No'."""
+    from vigilo.plans.features import FEATURE_ORDER
+    feats = model_ready_features(spark, sf)
+    kinds = {f.name: f.dataType.simpleString() for f in feats.schema.fields}
+    rows = [(c, {"bigint": "int", "int": "int", "double": "float", "string": "category"}.get(kinds[c], "date"),
+             "Yes (Target)" if c == "target" else ("Yes" if c in NUMERIC + CATEGORICAL else "No"))
+            for c in FEATURE_ORDER]
+    return spark.createDataFrame(rows, "Variable string, Type string, `Included in Model` string")
+
+
+def model_input_table(spark, sf):
+    import uuid
+    from vigilo.functions import scalar as S
+    from vigilo.operators.ordering import missing_share, schema_diff
+    from vigilo.session import scratch_dir
+    from vigilo.sources import tables as TB
+    path = scratch_dir(spark, f"dictionary-{uuid.uuid4().hex[:8]}")
+    TB.write_table(feature_dictionary(spark, sf).coalesce(1), path, "csv")
+    dictionary = TB.load_feature_dictionary(spark, path, "csv")                      # S11
+    chosen = ML.production_features(dictionary, LEAKAGE)                              # L10
+    rows = chosen.select("Variable", "Type").collect()   # one row per column: metadata
+    order = [r["Variable"] for r in rows]
+    feats = model_ready_features(spark, sf)
+    missing = schema_diff(feats, order)["missing"]                                    # X4
+    if missing:
+        raise ValueError(f"model-ready table lacks {missing}")
+    aligned = S.align_columns(feats, order, always=["dx_season"])                     # P20
+    typed = S.coerce_by_dictionary(aligned, {r["Variable"]: r["Type"] for r in rows})  # P19
+    typed = typed.withColumn("target_inverted", S.invert_label("target"))             # P21
+    out = S.round_cols(typed, 4)                                                      # P24
+    return S.project(out, upper=True)                                                 # P8
+
+
+def _model_input_sql() -> str:
+    from vigilo.plans.catalog.features import _features_sql
+    casts = {c: "BIGINT" for c in NUMERIC}
+    cols = [f"CAST({c} AS {casts[c]}) AS {c.upper()}" for c in NUMERIC] + \
+        [f"CAST({c} AS VARCHAR) AS {c.upper()}" for c in CATEGORICAL] + \
+        ["CAST(target AS BIGINT) AS TARGET", "1 - CAST(target AS BIGINT) AS TARGET_INVERTED"]
+    return f"WITH f AS ({_features_sql()}) SELECT {', '.join(cols)} FROM f"
+
+
+register("model_input_table", ops=("S11", "L10", "P19", "P20", "P8", "P21", "P24", "X4", "S5"),
+         sql=_model_input_sql())(model_input_table)
+
+
+# ---- A20 + S10 ----------------------------------------------------------------------------
+# --- fixed values: feature categories by name fragment (a feature may fall in two) ---
+IMPORTANCE_CATEGORIES = {"symptom": ["sym_", "symptom"], "risk": ["risk"], "physician": ["phys"],
+                         "demographic": ["patient_", "dx_season"], "contraindication": ["contra"]}
+# --- end fixed values ----------------------------------------------------------------
+
+
+def importance_summary_q(spark, sf):
+    """Mean importance over two tree models (the random forest goes through a
+    save/load round trip, S10) and totals per feature category (A20)."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from vigilo.operators.aggregates import importance_summary
+    from vigilo.session import scratch_dir
+    from vigilo.sources.tables import load_model, save_model
+    prep = _prepared(spark, sf)
+    tr = prep.filter(~F.col("is_test"))
+    feats = NUMERIC + CATEGORICAL
+    path = scratch_dir(spark, f"models-{uuid.uuid4().hex[:8]}")
+    save_model(ML.train("random_forest", tr, feats, "target", SEED), path, "rf-1", {"seed": SEED})
+    rf = load_model(path, PipelineModel)
+    gbt = ML.train("gbt", tr, feats, "target", SEED, params={"maxIter": 20})
+    imp = ML.feature_importance(rf, feats).withColumn("model", F.lit("random_forest")).unionByName(
+        ML.feature_importance(gbt, feats).withColumn("model", F.lit("gbt")))
+    cats = spark.createDataFrame([(cat, f) for cat, frags in IMPORTANCE_CATEGORIES.items() for f in feats
+                                  if any(x in f for x in frags)], "category string, feature string")
+    return importance_summary(imp, "feature", "importance", cats)
+
+
+register("importance_summary", ops=("A20", "L20", "S10"))(importance_summary_q)

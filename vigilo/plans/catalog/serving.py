@@ -296,3 +296,16 @@ SELECT alert_type, CASE WHEN alert_type = 'model_error' THEN 'resolved'
                         WHEN severity IN ('high', 'critical') THEN 'acknowledged' ELSE 'active' END AS status,
        count(*) AS n
 FROM s GROUP BY 1, 2""")(alert_lifecycle)
+
+
+# ---- O5 -----------------------------------------------------------------------------------
+def cohort_sample(spark, sf):
+    """A limited cohort (the limit is the feature): the 50 lowest patient ids of
+    the recent cohort, after an explicit sort."""
+    return O.limit_cohort(recent_cohort_q(spark, sf).select("patient_id", "risk_score", "risk_level"), 50,
+                          ["patient_id"])
+
+
+register("cohort_sample", ops=("O5", "O1"), sql=f"""
+WITH c AS ({_recent_sql()})
+SELECT patient_id, risk_score, risk_level FROM c ORDER BY patient_id LIMIT 50""")(cohort_sample)
