@@ -150,7 +150,7 @@ def chi2_statistics(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -> Data
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).cast("double").alias("o_new"))
     margins = cells.groupBy("feature").agg(F.sum("o_ref").alias("n_ref"), F.sum("o_new").alias("n_new"),
                                            F.count(F.lit(1)).alias("k"))
-    j = cells.join(margins, ["feature"], "inner")
+    j = cells.join(F.broadcast(margins), ["feature"], "inner")   # one row per feature
     tot = F.col("o_ref") + F.col("o_new")
     n = F.col("n_ref") + F.col("n_new")
     e_ref, e_new = tot * F.col("n_ref") / n, tot * F.col("n_new") / n

@@ -74,7 +74,9 @@ def apply_encoder(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataF
     out = df
     for c in cols:
         m = codes.filter(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        out = (out.join(m, out[c].cast("string") == F.col("_v"), "left")
+        # A categorical vocabulary is small; broadcasting it also keeps a hot
+        # category value from landing in one join task.
+        out = (out.join(F.broadcast(m), out[c].cast("string") == F.col("_v"), "left")
                .withColumn(c, F.coalesce(F.col("_code"), F.lit(0))).drop("_v", "_code"))
     return out
 
@@ -97,7 +99,10 @@ def split_rank(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFr
         .withColumn("_one", F.lit(1))
     ranked = prefix_sums(keyed, "_h", ["_one"], [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(sizes, [label], "left").withColumn("_pos", F.col("cum__one").cast("long")).drop("_one", "cum__one")
+    # One row per class: broadcast (a shuffle keyed on the label would put each
+    # class in one task).
+    return ranked.join(F.broadcast(sizes), [label], "left") \
+        .withColumn("_pos", F.col("cum__one").cast("long")).drop("_one", "cum__one")
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
@@ -121,7 +126,7 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
     total = df.agg(F.count(F.lit(1))).scalar()
     n_cls = counts.agg(F.count(F.lit(1))).scalar()
     w = counts.select(label, (total / (n_cls * F.col("_c"))).alias(name))
-    return df.join(w, [label], "left")
+    return df.join(F.broadcast(w), [label], "left")   # one row per class
 
 
 def positive_weight(df: DataFrame, label: str) -> DataFrame:
@@ -163,7 +168,7 @@ def mutual_info_binned(long: DataFrame, label: str, bins: int = 10, feature: str
     """
     rng = long.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = long.join(rng, [feature]).withColumn(
+    b = long.join(F.broadcast(rng), [feature]).withColumn(   # one row per feature
         "_bin", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)))
         .otherwise(F.lit(0)).cast("int"))
     joint = b.groupBy(feature, "_bin", label).agg(F.count(F.lit(1)).alias("nxy"))

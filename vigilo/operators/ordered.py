@@ -97,6 +97,11 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     the last row).  Order values should be distinct per group (aggregate
     first); rows with equal order values are otherwise summed in arbitrary
     order.
+
+    Groups are meant to be few (feature names, classes, models): the offset
+    table has at most ``partitions + groups`` rows and is broadcast, so the
+    large scanned side is never shuffled again.  For many small groups a
+    window partitioned by the group is the right tool instead.
     """
     group_cols = list(group_cols)
     sum_cols = list(sum_cols)
@@ -127,10 +132,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         *[F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols],
         *([F.lead("_first").over(w).alias("_next_part")] if with_next else []))
     cond = [F.col(PID) == F.col("_o_pid")] + [F.col(g).eqNullSafe(F.col("_o_" + g)) for g in group_cols]
-    # Without a group the offset table has at most one row per partition: a
-    # proven, small bound.  With groups it has at most partitions + groups
-    # rows and AQE decides from its measured size.
-    joined = scanned.join(offs if group_cols else F.broadcast(offs), cond, "left")
+    # At most partitions + groups rows (groups are few by contract): broadcast.
+    joined = scanned.join(F.broadcast(offs), cond, "left")
     out_cols = [F.col(c) for c in df.columns]
     out_cols += [(F.col("cum_" + c) + F.coalesce(F.col("_off_" + c), F.lit(0.0))).alias("cum_" + c)
                  for c in sum_cols]
@@ -164,9 +167,9 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     pos = pos.select(*[F.col(g).alias("_p_" + g) for g in group_cols], "q", "_h", "_lo", "t.side", "t.pos")
     cond = [F.col(g).eqNullSafe(F.col("_p_" + g)) for g in group_cols] + [
         (F.col("cum__cnt") - F.col("_cnt")) <= F.col("pos"), F.col("pos") < F.col("cum__cnt")]
-    # The rank-target table is tiny; without a group it is 2 x len(qs) rows.
-    pos_side = pos if group_cols else F.broadcast(pos)
-    hit = cum.join(pos_side, cond, "inner").select(
+    # The rank-target table has groups x len(qs) x 2 rows (groups are column
+    # names or classes): broadcast, so no group's values meet in one task.
+    hit = cum.join(F.broadcast(pos), cond, "inner").select(
         *group_cols, "q", "_h", "_lo", "side", F.col(value_col).cast("double").alias("_v"))
     res = hit.groupBy(*group_cols, "q").agg(
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"),

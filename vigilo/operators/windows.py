@@ -96,7 +96,8 @@ def ecdf_pair(long_df: DataFrame, group_col: str, value_col: str, side_col: str)
                    F.sum(F.when(F.col(side_col) == 1, 1).otherwise(0)).alias("n_new")))
     sizes = counts.groupBy(group_col).agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_new").alias("tot_new"))
     cum = prefix_sums(counts, value_col, ["n_ref", "n_new"], [group_col], with_next=True)
-    return (cum.join(sizes, [group_col], "left")
+    # One row per group (feature): broadcast.
+    return (cum.join(F.broadcast(sizes), [group_col], "left")
             .withColumn("cdf_ref", F.col("cum_n_ref") / F.col("tot_ref"))
             .withColumn("cdf_new", F.col("cum_n_new") / F.col("tot_new")))
 
