@@ -280,3 +280,14 @@ def test_same_result_at_1_and_8_partitions(spark, name):
         res.append(rows(REGISTRY[name].fn(spark, sf).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert res[0] == res[1]
+
+
+def test_roc_pr_single_pass_matches_separate(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.choice(["m1", "m2"], 400), "s": np.round(rng.random(400), 2)})
+    pdf["y"] = (rng.random(400) < 0.2 + 0.6 * pdf.s).astype(int)
+    df = spark.createDataFrame(pdf)
+    both = {r["g"]: r for r in W.roc_pr(df, "y", "s", ["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        assert both[g]["roc_auc"] == pytest.approx(_brute_auc(part.y.values, part.s.values))
+        assert both[g]["pr_auc"] == pytest.approx(_brute_ap(part.y.values, part.s.values))

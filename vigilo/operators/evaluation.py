@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilo.operators.aggregates import classification_metrics
-from vigilo.operators.windows import average_precision, rank_desc, roc_auc
+from vigilo.operators.windows import rank_desc, roc_pr
 from vigilo.presets import clinical as C
 
 
@@ -22,11 +22,11 @@ def evaluate(scored: DataFrame, label: str, prediction: str, score: str,
     """Confusion counts, rates, ROC AUC (average ranks) and step-sum PR AUC."""
     g = list(group_cols)
     m = classification_metrics(scored, label, prediction, g)
-    auc = roc_auc(scored, label, score, g)
-    ap = average_precision(scored, label, score, g).withColumnRenamed("average_precision", "pr_auc")
+    curves = roc_pr(scored, label, score, g)
     if g:
-        return m.join(auc, g, "left").join(ap, g, "left")
-    return m.select("*", auc.scalar().alias("roc_auc"), ap.scalar().alias("pr_auc"))
+        return m.join(curves, g, "left")
+    return m.select("*", curves.select("roc_auc").scalar().alias("roc_auc"),
+                    curves.select("pr_auc").scalar().alias("pr_auc"))
 
 
 # L21 ------------------------------------------------------------------------

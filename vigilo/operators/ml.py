@@ -190,6 +190,19 @@ def production_features(dictionary: DataFrame, leakage: Sequence[str] = ()) -> D
     return d.filter(~F.col("Variable").isin(*leakage)) if leakage else d
 
 
+ROWS_PER_PARTITION = 500_000
+
+
+def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Before iterative fitting (one Spark job per optimizer step), merge
+    partitions down to about ``rows_per_partition`` rows each - never up, and
+    without a shuffle - so small training tables do not pay per-task overhead
+    on every iteration while large ones keep their parallelism."""
+    want = max(1, math.ceil(df.count() / rows_per_partition))
+    have = df.rdd.getNumPartitions()
+    return df.coalesce(want) if want < have else df
+
+
 # L11-L15 ----------------------------------------------------------------------
 def make_estimator(kind: str, features: str = "features", label: str = "label", weight: str | None = "weight",
                    seed: int = 42, params: Mapping | None = None):
@@ -252,7 +265,7 @@ def cross_validate(kind: str, df: DataFrame, features: Sequence[str], label: str
                    seed: int = 42, params: Mapping | None = None, metric: str = "pr_auc") -> dict:
     """k stratified folds (hash-ranked); returns mean and population std of the metric."""
     # Fold ids are computed once and checkpointed; each fold reads them back.
-    folded = fold_column(df, label, id_col, k, seed).checkpoint(eager=True)
+    folded = right_size(fold_column(df, label, id_col, k, seed).checkpoint(eager=True))
     values = []
     for f in range(k):
         m = train(kind, folded.filter(F.col("fold") != f), features, label, seed, params)
@@ -319,7 +332,7 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
     prep = apply_scaler(prep, stats).withColumn(label, F.col(label).cast("double"))
     # Reliable checkpoint (shared checkpoint dir): every model reads the same
     # prepared rows without recomputing the split and the fitted transforms.
-    prep = prep.checkpoint(eager=True)
+    prep = right_size(prep.checkpoint(eager=True))
     features = list(numeric) + list(categorical)
     tr, te = prep.filter(~F.col("is_test")), prep.filter(F.col("is_test"))
     rows = None

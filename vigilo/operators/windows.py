@@ -153,3 +153,30 @@ def average_precision(df: DataFrame, label: str, score: str, group_cols: Sequenc
                       "pos")
     agg = step.groupBy(*g).agg(F.sum("s").alias("s"), F.sum("pos").alias("p"))
     return agg.select(*g, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("average_precision"))
+
+
+def roc_pr(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """ROC AUC and step-sum average precision from one ascending prefix pass.
+
+    The descending running counts that average precision needs are
+    ``total - ascending + current`` - exact, because the counts are integers.
+    """
+    g = list(group_cols)
+    counts = _score_counts(df, label, score, g)
+    cum = prefix_sums(counts, score, ["pos", "neg"], g)
+    tot = counts.groupBy(*g).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    if g:
+        j = cum.join(F.broadcast(tot), g, "left")   # one row per group
+    else:
+        j = cum.withColumns({"_p": tot.select("_p").scalar(), "_n": tot.select("_n").scalar()})
+    d_pos = F.col("_p") - F.col("cum_pos") + F.col("pos")
+    d_neg = F.col("_n") - F.col("cum_neg") + F.col("neg")
+    parts = j.select(*g, "_p", "_n",
+                     (F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)).alias("u"),
+                     F.when(F.col("pos") > 0, F.col("pos") * d_pos / (d_pos + d_neg)).otherwise(F.lit(0.0)).alias("s"))
+    agg = parts.groupBy(*g).agg(F.sum("u").alias("u"), F.sum("s").alias("s"),
+                                F.first("_p").alias("p"), F.first("_n").alias("n"))
+    return agg.select(*g,
+                      F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n")))
+                      .alias("roc_auc"),
+                      F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("pr_auc"))

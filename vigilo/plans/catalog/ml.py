@@ -144,7 +144,7 @@ def _prepared(spark, sf):
     tr = split.filter(~F.col("is_test"))
     prep = ML.apply_encoder(ML.apply_imputer(split, ML.fit_imputer(tr, NUMERIC, CATEGORICAL)),
                             ML.fit_encoder(tr, CATEGORICAL), CATEGORICAL)
-    return prep.withColumn("target", F.col("target").cast("double")).checkpoint(eager=True)
+    return ML.right_size(prep.withColumn("target", F.col("target").cast("double")).checkpoint(eager=True))
 
 
 def feature_importance_q(spark, sf):
