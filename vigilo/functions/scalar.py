@@ -154,8 +154,13 @@ def to_micros(ts: ColumnOrName) -> Column:
 
 
 def day_diff(end: ColumnOrName, start: ColumnOrName) -> Column:
-    """Whole 24-hour days from ``start`` to ``end`` (floor), like ``Timedelta.days``."""
-    return F.floor((to_micros(end) - to_micros(start)) / F.lit(MICROS_PER_DAY)).cast("long")
+    """Whole 24-hour days from ``start`` to ``end`` (floor), like ``Timedelta.days``.
+
+    ``timestamp_diff`` in microseconds is zone-free for TIMESTAMP_NTZ, so a
+    daylight-saving change in the session zone cannot shift the result.
+    """
+    micros = F.timestamp_diff("MICROSECOND", col(start), col(end))
+    return F.floor(micros / F.lit(MICROS_PER_DAY)).cast("long")
 
 
 # P13 ------------------------------------------------------------------------
