@@ -301,3 +301,28 @@ register("retention_report", ops=("S8",), sql=f"""
 SELECT count(*) AS rows_before,
        CAST(sum(CASE WHEN ts < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY THEN 1 ELSE 0 END) AS BIGINT) AS rows_removed
 FROM events""")(retention_q)
+
+
+# ---- M1 + S7 + S8: append-only metric store, date-partitioned, retention with pruning ----------
+def metric_store(spark, sf):
+    import uuid
+    from vigilo.session import scratch_dir
+    path = scratch_dir(spark, f"metric-store-{uuid.uuid4().hex[:8]}")
+    TB.append_table(MO.prediction_metrics(predictions(spark, sf)), path, "timestamp", "dt")   # S7
+    stored = spark.read.parquet(path)
+    kept = TB.apply_retention(stored, "timestamp", days=14, as_of=AS_OF, date_col="dt")       # S8
+    return kept.groupBy("metric_name").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+                                           F.min("dt").cast("timestamp_ntz").alias("first_day"))
+
+
+register("metric_store", ops=("M1", "S7", "S8"), sql=f"""
+WITH p AS ({D.PRED_SQL}),
+m AS (
+  SELECT timestamp, 'prediction' AS metric_name, CAST(prediction AS DOUBLE) AS value FROM p
+  UNION ALL SELECT timestamp, 'prediction_probability', probability FROM p
+  UNION ALL SELECT timestamp, 'response_time_ms', response_time_ms FROM p
+  UNION ALL SELECT timestamp, 'prediction_accuracy', CAST(prediction = actual_label AS DOUBLE) FROM p
+            WHERE actual_label IS NOT NULL)
+SELECT metric_name, count(*) AS count, avg(value) AS mean,
+       CAST(min(CAST(timestamp AS DATE)) AS TIMESTAMP) AS first_day
+FROM m WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY GROUP BY 1""")(metric_store)

@@ -113,12 +113,21 @@ def append_table(df: DataFrame, path: str, ts_col: str, date_col: str = "dt") ->
 
 
 # S8 -------------------------------------------------------------------------
-def apply_retention(df: DataFrame, ts_col: str, days: int = 30, as_of=None) -> DataFrame:
-    """Rows younger than ``days`` relative to ``as_of`` (an explicit clock)."""
+def apply_retention(df: DataFrame, ts_col: str, days: int = 30, as_of=None,
+                    date_col: str | None = None) -> DataFrame:
+    """Rows younger than ``days`` relative to ``as_of`` (an explicit clock).
+
+    With ``date_col`` (the table's date partition column) the same cut is also
+    stated on the partition column, so whole expired folders are pruned from
+    the scan instead of being read and filtered.
+    """
     if as_of is None:
         raise ValueError("as_of is required: the clock is a parameter")
     cutoff = F.lit(as_of).cast(df.schema[ts_col].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return df.filter(F.col(ts_col) >= cutoff)
+    out = df
+    if date_col:
+        out = out.filter(F.col(date_col) >= F.to_date(cutoff))
+    return out.filter(F.col(ts_col) >= cutoff)
 
 
 def retention_report(df: DataFrame, ts_col: str, days: int = 30, as_of=None) -> DataFrame:
