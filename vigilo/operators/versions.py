@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.functions.scalar import day_diff
 
 NULL_TEXT = "\\N"
 SEP = "|"
@@ -128,10 +127,9 @@ def append_history(history: DataFrame | None, changes: DataFrame, created_at, sp
 # V5 -------------------------------------------------------------------------
 def history_stats(history: DataFrame) -> DataFrame:
     """Versions per change type and the mean whole-day gap between versions."""
-    from pyspark.sql import Window
+    from vigilo.operators.windows import gaps as gap_days
     # A version history has one row per release: a small, bounded table.
-    w = Window.orderBy("created_at")
-    gaps = history.withColumn("gap_days", day_diff(F.col("created_at"), F.lag("created_at").over(w)))
+    gaps = gap_days(history, "created_at", bounded=True)
     by_type = history.groupBy("change_type").agg(F.count(F.lit(1)).alias("versions"))
     return by_type.withColumn("avg_gap_days", gaps.agg(F.avg("gap_days")).scalar())
 

@@ -103,9 +103,17 @@ def ecdf_pair(long_df: DataFrame, group_col: str, value_col: str, side_col: str)
 
 
 # W7 -------------------------------------------------------------------------
-def gaps(df: DataFrame, ts: str, key: str | None = None, name: str = "gap_days") -> DataFrame:
-    """Whole-day gap to the previous row of the same key."""
+def gaps(df: DataFrame, ts: str, key: str | None = None, name: str = "gap_days",
+         bounded: bool = False) -> DataFrame:
+    """Whole-day gap to the previous row of the same key.
+
+    Without a key every row shares one window partition, which is only
+    acceptable for tables of bounded size (a version history): say so with
+    ``bounded=True``.
+    """
     from vigilo.functions.scalar import day_diff
+    if key is None and not bounded:
+        raise ValueError("gaps without a key needs bounded=True (all rows go to one window partition)")
     w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(ts)
     return df.withColumn(name, day_diff(F.col(ts), F.lag(ts).over(w)))
 
