@@ -291,3 +291,27 @@ def test_roc_pr_single_pass_matches_separate(spark):
     for g, part in pdf.groupby("g"):
         assert both[g]["roc_auc"] == pytest.approx(_brute_auc(part.y.values, part.s.values))
         assert both[g]["pr_auc"] == pytest.approx(_brute_ap(part.y.values, part.s.values))
+
+
+# ---- patient store documents (S3, P27, P23 form score) ------------------------------------------
+def test_documents_both_layouts_to_events_and_form_risk(spark, tmp_path):
+    import json
+    from vigilo.plans import features as FE
+    from vigilo.sources.tables import read_documents
+    p1 = {"id": 1, "age": 70, "comorbidities": ["DIABETES", "COPD"], "symptoms": ["FEVER"],
+          "diagnosisDate": "2025-10-21", "contraindicationLevel": "Medium"}
+    p2 = {"id": 2, "age": 30, "comorbidities": [], "symptoms": ["COUGH", "FEVER"],
+          "diagnosisDate": "2025-10-20", "contraindicationLevel": "Low"}
+    (tmp_path / "new.json").write_text(json.dumps({"metadata": {"total_patients": 1}, "patients": [p1]}))
+    (tmp_path / "legacy.json").write_text(json.dumps({"metadata": {"total_patients": 1},
+                                                       "doctor_input_patients": [p2]}))
+    docs = read_documents(spark, str(tmp_path / "new.json")).unionByName(
+        read_documents(spark, str(tmp_path / "legacy.json")), allowMissingColumns=True)
+    ev = FE.documents_to_events(docs).toPandas()
+    assert sorted(ev[ev.patient_id == 1].txn_desc) == ["COPD", "DIABETES", "FEVER"]
+    # No condition row in document 2: a DISEASE_X row is added.
+    assert sorted(ev[ev.patient_id == 2].txn_desc) == ["COUGH", "DISEASE_X", "FEVER"]
+    risk = {r["id"]: r for r in FE.form_risk(docs).collect()}
+    assert risk[1]["risk_score"] == (2 * 2 + 1 + 3) * 1.5 and risk[1]["risk_level"] == "High Risk"
+    assert risk[1]["has_alert"] is True
+    assert risk[2]["risk_score"] == 2.0 and risk[2]["risk_level"] == "Low Risk" and risk[2]["has_alert"] is False
