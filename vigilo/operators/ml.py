@@ -113,6 +113,13 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
     return r.withColumn("is_test", F.col("_pos") <= n_test).drop("_h", "_n", "_pos")
 
 
+def prepare_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
+                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The split, materialised once (it feeds several fitted transforms), and its training rows."""
+    split = stratified_split(df, label, id_col, test_fraction, seed).checkpoint(eager=True)
+    return split, split.filter(~F.col("is_test"))
+
+
 def fold_column(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Stratified fold id = per-class hash position modulo k."""
     r = split_rank(df, label, id_col, seed)
@@ -217,8 +224,10 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
                                      minInstancesPerNode=p.get("minInstancesPerNode", 15),
                                      featureSubsetStrategy="sqrt", seed=seed)
     elif kind in ("gbt", "gradient_boosting", "xgboost"):
+        # Early stopping on a 20 % hold-out of the training rows (VALIDATION_COL).
         est = GBTClassifier(**common, maxIter=p.get("maxIter", 50), maxDepth=p.get("maxDepth", 5),
                             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 0.9),
+                            validationIndicatorCol=VALIDATION_COL, validationTol=p.get("validationTol", 0.01),
                             seed=seed)
     elif kind == "naive_bayes":
         est = NaiveBayes(**common, modelType="gaussian")
@@ -232,6 +241,14 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
 
 
 MODEL_TYPES = ("logistic_regression", "random_forest", "gbt", "naive_bayes", "svm")
+BOOSTED = ("gbt", "gradient_boosting", "xgboost")
+VALIDATION_COL = "_is_validation"
+
+
+def with_validation_flag(df: DataFrame, features: Sequence[str], seed: int = 42, share: float = 0.2) -> DataFrame:
+    """Repeatable hold-out flag from a hash of the row's features and the seed."""
+    h = F.abs(F.xxhash64(*[F.col(c) for c in features], F.lit(seed))) % 1000
+    return df.withColumn(VALIDATION_COL, h < int(share * 1000))
 
 
 def assemble(features: Sequence[str]) -> VectorAssembler:
@@ -241,6 +258,8 @@ def assemble(features: Sequence[str]) -> VectorAssembler:
 def train(kind: str, df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42,
           params: Mapping | None = None) -> PipelineModel:
     data = with_class_weight(df, label) if kind != "naive_bayes" else df
+    if kind in BOOSTED:
+        data = with_validation_flag(data, features, seed)
     est = make_estimator(kind, label=label, seed=seed, params=params)
     return Pipeline(stages=[assemble(features), est]).fit(data)
 
@@ -257,7 +276,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 # L16 ------------------------------------------------------------------------
 def evaluate_model(model: PipelineModel, test: DataFrame, label: str = "label") -> DataFrame:
-    return evaluate(score(model, test), label, "prediction", "score")
+    """Score the test rows once (three narrow columns, checkpointed: the
+    metrics, the range sampling and the prefix pass all read them), then
+    evaluate."""
+    scored = score(model, test).select(label, "prediction", "score").checkpoint(eager=True)
+    return evaluate(scored, label, "prediction", "score")
 
 
 # L17 ------------------------------------------------------------------------
@@ -323,10 +346,9 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
     # Cut the (possibly deep) input lineage once: reliable checkpoint in the
     # shared checkpoint folder, so model fitting never re-plans the input.
     df = df.checkpoint(eager=True)
-    split = stratified_split(df, label, id_col, test_fraction, seed)
-    train_rows = split.filter(~F.col("is_test"))
+    split, train_rows = prepare_split(df, label, id_col, test_fraction, seed)
     fills = fit_imputer(train_rows, numeric, categorical)
-    codes = fit_encoder(train_rows, categorical)
+    codes = fit_encoder(train_rows, categorical).checkpoint(eager=True)   # read once per column
     prep = apply_encoder(apply_imputer(split, fills), codes, categorical)
     stats = fit_scaler(prep.filter(~F.col("is_test")), numeric)
     prep = apply_scaler(prep, stats).withColumn(label, F.col(label).cast("double"))
@@ -343,4 +365,5 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
         except Exception as exc:  # one failed model does not stop the rest
             m = spark.createDataFrame([(kind, str(exc)[:200])], "model string, error string")
         rows = m if rows is None else rows.unionByName(m, allowMissingColumns=True)
-    return compare_models(rows)
+    # One row per model: materialise before ranking reads it twice.
+    return compare_models(rows.checkpoint(eager=True))

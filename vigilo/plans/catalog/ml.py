@@ -140,10 +140,9 @@ register("model_training", ops=("L1", "L2", "L4", "L5", "L7", "L11", "L12", "L13
 
 def _prepared(spark, sf):
     feats = model_ready_features(spark, sf).checkpoint(eager=True)
-    split = ML.stratified_split(feats, "target", "patient_id", 0.2, SEED)
-    tr = split.filter(~F.col("is_test"))
-    prep = ML.apply_encoder(ML.apply_imputer(split, ML.fit_imputer(tr, NUMERIC, CATEGORICAL)),
-                            ML.fit_encoder(tr, CATEGORICAL), CATEGORICAL)
+    split, tr = ML.prepare_split(feats, "target", "patient_id", 0.2, SEED)
+    codes = ML.fit_encoder(tr, CATEGORICAL).checkpoint(eager=True)
+    prep = ML.apply_encoder(ML.apply_imputer(split, ML.fit_imputer(tr, NUMERIC, CATEGORICAL)), codes, CATEGORICAL)
     return ML.right_size(prep.withColumn("target", F.col("target").cast("double")).checkpoint(eager=True))
 
 
