@@ -233,28 +233,33 @@ def drift_summary(results: DataFrame, checked: int) -> DataFrame:
 
 
 # D1 -------------------------------------------------------------------------
+def profile_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, count) rows: the reference profile's value counts in
+    long form, one row per distinct value (never one map per feature)."""
+    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], list(cols), "feature", "value"))
+    return long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def reference_profile(df: DataFrame, cols: Sequence[str] | None = None,
                       categorical_share: float = C.CATEGORICAL_DISTINCT_SHARE) -> DataFrame:
-    """Per column: kind (numeric/categorical by distinct share), count, distinct,
-    mean/std/min/max for numerics and a value->count map for categoricals."""
+    """Per column: kind (numeric, or categorical when distinct/count is below
+    the share), count, distinct count, and mean/std/min/max for numerics.
+    Label columns are excluded.  Value counts: :func:`profile_value_counts`."""
     from vigilo.operators.quality import numeric_columns
     cols = [c for c in (cols or df.columns) if c.lower() not in C.LABEL_COLUMNS]
     nums = set(numeric_columns(df))
-    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot([], list(cols), "feature", "value"))
-    counts = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("feature").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_distinct"))
+    counts = profile_value_counts(df, cols)
+    per = counts.groupBy("feature").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("n_distinct"))
     is_num = F.col("feature").isin(*nums) if nums else F.lit(False)
     kind = F.when(is_num & ((F.col("n_distinct") / F.col("count")) >= categorical_share), "numeric") \
         .otherwise("categorical")
-    per = per.withColumn("kind", kind)
-    num_stats = (unpivot_numeric(df, [c for c in cols if c in nums]).groupBy("feature")
-                 .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                      F.min("value").alias("min"), F.max("value").alias("max"))) if nums else None
-    vmap = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("value_counts"))
-    out = per.join(vmap, ["feature"], "left")
-    out = out.withColumn("value_counts", F.when(F.col("kind") == "categorical", F.col("value_counts")))
-    if num_stats is not None:
+    out = per.withColumn("kind", kind)
+    num_cols = [c for c in cols if c in nums]
+    if num_cols:
+        num_stats = (unpivot_numeric(df, num_cols).groupBy("feature")
+                     .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                          F.min("value").alias("min"), F.max("value").alias("max")))
         out = out.join(num_stats, ["feature"], "left")
     return out
 

@@ -58,15 +58,14 @@ def key_except(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 # X2 -------------------------------------------------------------------------
 def coverage(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
-    """Distinct test values, how many were seen in training, and the ratio."""
+    """Distinct test values, how many were seen in training, and the ratio.
+    The unseen values themselves are rows of :func:`key_except`."""
     tv = test.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
     seen = train.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct() \
         .withColumn("_seen", F.lit(1))
     j = tv.join(seen, ["v"], "left")
     return j.agg(F.count(F.lit(1)).alias("n_test_values"),
-                 F.sum(F.coalesce(F.col("_seen"), F.lit(0))).cast("long").alias("n_seen"),
-                 F.array_sort(F.collect_list(F.when(F.col("_seen").isNull(), F.col("v").cast("string"))))
-                 .alias("unknown")) \
+                 F.sum(F.coalesce(F.col("_seen"), F.lit(0))).cast("long").alias("n_seen")) \
         .withColumn("coverage", F.when(F.col("n_test_values") > 0,
                                        F.col("n_seen") / F.col("n_test_values")).otherwise(F.lit(1.0)))
 

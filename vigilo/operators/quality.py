@@ -244,21 +244,27 @@ def validate_dataset(df: DataFrame, label: str) -> DataFrame:
 
 
 # Q12 ------------------------------------------------------------------------
+def _distinct_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], list(cols), "column", "value").filter(F.col("value").isNotNull()).distinct())
+
+
+def unknown_categories(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value) rows for test values never seen in training - one row
+    each, so a high-cardinality column never becomes one huge cell."""
+    return _distinct_long(test, cols).join(_distinct_long(train, cols), ["column", "value"], "left_anti")
+
+
 def category_coverage(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per categorical column: distinct test values, unseen ones, coverage ratio."""
+    """Per categorical column: distinct test values, how many were seen in
+    training, coverage ratio, and valid only when nothing is unseen."""
     cols = list(cols)
-
-    def longform(df):
-        return (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-                .unpivot([], cols, "column", "value").filter(F.col("value").isNotNull()).distinct())
-    tr = longform(train).withColumn("_seen", F.lit(1))
-    te = longform(test)
-    j = te.join(tr, ["column", "value"], "left")
+    tr = _distinct_long(train, cols).withColumn("_seen", F.lit(1))
+    j = _distinct_long(test, cols).join(tr, ["column", "value"], "left")
     return j.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_test_values"),
-        F.sum(F.coalesce(F.col("_seen"), F.lit(0))).cast("long").alias("n_seen"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_seen").isNull(), F.col("value")))), ",")
-        .alias("unknown_values")) \
+        F.sum(F.coalesce(F.col("_seen"), F.lit(0))).cast("long").alias("n_seen")) \
+        .withColumn("n_unknown", F.col("n_test_values") - F.col("n_seen")) \
         .withColumn("coverage", F.col("n_seen") / F.col("n_test_values")) \
         .withColumn("valid", F.col("n_seen") == F.col("n_test_values"))
 

@@ -167,11 +167,47 @@ register("compare_distributions", ops=("D7", "A6"), sql=_cmp_sql())(compare_dist
 
 # ---- D1 / D5 (no SQL oracle: maps and a fitted projection) -------------------------------
 def reference_profile_q(spark, sf):
+    """D1 profile, saved and read back (S9; replacing it is D9's overwrite)."""
+    import uuid
+    from vigilo.session import scratch_dir
+    from vigilo.sources.tables import load_profile, save_profile
     ref, _ = periods(spark, sf)
-    return DR.reference_profile(ref.select(*NUMERIC, *CATEGORICAL))
+    path = scratch_dir(spark, f"profile-{uuid.uuid4().hex[:8]}")
+    save_profile(DR.reference_profile(ref.select(*NUMERIC, *CATEGORICAL)), path)
+    return load_profile(spark, path)
+
+
+def _profile_sql() -> str:
+    cols = NUMERIC + CATEGORICAL
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM ref" for c in cols)
+    nums = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+        f"CAST(max({c}) AS DOUBLE) AS max FROM ref" for c in NUMERIC)
+    num_list = ", ".join(f"'{c}'" for c in NUMERIC)
+    return f"""WITH {PERIODS_SQL},
+l AS ({long}),
+c AS (SELECT feature, value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT feature, sum(count) AS count, count(*) AS n_distinct FROM c GROUP BY 1),
+s AS ({nums})
+SELECT p.feature, CAST(p.count AS BIGINT) AS count, p.n_distinct,
+       CASE WHEN p.feature IN ({num_list}) AND p.n_distinct / p.count >= {C.CATEGORICAL_DISTINCT_SHARE}
+            THEN 'numeric' ELSE 'categorical' END AS kind,
+       s.mean, s.std, s.min, s.max
+FROM p LEFT JOIN s USING (feature)"""
+
+
+register("reference_profile", ops=("D1", "S9", "D9"), sql=_profile_sql())(reference_profile_q)
+
+
+def profile_value_counts_q(spark, sf):
+    ref, _ = periods(spark, sf)
+    return DR.profile_value_counts(ref, CATEGORICAL)
 
 
-register("reference_profile", ops=("D1", "S9", "D9"))(reference_profile_q)
+register("profile_value_counts", ops=("D1", "A7"), sql=f"""
+WITH {PERIODS_SQL},
+l AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM ref" for c in CATEGORICAL)})
+SELECT feature, value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY 1, 2""")(profile_value_counts_q)
 
 
 def pca_drift_q(spark, sf):

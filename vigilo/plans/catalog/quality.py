@@ -223,28 +223,49 @@ SELECT count(DISTINCT quality) >= 2 AS valid,
 FROM labels""")(validate_dataset_q)
 
 
-def category_coverage_q(spark, sf):
+def _coverage_periods(spark, sf):
     orders = table(spark, sf, "orders")
-    train = orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
-    test = orders.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
-    return Q.category_coverage(train, test, ["o_orderstatus", "o_orderpriority", "o_custkey"])
+    cut = F.lit("1997-01-01").cast("timestamp_ntz")
+    return orders.filter(F.col("o_orderdate") < cut), orders.filter(F.col("o_orderdate") >= cut)
+
+
+COVERAGE_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+
+
+def category_coverage_q(spark, sf):
+    train, test = _coverage_periods(spark, sf)
+    return Q.category_coverage(train, test, COVERAGE_COLS)
+
 
+def _coverage_long_sql(src: str) -> str:
+    return ("SELECT DISTINCT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM {src}" for c in COVERAGE_COLS)
+        + ") WHERE value IS NOT NULL")
 
-register("category_coverage", ops=("Q12", "X1", "X2"), sql="""
-WITH tr AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+
+COVERAGE_SQL = f"""tr AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
 te AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
-ltr AS (SELECT DISTINCT * FROM (
-    SELECT 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS value FROM tr
-    UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR) FROM tr
-    UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM tr) WHERE value IS NOT NULL),
-lte AS (SELECT DISTINCT * FROM (
-    SELECT 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS value FROM te
-    UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR) FROM te
-    UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM te) WHERE value IS NOT NULL),
+ltr AS ({_coverage_long_sql('tr')}),
+lte AS ({_coverage_long_sql('te')})"""
+
+register("category_coverage", ops=("Q12", "X2"), sql=f"""
+WITH {COVERAGE_SQL},
 j AS (SELECT lte."column", lte.value, ltr.value IS NOT NULL AS seen FROM lte
       LEFT JOIN ltr ON lte."column" = ltr."column" AND lte.value = ltr.value)
 SELECT "column", count(*) AS n_test_values, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS BIGINT) AS n_seen,
-       coalesce(array_to_string(list_sort(list(value) FILTER (WHERE NOT seen)), ','), '') AS unknown_values,
+       count(*) - CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown,
        sum(CASE WHEN seen THEN 1 ELSE 0 END) / count(*) AS coverage,
        sum(CASE WHEN seen THEN 1 ELSE 0 END) = count(*) AS valid
 FROM j GROUP BY 1""")(category_coverage_q)
+
+
+def unknown_categories_q(spark, sf):
+    train, test = _coverage_periods(spark, sf)
+    return Q.unknown_categories(train, test, COVERAGE_COLS)
+
+
+register("unknown_categories", ops=("Q12", "X1"), sql=f"""
+WITH {COVERAGE_SQL}
+SELECT "column", value FROM lte
+WHERE NOT EXISTS (SELECT 1 FROM ltr WHERE ltr."column" = lte."column" AND ltr.value = lte.value)""")(
+    unknown_categories_q)
