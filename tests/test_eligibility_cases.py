@@ -49,7 +49,8 @@ EXPECTED = {
 
 REQUEST_SCHEMA = ("case string, patient_id bigint, birth_year int, gender string, diagnosis_date timestamp, "
                   "transactions array<struct<txn_dt: timestamp, physician_id: bigint, txn_type: string, "
-                  "txn_desc: string>>")
+                  "txn_desc: string>>, physician_info struct<physician_id: bigint, state: string, "
+                  "physician_type: string>")
 
 
 def _requests(spark):
@@ -60,7 +61,7 @@ def _requests(spark):
         txns += [(COND_DT, 7, "CONDITIONS", c) for c in conds]
         if contra:
             txns.append((contra[1], 7, "CONTRAINDICATIONS", contra[0]))
-        rows.append((case, 1000 + i, by, "M", DX, txns))
+        rows.append((case, 1000 + i, by, "M", DX, txns, (7, "CA", "Internal Medicine")))
     return spark.createDataFrame(rows, REQUEST_SCHEMA)
 
 
@@ -85,3 +86,18 @@ def test_case(decided, case):
     assert list(r["risk_factors_found"]) == factors
     assert r["meets_criteria"] is meets
     assert r["alert_recommended"] is alert
+
+
+def test_request_features(spark):
+    req = _requests(spark)
+    f = {r["case"]: r for r in FE.request_features(req).join(req.select("patient_id", "case"), "patient_id")
+         .collect()}
+    e = f["elderly_multiple_risk_factors"]
+    assert (e["patient_age"], e["sym_count_5d"], e["risk_diabetes"], e["risk_cvd"], e["risk_obesity"],
+            e["risk_num"], e["risk_age_flag"]) == (85, 3, 1, 1, 1, 3, 1)
+    assert e["symptom_to_diagnosis_days"] == 2 and e["diagnosis_within_5days_flag"] == 1
+    assert e["phys_total_dx"] == 50 and e["phys_experience_level"] == "Medium"   # default provider total
+    assert f["contraindication_patient"]["prior_contra_lvl"] == 3
+    late = f["late_symptoms_patient"]
+    assert late["symptom_to_diagnosis_days"] == 7 and late["diagnosis_within_5days_flag"] == 0
+    assert late["sym_count_5d"] == 0 and late["dx_season"] == "Fall"

@@ -212,6 +212,45 @@ def requests_to_fact(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return fact, index, pats
 
 
+DEFAULT_PROVIDER_TOTAL = 50
+
+
+def request_features(requests: DataFrame, provider_totals: DataFrame | None = None,
+                     preset: Preset = Preset()) -> DataFrame:
+    """F8: model features straight from nested requests.
+
+    The transactions are exploded (S4) and go through the same single-pass
+    feature aggregate as the batch build; the request's diagnosis date is the
+    index time.  The provider's diagnosis total comes from ``provider_totals``
+    (physician_id, phys_total_dx) when given, else the default of 50.
+    """
+    fact, index, _ = requests_to_fact(requests)
+    idx = index.select("patient_id", F.col("diagnosis_dt").alias("diseasex_dt"))
+    hist = entity_history_features(fact, idx, FactColumns(), preset)
+    base = requests.select("patient_id", F.col("diagnosis_date").alias("diseasex_dt"), "birth_year", "gender",
+                           F.col("physician_info.physician_id").alias("physician_id"),
+                           F.col("physician_info.state").alias("physician_state"),
+                           F.col("physician_info.physician_type").alias("physician_type"))
+    out = base.join(hist, ["patient_id"], "left").fillna(
+        {c: 0 for c in hist.columns if c not in ("patient_id", "symptom_onset_dt")})
+    if provider_totals is not None:
+        out = out.join(provider_totals.select("physician_id", "phys_total_dx"), ["physician_id"], "left")
+    else:
+        out = out.withColumn("phys_total_dx", F.lit(None).cast("long"))
+    days = F.greatest(S.day_diff("diseasex_dt", "symptom_onset_dt"), F.lit(0))
+    total = F.coalesce(F.col("phys_total_dx"), F.lit(DEFAULT_PROVIDER_TOTAL))
+    risk_cols = [g.lower() for g in preset.risk_groups]
+    return out.withColumns({
+        "patient_age": (F.year("diseasex_dt") - F.col("birth_year")).cast("int"),
+        "risk_num": S.count_flags(risk_cols),
+        "dx_season": S.season("diseasex_dt"),
+        "symptom_to_diagnosis_days": days,
+        "diagnosis_within_5days_flag": S.within_days(days, preset.window_days),
+        "phys_total_dx": total,
+        "phys_experience_level": S.band(total, preset.experience, C.EXPERIENCE_DEFAULT),
+    }).withColumn("risk_age_flag", S.flag_ge("patient_age", preset.high_risk_age))
+
+
 # L24 ------------------------------------------------------------------------
 def decide_alerts(scored: DataFrame, cutoff: float = C.ALERT_PROBABILITY_CUTOFF,
                   prediction: str = "prediction", probability: str = "probability",
