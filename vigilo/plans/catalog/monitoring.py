@@ -275,7 +275,35 @@ def alert_policy(spark, sf):
     return out.select("alert_type", "detail", "ts", "severity", "emitted", "suppressed_by")
 
 
-register("alert_policy", ops=("M12", "M13"))(alert_policy)
+def policy_sql(cand_cte: str, order: str, limit: int, cols: str) -> str:
+    """Coupled cooldown + rate limit as a recursive CTE over candidates in
+    ``order``: state is the send times of the trailing hour and the last send
+    time per (alert_type, metric) key."""
+    key = "coalesce(a.alert_type, '') || '|' || coalesce(a.metric, '')"
+    recent = "list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR)"
+    last = f"list_extract(list_transform(list_filter(r.lasts, lambda s: s.k = {key}), lambda s: s.t), 1)"
+    cooled = f"coalesce({last} > a.ts - to_minutes(a.cooldown_minutes), false)"
+    sent = f"(NOT {cooled} AND len({recent}) < {limit})"
+    return f"""{cand_cte},
+a AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM cand),
+r AS (
+  SELECT rn, {cols}, true AS emitted, CAST(NULL AS VARCHAR) AS suppressed_by, [ts] AS hist,
+         [{{'k': coalesce(alert_type, '') || '|' || coalesce(metric, ''), 't': ts}}] AS lasts
+  FROM a WHERE rn = 1
+  UNION ALL
+  SELECT a.rn, {", ".join("a." + c.strip() for c in cols.split(","))}, {sent},
+         CASE WHEN {cooled} THEN 'cooldown' WHEN len({recent}) >= {limit} THEN 'rate_limit' END,
+         CASE WHEN {sent} THEN list_append({recent}, a.ts) ELSE {recent} END,
+         CASE WHEN {sent} THEN list_append(list_filter(r.lasts, lambda s: s.k <> {key}),
+                                           {{'k': {key}, 't': a.ts}})
+              ELSE r.lasts END
+  FROM r JOIN a ON a.rn = r.rn + 1)"""
+
+
+register("alert_policy", ops=("M12", "M13"), sql=f"""
+WITH RECURSIVE {policy_sql(CANDIDATES_SQL, "ts, alert_type, detail", RATE_LIMIT,
+                           "alert_type, metric, detail, ts, severity, cooldown_minutes")}
+SELECT alert_type, detail, ts, severity, emitted, suppressed_by FROM r""")(alert_policy)
 
 
 def alert_statistics_q(spark, sf):

@@ -67,4 +67,16 @@ def alert_stream_replay(spark, sf):
                       "suppressed_by")
 
 
-register("alert_stream", ops=("M16",))(alert_stream_replay)
+def _alert_stream_sql() -> str:
+    from vigilo.plans.catalog.monitoring import RATE_LIMIT, policy_sql
+    from vigilo.presets import clinical as C
+    (_, _, th, sev, _, cd), = [r for r in C.DEFAULT_ALERT_RULES if r[1] == "model_error"]
+    cand = f"""cand AS (SELECT 'model_error' AS alert_type, CAST(NULL AS VARCHAR) AS metric, event_id AS detail, ts,
+                        '{sev}' AS severity, {cd} AS cooldown_minutes
+                 FROM events WHERE event_type = 'error' AND value / 400.0 >= {th})"""
+    return f"""WITH RECURSIVE {policy_sql(cand, "ts, detail", RATE_LIMIT,
+                                       "alert_type, metric, detail, ts, severity, cooldown_minutes")}
+SELECT detail, ts, severity, emitted, suppressed_by FROM r"""
+
+
+register("alert_stream", ops=("M16",), sql=_alert_stream_sql())(alert_stream_replay)
