@@ -252,7 +252,28 @@ def worklist(spark, sf):
                       F.col("action.priority").alias("priority"), F.col("action.title").alias("title"))
 
 
-register("worklist", ops=("O4", "P26", "L24"))(worklist)
+def _worklist_sql() -> str:
+    from vigilo.plans.catalog.features import EXP_SQL, _eligibility_sql
+    return f"""
+WITH e AS ({_eligibility_sql()}),
+fact AS ({D.FACT_SQL}), {EXP_SQL.strip()},
+idx AS (SELECT patient_id, physician_id FROM (
+          SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY txn_dt, event_id) AS rn
+          FROM fact WHERE txn_desc = 'DISEASE_X') WHERE rn = 1),
+s AS (SELECT e.patient_id, e.meets_criteria, coalesce(1.0 - x.phys_treat_rate_all, 0.5) AS probability
+      FROM e LEFT JOIN idx USING (patient_id) LEFT JOIN exp x ON idx.physician_id = x.physician_id),
+d AS (SELECT *, probability >= 0.5 AS pred1,
+             probability >= 0.5 AND probability >= {C.ALERT_PROBABILITY_CUTOFF} AND coalesce(meets_criteria, false)
+               AS alert_recommended FROM s)
+SELECT patient_id, meets_criteria, alert_recommended,
+       CASE WHEN alert_recommended AND meets_criteria THEN 'high' WHEN pred1 AND NOT alert_recommended THEN 'medium'
+            ELSE 'low' END AS priority,
+       CASE WHEN alert_recommended AND meets_criteria THEN 'Consider prescribing'
+            WHEN pred1 AND NOT alert_recommended THEN 'Review eligibility' ELSE 'Routine care' END AS title
+FROM d"""
+
+
+register("worklist", ops=("O4", "P26", "L24"), sql=_worklist_sql())(worklist)
 
 
 # ---- M5 / M9 / M10 / M14 -----------------------------------------------------------------------
@@ -273,7 +294,17 @@ def performance_summary_q(spark, sf):
     return MO.performance_summary(predictions(spark, sf), alerts, SINCE)
 
 
-register("performance_summary", ops=("M9", "M10", "A10"))(performance_summary_q)
+def _performance_summary_sql() -> str:
+    from vigilo.plans.catalog.monitoring import _perf_drift_sql
+    return f"""
+WITH p AS ({D.PRED_SQL})
+SELECT count(*) AS n_predictions, avg(probability) AS avg_probability, count(actual_label) AS n_labelled,
+       avg(CASE WHEN actual_label IS NOT NULL THEN CAST(prediction = actual_label AS DOUBLE) END) AS accuracy,
+       (SELECT count(*) FROM ({_perf_drift_sql()})) AS n_drift_alerts
+FROM p WHERE timestamp > TIMESTAMP '{SINCE}'"""
+
+
+register("performance_summary", ops=("M9", "M10", "A10"), sql=_performance_summary_sql())(performance_summary_q)
 
 
 def alert_lifecycle(spark, sf):
