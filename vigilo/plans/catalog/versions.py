@@ -126,7 +126,33 @@ def version_history_q(spark, sf):
     return V.history_stats(hist).join(hist.select("change_type", "version", "summary"), ["change_type"])
 
 
-register("version_history", ops=("V4", "V5", "W7"))(version_history_q)
+def _version_history_sql() -> str:
+    return f"""
+WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}),
+j AS (SELECT coalesce(o.dataset, n.dataset) AS dataset, o.row_count AS orc, n.row_count AS nrc,
+             o.schema_hash AS os, n.schema_hash AS ns,
+             o.content_xor = n.content_xor AND o.content_sum = n.content_sum AND o.row_count = n.row_count AS same
+      FROM o FULL OUTER JOIN n ON o.dataset = n.dataset),
+c AS (SELECT dataset, CASE WHEN orc IS NULL THEN 'new' WHEN nrc IS NULL THEN 'deleted' WHEN same THEN 'unchanged'
+                           WHEN os <> ns THEN 'schema' WHEN orc <> nrc THEN 'rows' ELSE 'content' END AS change
+      FROM j),
+l AS (SELECT *, CASE WHEN change IN ('deleted', 'schema') THEN 3 WHEN change IN ('new', 'rows') THEN 2
+                     WHEN change = 'content' THEN 1 ELSE 0 END AS lvl FROM c),
+second AS (SELECT (['none', 'patch', 'minor', 'major'])[max(lvl) + 1] AS level,
+                  coalesce(array_to_string(list_sort(list(dataset || ':' || change) FILTER (WHERE change <> 'unchanged')),
+                                           '; '), '') AS summary FROM l),
+h AS (SELECT '1.0.0' AS version, TIMESTAMP '2025-10-01' AS created_at, 'major' AS change_type,
+             coalesce(array_to_string(list_sort(list(dataset || ':new')), '; '), '') AS summary FROM o
+      UNION ALL
+      SELECT CASE level WHEN 'major' THEN '2.0.0' WHEN 'minor' THEN '1.1.0' WHEN 'patch' THEN '1.0.1' ELSE '1.0.0' END,
+             TIMESTAMP '2025-10-17', level, summary FROM second),
+g AS (SELECT *, CAST(floor((epoch_us(created_at) - epoch_us(lag(created_at) OVER (ORDER BY created_at)))
+                          / 86400000000.0) AS BIGINT) AS gap FROM h)
+SELECT change_type, count(*) OVER (PARTITION BY change_type) AS versions,
+       (SELECT avg(gap) FROM g) AS avg_gap_days, version, summary FROM g"""
+
+
+register("version_history", ops=("V4", "V5", "W7"), sql=_version_history_sql())(version_history_q)
 
 
 def dataset_metadata_q(spark, sf):
