@@ -98,11 +98,9 @@ def write_documents(df: DataFrame, path: str, meta: dict | None = None) -> None:
     reaches the driver.
     """
     df.write.mode("overwrite").json(path.rstrip("/") + "/records")
-    spark = df.sparkSession
     envelope = df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", *[F.lit(v).alias(k) for k, v in (meta or {}).items()])
     envelope.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "/metadata")
-    del spark
 
 
 # S7 -------------------------------------------------------------------------
