@@ -223,11 +223,13 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
         est = RandomForestClassifier(**common, numTrees=p.get("numTrees", 50), maxDepth=p.get("maxDepth", 6),
                                      minInstancesPerNode=p.get("minInstancesPerNode", 15),
                                      featureSubsetStrategy="sqrt", seed=seed)
-    elif kind in ("gbt", "gradient_boosting", "xgboost"):
-        # Early stopping on a 20 % hold-out of the training rows (VALIDATION_COL).
-        est = GBTClassifier(**common, maxIter=p.get("maxIter", 50), maxDepth=p.get("maxDepth", 5),
-                            stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 0.9),
-                            validationIndicatorCol=VALIDATION_COL, validationTol=p.get("validationTol", 0.01),
+    elif kind in BOOSTED:
+        # One Spark learner, two presets (xgboost / gradient_boosting); early
+        # stopping on a 20 % hold-out of the training rows (VALIDATION_COL).
+        preset = dict(BOOSTED_PRESETS["gradient_boosting" if kind == "gbt" else kind], **p)
+        est = GBTClassifier(**common, maxIter=preset["maxIter"], maxDepth=preset["maxDepth"],
+                            stepSize=preset["stepSize"], subsamplingRate=preset["subsamplingRate"],
+                            validationIndicatorCol=VALIDATION_COL, validationTol=preset.get("validationTol", 0.01),
                             seed=seed)
     elif kind == "naive_bayes":
         est = NaiveBayes(**common, modelType="gaussian")
@@ -240,8 +242,16 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
     return est
 
 
-MODEL_TYPES = ("logistic_regression", "random_forest", "gbt", "naive_bayes", "svm")
+MODEL_TYPES = ("xgboost", "gradient_boosting", "random_forest", "logistic_regression", "svm", "naive_bayes")
 BOOSTED = ("gbt", "gradient_boosting", "xgboost")
+# --- fixed values: boosted-tree presets (learning rate, depth, subsample of the
+# source configuration; the tree count is capped and early stopping decides) ---
+BOOSTED_PRESETS = {
+    "xgboost": {"maxIter": 100, "maxDepth": 7, "stepSize": 0.2610570842357371,
+                "subsamplingRate": 0.9130034518395074},
+    "gradient_boosting": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 1.0},
+}
+# --- end fixed values -------------------------------------------------------------
 VALIDATION_COL = "_is_validation"
 
 

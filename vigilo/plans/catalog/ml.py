@@ -251,9 +251,9 @@ def importance_summary_q(spark, sf):
     path = scratch_dir(spark, f"models-{uuid.uuid4().hex[:8]}")
     save_model(ML.train("random_forest", tr, feats, "target", SEED), path, "rf-1", {"seed": SEED})
     rf = load_model(path, PipelineModel)
-    gbt = ML.train("gbt", tr, feats, "target", SEED, params={"maxIter": 20})
+    gbt = ML.train("xgboost", tr, feats, "target", SEED)
     imp = ML.feature_importance(rf, feats).withColumn("model", F.lit("random_forest")).unionByName(
-        ML.feature_importance(gbt, feats).withColumn("model", F.lit("gbt")))
+        ML.feature_importance(gbt, feats).withColumn("model", F.lit("xgboost")))
     cats = spark.createDataFrame([(cat, f) for cat, frags in IMPORTANCE_CATEGORIES.items() for f in feats
                                   if any(x in f for x in frags)], "category string, feature string")
     return importance_summary(imp, "feature", "importance", cats)
