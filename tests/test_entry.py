@@ -13,5 +13,10 @@ def test_queries_and_oracles_line_up():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 100 and len(sqls) >= 90
-    banned = ("pipeline", "op1_", "llm")
-    assert not any(b in name for name in qs for b in banned)
+
+
+def test_training_data_queries_come_with_their_package():
+    import importlib.util
+    present = importlib.util.find_spec("corpus_pipeline") is not None
+    assert ("pipeline" in E.queries()) == present
+    assert any(n.startswith("op7_") for n in E.queries()) == present

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         path = configured
+    elif not fallback and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         path = fallback or tempfile.mkdtemp(prefix="vigilo-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
@@ -73,6 +76,26 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, wherever the driver was started.
+
+    The zip is served to the executors by Spark itself, once per context.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vigilo_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="vigilo-pkg-"), "vigilo.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._vigilo_shipped = True
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
