@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vigilo.llm import cascade, perspectives, topk, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -28,6 +30,119 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text(value: str) -> str:
+    """SQL literal; control characters as chr()."""
+    out = "'" + value.replace("'", "''") + "'"
+    for c in "\r\n":
+        out = out.replace(c, f"' || chr({ord(c)}) || '")
+    return out
+
+
+# --------------------------------------------------------------------- 1 WARC
+def _tidy_sql(x: str) -> str:
+    s = f"regexp_replace({x}, {_text(warc.BLANKS)}, ' ', 'g')"
+    s = f"regexp_replace({s}, {_text(warc.BREAKS)}, chr(10), 'g')"
+    return f"trim(regexp_replace(trim({s}, ' '), {_text('^' + chr(10) + '|' + chr(10) + '$')}, '', 'g'), ' ')"
+
+
+def _decoded_sql(x: str) -> str:
+    """Character references of ``x`` (see warc.decode_references)."""
+    names = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in warc.ENTITIES.items())
+    ref = f"regexp_extract(p, {_text(warc.REFERENCE)}, 1)"
+    code = (f"(CASE WHEN lower({ref}[2]) = 'x' THEN ('0x' || {ref}[3:])::BIGINT ELSE TRY_CAST({ref}[2:] AS BIGINT) END)")
+    char = (f"(CASE WHEN {ref}[1] = '#' THEN chr((CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 "
+            f"OR {code} > 1114111 THEN 65533 ELSE {code} END)::INTEGER) "
+            f"WHEN {ref} <> '' THEN MAP {{{names}}}[{ref}] END)")
+    piece = f"coalesce({char} || p[length({ref}) + 2:], '&' || p)"
+    return (f"string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], "
+            f"lambda p: {piece}), '')")
+
+
+def _digest_sql(x: str) -> str:
+    return f"'sha256:' || sha256({x})"
+
+
+def _id_sql(kind: str, name: str) -> str:
+    h = f"md5('{kind}|' || {name})"
+    return (f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' "
+            f"|| {h}[21:32] || '>'")
+
+
+def _op1_sql() -> str:
+    nl = "chr(13) || chr(10)"
+    field = lambda name, value: f"'{name}: ' || {value} || {nl}"
+    vis = (f"regexp_replace(regexp_replace(payload, {_text(warc.COMMENT)}, '', 'g'), {_text(warc.HIDDEN)}, '', 'g')")
+    body = (f"regexp_replace(regexp_replace(vis, {_text(warc.BLOCK_TAG)}, chr(10), 'g'), {_text(warc.ANY_TAG)}, '', 'g')")
+    title = f"regexp_replace(regexp_extract(vis, {_text(warc.TITLE)}, 1), {_text(warc.ANY_TAG)}, '', 'g')"
+    links = f"regexp_extract_all(vis, {_text(warc.LINK)}, 1)"
+    header = " || ".join([
+        f"'WARC/1.1' || {nl}", field("WARC-Type", "record_type"), field("WARC-Record-ID", "record_id"),
+        field("WARC-Refers-To", "refers_to"), field("WARC-Refers-To-Target-URI", "target_uri"),
+        field("WARC-Refers-To-Date", "date"), field("WARC-Target-URI", "target_uri"), field("WARC-Date", "date"),
+        field("WARC-Block-Digest", "block_digest"), field("Content-Type", "content_type"),
+        field("Content-Length", "content_length"), nl])
+    return f"""
+WITH p AS (SELECT page_id AS source_id, coalesce(url, '') AS target_uri, '{warc.FETCHED}' AS date,
+                  coalesce(html, '') AS payload FROM pages),
+q AS (SELECT *, 'HTTP/1.1 200 OK' || {nl} || 'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: '
+             || strlen(payload) || {nl} || {nl} AS http_header, {_digest_sql('payload')} AS payload_digest,
+             {vis} AS vis FROM p),
+r AS (SELECT *, {_id_sql('response', "concat_ws('|', source_id, target_uri, date, payload_digest)")} AS refers_to,
+             {_digest_sql('http_header || payload')} AS source_block,
+             {body} AS raw, {title} AS raw_title, {links} AS links FROM q),
+d AS (SELECT *, {_decoded_sql('raw')} AS raw2, {_decoded_sql('raw_title')} AS title2 FROM r),
+t AS (SELECT *, {_tidy_sql('raw2')} AS txt, replace({_tidy_sql('title2')}, chr(10), ' ') AS title,
+             {_id_sql('conversion', 'refers_to')} AS conversion_id FROM d),
+b AS (SELECT source_id, 'conversion' AS record_type, conversion_id AS record_id, refers_to, target_uri, date,
+             payload_digest AS source_digest, 'text/plain; charset=utf-8' AS content_type, txt AS block FROM t
+      UNION ALL
+      SELECT source_id, 'metadata', {_id_sql('metadata', 'refers_to')}, refers_to, target_uri, date, payload_digest,
+             'application/warc-fields',
+             regexp_replace(http_header, '(?:\\r\\n)+$', {nl})
+             || {field('source-payload-digest', 'payload_digest')} || {field('source-block-digest', 'source_block')}
+             || {field('conversion', 'conversion_id')} || {field('conversion-digest', _digest_sql('txt'))}
+             || {field('title', 'title')}
+             || CASE WHEN len(links) > 0 THEN 'outlink: ' || array_to_string(links, {nl} || 'outlink: ') || {nl}
+                     ELSE '' END
+      FROM t),
+c AS (SELECT *, strlen(block)::BIGINT AS content_length, {_digest_sql('block')} AS block_digest FROM b)
+SELECT source_id, record_type, record_id, refers_to, target_uri, date, source_digest, content_type, content_length,
+       block_digest, {header} AS warc_header, block
+FROM c"""
+
+
+@register(_op1_sql())
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+# ------------------------------------------------------------- 6 perspectives
+_OP6_SQL = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body, text FROM conversations),
+s AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t WHERE role <> 'system'),
+j AS (SELECT *, role IS NOT DISTINCT FROM perspective AS trained,
+             '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+               WHEN role IS NULL THEN 'user'
+               ELSE 'user name=' || regexp_replace(role, '[^0-9A-Za-z_.-]', '_', 'g') END || chr(10) AS header
+      FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c),
+k AS (SELECT *, header || replace(body, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment FROM j),
+o AS (SELECT *, row_number() OVER w - 1 AS position,
+             sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS char_end
+      FROM k WINDOW w AS (PARTITION BY conv_id, perspective
+                          ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+SELECT conv_id, perspective, position::BIGINT AS position, turn, role, segment,
+       (char_end - length(segment))::BIGINT AS char_start, char_end, trained,
+       CASE WHEN trained THEN (char_end - length(segment) + length(header))::BIGINT END AS mask_start,
+       CASE WHEN trained THEN (char_end - 1)::BIGINT END AS mask_end
+FROM o
+"""
+
+
+@register(_OP6_SQL)
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(_table(spark, sf_dir, "conversations"))
+
+
 # ------------------------------------------------------------------ 7 cascade
 _OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -44,7 +159,7 @@ f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              coalesce(li.dup, 0)::BIGINT AS n_dup_lines, coalesce(li.n, 0) AS n_lines,
              coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, x -> regexp_matches(x, '.!!$'))) AS n_shouts
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+!!(?:[\x20\x09-\x0D]|$)')) AS n_shouts
       FROM w LEFT JOIN li USING (rid) LEFT JOIN rep USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -56,5 +171,24 @@ FROM b
 
 @register(_OP7_SQL)
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vigilo.llm.cascade import quality_cascade
-    return quality_cascade(_table(spark, sf_dir, "documents"))
+    return cascade.quality_cascade(_table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------- 10 top-k
+_OP10_SQL = """
+WITH c AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+n AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM c),
+u AS (SELECT rid, vec_id, len(embedding) AS dim, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM n),
+bad AS (SELECT rid FROM u WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT rid, vec_id, dim, i, floor(256 * x::DOUBLE)::BIGINT AS x FROM u WHERE rid NOT IN (SELECT rid FROM bad)),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, d.rid, q.rid AS qrid, sum(q.x * d.x)::BIGINT AS score
+      FROM v q JOIN v d ON q.i = d.i AND q.dim = d.dim WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+      GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@register(_OP10_SQL)
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
