@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, perspectives, topk, warc
+from vigilo.llm import cascade, packing, perspectives, topk, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -116,6 +116,18 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
+# ------------------------------------------------------------------ 2 packing
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Packed pieces with the checksum of their ids in place of the ids."""
+    parts = packing.pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(parts)
+
+
+@register()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(_table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------- 6 perspectives
 _OP6_SQL = """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body, text FROM conversations),
