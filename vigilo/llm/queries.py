@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, packing, perspectives, topk, warc
+from vigilo.llm import cascade, packing, perspectives, topk, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -41,14 +41,14 @@ def _text(value: str) -> str:
 # --------------------------------------------------------------------- 1 WARC
 def _tidy_sql(x: str) -> str:
     s = f"regexp_replace({x}, {_text(warc.BLANKS)}, ' ', 'g')"
-    s = f"regexp_replace({s}, {_text(warc.BREAKS)}, chr(10), 'g')"
-    return f"trim(regexp_replace(trim({s}, ' '), {_text('^' + chr(10) + '|' + chr(10) + '$')}, '', 'g'), ' ')"
+    lines = f"list_transform(string_split({s}, chr(10)), lambda y: trim(y, ' '))"
+    return f"array_to_string(list_filter({lines}, lambda y: y <> ''), chr(10))"
 
 
 def _decoded_sql(x: str) -> str:
     """Character references of ``x`` (see warc.decode_references)."""
     names = ", ".join(f"{_text(k)}: {_text(v)}" for k, v in warc.ENTITIES.items())
-    ref = f"regexp_extract(p, {_text(warc.REFERENCE)}, 1)"
+    ref = f"regexp_extract(p, {_text(warc.REFERENCE.replace('&', '^'))}, 1)"
     code = (f"(CASE WHEN lower({ref}[2]) = 'x' THEN ('0x' || {ref}[3:])::BIGINT ELSE TRY_CAST({ref}[2:] AS BIGINT) END)")
     char = (f"(CASE WHEN {ref}[1] = '#' THEN chr((CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 "
             f"OR {code} > 1114111 THEN 65533 ELSE {code} END)::INTEGER) "
@@ -71,7 +71,7 @@ def _id_sql(kind: str, name: str) -> str:
 def _op1_sql() -> str:
     nl = "chr(13) || chr(10)"
     field = lambda name, value: f"'{name}: ' || {value} || {nl}"
-    vis = (f"regexp_replace(regexp_replace(payload, {_text(warc.COMMENT)}, '', 'g'), {_text(warc.HIDDEN)}, '', 'g')")
+    vis = f"regexp_replace(payload, {_text(warc.HIDDEN)}, '', 'g')"
     body = (f"regexp_replace(regexp_replace(vis, {_text(warc.BLOCK_TAG)}, chr(10), 'g'), {_text(warc.ANY_TAG)}, '', 'g')")
     title = f"regexp_replace(regexp_extract(vis, {_text(warc.TITLE)}, 1), {_text(warc.ANY_TAG)}, '', 'g')"
     links = f"regexp_extract_all(vis, {_text(warc.LINK)}, 1)"
@@ -186,6 +186,12 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality_cascade(_table(spark, sf_dir, "documents"))
 
 
+# ----------------------------------------------------------------- 9 toxicity
+@register()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 # ------------------------------------------------------------------- 10 top-k
 _OP10_SQL = """
 WITH c AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),

@@ -14,8 +14,14 @@ table gives no records; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilo.llm.words import sub_batches
+
 CRLF = "\r\n"
 FETCHED = "2024-01-01T00:00:00Z"   # pages carry no fetch time; a parameter of `responses`
 
@@ -38,53 +44,51 @@ ENTITIES = {
 }
 
 # Fixed patterns of the page clean-up, applied in this order (same text in both engines).
-COMMENT = r"(?s)<!--.*?-->"
-HIDDEN = r"(?is)<(?:script|style|noscript)\b.*?</(?:script|style|noscript)[ \t\r\n]*>"
+HIDDEN = r"(?is)<!--.*?-->|<(?:script|style|noscript)\b.*?</(?:script|style|noscript)[ \t\r\n]*>"
 BLOCK_TAG = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|"
              r"hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>")
 ANY_TAG = r"<[a-zA-Z/!?][^<>]*>"
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-BLANKS = r"[ \t\r\f]+"
-BREAKS = r" ?\n[ \n]*"
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+BLANKS = r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+"
 TITLE = r"(?is)<title\b[^<>]*>(.*?)</title"
 LINK = r"""(?i)<a\b[^<>]*?\bhref[ \t]*=[ \t]*["']([^"'<>]*)["']"""
 
 
-def _code_point(code: Column) -> Column:
-    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
-
-
-def decode_references(text: Column) -> Column:
-    """Named and numeric character references, each decoded once; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+_HIDDEN, _BLOCK_TAG, _ANY_TAG, _REFERENCE, _BLANKS, _TITLE, _LINK = (
+    re.compile(x, re.ASCII) for x in (HIDDEN, BLOCK_TAG, ANY_TAG, REFERENCE, BLANKS, TITLE, LINK))
 
-    def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, REFERENCE, 1)
-        hexed = F.lower(F.substring(ref, 2, 1)) == "x"
-        code = F.when(hexed, F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).cast("long")
-        char = F.when(F.startswith(ref, F.lit("#")), _code_point(code)).when(ref != "", names[ref])
-        return (F.when(char.isNotNull(), F.concat(char, F.substr(p, F.length(ref) + 2)))
-                .otherwise(F.concat(F.lit("&"), p)))
 
-    parts = F.split(text, "&", -1)
-    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: piece(p))
-    return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+def _character(m: re.Match) -> str:
+    ref = m[1]
+    if ref[0] != "#":
+        return ENTITIES.get(ref, m[0])
+    code = int(ref[2:], 16) if ref[1] in "xX" else int(ref[1:])
+    return "\ufffd" if code == 0 or 0xD800 <= code <= 0xDFFF or code > 0x10FFFF else chr(code)
 
 
-def tidy(text: Column) -> Column:
-    """References decoded, blanks and line breaks squeezed."""
-    text = F.regexp_replace(decode_references(text), BLANKS, " ")
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, BREAKS, "\n")), r"^\n|\n$", ""))
+def tidy(text: str) -> str:
+    """References decoded once, blanks squeezed, lines trimmed, empty lines gone."""
+    text = _REFERENCE.sub(_character, text) if "&" in text else text
+    lines = (x.strip(" ") for x in _BLANKS.sub(" ", text).split("\n"))
+    return "\n".join(x for x in lines if x)
 
 
-def visible(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN, "")
+def page_parts(html: str) -> tuple[str, str, str]:
+    """Plain text, title (one line) and ``outlink`` fields of a page."""
+    shown = _HIDDEN.sub("", html)
+    text = tidy(_ANY_TAG.sub("", _BLOCK_TAG.sub("\n", shown)))
+    title = _TITLE.search(shown)
+    links = "".join(f"outlink: {x}{CRLF}" for x in _LINK.findall(shown))
+    return text, tidy(_ANY_TAG.sub("", title[1])).replace("\n", " ") if title else "", links
 
 
-def plain_text(html: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(visible(html), BLOCK_TAG, "\n"), ANY_TAG, "")
-    return tidy(text)
+def _with_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "payload"):
+        kept = [x for x in batch.schema.names if x != "payload"]
+        parts = [page_parts(x) for x in batch.column("payload").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(x) for x in kept] + [pa.array(x, pa.string()) for x in zip(*parts)],
+            kept + ["text", "title", "links"])
 
 
 def digest(data: Column) -> Column:
@@ -120,19 +124,15 @@ def derive(records: DataFrame) -> DataFrame:
     """Two records per response: ``source_id, record_type, record_id,
     refers_to, target_uri, date, source_digest, content_type, content_length,
     block_digest, warc_header, block``."""
-    text = plain_text(F.col("payload"))
-    html = visible(F.col("payload"))
-    links = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
-    link_lines = F.when(F.size(links) > 0, F.concat(
-        F.lit("outlink: "), F.array_join(links, CRLF + "outlink: "), F.lit(CRLF))).otherwise("")
-    r = records.withColumn("text", text).withColumn("conversion_id", record_id("conversion", F.col("record_id")))
+    names = ("source_id", "record_id", "target_uri", "date", "http_header", "payload_digest", "block_digest")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (records.schema[x] for x in names))
+    r = (records.select(*names, "payload").mapInArrow(_with_parts, schema + ", text string, title string, links string")
+         .withColumn("conversion_id", record_id("conversion", F.col("record_id"))))
     meta = F.concat(
         F.regexp_replace(F.col("http_header"), r"(?:\r\n)+$", CRLF),
         _field("source-payload-digest", F.col("payload_digest")), _field("source-block-digest", F.col("block_digest")),
         _field("conversion", F.col("conversion_id")), _field("conversion-digest", digest(F.col("text"))),
-        _field("title", F.regexp_replace(tidy(F.regexp_replace(F.regexp_extract(html, TITLE, 1), ANY_TAG, "")),
-                                         "\n", " ")),
-        link_lines)
+        _field("title", F.col("title")), F.col("links"))
     both = r.select("*", F.explode(F.array(
         F.struct(F.lit("metadata").alias("record_type"), record_id("metadata", F.col("record_id")).alias("id"),
                  F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
