@@ -8,7 +8,8 @@ vector of word inputs and character inputs:
 * character inputs: the mean embedding of the hash buckets of its character
   n-grams, so spellings never seen before still share their parts.
 
-Both also carry a log-odds channel learned from the labelled rows.  A forward
+Both also carry channels that say how far the word's or n-gram's document
+counts exceed the labels' base rate in the training rows.  A forward
 and a backward gated recurrent layer run over the window, attention pools the
 states and a logistic unit scores the window; a document scores its best
 window.  The network is trained in numpy by Adam on windows of a bounded
@@ -32,34 +33,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilo.llm.words import Spans, Words, mix, sub_batches
+from vigilo.llm.words import Spans, Words, gram_positions, mix, sub_batches
 
 WINDOW = 32
 STRIDE = 24
-WORD_BUCKETS = 1 << 14
-GRAM_BUCKETS = 1 << 14
-WORD_DIM = 6
-GRAM_DIM = 6
+SLOTS = 1 << 19          # places of an evidence table
+LEAST_TOXIC = 3          # toxic training rows that a word or n-gram must be in to count as evidence
+EMBEDDED = 1 << 14       # hash buckets of the embeddings
+WORD_DIM = 4
+GRAM_DIM = 4
 HIDDEN = 8
 MAX_TOXIC = 1500         # rows labelled toxic that training may read
-MAX_CLEAN = 3000         # rows labelled clean that training may read
+MAX_CLEAN = 2500         # rows labelled clean that training may read
 MAX_TEXT = 20_000        # longest text (characters) that training may read; scoring has no limit
-EPOCHS = 8
+EPOCHS = 5
+FOLDS = 4
 THRESHOLD = 0.3
-_GRAMS = (3, 4, 5)
+_GRAMS = (3, 4, 5, 6)
+_CHANNELS = 4            # evidence of the word, of its n-grams (mean, most), of its first n-grams
 
 
 # ------------------------------------------------------------------------- inputs
 @dataclass
 class Vocabulary:
-    """Distinct words of a batch: hash bucket and character n-gram buckets (ragged)."""
+    """Distinct words of a batch: 32-bit hashes of the words and of their character n-grams (ragged)."""
     words: np.ndarray
     grams: np.ndarray
+    head: np.ndarray      # n-gram starts the word
     ptr: np.ndarray
 
 
-def _gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram buckets of every word (lower-case ASCII, a border mark at either side) and their number."""
+def _gram_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram hashes of every word (lower-case ASCII, a border mark at either side),
+    whether each starts the word, and their number."""
     length = ends - starts
     padded = length + 2
     ptr = np.concatenate(([0], np.cumsum(padded)))
@@ -69,25 +75,26 @@ def _gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     lower = data[starts[word] + at]
     text[ptr[word] + 1 + at] = lower + np.uint8(32) * ((lower >= 65) & (lower <= 90))
     span = Spans(mix(text.astype(np.uint64) + np.uint64(0x51)))
-    buckets, owners = [], []
+    buckets, owners, heads = [], [], []
     for n in _GRAMS:
         many = np.maximum(padded - n + 1, 0)
         owner = np.repeat(np.arange(len(many)), many)
         i = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + ptr[owner]
-        buckets.append((span.of(i, i + n) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
+        buckets.append((span.of(i, i + n) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         owners.append(owner)
+        heads.append(i == ptr[owner])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(buckets)[order], np.bincount(owner, minlength=len(starts))
+    return np.concatenate(buckets)[order], np.concatenate(heads)[order], np.bincount(owner, minlength=len(starts))
 
 
 def vocabulary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray,
                chunk: int = 1 << 15) -> Vocabulary:
-    """Buckets of the words ``data[starts:ends]``."""
-    parts = [_gram_buckets(data, starts[a:a + chunk], ends[a:a + chunk]) for a in range(0, len(starts), chunk)]
-    grams = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int32)
-    many = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int64)
-    return Vocabulary((hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), grams,
+    """Hashes of the words ``data[starts:ends]``."""
+    parts = [_gram_hashes(data, starts[a:a + chunk], ends[a:a + chunk]) for a in range(0, len(starts), chunk)]
+    parts = parts or [(np.zeros(0, np.uint32), np.zeros(0, bool), np.zeros(0, np.int64))]
+    grams, head, many = (np.concatenate(x) for x in zip(*parts))
+    return Vocabulary((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), grams, head,
                       np.concatenate(([0], np.cumsum(many))))
 
 
@@ -101,6 +108,28 @@ def segment_mean(rows: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def segment_max(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(ptr) - 1, np.float32)
+    filled = np.diff(ptr) > 0
+    if filled.any():
+        out[filled] = np.maximum.reduceat(values, ptr[:-1][filled])
+    return out
+
+
+class Table:
+    """Evidence by 32-bit hash: one place per low bits, the hash itself as proof of identity."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.tag, self.value = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32)
+        place = keys[order] % SLOTS
+        self.tag[place], self.value[place] = keys[order], values[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        place = keys % np.uint32(SLOTS)
+        return np.where(self.tag[place] == keys, self.value[place], np.float32(0))
+
+
 class Batch:
     """Distinct words of a text column and the word number of every position."""
 
@@ -111,6 +140,18 @@ class Batch:
         self.vocab = vocabulary(w.data, w.starts[first], w.ends[first], keys)
         self.ptr = w.ptr
         self.n_docs = w.n_docs
+        # Place of the same word before, anywhere; -1 for none.
+        order = np.argsort(self.ids, kind="stable")
+        self.before = np.full(len(order) + 1, -1, np.int64)
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        self.before[order[1:][same]] = order[:-1][same]
+
+    def inside(self, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (steps by windows) and which of them are read: a word that the window
+        has had before is passed over."""
+        step = np.arange(WINDOW)[:, None]
+        at = np.minimum(start + step, max(len(self.ids) - 1, 0))
+        return at, (step < n) & (self.before[at] < start)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first position and word count of every window."""
@@ -128,8 +169,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    inputs = WORD_DIM + GRAM_DIM + 3
-    w = {"word": rng.normal(0, 0.1, (WORD_BUCKETS, WORD_DIM)), "gram": rng.normal(0, 0.1, (GRAM_BUCKETS, GRAM_DIM))}
+    inputs = WORD_DIM + GRAM_DIM + _CHANNELS
+    w = {"word": rng.normal(0, 0.02, (EMBEDDED, WORD_DIM)), "gram": rng.normal(0, 0.02, (EMBEDDED, GRAM_DIM))}
     for side in "fb":
         w["W" + side] = rng.normal(0, 0.4 / np.sqrt(inputs), (inputs, 3 * HIDDEN))
         w["U" + side] = rng.normal(0, 0.4 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN))
@@ -139,16 +180,19 @@ def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
-def word_inputs(w: dict[str, np.ndarray], odds: dict[str, np.ndarray], vocab: Vocabulary) -> np.ndarray:
+def word_inputs(w: dict[str, np.ndarray], odds: dict[str, Table], vocab: Vocabulary, chunk: int = 1 << 15) -> np.ndarray:
     """Input vector of every distinct word."""
-    gram_odds = odds["gram"][vocab.grams][:, None]
-    peak = np.zeros(len(vocab.words), np.float32)
-    filled = np.diff(vocab.ptr) > 0
-    if filled.any():
-        peak[filled] = np.maximum.reduceat(gram_odds[:, 0], vocab.ptr[:-1][filled])
-    return np.concatenate([w["word"][vocab.words], segment_mean(w["gram"][vocab.grams], vocab.ptr),
-                           odds["word"][vocab.words][:, None], segment_mean(gram_odds, vocab.ptr), peak[:, None]],
-                          axis=1).astype(np.float32)
+    out = np.empty((len(vocab.words), WORD_DIM + GRAM_DIM + _CHANNELS), np.float32)
+    for a in range(0, len(out), chunk):
+        words = vocab.words[a:a + chunk]
+        ptr = vocab.ptr[a:a + chunk + 1]
+        grams, ptr = vocab.grams[ptr[0]:ptr[-1]], ptr - ptr[0]
+        known = odds["gram"].of(grams)
+        first = np.where(vocab.head[vocab.ptr[a]:vocab.ptr[a] + len(grams)], known, 0.0)
+        out[a:a + chunk] = np.concatenate(
+            [w["word"][words % EMBEDDED], segment_mean(w["gram"][grams % EMBEDDED], ptr), odds["word"].of(words)[:, None],
+             segment_mean(known[:, None], ptr), segment_max(known, ptr)[:, None], segment_max(first, ptr)[:, None]], axis=1)
+    return out
 
 
 def _layer(x: np.ndarray, u: np.ndarray, mask: np.ndarray, reverse: bool, keep: bool):
@@ -232,43 +276,48 @@ def project(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     return {side: x @ w["W" + side] + w["c" + side] for side in "fb"}
 
 
-def score_batch(model: dict, column: pa.Array, chunk: int = 8192) -> np.ndarray:
-    """Score of every document: its best window."""
-    w, odds = model["weights"], model["odds"]
-    batch = Batch(column)
-    x = word_inputs(w, odds, batch.vocab)
+def window_scores(weights: dict, odds: dict, batch: Batch, windows, chunk: int = 8192) -> np.ndarray:
+    """Logit of every window."""
+    x = word_inputs(weights, odds, batch.vocab)
     # The last row stands for places past the end of a window.
-    projected = {s: np.vstack([p, np.zeros((1, 3 * HIDDEN), np.float32)]) for s, p in project(w, x).items()}
-    doc, start, n = batch.windows()
+    projected = {s: np.vstack([p, np.zeros((1, 3 * HIDDEN), np.float32)]) for s, p in project(weights, x).items()}
+    doc, start, n = windows
     ids = np.append(batch.ids, 0)
-    best = np.full(batch.n_docs, -np.inf, np.float32)
+    out = np.empty(len(doc), np.float32)
     for a in range(0, len(doc), chunk):
-        s, m = start[a:a + chunk], n[a:a + chunk]
-        step = np.arange(WINDOW)[:, None]
-        inside = step < m
-        at = np.where(inside, ids[np.minimum(s + step, len(ids) - 1)], len(x))
-        logit, _ = forward(w, projected, at, inside.astype(np.float32))
-        np.maximum.at(best, doc[a:a + chunk], logit)
-    return sigmoid(best.astype(np.float64))
+        place, inside = batch.inside(start[a:a + chunk], n[a:a + chunk])
+        at = np.where(inside, ids[place], len(x))
+        out[a:a + chunk], _ = forward(weights, projected, at, inside.astype(np.float32))
+    return out
+
+
+def best_window(n_docs: int, doc: np.ndarray, logit: np.ndarray) -> np.ndarray:
+    best = np.full(n_docs, -np.inf, np.float32)
+    np.maximum.at(best, doc, logit)
+    return best
+
+
+def score_batch(model: dict, column: pa.Array) -> np.ndarray:
+    """Score of every document: its best window."""
+    batch = Batch(column)
+    windows = batch.windows()
+    logit = window_scores(model["weights"], model["odds"], batch, windows)
+    return sigmoid(best_window(batch.n_docs, windows[0], logit).astype(np.float64))
 
 
 # ----------------------------------------------------------------------- training
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Smoothed log ratio of document frequencies, shrunk for rare buckets."""
-    rate = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    seen = toxic + clean
-    return (rate * seen / (seen + 2.0) / 3.0).astype(np.float32)
+def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Cautious log-odds of document counts against the base rate (one standard error
+    off); 0 below it.  Purity counts for more than frequency."""
+    odds = np.log((toxic + 0.5) / (clean + 0.5)) - np.log(share / (1 - share))
+    return np.maximum(odds - np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), 0).astype(np.float32)
 
 
 def _training_windows(batch: Batch, labels: np.ndarray, odds: dict, rng: np.random.Generator):
     """Windows to learn from (document, start, words): of every document those that
-    hold its most telling word, of a clean document about three others as well."""
+    hold its most telling word, of a clean document about two others as well."""
     v = batch.vocab
-    gram = np.zeros(len(v.words), np.float32)
-    filled = np.diff(v.ptr) > 0
-    if filled.any():
-        gram[filled] = np.maximum.reduceat(odds["gram"][v.grams], v.ptr[:-1][filled])
-    tell = np.append(odds["word"][v.words] + gram, -9)[np.append(batch.ids, len(v.words))]
+    tell = np.append(odds["word"].of(v.words) + segment_max(odds["gram"].of(v.grams), v.ptr), -9)[np.append(batch.ids, len(v.words))]
     doc, start, n = batch.windows()
     step = np.arange(WINDOW)
     peak = np.empty(len(doc), np.float32)
@@ -277,82 +326,140 @@ def _training_windows(batch: Batch, labels: np.ndarray, odds: dict, rng: np.rand
         peak[a:a + 65536] = np.where(step < m, tell[np.minimum(s + step, len(tell) - 1)], -9).max(axis=1)
     best = np.full(batch.n_docs, -np.inf, np.float32)
     np.maximum.at(best, doc, peak)
-    extra = rng.random(len(doc)) < 3.0 / np.bincount(doc, minlength=batch.n_docs)[doc]
+    extra = rng.random(len(doc)) < 2.0 / np.bincount(doc, minlength=batch.n_docs)[doc]
     rows = np.flatnonzero((peak >= best[doc] - 1e-6) | (extra & (labels[doc] == 0)))
     return doc[rows], start[rows], n[rows]
 
 
-def _odds(batch: Batch, labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Log-odds of word and n-gram buckets by the documents that hold them."""
-    out = {}
+def _evidence(batch: Batch, labels: np.ndarray, fold: np.ndarray) -> list[dict[str, Table]]:
+    """Evidence of words and n-grams by the documents that hold them: without each
+    fold in turn, and last of all documents."""
+    v = batch.vocab
     doc = np.repeat(np.arange(batch.n_docs), np.diff(batch.ptr))
-    pair = np.unique(doc * len(batch.vocab.words) + batch.ids)
-    d, word = pair // len(batch.vocab.words), pair % len(batch.vocab.words)
-    n = np.bincount(labels, minlength=2)
-
-    def count(rows: np.ndarray, buckets: np.ndarray, size: int) -> np.ndarray:
-        key = np.unique(rows * size + buckets)
-        rows, buckets = key // size, key % size
-        return np.stack([np.bincount(buckets[labels[rows] == y], minlength=size) for y in (0, 1)])
-
-    clean, toxic = count(d, batch.vocab.words[word], WORD_BUCKETS)
-    out["word"] = log_odds(toxic, clean, n[1], n[0])
-    size = np.diff(batch.vocab.ptr)
-    grams = np.zeros((2, GRAM_BUCKETS), np.int64)
-    border = np.searchsorted(d, np.arange(0, batch.n_docs + 200, 200))
-    for a, b in zip(border[:-1], border[1:]):      # 200 whole documents at once: pairs are sorted by document
-        wd = word[a:b]
-        reps = size[wd]
-        at = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(batch.vocab.ptr[wd], reps)
-        grams += count(np.repeat(d[a:b], reps), batch.vocab.grams[at], GRAM_BUCKETS)
-    out["gram"] = log_odds(grams[1], grams[0], n[1], n[0])
+    pair = np.unique(doc * len(v.words) + batch.ids)
+    doc, word = pair // len(v.words), pair % len(v.words)
+    border = np.searchsorted(doc, np.arange(0, batch.n_docs + 100, 100))
+
+    def held(kind: str):
+        """Document and distinct hashes of 100 whole documents at a time (pairs are sorted by document)."""
+        for a, b in zip(border[:-1], border[1:]):
+            d, keys = doc[a:b], v.words[word[a:b]]
+            if kind == "gram":
+                w = word[a:b]
+                reps = v.ptr[w + 1] - v.ptr[w]
+                at = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(v.ptr[w], reps)
+                d, keys = np.repeat(d, reps), v.grams[at]
+            both = np.unique(d << 32 | keys)
+            yield both >> 32, (both & 0xFFFFFFFF).astype(np.uint32)
+
+    share = labels.mean()
+    out: list[dict[str, Table]] = [{} for _ in range(FOLDS + 1)]
+    for kind in ("word", "gram"):
+        seen = np.concatenate([keys[labels[d] == 1] for d, keys in held(kind)])
+        keys, many = np.unique(seen, return_counts=True)
+        keys = keys[many >= LEAST_TOXIC]
+        del seen, many
+        counts = np.zeros((FOLDS, 2, len(keys)), np.int32)
+        for d, k in held(kind):
+            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            hit = np.flatnonzero(keys[at] == k) if len(keys) else np.zeros(0, np.int64)
+            np.add.at(counts, (fold[d[hit]], labels[d[hit]], at[hit]), 1)
+        total = counts.sum(axis=0)
+        for f in range(FOLDS + 1):
+            clean, toxic = total - (counts[f] if f < FOLDS else 0)
+            out[f][kind] = Table(keys, evidence(toxic, clean, share))
     return out
 
 
-def train(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCHS) -> dict:
-    """Model of labelled texts; deterministic for the same rows in the same order."""
+def distinct_texts(words: Words, sketches: int = 6) -> np.ndarray:
+    """Documents that share no minimum 3-word shingle with an earlier one.
+
+    Copies of a training row would let its rare words pass for evidence.
+    """
+    at, doc = gram_positions(words.ptr, 3)
+    out = np.ones(words.n_docs, bool)
+    if not len(at):
+        return out
+    gram = Spans(words.hashes()).of(at, at + 3)
+    filled, first = np.unique(doc, return_index=True)
+    low = np.stack([np.minimum.reduceat(mix(gram ^ np.uint64(977 * (i + 1))), first) for i in range(sketches)], axis=1)
+    seen: set = set()
+    for d, keys in zip(filled, low):
+        keys = {(i, int(x)) for i, x in enumerate(keys)}
+        out[d] = not (keys & seen)
+        seen |= keys
+    return out
+
+
+def train(texts: list[str], labels: list[int], prior: float | None = None, seed: int = 11,
+          epochs: int = EPOCHS) -> dict:
+    """Model of labelled texts; deterministic for the same rows in the same order.
+
+    A training document sees the evidence of the other folds only, as an unseen
+    document would.  ``prior`` is the share of toxic rows among all labelled
+    rows (default: in the sample); rows are weighted to it.
+    """
     y = np.asarray(labels, np.int64)
     rng = np.random.default_rng(seed)
+    kept = distinct_texts(Words(pa.array(texts, pa.large_string())))
+    if len(set(y[kept])) == 2:
+        texts, y = [t for t, k in zip(texts, kept) if k], y[kept]
     batch = Batch(pa.array(texts, pa.large_string()))
-    odds = _odds(batch, y)
+    fold = rng.permutation(len(y)) % FOLDS
+    odds = _evidence(batch, y, fold)
     weights = new_weights(rng)
-    doc, start, n = _training_windows(batch, y, odds, rng)
-    target = y[doc].astype(np.float32)
-    # Every document weighs the same; the classes keep their shares.
-    share = 1.0 / np.bincount(doc, minlength=batch.n_docs)[doc]
-    weight = (share / share.mean()).astype(np.float32)
+    windows = batch.windows()
+    telling = [np.concatenate(x) for x in zip(*(
+        [a[fold[w[0]] == f] for a in w] for f in range(FOLDS) for w in [_training_windows(batch, y, odds[f], rng)]))]
+    prior = y.mean() if prior is None else prior
+    of_class = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     ids = np.append(batch.ids, 0)
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in weights.items()}
     step = 0
-    size = 256 if len(doc) > 2048 else 32
-    rounds = epochs if len(doc) > 2048 else 3 * epochs
-    for _ in range(rounds):
+    size = 64 if len(telling[0]) > 2048 else 16
+    epochs *= 1 if size == 64 else 3
+    for epoch in range(epochs):
+        rate = 0.01 * (1 - epoch / epochs)
+        doc, start, n = telling
+        if epoch:       # what the network itself takes for the most toxic window of each document
+            logit = np.empty(len(windows[0]), np.float32)
+            for f in range(FOLDS):
+                own = fold[windows[0]] == f
+                logit[own] = window_scores(weights, odds[f], batch, [a[own] for a in windows])
+            top = np.flatnonzero(logit >= best_window(batch.n_docs, windows[0], logit)[windows[0]])
+            doc, start, n = (np.concatenate([a, b[top]]) for a, b in zip(telling, windows))
+        target = y[doc].astype(np.float32)
+        # Every document weighs the same in its class; the classes weigh as among all labelled rows.
+        weight = of_class[doc] / np.bincount(doc, minlength=batch.n_docs)[doc]
+        weight = (weight / weight.mean()).astype(np.float32)
         order = rng.permutation(len(doc))
-        for a in range(0, len(order), size):
-            pick = order[a:a + size]
-            place = np.arange(WINDOW)[:, None]
-            inside = place < n[pick]
-            at = ids[np.minimum(start[pick] + place, len(ids) - 1)]
+        picks = [x[a:a + size] for f in range(FOLDS) for x in [order[fold[doc[order]] == f]]
+                 for a in range(0, len(x), size)]
+        for i in rng.permutation(len(picks)):
+            pick = picks[i]
+            part_odds = odds[fold[doc[pick[0]]]]
+            place, inside = batch.inside(start[pick], n[pick])
+            at = ids[place]
             words, local = np.unique(at, return_inverse=True)
             local = local.reshape(at.shape)
             part = _part(batch.vocab, words)
-            x = word_inputs(weights, odds, part)
+            x = word_inputs(weights, part_odds, part)
             g, gin, _ = gradients(weights, x, project(weights, x), local, inside.astype(np.float32),
                                   target[pick], weight[pick] / len(pick))
             step += 1
-            _adam(weights, moment, g, step)
-            _adam_rows(weights, moment, "word", part.words, gin[:, :WORD_DIM], step)
+            _adam(weights, moment, g, step, rate)
+            _adam_rows(weights, moment, "word", part.words % EMBEDDED, gin[:, :WORD_DIM], step)
             reps = np.diff(part.ptr)
             per_gram = np.repeat(gin[:, WORD_DIM:WORD_DIM + GRAM_DIM] / np.maximum(reps, 1)[:, None], reps, axis=0)
-            _adam_rows(weights, moment, "gram", part.grams, per_gram, step)
-    return {"weights": weights, "odds": odds}
+            _adam_rows(weights, moment, "gram", part.grams % EMBEDDED, per_gram, step)
+    return {"weights": weights, "odds": odds[FOLDS]}
 
 
 def _part(v: Vocabulary, words: np.ndarray) -> Vocabulary:
     reps = (v.ptr[words + 1] - v.ptr[words])
     ptr = np.concatenate(([0], np.cumsum(reps)))
     at = np.arange(ptr[-1]) - np.repeat(ptr[:-1], reps) + np.repeat(v.ptr[words], reps)
-    return Vocabulary(v.words[words], v.grams[at], ptr)
+    return Vocabulary(v.words[words], v.grams[at], v.head[at], ptr)
 
 
 def _adam(weights, moment, g, step, rate=0.01, b1=0.9, b2=0.99):
@@ -373,7 +480,7 @@ def _adam_rows(weights, moment, name, rows, grads, step, rate=0.01):
     np.add.at(g, where, grads)
     s = moment[name][1]
     s[touched] += g * g
-    weights[name][touched] -= 5 * rate * g / (np.sqrt(s[touched]) + 1e-6)
+    weights[name][touched] -= 0.1 * rate * g / (np.sqrt(s[touched]) + 1e-6)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
@@ -401,8 +508,10 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> dict | None:
     """Model of the rows that may be learned from; None without rows of both labels."""
-    texts, y = labelled_sample(docs, labels, ~held_out(F.col(id_col)), id_col, text_col, label_col)
-    return train(texts, y) if len(set(y)) == 2 else None
+    allowed = ~held_out(F.col(id_col))
+    texts, y = labelled_sample(docs, labels, allowed, id_col, text_col, label_col)
+    prior = labels.where(allowed & F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
+    return train(texts, y, prior) if len(set(y)) == 2 else None
 
 
 def _scores(shared, column: pa.Array) -> np.ndarray:
