@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, packing, perspectives, topk, toxicity, warc
+from vigilo.llm import cascade, omh, packing, perspectives, topk, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -128,6 +128,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(_table(spark, sf_dir, "documents"))
 
 
+# ----------------------------------------------------------- 3 near-duplicates
+@register()
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------- 6 perspectives
 _OP6_SQL = """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body, text FROM conversations),
