@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, omh, packing, perspectives, topk, toxicity, warc
+from vigilo.llm import cascade, debruijn, omh, packing, perspectives, topk, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -134,6 +134,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+# -------------------------------------------------------- 5 repeated passages
+@register()
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return debruijn.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 # ------------------------------------------------------------- 6 perspectives
 _OP6_SQL = """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS body, text FROM conversations),
