@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, debruijn, omh, packing, perspectives, topk, toxicity, warc
+from vigilo.llm import cascade, debruijn, omh, packing, perspectives, topk, toxicity, viterbi, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -199,6 +199,17 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality_cascade(_table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ 8 Viterbi
+@register()
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = viterbi.decode(viterbi.encode(_table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+                        F.crc32("ids").alias("ids_crc32"),
+                        (F.octet_length("merged_ids") / 4).cast("long").alias("n_merged_ids"),
+                        F.crc32("merged_ids").alias("merged_ids_crc32"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 # ----------------------------------------------------------------- 9 toxicity
 @register()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
