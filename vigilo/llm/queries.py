@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, debruijn, omh, packing, perspectives, topk, toxicity, viterbi, warc
+from vigilo.llm import cascade, debruijn, masked_lm, omh, packing, perspectives, topk, toxicity, viterbi, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -134,6 +134,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------- 4 pseudo-likelihood
+@register()
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(_table(spark, sf_dir, "documents"))
+
+
 # -------------------------------------------------------- 5 repeated passages
 @register()
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
