@@ -272,19 +272,39 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, class_size, n_words``: the class is named by its least document id."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_key", F.unhex(F.md5("text")))
+def _classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with their text's key, and per distinct text ``text_key, n, least, rows, root``."""
+    rows = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    plain = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                        F.col("_text_key").alias("text_key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = rows.mapInArrow(_sketch_rows, f"doc_id {kind}, text_key binary, n long, keys array<long>")
+    signed = plain.mapInArrow(_sketch_rows, f"doc_id {kind}, text_key binary, n long, keys array<long>")
     signs = (signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"),
                                             F.first("n").alias("n"), F.first("keys").alias("keys"))
              .withColumn("id", F.monotonically_increasing_id()).checkpoint())
-    linked = components(links(rows.select("text_key", "text"), signs, least))
+    linked = components(links(plain.select("text_key", "text"), signs, least))
     texts = (signs.select("id", "text_key", "least", "rows", "n").join(linked, "id", "left")
              .withColumn("root", F.coalesce("root", "id")))
+    return rows, texts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, class_size, n_words``: the class is named by its least document id."""
+    rows, texts = _classed(docs.select(id_col, text_col), id_col, text_col, least)
     classes = texts.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = texts.join(classes, "root").select("text_key", "class_id", "class_size", F.col("n").alias("n_words"))
-    return rows.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "class_size", "n_words")
+    named = texts.join(classes, "root").select(F.col("text_key").alias("_text_key"), "class_id", "class_size",
+                                               F.col("n").alias("n_words"))
+    return (rows.select(F.col(id_col).alias("doc_id"), "_text_key").join(named, "_text_key")
+            .select("doc_id", "class_id", "class_size", "n_words"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of every class, the one with the least id (null ids last); columns unchanged."""
+    columns = docs.columns
+    rows, texts = _classed(docs, id_col, text_col, least)
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("f"))
+    kept = (texts.join(first, (texts["root"] == first["root"]) & (texts["id"] == F.col("f.id")))
+            .select(F.col("text_key").alias("_kept_key"), F.col("least").alias("_least")))
+    return (rows.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_least")))
+            .dropDuplicates(["_text_key"]).select(*columns))

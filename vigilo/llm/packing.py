@@ -252,3 +252,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    path: str | None = None) -> DataFrame:
     """Packed pieces with their ids: ``doc_id, start, length, doc_tokens, ids, sequence_id, offset``."""
     return pack(pieces(docs, id_col, text_col, capacity, path), capacity)
+
+
+def packed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+                  path: str | None = None) -> DataFrame:
+    """Packed pieces with the checksum of their ids in place of the ids."""
+    parts = pieces(docs, id_col, text_col, capacity, path)
+    return pack(parts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), capacity)

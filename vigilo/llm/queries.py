@@ -117,15 +117,9 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ 2 packing
-def packed_digest(docs: DataFrame) -> DataFrame:
-    """Packed pieces with the checksum of their ids in place of the ids."""
-    parts = packing.pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(parts)
-
-
 @register()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digest(_table(spark, sf_dir, "documents"))
+    return packing.packed_digest(_table(spark, sf_dir, "documents"))
 
 
 # ----------------------------------------------------------- 3 near-duplicates
