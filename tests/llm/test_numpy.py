@@ -61,16 +61,13 @@ def test_alignment_is_the_edit_distance(seed):
         expected = min(plain_distance(a, b), most + 1)
         x, y = np.array(a, np.uint64), np.array(b, np.uint64)
         assert omh.edit_distance(x, y, most) == expected
-        if a and b and abs(len(a) - len(b)) <= most:
-            assert min(omh.banded(x, y, most), most + 1) == expected
 
 
-def test_long_alignments_take_the_band():
+def test_long_alignments():
     rng = random.Random(4)
     a = [rng.randrange(1000) for _ in range(600)]
     b = [x if rng.random() > 0.12 else rng.randrange(1000) for x in a]
     d = plain_distance(a, b)
-    assert d > omh.WAVE
     assert omh.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), 120) == d
     assert omh.similar(np.array(a, np.uint64), np.array(b, np.uint64)) == (d <= 120)
 

@@ -16,10 +16,10 @@ still meets its relatives.  The comparisons of a pivot are dealt to groups of
 bounded size, each with a copy of the pivot's text.  Linked texts form classes
 by alternating large and small stars.  The result has one row per document.
 
-Defined results: a null or empty text equals every other null or empty text;
-texts of fewer than five words have one shingle, all their words; equal texts
-share a class whatever their length; an empty table gives an empty result;
-repeated ids are separate rows; further columns are ignored.
+Defined results: texts without words (null, empty, blank) are one class; texts
+of fewer than five words have one shingle, all their words; equal texts share a
+class whatever their length; an empty table gives an empty result; repeated ids
+are separate rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ SHINGLE = 5
 SKETCHES = 16
 ORDER = 2            # shingles of one sketch
 SIMILARITY = 0.8
-WAVE = 48            # edits up to which furthest-reaching points are used; then the plain band
 GROUP_MEMBERS = 256  # comparisons of one group
 GROUP_WORDS = 1 << 18  # words of one group, unless one text is longer
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -101,80 +100,59 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ----------------------------------------------------------------------- alignment
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Word edits between ``a`` and ``b``, or ``most + 1`` if there are more.
-
-    Furthest-reaching points on the diagonals of the band ``-most..most``: the
-    work grows with the number of edits, not with the product of the lengths.
-    """
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
+    """Word edits between ``a`` and ``b``, or ``most + 1`` if there are more."""
+    if abs(len(a) - len(b)) > most:
         return most + 1
-    # Common ends need no band.
-    k = min(n, m)
+    # Common ends need no alignment.
+    k = min(len(a), len(b))
     same = a[:k] == b[:k]
     head = k if same.all() else int(np.argmin(same))
     a, b = a[head:], b[head:]
     k = min(len(a), len(b))
-    if k:
-        same = a[::-1][:k] == b[::-1][:k]
-        tail = k if same.all() else int(np.argmin(same))
-        a, b = a[:len(a) - tail], b[:len(b) - tail]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) if max(n, m) <= most else most + 1
-
-    def slide(i: int, j: int) -> int:
-        """Equal words from (i, j) on, found in doubling steps."""
-        start, step = i, 16
-        while i < n and j < m:
-            k = min(step, n - i, m - j)
-            same = a[i:i + k] == b[j:j + k]
-            if not same.all():
-                return i + int(np.argmin(same)) - start
-            i, j, step = i + k, j + k, step * 2
-        return i - start
-
-    goal = n - m
-    reach = {0: slide(0, 0)}
-    if goal == 0 and reach[0] >= n:
-        return 0
-    for e in range(1, min(most, WAVE) + 1):
-        new = {}
-        for d in range(-e, e + 1):            # diagonal d = i - j
-            if d > n or -d > m:
-                continue
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
-            i = min(i, n, m + d)
-            if i < 0 or i - d < 0:
-                continue
-            i += slide(i, i - d)
-            new[d] = i
-        reach = new
-        if reach.get(goal, -1) >= n:
-            return e
-    return banded(a, b, most) if most > WAVE else most + 1
-
-
-def banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance in the band of diagonals ``-most..most``, a row at a time."""
+    same = a[::-1][:k] == b[::-1][:k]
+    tail = k if same.all() else int(np.argmin(same))
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b) or not most:
+        return min(len(a), most + 1)
+    return banded(a.tolist(), b.tolist(), min(most, len(a)), most)
+
+
+def banded(a: list, b: list, band: int, most: int) -> int:
+    """Alignment in the band of ``band`` diagonals to either side, one bit per diagonal.
+
+    Bit-parallel dynamic programming (Hyyro's banded form of Myers' algorithm):
+    a column of the band is two bit vectors of vertical differences, up and
+    down; they slide one row down with every word of ``b``.  ``a`` is the longer.
+    """
     n, m = len(a), len(b)
-    shift = np.arange(2 * most + 1)
-    far = 2 * most + 2
-    row = np.where((shift >= most) & (shift - most <= m), shift - most, far)      # cell k of row i: column i + k - most
-    for i in range(1, n + 1):
-        column = i + shift - most
-        inside = (column >= 1) & (column <= m)
-        same = np.zeros(len(shift), bool)
-        same[inside] = b[column[inside] - 1] == a[i - 1]
-        new = row + ~same                                    # substitution or match
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)         # deletion
-        new = np.where(column == 0, i, np.where(inside, new, far))
-        new = np.minimum.accumulate(new - shift) + shift     # insertions
-        row = np.where((column >= 0) & (column <= m), np.minimum(new, far), far)
-        if row.min() > most:
-            return most + 1
-    last = m - n + most
-    return int(row[last]) if row[last] <= most else most + 1
+    width = 2 * band + 1
+    ones = (1 << width) - 1
+    place: dict = {}
+    for i, x in enumerate(a):
+        place[x] = place.get(x, 0) | 1 << i
+    up, down = (ones >> band) << band, 0          # differences +1 and -1 between neighbouring rows
+    distance = band                               # at the lowest diagonal of the band
+    bottom, side = 1 << (width - 1), 1 << (width - 2)
+    for j in range(m):
+        shift = j - band
+        hits = place.get(b[j], 0)
+        match = (hits >> shift if shift >= 0 else hits << -shift) & ones
+        diagonal = (((match & up) + up) ^ up | match | down) & ones
+        across_up = (down | ~(diagonal | up)) & ones
+        across_down = diagonal & up
+        if j < n - band:                          # the lowest diagonal is still inside: follow it down
+            distance += not diagonal & bottom
+            if band == most and distance > 2 * band + m - n:
+                return most + 1                   # the last row cannot win that back
+        else:                                     # along the last row
+            distance += bool(across_up & side) - bool(across_down & side)
+            side >>= 1
+        diagonal >>= 1
+        up = (across_down | ~(diagonal | across_up)) & ones
+        down = diagonal & across_up
+    return distance if distance <= most else most + 1
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -292,7 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, class_size, n_words``: the class is named by its least document id."""
     rows, texts = _classed(docs.select(id_col, text_col), id_col, text_col, least)
-    classes = texts.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    # Written, so that the join below can split a class that holds a third of all texts.
+    classes = texts.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size")).checkpoint()
     named = texts.join(classes, "root").select(F.col("text_key").alias("_text_key"), "class_id", "class_size",
                                                F.col("n").alias("n_words"))
     return (rows.select(F.col(id_col).alias("doc_id"), "_text_key").join(named, "_text_key")
@@ -302,9 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of every class, the one with the least id (null ids last); columns unchanged."""
     columns = docs.columns
-    rows, texts = _classed(docs, id_col, text_col, least)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])       # no name can clash with ours
+    id_col, text_col = (inner.columns[columns.index(c)] for c in (id_col, text_col))
+    rows, texts = _classed(inner, id_col, text_col, least)
     first = texts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("f"))
     kept = (texts.join(first, (texts["root"] == first["root"]) & (texts["id"] == F.col("f.id")))
             .select(F.col("text_key").alias("_kept_key"), F.col("least").alias("_least")))
     return (rows.join(kept, (F.col("_text_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_least")))
-            .dropDuplicates(["_text_key"]).select(*columns))
+            .dropDuplicates(["_text_key"]).select(*inner.columns).toDF(*columns))
