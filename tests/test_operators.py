@@ -90,7 +90,7 @@ def test_prefix_sums_any_partitioning(spark, parts):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 400), "v": rng.permutation(400).astype(float),
                         "w": rng.integers(0, 9, 400).astype(float)})
-    out = prefix_sums(spark.createDataFrame(pdf), "v", ["w"], ["g"], partitions=parts).toPandas()
+    out = prefix_sums(spark.createDataFrame(pdf).repartition(parts), "v", ["w"], ["g"]).toPandas()
     exp = pdf.sort_values(["g", "v"]).assign(cum=lambda d: d.groupby("g").w.cumsum())
     m = out.merge(exp, on=["g", "v"])
     assert len(m) == 400 and np.allclose(m.cum_w, m.cum)
@@ -315,3 +315,74 @@ def test_documents_both_layouts_to_events_and_form_risk(spark, tmp_path):
     assert risk[1]["risk_score"] == (2 * 2 + 1 + 3) * 1.5 and risk[1]["risk_level"] == "High Risk"
     assert risk[1]["has_alert"] is True
     assert risk[2]["risk_score"] == 2.0 and risk[2]["risk_level"] == "Low Risk" and risk[2]["has_alert"] is False
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_running_totals_do_not_need_a_reused_exchange(spark, reuse):
+    import numpy as np
+    import pandas as pd
+    from vigilo.operators.ordered import prefix_sums
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 500), rng.pareto(1, 500) * 1e6, -rng.pareto(1, 200), [0.0, 1e300, -1e300]])
+    pdf = pd.DataFrame({"v": np.unique(values)})
+    pdf["w"] = 1
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        for descending in (False, True):
+            out = prefix_sums(spark.createDataFrame(pdf).repartition(7), "v", ["w"], descending=descending, with_next=True)
+            assert "MapInPandas" not in out._jdf.queryExecution().toString()
+            got = out.toPandas().sort_values("v", ascending=not descending)
+            assert got.cum_w.tolist() == list(range(1, len(pdf) + 1))
+            assert got._next.tolist()[:-1] == got.v.tolist()[1:]
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_running_totals_over_texts_and_dates(spark):
+    from datetime import date, timedelta
+    from vigilo.operators.ordered import prefix_sums
+    rows = [(f"k{i:05d}é" if i % 3 else f"z{i}", date(2020, 1, 1) + timedelta(days=i), 1) for i in range(3000)] + [(None, None, 1)]
+    df = spark.createDataFrame(rows, "t string, d date, w int")
+    for col in ("t", "d"):
+        got = prefix_sums(df, col, ["w"]).toPandas()
+        got = got.assign(k=got[col].map(lambda x: (x is None, str(x).encode()))).sort_values("k")
+        assert got.cum_w.tolist() == list(range(1, 3002))
+
+
+def test_a_row_without_a_date_is_never_the_first_event(spark):
+    from vigilo.operators.windows import dedupe, index_event
+    df = spark.createDataFrame([(1, None, "x"), (1, "2024-01-01", "y"), (2, None, "z")], "k int, ts string, v string")
+    assert {(r.k, r.v) for r in index_event(df, "k", "ts").collect()} == {(1, "y"), (2, "z")}
+    assert {(r.k, r.v) for r in dedupe(df, ["k"], ["ts"]).collect()} == {(1, "y"), (2, "z")}
+
+
+def test_new_ids_follow_the_whole_order(spark):
+    from vigilo.operators.joins import assign_ids
+    old = spark.createDataFrame([(11,)], "id long")
+    new = spark.createDataFrame([(1, 3, "a"), (1, 1, "b"), (1, 2, "c"), (0, 9, "d"), (1, 2, "c")], "a int, b int, c string")
+    got = sorted((r.id, r.a, r.b) for r in assign_ids(old, new, "id", ["a", "b"]).collect())
+    assert got == [(12, 0, 9), (13, 1, 1), (14, 1, 2), (15, 1, 2), (16, 1, 3)]
+
+
+def test_many_categories_still_drift(spark):
+    from vigilo.operators.drift import detect_drift
+    ref = spark.range(6000).selectExpr("concat('c', id % 150) AS k", "id AS x")
+    new = spark.range(6000).selectExpr("concat('c', id % 75) AS k", "id AS x")
+    out = detect_drift(ref, new, [], ["k"]).collect()
+    assert len(out) == 1 and out[0].drift_detected and out[0].p_value < 1e-6
+    few = detect_drift(ref, new.limit(5), [], ["k"]).collect()
+    assert [r.test_method for r in few] == ["too_few_rows"]
+
+
+def test_streams_read_a_folder_of_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from vigilo.plans.catalog import REGISTRY
+    t = pq.read_table("/root/testdata/sf0.001/events.parquet")
+    (tmp_path / "events.parquet").mkdir()
+    step = len(t) // 3 + 1
+    for i in range(3):
+        pq.write_table(t.slice(i * step, step), tmp_path / "events.parquet" / f"part-{i}.parquet")
+    for name in ("metric_rollup_stream", "alert_stream"):
+        one = sorted(map(str, REGISTRY[name].fn(spark, "/root/testdata/sf0.001").collect()))
+        many = sorted(map(str, REGISTRY[name].fn(spark, str(tmp_path)).collect()))
+        assert one == many and one

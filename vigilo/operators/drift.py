@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def _gammainc_lower_series(a: float, x: float) -> float:
     term = 1.0 / a
     total = term
     n = a
-    for _ in range(10_000):
+    while True:
         n += 1.0
         term *= x / n
         total += term
@@ -52,7 +53,7 @@ def _gammaincc_cf(a: float, x: float) -> float:
     c = 1.0 / tiny
     d = 1.0 / b
     h = d
-    for i in range(1, 10_000):
+    for i in count(1):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -62,7 +63,7 @@ def _gammaincc_cf(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 1e-15:
             break
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
@@ -81,18 +82,6 @@ def chi2_sf(stat: float, dof: float) -> float:
     return min(1.0, _gammaincc_cf(a, x))
 
 
-def chi2_critical(dof: int, alpha: float = C.DRIFT_P_VALUE) -> float:
-    """Statistic above which the p-value drops below ``alpha`` (bisection on chi2_sf)."""
-    lo, hi = 0.0, max(10.0, dof * 10.0 + 50.0)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if chi2_sf(mid, dof) > alpha:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
 @F.pandas_udf(T.DoubleType())
 def chi2_p_value(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(float(s), float(d)) if pd.notna(s) and pd.notna(d) else float("nan")
@@ -169,18 +158,20 @@ def chi2_statistics(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -> Data
 def chi2_drift(ref: DataFrame, new: DataFrame, cols: Sequence[str], with_p: bool = True) -> DataFrame:
     st = chi2_statistics(ref, new, cols)
     st = st.withColumn("drift_score", F.col("chi2") / (F.col("n_ref") + F.col("n_new")))
-    crit = F.create_map(*[x for d in range(1, 101) for x in (F.lit(d), F.lit(chi2_critical(d)))])
-    st = st.withColumn("drift_detected", (F.col("dof") > 0) & (F.col("chi2") > F.element_at(crit, F.col("dof"))))
+    p = st.withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof").cast("double")))
+    st = p.withColumn("drift_detected", (F.col("dof") > 0) & (F.col("p_value") < C.DRIFT_P_VALUE))
     st = st.withColumn("severity", severity(F.col("drift_score")))
-    if with_p:
-        st = st.withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof").cast("double")))
-    return st
+    return st if with_p else st.drop("p_value")
 
 
 # D6 -------------------------------------------------------------------------
 def detect_drift(ref: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                 min_new_rows: int = 100, max_features: int = 50) -> DataFrame:
-    """All features with the source's gates; only drifted features are returned."""
+                 min_new_rows: int = 100, max_features: int | None = None) -> DataFrame:
+    """All features with the source's gates; only drifted features are returned.
+
+    With fewer than ``min_new_rows`` new rows the result is one row that says
+    so.  ``max_features`` (off by default) checks the first features only.
+    """
     feats = (list(numeric) + list(categorical))[:max_features]
     numeric = [c for c in numeric if c in feats]
     categorical = [c for c in categorical if c in feats]
@@ -199,9 +190,14 @@ def detect_drift(ref: DataFrame, new: DataFrame, numeric: Sequence[str], categor
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    enough = new.agg(F.count(F.lit(1))).scalar() >= min_new_rows
-    return (out.filter(F.col("drift_detected") & enough)
-            .withColumn("severity", severity(F.col("drift_score"))))
+    size = new.agg(F.count(F.lit(1)).alias("n"))
+    too_few = size.filter(F.col("n") < min_new_rows).select(
+        F.lit("*").alias("feature"), F.lit("too_few_rows").alias("test_method"),
+        F.col("n").cast("double").alias("test_statistic"), F.lit(None).cast("double").alias("p_value"),
+        F.lit(None).cast("double").alias("drift_score"), F.lit(False).alias("drift_detected"),
+        F.lit(None).cast("string").alias("severity"))
+    return (out.filter(F.col("drift_detected") & (size.scalar() >= min_new_rows))
+            .withColumn("severity", severity(F.col("drift_score"))).unionByName(too_few))
 
 
 # D7 -------------------------------------------------------------------------

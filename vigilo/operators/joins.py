@@ -197,19 +197,12 @@ def upsert(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 def assign_ids(existing: DataFrame, new_rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """New ids continue from the existing maximum, in ``order`` order.
 
-    The numbering uses ``zipWithIndex``-free arithmetic: a distributed
-    prefix count over ``order`` (no single-partition window).
+    Rows that agree in all of ``order`` are told apart by their other columns;
+    running counts over value buckets number them (no single-task window).
     """
     from vigilo.operators.ordered import prefix_sums
     start = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("m"))
-    numbered = prefix_sums(new_rows.withColumn("_one", F.lit(1)),
-                           order[0], ["_one"])
+    tie = [*order[1:], *[c for c in new_rows.columns if c not in order]]
+    numbered = prefix_sums(new_rows.withColumn("_one", F.lit(1)), order[0], ["_one"], tie=tie)
     return (numbered.withColumn(key, (F.col("cum__one").cast("long") + start.scalar()))
             .drop("_one", "cum__one"))
-
-
-def null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond

@@ -96,8 +96,8 @@ def apply_scaler(df: DataFrame, stats: DataFrame) -> DataFrame:
 def split_rank(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
     """Per-class position of each row in the order of md5(id:seed)."""
     keyed = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))) \
-        .withColumn("_one", F.lit(1))
-    ranked = prefix_sums(keyed, "_h", ["_one"], [label])
+        .withColumn("_one", F.lit(1)).withColumn("_hn", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"))
+    ranked = prefix_sums(keyed, "_hn", ["_one"], [label], tie=["_h"]).drop("_hn")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     # One row per class: broadcast (a shuffle keyed on the label would put each
     # class in one task).

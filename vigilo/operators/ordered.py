@@ -4,141 +4,90 @@
 Operators that need a global order (cumulative share, empirical CDFs, ROC and
 precision-recall curves, exact quantiles) use :func:`prefix_sums` instead:
 
-1. range-partition the rows on ``(group, order)`` and sort inside each
-   partition (one shuffle; Spark samples the key to pick balanced bounds);
-2. scan each partition once in Arrow batches (``mapInPandas``), producing the
-   within-partition running totals and the next order value;
-3. total each ``(partition, group)`` - a table of at most
-   ``partitions + groups`` rows - and turn the totals into offsets with a tiny
-   window over that table;
-4. add the offsets back (broadcast join; the offset table is bounded by the
-   partition count when there is no group, and left to AQE's measured size
-   check otherwise).
+1. every row gets a bucket that is a monotone function of its order value
+   alone, so any evaluation of the plan, at any partitioning and after any
+   retry, puts it in the same bucket;
+2. a window inside each (group, bucket) gives the running totals there;
+3. a table of bucket totals, one row per (group, bucket), is turned into
+   offsets by a window over the group's buckets;
+4. the offsets are joined back on (group, bucket), the key the rows are
+   already partitioned by.
 
 Callers usually aggregate to one row per distinct order value first, so ties
-are grouped and heavy values never dominate one partition.
+are grouped and heavy values never dominate one bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PID = "_pid"
-
-
-def _key_at(pdf: pd.DataFrame, group_cols: list[str], i: int) -> tuple:
-    return tuple(None if pd.isna(v) else v for v in pdf.loc[i, group_cols]) if group_cols else ()
-
-
-def _runs(pdf: pd.DataFrame, group_cols: list[str]) -> pd.Series:
-    """Run number of each row: consecutive rows with the same group share a run."""
-    if not group_cols:
-        return pd.Series(0, index=pdf.index)
-    change = pd.Series(False, index=pdf.index)
-    for g in group_cols:
-        a, b = pdf[g], pdf[g].shift()
-        same = (a == b) | (a.isna() & b.isna())
-        change |= ~same
-    return change.cumsum()
-
-
-def _scan_fn(group_cols: list[str], order_col: str, sum_cols: list[str], with_next: bool):
-    def scan(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_tot = None, None
-        pending = None  # with_next: last row of the previous batch
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            runs = _runs(pdf, group_cols)
-            cums = pdf[sum_cols].astype("float64").groupby(runs.values).cumsum()
-            first_key, last_key = _key_at(pdf, group_cols, 0), _key_at(pdf, group_cols, len(pdf) - 1)
-            continues = carry_key is not None and first_key == carry_key
-            if continues:
-                head = (runs == runs.iloc[0]).values
-                for i, c in enumerate(sum_cols):
-                    cums.loc[head, c] += carry_tot[i]
-            out = pdf.copy()
-            for c in sum_cols:
-                out["cum_" + c] = cums[c].values
-            out[PID] = pid
-            if with_next:
-                same_next = (runs.shift(-1) == runs).values
-                out["_next"] = pdf[order_col].shift(-1).where(same_next, None)
-                if pending is not None:
-                    if continues:
-                        pending["_next"] = pdf[order_col].iloc[0]
-                    yield pending
-                pending = out.iloc[[-1]].copy()
-                out = out.iloc[:-1]
-            carry_key = last_key
-            carry_tot = [float(v) for v in cums.iloc[-1].values]
-            if len(out):
-                yield out
-        if pending is not None:
-            yield pending
-    return scan
+# Buckets per unit of log(1 + |value|): a relative width of 2**-14 for large
+# values, an absolute one for values around 0.
+RESOLUTION = 1 << 14
+TEXT_BUCKETS = 64
+TEXT_SAMPLE = 32       # sampled distinct texts per split point
+_LAST = 1 << 62
+
+
+def _bucket(df: DataFrame, order_col: str, descending: bool) -> Column:
+    """Bucket number, ascending in scan order; missing values come last."""
+    kind = df.schema[order_col].dataType
+    col = F.col(order_col)
+    if isinstance(kind, T.StringType):
+        # A bottom-k sample by hash of the distinct texts: a bounded list, read once.
+        seen = (df.select(col.alias("v")).where(col.isNotNull()).distinct()
+                .orderBy(F.xxhash64("v"), "v").limit(TEXT_BUCKETS * TEXT_SAMPLE).collect())
+        splits = sorted((r["v"] for r in seen), key=lambda v: v.encode())[TEXT_SAMPLE::TEXT_SAMPLE]
+        number = F.size(F.filter(F.array(*[F.lit(v) for v in splits]), lambda x: x <= col)) if splits else F.lit(0)
+        number = F.when(col.isNotNull(), number.cast("long"))
+    else:
+        if isinstance(kind, T.DateType):
+            col = col.cast("timestamp")
+        x = col.cast("double")
+        number = F.when(F.isnan(x), F.lit(1 << 60)).when(
+            x.isNotNull(), F.floor(F.signum(x) * F.least(F.log1p(F.abs(x)), F.lit(1e4)) * RESOLUTION))
+    return F.coalesce(-number if descending else number, F.lit(_LAST)).cast("long")
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                 group_cols: Sequence[str] = (), descending: bool = False,
-                with_next: bool = False, partitions: int | None = None) -> DataFrame:
+                with_next: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` within each group.
 
     Adds ``cum_<c>`` (double) for each sum column and, with ``with_next``,
     ``_next`` holding the following order value in the same group (null on
     the last row).  Order values should be distinct per group (aggregate
-    first); rows with equal order values are otherwise summed in arbitrary
-    order.
-
-    Groups are meant to be few (feature names, classes, models): the offset
-    table has at most ``partitions + groups`` rows and is broadcast, so the
-    large scanned side is never shuffled again.  For many small groups a
-    window partitioned by the group is the right tool instead.
+    first) or be told apart by the ``tie`` columns (ascending).
     """
-    group_cols = list(group_cols)
-    sum_cols = list(sum_cols)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()
-    keys = [F.col(g).asc_nulls_first() for g in group_cols] + [okey]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-
-    fields = list(ranged.schema.fields)
-    fields += [T.StructField("cum_" + c, T.DoubleType()) for c in sum_cols]
-    fields += [T.StructField(PID, T.IntegerType())]
-    order_type = ranged.schema[order_col].dataType
-    if with_next:
-        fields += [T.StructField("_next", order_type)]
-    scanned = ranged.mapInPandas(_scan_fn(group_cols, order_col, sum_cols, with_next),
-                                 T.StructType(fields))
+    group_cols, sum_cols = list(group_cols), list(sum_cols)
+    rows = df.withColumn("_bucket", _bucket(df, order_col, descending))
+    order = [F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()]
+    order += [F.col(t).asc_nulls_last() for t in tie]
+    inside = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = rows.select("*", *[F.sum(F.col(c).cast("double")).over(running).alias("_in_" + c) for c in sum_cols],
+                          *([F.lead(order_col).over(inside).alias("_lead")] if with_next else []))
 
     aggs = [F.sum(F.col(c).cast("double")).alias("_tot_" + c) for c in sum_cols]
     if with_next:
-        first = F.max(order_col) if descending else F.min(order_col)
-        aggs.append(first.alias("_first"))
-    totals = scanned.groupBy(PID, *group_cols).agg(*aggs)
-    w = Window.partitionBy(*group_cols).orderBy(PID) if group_cols else Window.orderBy(PID)
+        aggs.append((F.max if descending else F.min)(order_col).alias("_first"))
+    totals = rows.groupBy(*group_cols, "_bucket").agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+    w = Window.partitionBy(*group_cols).orderBy("_bucket")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
-        F.col(PID).alias("_o_pid"), *[F.col(g).alias("_o_" + g) for g in group_cols],
+        F.col("_bucket").alias("_o_bucket"), *[F.col(g).alias("_o_" + g) for g in group_cols],
         *[F.coalesce(F.sum("_tot_" + c).over(before), F.lit(0.0)).alias("_off_" + c) for c in sum_cols],
         *([F.lead("_first").over(w).alias("_next_part")] if with_next else []))
-    cond = [F.col(PID) == F.col("_o_pid")] + [F.col(g).eqNullSafe(F.col("_o_" + g)) for g in group_cols]
-    # At most partitions + groups rows (groups are few by contract): broadcast.
-    joined = scanned.join(F.broadcast(offs), cond, "left")
+    cond = [F.col(g).eqNullSafe(F.col("_o_" + g)) for g in group_cols] + [F.col("_bucket") == F.col("_o_bucket")]
+    joined = scanned.join(offs, cond, "left")
     out_cols = [F.col(c) for c in df.columns]
-    out_cols += [(F.col("cum_" + c) + F.coalesce(F.col("_off_" + c), F.lit(0.0))).alias("cum_" + c)
-                 for c in sum_cols]
+    out_cols += [(F.col("_in_" + c) + F.col("_off_" + c)).alias("cum_" + c) for c in sum_cols]
     if with_next:
-        out_cols.append(F.coalesce(F.col("_next"), F.col("_next_part")).alias("_next"))
+        out_cols.append(F.coalesce(F.col("_lead"), F.col("_next_part")).alias("_next"))
     return joined.select(*out_cols)
 
 

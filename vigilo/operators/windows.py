@@ -24,7 +24,10 @@ def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool,
     order = list(order)
     rest = [c for c in df.columns if c not in keys and c not in order]
     src = df.filter(pred) if pred is not None else df
-    packed = F.struct(*[F.col(c) for c in order + rest])
+    # Missing order values come last: a row without a date is never the first event.
+    missing = [] if last else [F.col(c).isNull().alias(f"_missing_{i}") for i, c in enumerate(order)]
+    lead = [x for pair in zip(missing, order) for x in (pair[0], F.col(pair[1]))] if missing else [F.col(c) for c in order]
+    packed = F.struct(*lead, *[F.col(c) for c in rest])
     agg = (F.max if last else F.min)(packed).alias("_row")
     out = src.groupBy(*keys).agg(agg)
     return out.select(*keys, *[F.col("_row." + c).alias(c) for c in order + rest]).select(*df.columns)

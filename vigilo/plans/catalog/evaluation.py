@@ -310,10 +310,10 @@ SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL"""
 
 
 def collect_distinct_q(spark, sf):
-    out = A.collect_distinct(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", limit=5)
+    out = A.collect_distinct(table(spark, sf, "orders"), "o_custkey", "o_orderpriority")
     return out.select("o_custkey", F.array_join("o_orderpriority_list", ",").alias("priorities"))
 
 
 register("collect_distinct", ops=("A21",), sql="""
-SELECT o_custkey, array_to_string(list_slice(list_sort(list(DISTINCT o_orderpriority)), 1, 5), ',') AS priorities
+SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities
 FROM orders GROUP BY o_custkey""")(collect_distinct_q)

@@ -79,15 +79,15 @@ def _recent_sql() -> str:
     return f"""
 WITH fact AS ({D.FACT_SQL}),
 pats AS (SELECT patient_id, CASE WHEN birth_year > 0 THEN birth_year END AS birth_year FROM ({PATS_SQL})),
-rdx AS (SELECT DISTINCT patient_id FROM fact WHERE txn_desc = 'DISEASE_X'
+named AS (SELECT * FROM fact WHERE regexp_matches(upper(txn_desc), '{"|".join(C.COHORT_KEYWORDS)}')),
+rdx AS (SELECT DISTINCT patient_id FROM named WHERE true
           AND txn_dt >= TIMESTAMP '{COHORT_AS_OF}' - INTERVAL {C.RECENT_DAYS} DAY AND txn_dt <= TIMESTAMP '{COHORT_AS_OF}'),
-ids AS (SELECT * FROM rdx UNION SELECT DISTINCT patient_id FROM fact
-        WHERE txn_desc = 'DISEASE_X' AND NOT EXISTS (SELECT 1 FROM rdx)),
+ids AS (SELECT * FROM rdx UNION SELECT DISTINCT patient_id FROM named WHERE NOT EXISTS (SELECT 1 FROM rdx)),
 ev AS (SELECT f.patient_id, txn_dt, txn_type, CASE WHEN txn_desc <> 'DISEASE_X' THEN txn_desc END AS d
        FROM fact f WHERE patient_id IN (SELECT patient_id FROM ids)),
 per AS (SELECT patient_id, count(*) AS n_events,
-          list_slice(list_sort(list(DISTINCT d) FILTER (WHERE txn_type = 'CONDITIONS' AND d IS NOT NULL)), 1, 5) AS co,
-          list_slice(list_sort(list(DISTINCT d) FILTER (WHERE txn_type = 'SYMPTOMS' AND d IS NOT NULL)), 1, 5) AS sy,
+          list_sort(list(DISTINCT d) FILTER (WHERE txn_type = 'CONDITIONS' AND d IS NOT NULL)) AS co,
+          list_sort(list(DISTINCT d) FILTER (WHERE txn_type = 'SYMPTOMS' AND d IS NOT NULL)) AS sy,
           max(txn_dt) AS last_transaction_dt FROM ev GROUP BY 1),
 r AS (SELECT p.patient_id, CAST({COHORT_AS_OF[:4]} - p.birth_year AS INT) AS age, per.n_events,
              coalesce(co, []) AS co, coalesce(sy, []) AS sy, last_transaction_dt

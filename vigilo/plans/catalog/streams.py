@@ -1,8 +1,8 @@
 """Registered queries that run a Structured Streaming job over a driver table.
 
 Each replays the table through a file stream source with ``availableNow``
-(all data, then stop), writes to a memory sink and returns the sink as a
-batch DataFrame.  Checkpoints go below the shared ``spark.checkpoint.dir``.
+(all data, then stop), appends every micro-batch to a table in the shared folder
+and returns that table.  Checkpoints go below the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -15,33 +15,40 @@ from vigilo.operators import alerts as AL
 from vigilo.plans.registry import register
 from vigilo.session import scratch_dir
 from vigilo.streaming.alerts import alert_stream
-from vigilo.streaming.rollup import rollup_stream
+from vigilo.streaming.rollup import rollup_stream, start_append
 
 
 def _replay(sdf, prefix: str):
+    """Run the stream over all data and return what its sink table holds."""
     spark = sdf.sparkSession
-    name = f"{prefix}_{uuid.uuid4().hex[:8]}"
-    q = (sdf.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", scratch_dir(spark, "stream-" + name))
-         .trigger(availableNow=True).start())
+    name = f"{prefix}-{uuid.uuid4().hex[:8]}"
+    path = scratch_dir(spark, "table-" + name)
+    q = start_append(sdf, path, scratch_dir(spark, "stream-" + name), available_now=True)
     q.awaitTermination()
-    return spark.table(name)
+    # Written by one micro-batch at least; a stream without rows leaves an empty table.
+    return spark.read.schema(sdf.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table as a stream: a folder of files, or one file.
+
+    The source takes a plain path for a folder's name only; a pattern that
+    matches just this name works for both.
+    """
+    folder = sf.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
 def metric_rollup_stream(spark, sf):
     ev = _event_stream(spark, sf).select(F.col("ts").alias("timestamp"),
                                          F.col("event_type").alias("metric_name"), "value")
-    agg = rollup_stream(ev, "1 hour", watermark="0 seconds", exact_percentiles=True)
+    agg = rollup_stream(ev, "1 hour", watermark="1 hour", exact_percentiles=True)
     out = _replay(agg, "rollup")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-# Append mode emits a window once the watermark (latest event time) reaches its end.
+# Append mode emits a window once the watermark (latest event time less an hour) reaches its end.
 register("metric_rollup_stream", ops=("M3", "S7"), sql="""
 WITH w AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
@@ -50,7 +57,7 @@ WITH w AS (
          max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS p50,
          quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99
   FROM events GROUP BY 1, 2, 3)
-SELECT * FROM w WHERE window_end <= (SELECT max(ts) FROM events)""")(metric_rollup_stream)
+SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")(metric_rollup_stream)
 
 
 def alert_stream_replay(spark, sf):

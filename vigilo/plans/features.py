@@ -293,23 +293,24 @@ def form_risk(forms: DataFrame, comorbidities: str = "comorbidities", symptoms:
 
 
 def recent_cohort(fact: DataFrame, patients: DataFrame, as_of: str, days: int = C.RECENT_DAYS,
-                  fc: FactColumns = FactColumns(), limit: int | None = 5) -> DataFrame:
-    """patients with an index event in the last ``days`` (all history when
-    none is recent), assembled into one record each (J9) with their distinct
-    conditions and symptoms, latest transaction (W2) and record risk (P23).
-    Patients without a dimension row are skipped."""
+                  fc: FactColumns = FactColumns()) -> DataFrame:
+    """patients with an event that names one of the cohort keywords (any case)
+    in the last ``days`` - in all history when no patient has a recent one -
+    assembled into one record each (J9) with their distinct conditions and
+    symptoms, latest transaction (W2) and record risk (P23), which is scored on
+    the full lists.  Patients without a dimension row are skipped."""
     from vigilo.operators.joins import assemble_records
     t = F.lit(as_of).cast(fact.schema[fc.ts].dataType)
-    is_dx = F.col(fc.desc) == C.INDEX_CODE
-    recent_dx = fact.filter(is_dx & (F.col(fc.ts) >= t - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(fc.ts) <= t))
-    any_recent = recent_dx.limit(1).count() > 0
-    dx = recent_dx if any_recent else fact.filter(is_dx)
-    ids = dx.select(F.col(fc.patient).alias("patient_id")).distinct()
+    recent = (F.col(fc.ts) >= t - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(fc.ts) <= t)
+    named = fact.filter(F.upper(F.col(fc.desc)).rlike("|".join(C.COHORT_KEYWORDS))).select(
+        F.col(fc.patient).alias("patient_id"), F.coalesce(recent, F.lit(False)).alias("_recent"))
+    any_recent = F.coalesce(named.agg(F.max("_recent")).scalar(), F.lit(False))
+    ids = named.filter(F.col("_recent") | ~any_recent).select("patient_id").distinct()
     events = fact.select(F.col(fc.patient).alias("patient_id"), fc.ts, fc.type,
                          F.when(F.col(fc.desc) != C.INDEX_CODE, F.col(fc.desc)).alias("_desc")) \
         .join(ids, ["patient_id"], "left_semi")
     ents = patients.select("patient_id", (F.lit(int(str(as_of)[:4])) - F.col("birth_year")).alias("age"))
-    rec = assemble_records(ents, events, "patient_id", "_desc", fc.type, ["CONDITIONS", "SYMPTOMS"], limit)
+    rec = assemble_records(ents, events, "patient_id", "_desc", fc.type, ["CONDITIONS", "SYMPTOMS"])
     last = events.groupBy("patient_id").agg(F.max(fc.ts).alias("last_transaction_dt"))
     rec = rec.withColumnsRenamed({"conditions": "comorbidities", "symptoms": "symptoms"}).join(last, ["patient_id"])
     return record_risk(rec)
@@ -319,9 +320,9 @@ def recent_cohort(fact: DataFrame, patients: DataFrame, as_of: str, days: int =
 def visit_attributes(fact: DataFrame, fc: FactColumns = FactColumns(), attrs: Sequence[str] = ()) -> DataFrame:
     """Visit attributes from the index event, else from the first event."""
     cols = list(attrs)
-    first_any = fact.groupBy(fc.patient).agg(F.min(F.struct(F.col(fc.ts), *[F.col(c) for c in cols])).alias("_f"))
-    first_dx = fact.filter(F.col(fc.desc) == C.INDEX_CODE).groupBy(fc.patient).agg(
-        F.min(F.struct(F.col(fc.ts), *[F.col(c) for c in cols])).alias("_i"))
+    first = F.min(F.struct(F.col(fc.ts).isNull().alias("_undated"), F.col(fc.ts), *[F.col(c) for c in cols]))
+    first_any = fact.groupBy(fc.patient).agg(first.alias("_f"))
+    first_dx = fact.filter(F.col(fc.desc) == C.INDEX_CODE).groupBy(fc.patient).agg(first.alias("_i"))
     j = first_any.join(first_dx, [fc.patient], "left")
     pick = F.coalesce(F.col("_i"), F.col("_f"))
     return j.select(fc.patient, pick[fc.ts].alias("visit_dt"), *[pick[c].alias(c) for c in cols])

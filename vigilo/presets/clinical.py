@@ -117,3 +117,7 @@ RECORD_HIGH_RISK_CONDITIONS = ["IMMUNOCOMPROMISED", "DIABETES", "HEART_DISEASE"]
 RECORD_SEVERE_SYMPTOMS = ["SHORTNESS_OF_BREATH", "CHEST_PAIN", "FEVER"]
 RECENT_DAYS = 365
 # --- end fixed values -------------------------------------------------------------
+
+# Words that make an event count for the recent cohort (any case).
+COHORT_KEYWORDS = ["DISEASE_X", "IMMUNOCOMPROMISED", "DIABETES", "HEART_DISEASE", "HYPERTENSION", "COUGH", "FEVER",
+                   "SHORTNESS_OF_BREATH", "CHEST_PAIN", "FATIGUE", "OBESITY"]

@@ -64,11 +64,13 @@ def append_batches(path: str, partition_by: Sequence[str] = ()):
     return write
 
 
-def start_rollup(sdf: DataFrame, out_path: str, checkpoint: str, trigger: str | None = None,
-                 **kwargs) -> StreamingQuery:
-    agg = rollup_stream(sdf, **kwargs)
-    w = agg.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
+def start_append(sdf: DataFrame, out_path: str, checkpoint: str, trigger: str | None = None,
+                 available_now: bool = False) -> StreamingQuery:
+    """Append a stream's rows to a table, one folder per micro-batch."""
+    w = sdf.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
         .foreachBatch(append_batches(out_path))
-    if trigger:
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif trigger:
         w = w.trigger(processingTime=trigger)
     return w.start()
