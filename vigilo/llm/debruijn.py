@@ -40,8 +40,9 @@ from vigilo.llm.words import Spans, Words, gram_positions, mix, sub_batches
 
 WINDOW = 35
 GRAM = 6
-# Verdicts on a segment: repeated and nonbranching, repeated at a branching place, open.
-PATH, RECURRING, OPEN = 0, 1, 2
+# Verdicts on a segment: repeated (nonbranching, or recurring at a branching place);
+# the same, and it lends its edges to the count for all its copies; open.
+REPEATED, SOURCE, OPEN = 0, 1, 2
 
 
 # ------------------------------------------------------------------------ segments
@@ -102,14 +103,17 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def judged_segments(texts: DataFrame) -> DataFrame:
     """Per text ``h1, h2, segments``: its repeated or open segments (first word << 7 | windows << 2 | verdict)."""
     a = texts.mapInArrow(_segment_rows, "h1 long, hp long, minimizer long, content long")
+    # Written, so that the joins below can split a minimizer or content that is everywhere.
     shared = (a.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("content").alias("lo"),
                                          F.max("content").alias("hi"))
-              .where("n > 1").select("minimizer", (F.col("lo") != F.col("hi")).alias("branching")))
+              .where("n > 1").select("minimizer", (F.col("lo") != F.col("hi")).alias("branching"))).checkpoint()
     found = a.join(shared, "minimizer").checkpoint()
-    contents = found.where("branching").groupBy("minimizer", "content").agg(F.count("*").alias("n"))
+    contents = (found.where("branching").groupBy("minimizer", "content")
+                .agg(F.count("*").alias("n"), F.min(F.struct("h1", "hp")).alias("first")).checkpoint())
+    lends = (F.col("h1") == F.col("first.h1")) & (F.col("hp") == F.col("first.hp"))
     branching = (found.where("branching").join(contents, ["minimizer", "content"])
-                 .select("h1", "hp", F.when(F.col("n") > 1, RECURRING).otherwise(OPEN).alias("verdict")))
-    verdicts = found.where("not branching").select("h1", "hp", F.lit(PATH).alias("verdict")).unionByName(branching)
+                 .select("h1", "hp", F.when(F.col("n") == 1, OPEN).when(lends, SOURCE).otherwise(REPEATED).alias("verdict")))
+    verdicts = found.where("not branching").select("h1", "hp", F.lit(REPEATED).alias("verdict")).unionByName(branching)
     low = F.col("hp").bitwiseAND(F.lit(0xFFFFFFFF))
     return (verdicts.select("h1", F.shiftright("hp", 32).alias("h2"),
                             F.shiftleft(low, 2).bitwiseOR(F.col("verdict")).alias("segment"))
@@ -120,7 +124,7 @@ def judged_segments(texts: DataFrame) -> DataFrame:
 def _packed(columns: list[str], text_col: str):
     """Rows with the text compressed (it is shuffled once)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in sub_batches(batches, text_col):
             z = [press.compress((x or "").encode()) for x in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(z, pa.binary())],
@@ -140,7 +144,8 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def _edges(only_open: bool):
-    """Single edges of the segments at branching places: all, counted per batch, or the open ones with coordinates."""
+    """Single edges of the segments at branching places: one copy of each content, counted
+    per batch, or the open segments' edges with their coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             words = Words(_texts(batch.column("_z")))
@@ -149,8 +154,8 @@ def _edges(only_open: bool):
             for d, rows in enumerate(batch.column("_segments").to_pylist()):
                 for x in rows or ():
                     known[d, x >> 7] = x & 3
-            verdict = np.array([known.get((int(d), int(f)), PATH) for d, f in zip(s.doc, s.first)], np.int64)
-            pick = np.flatnonzero(verdict == OPEN if only_open else verdict != PATH)
+            verdict = np.array([known.get((int(d), int(f)), REPEATED) for d, f in zip(s.doc, s.first)], np.int64)
+            pick = np.flatnonzero(verdict == OPEN if only_open else verdict != REPEATED)
             n = s.n[pick]
             owner = np.repeat(pick, n)
             k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
@@ -164,8 +169,8 @@ def _edges(only_open: bool):
                                            batch.column("_h2").to_numpy()[doc], s.first[owner] + k)],
                     ["minimizer", "edge", "h1", "h2", "first"])
             else:
-                both, many = np.unique(np.stack([minimizer, edge]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], both[1], many)],
+                many = 1 + (verdict[owner] == SOURCE)          # a recurring segment stands for two at least
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (minimizer, edge, many)],
                                                  ["minimizer", "edge", "n"])
     return run
 
@@ -218,7 +223,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     segments = segments.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("segments").alias("_segments"))
     joined = packed.join(segments, ["_h1", "_h2"], "left").checkpoint()
     has = lambda least: F.exists("_segments", lambda x: x.bitwiseAND(F.lit(3)) >= least)
-    branching = joined.where(has(RECURRING)).select("_h1", "_h2", "_z", "_segments")
+    branching = joined.where(has(SOURCE)).select("_h1", "_h2", "_z", "_segments")
     opened = joined.where(has(OPEN)).select("_h1", "_h2", "_z", "_segments")
     repeated = (branching.mapInArrow(_edges(False), "minimizer long, edge long, n long")
                 .groupBy("minimizer", "edge").agg(F.sum("n").alias("n")).where("n > 1").select("minimizer", "edge"))

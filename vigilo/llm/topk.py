@@ -62,7 +62,7 @@ def _quantise(scale: int):
     return run
 
 
-def _block_row(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_row(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One block as one row: ids and vectors in descending norm order."""
     pdf = pdf.sort_values(["norm", "id"], ascending=[False, True])
     return pd.DataFrame({"dim": [int(key[0])], "bucket": [int(key[1])], "block": [int(key[2])],
@@ -177,7 +177,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _query_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _query_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     norm = np.maximum(pdf.norm.to_numpy(float), 1e-300)
     theta = pdf.theta.fillna(-np.inf).to_numpy(float)
     reach = np.where(theta > 0, theta / norm, -np.inf)
