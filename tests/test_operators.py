@@ -259,10 +259,29 @@ def test_fingerprint_is_order_and_partition_insensitive(spark):
     assert c["content_xor"] != a["content_xor"]
 
 
-def test_compatibility_and_version_step(spark):
-    df = spark.createDataFrame([(1, 2.0)], "a int, b double")
-    rep = V.check_compatibility(df, ["a", "c"], categorical=["c"])
-    assert rep["compatible"] is False and rep["missing_features"] == ["c"] and rep["extra_columns"] == ["b"]
+def test_fingerprint_sees_every_column_and_field(spark):
+    def mark(rows):
+        r = V.fingerprint(spark.createDataFrame(rows, "a string, b string, x double"), "t").first()
+        return r["content_xor"], r["content_sum"]
+    base = [("a|b", "c", 1.5), ("k", None, 2.25)]
+    assert mark(base) != mark([("a", "b|c", 1.5), ("k", None, 2.25)])
+    assert mark(base) != mark([("a|b", "c", 1.5), ("k", "N", 2.25)])
+    assert mark(base) != mark([("a|b", "c", 1.5), ("k", None, 2.2500000000000004)])
+    old = V.fingerprint(spark.createDataFrame(base, "a string, b string, x double"), "t")
+    new = V.fingerprint(spark.createDataFrame([("a|b", "c", 1.51), base[1]], "a string, b string, x double"), "t")
+    assert V.classify_change(old, new).first()["change"] == "content"
+
+
+def test_compatibility_rules(spark):
+    profile = spark.createDataFrame([("a", "numeric"), ("c", "categorical")], "feature string, kind string")
+    same = V.check_compatibility(profile, 2, ["c"]).first()
+    assert same["compatible"] and same["issues"] == ""
+    off = V.check_compatibility(profile, 3, ["c", "d"]).first()
+    assert not off["compatible"] and off["issues"] == "feature count mismatch; categorical column mismatch"
+    assert V.check_compatibility(profile, None, []).first()["compatible"]
+
+
+def test_version_step(spark):
     row = spark.range(1).select(V.next_version(F.lit("1.4.2"), F.lit("minor")).alias("v"),
                                 V.next_version(F.lit("1.4.2"), F.lit("major")).alias("w")).first()
     assert (row["v"], row["w"]) == ("1.5.0", "2.0.0")
@@ -386,3 +405,29 @@ def test_streams_read_a_folder_of_files(spark, tmp_path):
         one = sorted(map(str, REGISTRY[name].fn(spark, "/root/testdata/sf0.001").collect()))
         many = sorted(map(str, REGISTRY[name].fn(spark, str(tmp_path)).collect()))
         assert one == many and one
+
+
+def test_sessions_do_not_change_the_alert_folds(spark):
+    import random
+    from datetime import datetime, timedelta
+    from vigilo.operators import alerts as AL
+    rng = random.Random(1)
+    t, rows = datetime(2024, 1, 1), []
+    for i in range(300):
+        t += timedelta(minutes=rng.choice([1, 5, 20, 59, 60, 61, 119, 120, 121, 400]))
+        rows.append((f"u{rng.randrange(2)}", rng.choice(["a", "b"]), rng.choice([None, "m"]), i, t, rng.choice([15, 60])))
+    df = spark.createDataFrame(rows, "u string, alert_type string, metric string, id int, ts timestamp, cooldown_minutes int")
+    pdf = df.toPandas()
+    window = timedelta(minutes=60)
+
+    def whole(keys, fn, col):
+        groups = [g for _, g in pdf.groupby(keys, dropna=False)] if keys else [pdf]
+        return {int(i): v for g in groups for i, v in zip(*(lambda o: (o["id"], o[col]))(fn(g)))}
+    got = {r["id"]: r["emitted"] for r in AL.apply_cooldown(df, ["alert_type", "metric"], "ts", ["id"]).collect()}
+    assert got == whole(["alert_type", "metric"], lambda g: AL._cooldown(g, "ts", ["id"]), "emitted")
+    for keys in ([], ["u"]):
+        got = {r["id"]: r["emitted"] for r in AL.apply_rate_limit(df, 2, 60, keys, "ts", ["id"]).collect()}
+        assert got == whole(keys, lambda g: AL._rate_limit(g, "ts", ["id"], 2, window, None), "emitted")
+        got = {r["id"]: r["suppressed_by"] for r in AL.apply_alert_policy(df, max_alerts=2, tenant_cols=keys, order=["id"]).collect()}
+        assert got == whole(keys, lambda g: AL._policy(g, "ts", ["id"], ["alert_type", "metric"], 2, window), "suppressed_by")
+    assert AL.with_sessions(df, ["u"], "ts", 60).select("u", "_session").distinct().count() > 10

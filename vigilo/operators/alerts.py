@@ -5,9 +5,10 @@ broadcast) rule table.  Cooldown and rate limit are greedy, order-dependent
 folds: whether an alert is sent depends on the alerts *sent* before it, so
 they cannot be written with ``lag``.  They run as grouped ``applyInPandas``
 folds - cooldown per ``(alert_type, metric)`` key, the rate limit per tenant -
-over *alert candidates*, which are produced per signal window (one per metric
-and window), so a group grows with the monitored time span and the number of
-rules, not with the volume of raw events.
+over *alert candidates*, which are produced per signal window.  After a quiet
+time as long as the longest cooldown and the rate window no earlier alert can
+matter, so every key's or tenant's candidates are cut into sessions at such
+gaps and each session is folded on its own.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from collections.abc import Sequence
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilo.presets import clinical as C
 
+FOLD_PARTS = 512     # sessions are dealt to so many groups by a hash
+
 RULE_SCHEMA = ("name string, alert_type string, threshold double, severity string, "
                "channels array<string>, cooldown_minutes int, enabled boolean")
 
@@ -87,11 +90,25 @@ def evaluate_rules_inline(signals: DataFrame, rules: DataFrame, value: str = "va
 
 
 # M12 / M13 folds --------------------------------------------------------------
-def _cooldown(pdf: pd.DataFrame, ts: str, order: list[str]) -> pd.DataFrame:
-    pdf = pdf.sort_values([ts] + order, kind="mergesort").reset_index(drop=True)
+def _in_order(pdf: pd.DataFrame, by: list[str], ts: str, order: list[str]) -> tuple[pd.DataFrame, list[bool]]:
+    """Rows by session and time, and whether each row starts a session."""
+    pdf = pdf.sort_values([*by, ts, *order], kind="mergesort").reset_index(drop=True)
+    fresh = pd.Series(False, index=pdf.index)
+    for c in by:
+        before = pdf[c].shift()
+        fresh |= ~((pdf[c] == before) | (pdf[c].isna() & before.isna()))
+    if len(fresh):
+        fresh.iloc[0] = True
+    return pdf, fresh.tolist()
+
+
+def _cooldown(pdf: pd.DataFrame, ts: str, order: list[str], by: list[str] = ()) -> pd.DataFrame:
+    pdf, fresh = _in_order(pdf, list(by), ts, order)
     last = None
     sent = []
-    for t, cd in zip(pdf[ts], pdf["cooldown_minutes"]):
+    for new, t, cd in zip(fresh, pdf[ts], pdf["cooldown_minutes"]):
+        if new:
+            last = None
         ok = last is None or not (last > t - timedelta(minutes=int(cd)))
         sent.append(ok)
         if ok:
@@ -101,17 +118,16 @@ def _cooldown(pdf: pd.DataFrame, ts: str, order: list[str]) -> pd.DataFrame:
 
 
 def _rate_limit(pdf: pd.DataFrame, ts: str, order: list[str], max_alerts: int, window: timedelta,
-                flag: str | None) -> pd.DataFrame:
-    pdf = pdf.sort_values([ts] + order, kind="mergesort").reset_index(drop=True)
+                flag: str | None, by: list[str] = ()) -> pd.DataFrame:
+    pdf, fresh = _in_order(pdf, list(by), ts, order)
     recent: deque = deque()
     sent = []
-    for i, t in enumerate(pdf[ts]):
-        if flag is not None and not pdf.at[i, flag]:
-            sent.append(False)
-            continue
+    for new, t, candidate in zip(fresh, pdf[ts], pdf[flag] if flag else [True] * len(pdf)):
+        if new:
+            recent.clear()
         while recent and not (recent[0] > t - window):
             recent.popleft()
-        ok = len(recent) < max_alerts
+        ok = bool(candidate) and len(recent) < max_alerts
         sent.append(ok)
         if ok:
             recent.append(t)
@@ -120,32 +136,29 @@ def _rate_limit(pdf: pd.DataFrame, ts: str, order: list[str], max_alerts: int, w
 
 
 def _policy(pdf: pd.DataFrame, ts: str, order: list[str], key_cols: list[str], max_alerts: int,
-            window: timedelta) -> pd.DataFrame:
+            window: timedelta, by: list[str] = ()) -> pd.DataFrame:
     """Exact coupled semantics: cooldown against *sent* alerts of the key, then
     the rate limit against all sent alerts; a suppressed alert leaves no trace."""
-    pdf = pdf.sort_values([ts] + order, kind="mergesort").reset_index(drop=True)
+    pdf, fresh = _in_order(pdf, list(by), ts, order)
     last: dict = {}
     recent: deque = deque()
-    sent, reason = [], []
-    keys = list(zip(*[pdf[k].where(pdf[k].notna(), None) for k in key_cols]))
-    for i, t in enumerate(pdf[ts]):
-        k = keys[i]
-        cd = timedelta(minutes=int(pdf.at[i, "cooldown_minutes"]))
-        if k in last and last[k] > t - cd:
-            sent.append(False)
-            reason.append("cooldown")
-            continue
+    reason = []
+    keys = zip(*[pdf[k].where(pdf[k].notna(), None) for k in key_cols])
+    for new, t, k, minutes in zip(fresh, pdf[ts], keys, pdf["cooldown_minutes"]):
+        if new:
+            last.clear()
+            recent.clear()
         while recent and not (recent[0] > t - window):
             recent.popleft()
-        if len(recent) >= max_alerts:
-            sent.append(False)
+        if k in last and last[k] > t - timedelta(minutes=int(minutes)):
+            reason.append("cooldown")
+        elif len(recent) >= max_alerts:
             reason.append("rate_limit")
-            continue
-        sent.append(True)
-        reason.append(None)
-        last[k] = t
-        recent.append(t)
-    pdf["emitted"] = sent
+        else:
+            reason.append(None)
+            last[k] = t
+            recent.append(t)
+    pdf["emitted"] = [r is None for r in reason]
     pdf["suppressed_by"] = reason
     return pdf
 
@@ -154,13 +167,45 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType(list(schema.fields) + list(fields))
 
 
+def with_sessions(alerts: DataFrame, keys: Sequence[str], ts: str, horizon_minutes: int) -> DataFrame:
+    """Adds ``_session``: runs of alerts of a key without a quiet time of ``horizon_minutes``.
+
+    Time is cut into slots of that length; successive slots with alerts are one
+    session, and an empty slot between two alerts is a gap longer than the
+    horizon.  Only the distinct slots of a key (one row each) are ordered.
+    """
+    keys = list(keys)
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(max(int(horizon_minutes), 1) * 60_000_000))
+    rows = alerts.withColumn("_slot", slot)
+    slots = rows.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_slot").alias("_k_slot")).distinct()
+    w = Window.partitionBy(*["_k_" + k for k in keys]).orderBy("_k_slot")
+    fresh = F.when(F.coalesce(F.col("_k_slot") - F.lag("_k_slot").over(w) > 1, F.lit(True)), F.col("_k_slot"))
+    slots = slots.withColumn("_new", fresh).withColumn(
+        "_session", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col("_slot").eqNullSafe(F.col("_k_slot"))]
+    return rows.join(slots, cond).drop("_slot", "_k_slot", *["_k_" + k for k in keys])
+
+
+def _longest_cooldown(alerts: DataFrame) -> int:
+    return int(alerts.agg(F.max("cooldown_minutes")).first()[0] or 0)
+
+
+def _fold(alerts: DataFrame, keys: Sequence[str], ts: str, horizon: int, fn, *added: T.StructField) -> DataFrame:
+    """``fn`` over the sessions of every key, with ``added`` columns; many sessions share a task's batch."""
+    by = [*keys, "_session"]
+    cut = with_sessions(alerts, keys, ts, horizon).withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(FOLD_PARTS)))
+    schema = _with(alerts.schema, *added)
+    names = [f.name for f in schema.fields]
+    return cut.groupBy("_part").applyInPandas(lambda pdf: fn(pdf, by)[names], schema)
+
+
 def apply_cooldown(alerts: DataFrame, key_cols: Sequence[str] = ("alert_type", "metric"),
                    ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
     """An alert is sent unless a *sent* alert of the same key lies within
     its (longest applicable) cooldown; a null metric is a key of its own."""
-    key_cols, order = list(key_cols), list(order)
-    schema = _with(alerts.schema, T.StructField("emitted", T.BooleanType()))
-    return alerts.groupBy(*key_cols).applyInPandas(lambda pdf: _cooldown(pdf, ts, order), schema)
+    order = list(order)
+    return _fold(alerts, list(key_cols), ts, _longest_cooldown(alerts), lambda pdf, by: _cooldown(pdf, ts, order, by),
+                 T.StructField("emitted", T.BooleanType()))
 
 
 def apply_rate_limit(alerts: DataFrame, max_alerts: int = C.MAX_ALERTS_PER_HOUR, window_minutes: int = 60,
@@ -171,34 +216,25 @@ def apply_rate_limit(alerts: DataFrame, max_alerts: int = C.MAX_ALERTS_PER_HOUR,
     column of candidates (e.g. the cooldown result); the others are not sent
     and do not count.  The output's ``emitted`` replaces ``only_where``."""
     order = list(order)
-    src = alerts if tenant_cols else alerts.withColumn("_tenant", F.lit(0))
-    groups = list(tenant_cols) or ["_tenant"]
-    if only_where:
-        src = src.withColumnRenamed(only_where, "_cand")
-    keep = [f for f in src.schema.fields if f.name not in ("_cand", "emitted")]
-    schema = T.StructType(keep + [T.StructField("emitted", T.BooleanType())])
+    src = alerts.withColumnRenamed(only_where, "_cand") if only_where else alerts
+    if "emitted" in src.columns:
+        src = src.drop("emitted")
     win = timedelta(minutes=window_minutes)
-    flag = "_cand" if only_where else None
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _rate_limit(pdf, ts, order, max_alerts, win, flag)
-        return out[[f.name for f in schema.fields]]
-    out = src.groupBy(*groups).applyInPandas(fn, schema)
-    return out if tenant_cols else out.drop("_tenant")
+    out = _fold(src, list(tenant_cols), ts, window_minutes,
+                lambda pdf, by: _rate_limit(pdf, ts, order, max_alerts, win, "_cand" if only_where else None, by),
+                T.StructField("emitted", T.BooleanType()))
+    return out.drop("_cand")
 
 
 def apply_alert_policy(alerts: DataFrame, key_cols: Sequence[str] = ("alert_type", "metric"),
                        max_alerts: int = C.MAX_ALERTS_PER_HOUR, window_minutes: int = 60,
                        tenant_cols: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
     """Cooldown and rate limit in one fold with the source's exact coupling."""
-    src = alerts if tenant_cols else alerts.withColumn("_tenant", F.lit(0))
-    groups = list(tenant_cols) or ["_tenant"]
-    schema = _with(src.schema, T.StructField("emitted", T.BooleanType()),
-                   T.StructField("suppressed_by", T.StringType()))
+    order, key_cols = list(order), list(key_cols)
     win = timedelta(minutes=window_minutes)
-    out = src.groupBy(*groups).applyInPandas(
-        lambda pdf: _policy(pdf, ts, list(order), list(key_cols), max_alerts, win), schema)
-    return out if tenant_cols else out.drop("_tenant")
+    return _fold(alerts, list(tenant_cols), ts, max(_longest_cooldown(alerts), window_minutes),
+                 lambda pdf, by: _policy(pdf, ts, order, key_cols, max_alerts, win, by),
+                 T.StructField("emitted", T.BooleanType()), T.StructField("suppressed_by", T.StringType()))
 
 
 # M14 ------------------------------------------------------------------------

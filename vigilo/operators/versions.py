@@ -1,8 +1,8 @@
 """Dataset versions: fingerprints, change classes, history, verification (V1-V7).
 
 The fingerprint of a table is computed by the executors from its rows - an
-order-insensitive combination of per-row hashes (XOR and a modular sum of a
-52-bit md5 prefix) - so it does not depend on file layout, partitioning or
+order-insensitive combination of two independent per-row hashes over all columns
+(XOR of one, modular sum of the other, from the row's md5) - so it does not depend on file layout, partitioning or
 row order, and no data reaches the driver.
 """
 
@@ -12,17 +12,42 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-NULL_TEXT = "\\N"
-SEP = "|"
-SUM_MODULUS = 65521
+# Prime below 2**53 for the additive part of the fingerprint.
+SUM_MODULUS = 9007199254740881
 
 
-def row_hash(cols: Sequence[str]) -> F.Column:
-    """52-bit integer from the md5 of the row's canonical text."""
-    text = F.concat_ws(SEP, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+def field_text(df: DataFrame, c: str) -> F.Column:
+    """Canonical text of a value, the same in every engine.
+
+    Floating-point numbers are their whole part and 52 bits of their fraction
+    as integers, times are microseconds since 1970.
+    """
+    x = F.col(c)
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = x.cast("double")
+        whole = F.floor(x)
+        return (F.when(F.isnan(x), "NaN").when(F.abs(x) >= 9e18, F.when(x > 0, "big").otherwise("-big"))
+                .otherwise(F.concat(whole.cast("string"), F.lit("."),
+                                    F.floor((x - whole) * F.lit(float(1 << 52))).cast("string"))))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(x.cast("timestamp")).cast("string")
+    return x.cast("string")
+
+
+def row_hashes(df: DataFrame, cols: Sequence[str]) -> tuple[F.Column, F.Column]:
+    """Two independent 52-bit integers from the md5 of the row's canonical text.
+
+    Every field carries its length, so no text can pass for two fields.
+    """
+    def field(c: str) -> F.Column:
+        t = field_text(df, c)
+        return F.when(t.isNull(), "N").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t))
+    digest = F.md5(F.concat(*[field(c) for c in cols]))
+    return tuple(F.conv(F.substring(digest, at, 13), 16, 10).cast("long") for at in (1, 14))
 
 
 def schema_text(df: DataFrame, cols: Sequence[str] | None = None) -> str:
@@ -33,10 +58,11 @@ def schema_text(df: DataFrame, cols: Sequence[str] | None = None) -> str:
 # V1 -------------------------------------------------------------------------
 def fingerprint(df: DataFrame, name: str, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or df.columns)
-    h = row_hash(cols)
+    one, two = row_hashes(df, cols)
+    total = F.sum(two.cast("decimal(20,0)")) % F.lit(SUM_MODULUS).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.coalesce(F.bit_xor(h), F.lit(0)).alias("content_xor"),
-                  F.coalesce(F.sum(h % SUM_MODULUS), F.lit(0)).cast("long").alias("content_sum")) \
+                  F.coalesce(F.bit_xor(one), F.lit(0)).alias("content_xor"),
+                  F.coalesce(total, F.lit(0)).cast("long").alias("content_sum")) \
         .select(F.lit(name).alias("dataset"), "row_count", F.lit(len(cols)).alias("column_count"),
                 F.md5(F.lit(schema_text(df, cols))).alias("schema_hash"), "content_xor", "content_sum")
 
@@ -147,12 +173,19 @@ def verify_manifest(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 # V7 -------------------------------------------------------------------------
-def check_compatibility(df: DataFrame, expected: Sequence[str], categorical: Sequence[str] = ()) -> dict:
-    """Model/data compatibility from schema metadata (driver-side sets)."""
-    have = set(df.columns)
-    exp = list(expected)
-    missing = sorted(set(exp) - have)
-    cat_missing = sorted(set(categorical) - have)
-    return {"compatible": not missing, "missing_features": missing, "extra_columns": sorted(have - set(exp)),
-            "feature_count_expected": len(exp), "feature_count_found": len(set(exp) & have),
-            "missing_categorical": cat_missing}
+def check_compatibility(profile: DataFrame, model_features: int | None, model_categorical: Sequence[str]) -> DataFrame:
+    """Whether data fits a model, as one row: its profile (``feature``, ``kind``)
+    against the model's feature count and categorical columns.  A count or a
+    categorical set that either side does not state is not compared."""
+    expected = ",".join(sorted(set(model_categorical)))
+    seen = profile.agg(
+        F.count(F.lit(1)).alias("data_features"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "categorical", F.col("feature")))), ",")
+        .alias("data_categorical"))
+    wanted = F.lit(model_features).cast("long")
+    count_differs = F.coalesce((wanted != 0) & (F.col("data_features") != 0) & (F.col("data_features") != wanted), F.lit(False))
+    sets_differ = (F.lit(expected) != "") & (F.col("data_categorical") != "") & (F.col("data_categorical") != F.lit(expected))
+    issues = F.concat_ws("; ", F.when(count_differs, "feature count mismatch"),
+                         F.when(sets_differ, "categorical column mismatch"))
+    return seen.select("data_features", wanted.alias("model_features"), "data_categorical",
+                       F.lit(expected).alias("model_categorical"), (issues == "").alias("compatible"), issues.alias("issues"))

@@ -169,20 +169,21 @@ register("performance_drift", ops=("M8", "J12", "P15"), sql=_perf_drift_sql())(p
 
 
 # ---- M11 / M12 / M13 / A13 ----------------------------------------------------------------
-def signals(spark, sf):
+def signals(spark, sf, tenant=()):
+    """Hourly error rate and mean value per event type, of all events or per tenant."""
     ev = table(spark, sf, "events").withColumn("hour", F.window("ts", "1 hour").start)
-    err = ev.groupBy("hour").agg((F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)) /
-                                  F.count(F.lit(1))).alias("value")) \
-        .select(F.lit("model_error").alias("alert_type"), F.lit(None).cast("string").alias("metric"),
+    err = ev.groupBy("hour", *tenant).agg((F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)) /
+                                           F.count(F.lit(1))).alias("value")) \
+        .select(*tenant, F.lit("model_error").alias("alert_type"), F.lit("error_rate").alias("metric"),
                 F.lit("error_rate").alias("detail"), F.col("hour").alias("ts"), "value")
-    drift = ev.groupBy("hour", "event_type").agg((F.avg("value") / 400.0).alias("value")) \
-        .select(F.lit("data_drift").alias("alert_type"), F.lit(None).cast("string").alias("metric"),
+    drift = ev.groupBy("hour", "event_type", *tenant).agg((F.avg("value") / 400.0).alias("value")) \
+        .select(*tenant, F.lit("data_drift").alias("alert_type"), F.col("event_type").alias("metric"),
                 F.col("event_type").alias("detail"), F.col("hour").alias("ts"), "value")
     return err.unionByName(drift)
 
 
-def _candidates(spark, sf):
-    return AL.evaluate_rules(signals(spark, sf), AL.rules_table(spark), ["alert_type", "detail", "ts"])
+def _candidates(spark, sf, tenant=()):
+    return AL.evaluate_rules(signals(spark, sf, tenant), AL.rules_table(spark), [*tenant, "alert_type", "detail", "ts"])
 
 
 def alert_candidates(spark, sf):
@@ -199,23 +200,27 @@ def _rules_values() -> str:
         for sev_rank in [C.SEVERITY_ORDER.index(sev) + 1])
 
 
-SIGNALS_SQL = """sig AS (
-  SELECT 'model_error' AS alert_type, CAST(NULL AS VARCHAR) AS metric, 'error_rate' AS detail,
+def candidates_sql(tenant: str = "") -> str:
+    """Candidates of the signals; ``tenant`` is empty or a column with a comma."""
+    return f"""sig AS (
+  SELECT {tenant} 'model_error' AS alert_type, 'error_rate' AS metric, 'error_rate' AS detail,
          time_bucket(INTERVAL 1 HOUR, ts) AS ts,
          sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*) AS value
-  FROM events GROUP BY 4
+  FROM events GROUP BY ALL
   UNION ALL
-  SELECT 'data_drift', CAST(NULL AS VARCHAR), event_type, time_bucket(INTERVAL 1 HOUR, ts), avg(value) / 400.0
-  FROM events GROUP BY 3, 4)"""
-
-CANDIDATES_SQL = f"""{SIGNALS_SQL},
+  SELECT {tenant} 'data_drift', event_type, event_type, time_bucket(INTERVAL 1 HOUR, ts), avg(value) / 400.0
+  FROM events GROUP BY ALL),
 rules AS (SELECT * FROM (VALUES {_rules_values()}) r(name, rtype, threshold, sev, sev_rank, channels, cooldown)),
 hit AS (SELECT * FROM sig JOIN rules ON sig.alert_type = rules.rtype AND sig.value >= rules.threshold),
-cand AS (SELECT alert_type, detail, ts, any_value(metric) AS metric, any_value(value) AS value,
+cand AS (SELECT {tenant} alert_type, detail, ts, any_value(metric) AS metric, any_value(value) AS value,
                 {[s for s in C.SEVERITY_ORDER]}[max(sev_rank)] AS severity,
                 array_to_string(list_sort(list_distinct(flatten(list(channels)))), ',') AS channels,
                 max(cooldown) AS cooldown_minutes, array_to_string(list_sort(list(name)), ',') AS matched_rules
-         FROM hit GROUP BY alert_type, detail, ts)"""
+         FROM hit GROUP BY {tenant} alert_type, detail, ts)"""
+
+
+CANDIDATES_SQL = candidates_sql()
+TENANT = ["user_id"]     # the rate limit holds per user of the events
 
 register("alert_candidates", ops=("M11",), sql=f"""
 WITH {CANDIDATES_SQL}
@@ -250,34 +255,35 @@ RATE_LIMIT = 4  # per trailing hour for this query, so the limit is exercised on
 
 
 def alert_rate_limit(spark, sf):
-    out = AL.apply_rate_limit(_candidates(spark, sf), RATE_LIMIT, 60, ts="ts", order=["alert_type", "detail"])
-    return out.select("alert_type", "detail", "ts", "severity", "emitted")
+    out = AL.apply_rate_limit(_candidates(spark, sf, TENANT), RATE_LIMIT, 60, tenant_cols=TENANT, ts="ts",
+                              order=["alert_type", "detail"])
+    return out.select("user_id", "alert_type", "detail", "ts", "severity", "emitted")
 
 
 register("alert_rate_limit", ops=("M13",), sql=f"""
-WITH RECURSIVE {CANDIDATES_SQL},
-a AS (SELECT *, row_number() OVER (ORDER BY ts, alert_type, detail) AS rn FROM cand),
+WITH RECURSIVE {candidates_sql("user_id,")},
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, alert_type, detail) AS rn FROM cand),
 r AS (
-  SELECT rn, alert_type, detail, ts, severity, true AS emitted, [ts] AS hist FROM a WHERE rn = 1
+  SELECT user_id, rn, alert_type, detail, ts, severity, true AS emitted, [ts] AS hist FROM a WHERE rn = 1
   UNION ALL
-  SELECT a.rn, a.alert_type, a.detail, a.ts, a.severity,
+  SELECT a.user_id, a.rn, a.alert_type, a.detail, a.ts, a.severity,
          len(list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR)) < {RATE_LIMIT},
          CASE WHEN len(list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR)) < {RATE_LIMIT}
               THEN list_append(list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR), a.ts)
               ELSE list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR) END
-  FROM r JOIN a ON a.rn = r.rn + 1)
-SELECT alert_type, detail, ts, severity, emitted FROM r""")(alert_rate_limit)
+  FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)
+SELECT user_id, alert_type, detail, ts, severity, emitted FROM r""")(alert_rate_limit)
 
 
 def alert_policy(spark, sf):
-    out = AL.apply_alert_policy(_candidates(spark, sf), ["alert_type", "metric"], RATE_LIMIT, 60,
-                                ts="ts", order=["alert_type", "detail"])
-    return out.select("alert_type", "detail", "ts", "severity", "emitted", "suppressed_by")
+    out = AL.apply_alert_policy(_candidates(spark, sf, TENANT), ["alert_type", "metric"], RATE_LIMIT, 60,
+                                tenant_cols=TENANT, ts="ts", order=["alert_type", "detail"])
+    return out.select("user_id", "alert_type", "detail", "ts", "severity", "emitted", "suppressed_by")
 
 
 def policy_sql(cand_cte: str, order: str, limit: int, cols: str) -> str:
-    """Coupled cooldown + rate limit as a recursive CTE over candidates in
-    ``order``: state is the send times of the trailing hour and the last send
+    """Coupled cooldown + rate limit as a recursive CTE over each user's
+    candidates in ``order``: state is the send times of the trailing hour and the last send
     time per (alert_type, metric) key."""
     key = "coalesce(a.alert_type, '') || '|' || coalesce(a.metric, '')"
     recent = "list_filter(r.hist, lambda x: x > a.ts - INTERVAL 1 HOUR)"
@@ -285,7 +291,7 @@ def policy_sql(cand_cte: str, order: str, limit: int, cols: str) -> str:
     cooled = f"coalesce({last} > a.ts - to_minutes(a.cooldown_minutes), false)"
     sent = f"(NOT {cooled} AND len({recent}) < {limit})"
     return f"""{cand_cte},
-a AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM cand),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn FROM cand),
 r AS (
   SELECT rn, {cols}, true AS emitted, CAST(NULL AS VARCHAR) AS suppressed_by, [ts] AS hist,
          [{{'k': coalesce(alert_type, '') || '|' || coalesce(metric, ''), 't': ts}}] AS lasts
@@ -297,13 +303,13 @@ r AS (
          CASE WHEN {sent} THEN list_append(list_filter(r.lasts, lambda s: s.k <> {key}),
                                            {{'k': {key}, 't': a.ts}})
               ELSE r.lasts END
-  FROM r JOIN a ON a.rn = r.rn + 1)"""
+  FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1)"""
 
 
 register("alert_policy", ops=("M12", "M13"), sql=f"""
-WITH RECURSIVE {policy_sql(CANDIDATES_SQL, "ts, alert_type, detail", RATE_LIMIT,
-                           "alert_type, metric, detail, ts, severity, cooldown_minutes")}
-SELECT alert_type, detail, ts, severity, emitted, suppressed_by FROM r""")(alert_policy)
+WITH RECURSIVE {policy_sql(candidates_sql("user_id,"), "ts, alert_type, detail", RATE_LIMIT,
+                           "user_id, alert_type, metric, detail, ts, severity, cooldown_minutes")}
+SELECT user_id, alert_type, detail, ts, severity, emitted, suppressed_by FROM r""")(alert_policy)
 
 
 def alert_statistics_q(spark, sf):

@@ -62,15 +62,16 @@ SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM event
 
 def alert_stream_replay(spark, sf):
     """Every error event is a model-error signal (value scaled to a rate-like
-    score); the stateful policy decides which alerts are sent."""
+    score); the stateful policy decides, per user, which alerts are sent."""
     from vigilo.plans.catalog.monitoring import RATE_LIMIT
     ev = _event_stream(spark, sf).filter(F.col("event_type") == "error")
-    sig = ev.select(F.lit("model_error").alias("alert_type"), F.lit(None).cast("string").alias("metric"),
+    sig = ev.select("user_id", F.lit("model_error").alias("alert_type"), F.lit(None).cast("string").alias("metric"),
                     F.col("event_id").alias("detail"), F.col("ts").cast("timestamp").alias("ts"),
                     (F.col("value") / 400.0).alias("value"))
-    out = alert_stream(sig, AL.rules_table(spark), [], ts="ts", order=["detail"], max_alerts=RATE_LIMIT)
+    out = alert_stream(sig, AL.rules_table(spark), [], ts="ts", order=["detail"],
+                       tenant_cols=["user_id"], max_alerts=RATE_LIMIT)
     res = _replay(out, "alerts")
-    return res.select("detail", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", "emitted",
+    return res.select("user_id", "detail", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", "emitted",
                       "suppressed_by")
 
 
@@ -78,12 +79,12 @@ def _alert_stream_sql() -> str:
     from vigilo.plans.catalog.monitoring import RATE_LIMIT, policy_sql
     from vigilo.presets import clinical as C
     (_, _, th, sev, _, cd), = [r for r in C.DEFAULT_ALERT_RULES if r[1] == "model_error"]
-    cand = f"""cand AS (SELECT 'model_error' AS alert_type, CAST(NULL AS VARCHAR) AS metric, event_id AS detail, ts,
+    cand = f"""cand AS (SELECT user_id, 'model_error' AS alert_type, CAST(NULL AS VARCHAR) AS metric, event_id AS detail, ts,
                         '{sev}' AS severity, {cd} AS cooldown_minutes
                  FROM events WHERE event_type = 'error' AND value / 400.0 >= {th})"""
     return f"""WITH RECURSIVE {policy_sql(cand, "ts, detail", RATE_LIMIT,
-                                       "alert_type, metric, detail, ts, severity, cooldown_minutes")}
-SELECT detail, ts, severity, emitted, suppressed_by FROM r"""
+                                       "user_id, alert_type, metric, detail, ts, severity, cooldown_minutes")}
+SELECT user_id, detail, ts, severity, emitted, suppressed_by FROM r"""
 
 
 register("alert_stream", ops=("M16",), sql=_alert_stream_sql())(alert_stream_replay)

@@ -9,42 +9,54 @@ from vigilo.operators import versions as V
 from vigilo.plans.registry import register
 from vigilo.sources.tables import table
 
-# Integer and text columns: their text form is identical in every engine.
-HASH_COLS = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+# All columns of the tables, with Spark's type names (the oracle has no other way to know them).
+COLUMNS = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double",
+                 "c_mktsegment": "string"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+                 "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+                 "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+             "p_retailprice": "double"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
 }
-SPARK_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string",
-               "o_orderpriority": "string", "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int",
-               "c_mktsegment": "string", "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint",
-               "l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string",
-               "s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "p_partkey": "bigint",
-               "p_name": "string", "n_nationkey": "int", "n_name": "string", "r_regionkey": "int",
-               "r_name": "string"}
 OLD_CUT = "1998-08-01 00:00:00"
 
 
-def _hash_sql(cols) -> str:
-    txt = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols) + ")"
+def _field_sql(c: str, kind: str) -> str:
+    if kind == "double":
+        text = (f"CASE WHEN isnan({c}) THEN 'NaN' WHEN abs({c}) >= 9e18 THEN CASE WHEN {c} > 0 THEN 'big' ELSE '-big' END "
+                f"ELSE CAST(floor({c}) AS BIGINT) || '.' || CAST(floor(({c} - floor({c})) * {1 << 52}.0::DOUBLE) AS BIGINT) END")
+    else:
+        text = f"CAST(epoch_us({c}) AS VARCHAR)" if kind == "timestamp_ntz" else f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NULL THEN 'N' ELSE length({text}) || ':' || ({text}) END"
+
+
+def _hash_sql(digest: str, at: int) -> str:
     return (f"list_reduce(list_transform(range(13), lambda i: CAST(strpos('0123456789abcdef', "
-            f"substr(md5({txt}), i + 1, 1)) - 1 AS BIGINT)), lambda a, b: a * 16 + b)")
+            f"substr({digest}, i + {at}, 1)) - 1 AS BIGINT)), lambda a, b: a * 16 + b)")
 
 
-def _fingerprint_sql(name: str, src: str, cols) -> str:
-    schema = ",".join(f"{c}:{SPARK_TYPES[c]}" for c in cols)
+def _fingerprint_sql(name: str, src: str, cols: dict[str, str]) -> str:
+    schema = ",".join(f"{c}:{kind}" for c, kind in cols.items())
+    text = " || ".join(_field_sql(c, kind) for c, kind in cols.items())
     return (f"SELECT '{name}' AS dataset, count(*) AS row_count, {len(cols)} AS column_count, "
-            f"md5('{schema}') AS schema_hash, coalesce(bit_xor({_hash_sql(cols)}), 0) AS content_xor, "
-            f"CAST(coalesce(sum({_hash_sql(cols)} % {V.SUM_MODULUS}), 0) AS BIGINT) AS content_sum FROM {src}")
+            f"md5('{schema}') AS schema_hash, coalesce(bit_xor({_hash_sql('digest', 1)}), 0) AS content_xor, "
+            f"CAST(coalesce(sum({_hash_sql('digest', 14)}) % {V.SUM_MODULUS}, 0) AS BIGINT) AS content_sum "
+            f"FROM (SELECT md5({text}) AS digest FROM {src})")
 
 
 # ---- V1 -----------------------------------------------------------------------------
 def manifest_q(spark, sf):
-    return V.dataset_manifest({n: table(spark, sf, n).select(*c) for n, c in HASH_COLS.items()})
+    return V.dataset_manifest({n: table(spark, sf, n) for n in ("orders", "customer", "lineitem")})
 
 
 register("dataset_manifest", ops=("V1",), sql=" UNION ALL ".join(
-    _fingerprint_sql(n, n, c) for n, c in HASH_COLS.items()))(manifest_q)
+    _fingerprint_sql(n, n, COLUMNS[n]) for n in ("orders", "customer", "lineitem")))(manifest_q)
 
 
 # ---- V3 / V6: an older snapshot of the catalogue against the current one ---------------
@@ -52,38 +64,27 @@ def _old_new(spark, sf):
     t = lambda n: table(spark, sf, n)
     cut = F.lit(OLD_CUT).cast("timestamp_ntz")
     old = {
-        "orders": t("orders").filter(F.col("o_orderdate") < cut).select(*HASH_COLS["orders"]),
-        "customer": t("customer").select(*HASH_COLS["customer"]),
-        "supplier": t("supplier").select("s_suppkey", "s_name"),
-        "part": t("part").select("p_partkey", "p_name"),
-        "region": t("region").select("r_regionkey", F.lower("r_name").alias("r_name")),
-    }
-    new = {
-        "orders": t("orders").select(*HASH_COLS["orders"]),
-        "customer": t("customer").select(*HASH_COLS["customer"]),
-        "supplier": t("supplier").select("s_suppkey", "s_name", "s_nationkey"),
-        "nation": t("nation").select("n_nationkey", "n_name"),
-        "region": t("region").select("r_regionkey", "r_name"),
+        "orders": t("orders").filter(F.col("o_orderdate") < cut),
+        "customer": t("customer"),
+        "supplier": t("supplier").drop("s_nationkey"),
+        "part": t("part"),
+        "region": t("region").withColumn("r_name", F.lower("r_name")),
     }
-    return V.dataset_manifest(old), V.dataset_manifest(new)
+    new = {"orders": t("orders"), "customer": t("customer"), "supplier": t("supplier"), "nation": t("nation"),
+           "region": t("region")}
+    # One pass per table; both manifests are a row per table, written once for all their uses.
+    return V.dataset_manifest(old).checkpoint(), V.dataset_manifest(new).checkpoint()
 
 
 OLD_SQL = " UNION ALL ".join([
-    _fingerprint_sql("orders", f"(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{OLD_CUT}')",
-                     HASH_COLS["orders"]),
-    _fingerprint_sql("customer", "customer", HASH_COLS["customer"]),
-    _fingerprint_sql("supplier", "supplier", ["s_suppkey", "s_name"]),
-    _fingerprint_sql("part", "part", ["p_partkey", "p_name"]),
-    _fingerprint_sql("region", "(SELECT r_regionkey, lower(r_name) AS r_name FROM region)",
-                     ["r_regionkey", "r_name"]),
-])
-NEW_SQL = " UNION ALL ".join([
-    _fingerprint_sql("orders", "orders", HASH_COLS["orders"]),
-    _fingerprint_sql("customer", "customer", HASH_COLS["customer"]),
-    _fingerprint_sql("supplier", "supplier", ["s_suppkey", "s_name", "s_nationkey"]),
-    _fingerprint_sql("nation", "nation", ["n_nationkey", "n_name"]),
-    _fingerprint_sql("region", "region", ["r_regionkey", "r_name"]),
+    _fingerprint_sql("orders", f"(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{OLD_CUT}')", COLUMNS["orders"]),
+    _fingerprint_sql("customer", "customer", COLUMNS["customer"]),
+    _fingerprint_sql("supplier", "supplier", {c: k for c, k in COLUMNS["supplier"].items() if c != "s_nationkey"}),
+    _fingerprint_sql("part", "part", COLUMNS["part"]),
+    _fingerprint_sql("region", "(SELECT r_regionkey, lower(r_name) AS r_name FROM region)", COLUMNS["region"]),
 ])
+NEW_SQL = " UNION ALL ".join(_fingerprint_sql(n, n, COLUMNS[n])
+                             for n in ("orders", "customer", "supplier", "nation", "region"))
 
 
 def classify_change_q(spark, sf):
@@ -217,3 +218,33 @@ register("assign_ids", ops=("J14",), sql="""
 SELECT s_suppkey, s_name AS c_name,
        (SELECT coalesce(max(c_custkey), 0) FROM customer) + row_number() OVER (ORDER BY s_suppkey) AS c_custkey
 FROM supplier""")(assign_ids_q)
+
+
+# ---- V7: the customer table's profile against a model that was trained on it without the balance -----
+MODEL_CATEGORICAL = ["c_mktsegment", "c_nationkey"]
+
+
+def compatibility_q(spark, sf):
+    from vigilo.operators.drift import reference_profile
+    return V.check_compatibility(reference_profile(table(spark, sf, "customer")), 4, MODEL_CATEGORICAL)
+
+
+def _compatibility_sql() -> str:
+    from vigilo.presets import clinical as C
+    kinds = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CASE WHEN {'true' if k == 'string' else 'false'} OR count(DISTINCT {c}) * 1.0 / count({c}) "
+        f"< {C.CATEGORICAL_DISTINCT_SHARE} THEN 'categorical' ELSE 'numeric' END AS kind FROM customer"
+        for c, k in COLUMNS["customer"].items())
+    return f"""
+WITH k AS ({kinds}),
+a AS (SELECT count(*) AS data_features,
+             coalesce(array_to_string(list_sort(list(feature) FILTER (WHERE kind = 'categorical')), ','), '') AS data_categorical
+      FROM k),
+i AS (SELECT *, data_features <> 4 AS c, data_categorical <> '' AND data_categorical <> '{",".join(MODEL_CATEGORICAL)}' AS s FROM a)
+SELECT data_features, 4::BIGINT AS model_features, data_categorical, '{",".join(MODEL_CATEGORICAL)}' AS model_categorical,
+       NOT c AND NOT s AS compatible,
+       concat_ws('; ', CASE WHEN c THEN 'feature count mismatch' END, CASE WHEN s THEN 'categorical column mismatch' END) AS issues
+FROM i"""
+
+
+register("compatibility", ops=("V7",), sql=_compatibility_sql())(compatibility_q)

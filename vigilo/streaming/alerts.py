@@ -83,6 +83,7 @@ def alert_stream(signals: DataFrame, rules: DataFrame, signal_keys: Sequence[str
     ``candidates=True``); same semantics as
     :func:`vigilo.operators.alerts.apply_alert_policy`."""
     cand = signals if candidates else evaluate_rules_inline(signals, rules)
+    # Without tenant columns all alerts share one limit, hence one state: only for signals that are few.
     src = cand if tenant_cols else cand.withColumn("_tenant", F.lit(0))
     groups = list(tenant_cols) or ["_tenant"]
     out_fields = [f for f in src.schema.fields]
