@@ -55,3 +55,19 @@ def select_model(ranked: DataFrame, model_col: str, minima: Mapping[str, float],
         # Best composite score; ties go to the first model name.
         F.min_by(F.col(model_col), F.struct(-F.col("composite_score"), F.col(model_col))).alias("selected_model"),
         F.max("composite_score").alias("selected_score"))
+
+
+# L28 ------------------------------------------------------------------------
+def selection_record(ranked: DataFrame, model_col: str, minima: Mapping[str, float], decided_at: str,
+                     strict: bool = True) -> DataFrame:
+    """The choice as a row to append: chosen model with its figures, number of models,
+    minima in force and the criteria's order; no chosen model when none qualifies."""
+    chosen = select_model(ranked, model_col, minima, strict)
+    names = list(C.RANKING_WEIGHTS)
+    best = ranked.select(F.col(model_col).alias("_m"), *names)
+    out = chosen.join(best, F.col("selected_model") == F.col("_m"), "left").drop("_m")
+    return out.withColumns({
+        "n_models": ranked.agg(F.count(F.lit(1))).scalar(),
+        "minima": F.lit(",".join(f"{k}>={v}" for k, v in minima.items())),
+        "criteria": F.lit(",".join(f"{k}*{v}" for k, v in C.RANKING_WEIGHTS.items())),
+        "decided_at": F.lit(decided_at).cast("timestamp_ntz")})

@@ -119,7 +119,7 @@ def join_flag(pairs: DataFrame, flagged: DataFrame, keys: Sequence[str], name: s
 
 # J9 -------------------------------------------------------------------------
 def assemble_records(entities: DataFrame, events: DataFrame, key: str, value_col: str,
-                     kind_col: str, kinds: Sequence[str], limit: int | None = None) -> DataFrame:
+                     kind_col: str, kinds: Sequence[str]) -> DataFrame:
     """One row per entity with a sorted distinct array per event kind.
 
     Entities without a dimension row drop out (inner join).  ``collect_set``
@@ -128,8 +128,6 @@ def assemble_records(entities: DataFrame, events: DataFrame, key: str, value_col
     aggs = []
     for k in kinds:
         arr = F.array_sort(F.collect_set(F.when(F.col(kind_col) == k, F.col(value_col))))
-        if limit:
-            arr = F.slice(arr, 1, limit)
         aggs.append(arr.alias(k.lower()))
     per = events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), *aggs)
     return entities.join(per, [key], "inner")

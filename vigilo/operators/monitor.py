@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vigilo.functions import scalar as S
 from vigilo.operators.aggregates import classification_metrics, rollup_exprs
+from vigilo.operators.windows import roc_pr
 from vigilo.presets import clinical as C
 
 TAG_TYPE = "map<string,string>"
@@ -114,7 +115,7 @@ def metrics_summary(df: DataFrame, since, ts: str = "timestamp") -> DataFrame:
 
 # M7 -------------------------------------------------------------------------
 def current_performance(preds: DataFrame, as_of, hours: int = 1, ts: str = "timestamp") -> DataFrame:
-    """Performance over the trailing window from labelled rows (null when none)."""
+    """Performance over the trailing window from labelled rows (null when none), PR-AUC included."""
     t = F.lit(as_of).cast(preds.schema[ts].dataType)
     win = preds.filter((F.col(ts) > t - F.expr(f"INTERVAL {int(hours)} HOURS")) & (F.col(ts) <= t))
     counts = win.agg(F.count(F.lit(1)).alias("n_predictions"),
@@ -127,7 +128,8 @@ def current_performance(preds: DataFrame, as_of, hours: int = 1, ts: str = "time
     return counts.select(
         "n_predictions", "n_labelled", "avg_response_time_ms",
         *[F.when(has, m.select(c).scalar()).alias(n) for c, n in
-          (("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"))])
+          (("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"))],
+        roc_pr(labelled, "actual_label", "probability").select("pr_auc").scalar().alias("pr_auc"))
 
 
 # M8 -------------------------------------------------------------------------

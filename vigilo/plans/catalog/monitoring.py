@@ -133,13 +133,17 @@ m AS (SELECT sum(CASE WHEN actual_label = 1 AND prediction = 1 THEN 1 ELSE 0 END
 r AS (SELECT CASE WHEN tp + fp + tn + fn <> 0 THEN (tp + tn) / (tp + fp + tn + fn) ELSE 0.0 END AS accuracy,
              CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
              CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM m),
+sc AS (SELECT probability AS s, sum(CASE WHEN actual_label = 1 THEN 1 ELSE 0 END) AS pos, count(*) AS n
+       FROM win WHERE actual_label IS NOT NULL AND probability IS NOT NULL GROUP BY 1),
+sd AS (SELECT pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM sc WINDOW w AS (ORDER BY s DESC)),
+ap AS (SELECT CASE WHEN sum(pos) > 0 THEN sum(pos * tp / seen) / sum(pos) END AS pr_auc FROM sd),
 cur AS (SELECT n_predictions, n_labelled, avg_response_time_ms,
                CASE WHEN n_labelled > 0 THEN accuracy END AS accuracy,
                CASE WHEN n_labelled > 0 THEN precision END AS precision,
                CASE WHEN n_labelled > 0 THEN recall END AS recall,
                CASE WHEN n_labelled > 0 THEN CASE WHEN precision + recall <> 0
-                    THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END END AS f1_score
-        FROM c, r)"""
+                    THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END END AS f1_score, pr_auc
+        FROM c, r, ap)"""
 
 
 register("current_performance", ops=("M7", "A16"), sql=f"WITH {CURRENT_SQL} SELECT * FROM cur")(_current)
@@ -154,8 +158,8 @@ def _perf_drift_sql() -> str:
     levels = " ".join(f"WHEN decline_percentage >= {cut} THEN '{lvl}'" for cut, lvl in C.DECLINE_LEVELS)
     return f"""WITH {CURRENT_SQL},
 b AS (SELECT * FROM (VALUES {rows}) t(metric, baseline_value, cut)),
-l AS (UNPIVOT (SELECT n_predictions, accuracy, precision, recall, f1_score FROM cur)
-      ON accuracy, precision, recall, f1_score INTO NAME metric VALUE current_value),
+l AS (UNPIVOT (SELECT n_predictions, accuracy, precision, recall, f1_score, pr_auc FROM cur)
+      ON accuracy, precision, recall, f1_score, pr_auc INTO NAME metric VALUE current_value),
 j AS (SELECT l.metric, b.baseline_value, l.current_value, n_predictions, b.cut,
              (b.baseline_value - l.current_value) / b.baseline_value AS decline_percentage
       FROM l JOIN b USING (metric))
@@ -200,8 +204,7 @@ def _rules_values() -> str:
         for sev_rank in [C.SEVERITY_ORDER.index(sev) + 1])
 
 
-def candidates_sql(tenant: str = "") -> str:
-    """Candidates of the signals; ``tenant`` is empty or a column with a comma."""
+def signals_sql(tenant: str = "") -> str:
     return f"""sig AS (
   SELECT {tenant} 'model_error' AS alert_type, 'error_rate' AS metric, 'error_rate' AS detail,
          time_bucket(INTERVAL 1 HOUR, ts) AS ts,
@@ -209,7 +212,15 @@ def candidates_sql(tenant: str = "") -> str:
   FROM events GROUP BY ALL
   UNION ALL
   SELECT {tenant} 'data_drift', event_type, event_type, time_bucket(INTERVAL 1 HOUR, ts), avg(value) / 400.0
-  FROM events GROUP BY ALL),
+  FROM events GROUP BY ALL)"""
+
+
+SIGNALS_SQL = signals_sql()
+
+
+def candidates_sql(tenant: str = "") -> str:
+    """Candidates of the signals; ``tenant`` is empty or a column with a comma."""
+    return f"""{signals_sql(tenant)},
 rules AS (SELECT * FROM (VALUES {_rules_values()}) r(name, rtype, threshold, sev, sev_rank, channels, cooldown)),
 hit AS (SELECT * FROM sig JOIN rules ON sig.alert_type = rules.rtype AND sig.value >= rules.threshold),
 cand AS (SELECT {tenant} alert_type, detail, ts, any_value(metric) AS metric, any_value(value) AS value,
