@@ -92,17 +92,19 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 
 
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    qs: Sequence[float]) -> DataFrame:
+                    qs: Sequence[float], count_col: str | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles per group (like ``percentile``).
 
     Scales with distinct values: counts per (group, value), a distributed
     prefix sum of the counts, then the rows covering the target ranks.  The
     rank-target table is ``groups x len(qs) x 2`` rows.
+    ``count_col`` says that the rows are distinct values with their counts.
     Returns ``group_cols + [q, value]``.
     """
     group_cols = list(group_cols)
-    counted = (long_df.filter(F.col(value_col).isNotNull())
-               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
+    known = long_df.filter(F.col(value_col).isNotNull())
+    counted = known.select(*group_cols, value_col, F.col(count_col).alias("_cnt")) if count_col else \
+        known.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
     cum = prefix_sums(counted, value_col, ["_cnt"], group_cols)
     sizes = counted.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])

@@ -73,30 +73,34 @@ def overall_completeness(df: DataFrame) -> DataFrame:
 def validity(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Numeric profile with IQR outliers (strictly outside the 1.5 IQR fences)."""
     cols = list(cols or numeric_columns(df))
-    long = unpivot_numeric(df, cols, var="column")
-    v = F.col("value")
-    n_rows = F.count(F.lit(1))
-    stats = long.groupBy("column").agg(
-        n_rows.alias("_rows"), F.count_distinct(v).alias("unique_values"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"))
-    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    # One pass over the table: everything below comes from the counts per distinct value,
+    # which are written once for their three uses.
+    counts = (unpivot_numeric(df, cols, var="column").groupBy("column", "value")
+              .agg(F.count(F.lit(1)).alias("n")).checkpoint())
+    v, n = F.col("value"), F.col("n")
+    known = F.sum(F.when(v.isNotNull(), n))
+    stats = counts.groupBy("column").agg(
+        F.sum(n).alias("_rows"), known.alias("_known"), F.count(v).alias("unique_values"),
+        F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * n) / known).alias("_mean"))
+    q = exact_quantiles(counts, ["column"], "value", [0.25, 0.5, 0.75], "n")
     quart = q.groupBy("column").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
-    fences = quart.select("column", "q1", "median", "q3",
-                          (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
-    # One row per profiled column: the fence table's size is fixed by the caller.
-    flagged = long.join(F.broadcast(fences.select("column", "lower_fence", "upper_fence")), ["column"], "left")
-    outl = flagged.groupBy("column").agg(F.sum(F.when((v < F.col("lower_fence")) | (v > F.col("upper_fence")), 1)
-                                               .otherwise(0)).cast("long").alias("outliers"))
-    out = stats.join(fences, ["column"], "left").join(outl, ["column"], "left")
-    return out.select(
+    per = stats.join(quart, ["column"], "left").withColumns({
+        "lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
+        "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
+    # One row per profiled column: the table's size is fixed by the caller.
+    marked = counts.join(F.broadcast(per.select("column", "_mean", "lower_fence", "upper_fence")), ["column"])
+    spread = marked.groupBy("column").agg(
+        F.sum(F.when((v < F.col("lower_fence")) | (v > F.col("upper_fence")), n).otherwise(0)).cast("long").alias("outliers"),
+        F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_m2"))
+    std = F.when(F.col("_known") > 1, F.sqrt(F.col("_m2") / (F.col("_known") - 1)))
+    return per.join(spread, ["column"], "left").select(
         "column", "unique_values",
         F.round(F.col("unique_values") * 100.0 / F.col("_rows"), 2).alias("unique_percentage"),
-        "min", "max", "mean", "median", "std", "q1", "q3", "lower_fence", "upper_fence", "outliers",
+        "min", "max", F.round("_mean", 2).alias("mean"), "median", F.round(std, 2).alias("std"),
+        "q1", "q3", "lower_fence", "upper_fence", "outliers",
         F.round(F.col("outliers") * 100.0 / F.col("_rows"), 2).alias("outliers_percentage"))
 
 
