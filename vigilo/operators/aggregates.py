@@ -157,22 +157,53 @@ def metric_counts(df: DataFrame, ts: str, since, name: str = "metric_name",
 
 
 # A12 ------------------------------------------------------------------------
+ROLLUP_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
 def rollup_exprs(value: str = "value", exact: bool = True) -> list[Column]:
+    """All figures as aggregates of one group; ``exact`` percentiles keep a value map per group (streams)."""
     v = F.col(value)
     pct = (lambda q: F.percentile(v, q)) if exact else (lambda q: F.percentile_approx(v, q, 10000).cast("double"))
     return [F.count(v).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"),
             F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-            pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99")]
+            *[pct(q).alias(name) for name, q in ROLLUP_QUANTILES.items()]]
 
 
 def rollup_metrics(df: DataFrame, keys: Sequence[str], value: str = "value", exact: bool = True) -> DataFrame:
     """count/sum/min/max/mean/population std/linear percentiles per key.
 
-    Non-numeric values are skipped (``try_cast``).  Exact percentiles keep a
-    value map per group; use ``exact=False`` for unbounded groups.
+    Non-numeric values are skipped (``try_cast``).  Exact percentiles come from
+    counts per distinct value and running counts over value buckets, so no
+    group's values meet in one task; ``exact=False`` estimates them.
     """
+    keys = list(keys)
     src = df.withColumn(value, F.expr(f"try_cast(`{value}` AS double)")).filter(F.col(value).isNotNull())
-    return src.groupBy(*keys).agg(*rollup_exprs(value, exact))
+    if not exact:
+        return src.groupBy(*keys).agg(*rollup_exprs(value, False))
+    figures = src.groupBy(*keys).agg(*rollup_exprs(value)[:6])
+    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    q = exact_quantiles(counts, keys, value, list(ROLLUP_QUANTILES.values()), "_n")
+    wide = q.groupBy(*[F.col(k).alias("_k_" + k) for k in keys]).agg(
+        *[F.max(F.when(F.col("q") == x, F.col(value))).alias(name) for name, x in ROLLUP_QUANTILES.items()])
+    cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
+    return figures.join(wide, cond, "left").drop(*["_k_" + k for k in keys])
+
+
+def merged_deviation(parts: Column) -> Column:
+    """Population standard deviation of groups given as an array of (n, mean, m2):
+    squared deviations from the common mean, never differences of large squares."""
+    n = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["n"])
+    mean = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["n"] * p["mean"]) / n
+    m2 = F.aggregate(F.transform(parts, lambda p: F.struct(p["n"].alias("n"), p["mean"].alias("mean"), p["m2"].alias("m2"),
+                                                            mean.alias("all"))),
+                     F.lit(0.0), lambda acc, p: acc + p["m2"] + p["n"] * (p["mean"] - p["all"]) * (p["mean"] - p["all"]))
+    return F.sqrt(F.greatest(m2 / n, F.lit(0.0)))
+
+
+# Count, mean and squared deviations of one slide-sized bucket.
+def bucket_part(v: Column) -> Column:
+    return F.struct(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"),
+                    (F.var_pop(v) * F.count(v)).alias("m2"))
 
 
 # A13 ------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilo.functions import scalar as S
-from vigilo.operators.aggregates import classification_metrics, rollup_exprs
+from vigilo.operators.aggregates import bucket_part, classification_metrics, merged_deviation, rollup_metrics
 from vigilo.operators.windows import roc_pr
 from vigilo.presets import clinical as C
 
@@ -66,23 +66,23 @@ def rollup_windows(df: DataFrame, size: str, slide: str | None = None, keys: Seq
     keys = list(keys)
     src = df.withColumn(value, F.expr(f"try_cast(`{value}` AS double)")).filter(F.col(value).isNotNull())
     if slide is None or slide == size:
-        out = src.groupBy(F.window(ts, size).alias("w"), *keys).agg(*rollup_exprs(value, exact))
-        return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                          *keys, "count", "sum", "min", "max", "mean", "std", "p50", "p95", "p99")
+        w = F.window(ts, size)
+        out = rollup_metrics(src.withColumns({"window_start": w.start, "window_end": w.end}),
+                             ["window_start", "window_end", *keys], value, exact)
+        return out.select("window_start", "window_end", *keys, "count", "sum", "min", "max", "mean", "std",
+                          "p50", "p95", "p99")
     v = F.col(value)
     buckets = src.groupBy(F.window(ts, slide).alias("b"), *keys).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
+        F.count(v).alias("n"), F.sum(v).alias("s"), bucket_part(v).alias("part"),
         F.min(v).alias("mn"), F.max(v).alias("mx"))
     # Each bucket lies in size/slide windows; window() on the bucket start enumerates them.
-    win = buckets.select(F.window(F.col("b.start"), size, slide).alias("w"), *keys, "n", "s", "ss", "mn", "mx")
+    win = buckets.select(F.window(F.col("b.start"), size, slide).alias("w"), *keys, "n", "s", "part", "mn", "mx")
     agg = win.groupBy("w", *keys).agg(F.sum("n").alias("count"), F.sum("s").alias("sum"),
                                       F.min("mn").alias("min"), F.max("mx").alias("max"),
-                                      F.sum("ss").alias("_ss"))
-    mean = F.col("sum") / F.col("count")
-    var = F.greatest(F.col("_ss") / F.col("count") - mean * mean, F.lit(0.0))
+                                      F.collect_list("part").alias("parts"))     # size / slide parts at most
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
                       F.col("count").cast("long").alias("count"), "sum", "min", "max",
-                      mean.alias("mean"), F.sqrt(var).alias("std"))
+                      (F.col("sum") / F.col("count")).alias("mean"), merged_deviation(F.col("parts")).alias("std"))
 
 
 # M4 -------------------------------------------------------------------------

@@ -118,9 +118,9 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     pos = pos.select(*[F.col(g).alias("_p_" + g) for g in group_cols], "q", "_h", "_lo", "t.side", "t.pos")
     cond = [F.col(g).eqNullSafe(F.col("_p_" + g)) for g in group_cols] + [
         (F.col("cum__cnt") - F.col("_cnt")) <= F.col("pos"), F.col("pos") < F.col("cum__cnt")]
-    # The rank-target table has groups x len(qs) x 2 rows (groups are column
-    # names or classes): broadcast, so no group's values meet in one task.
-    hit = cum.join(F.broadcast(pos), cond, "inner").select(
+    # The rank-target table has groups x len(qs) x 2 rows.  No hint: it is broadcast
+    # when its measured size allows, else a hot group is split as a skewed join.
+    hit = cum.join(pos, cond, "inner").select(
         *group_cols, "q", "_h", "_lo", "side", F.col(value_col).cast("double").alias("_v"))
     res = hit.groupBy(*group_cols, "q").agg(
         F.first("_h").alias("_h"), F.first("_lo").alias("_lo"),

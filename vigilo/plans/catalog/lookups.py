@@ -10,12 +10,19 @@ from vigilo.operators import evaluation as EV
 from vigilo.operators import joins as J
 from vigilo.operators import monitor as MO
 from vigilo.operators import ordering as O
+from vigilo.functions import scalar as S
+from vigilo.plans import features as FE
+from vigilo.plans.catalog.features import clinical_fact
 from vigilo.plans.catalog.evaluation import MINIMA, MODEL_SQL, model_comparison
 from vigilo.plans.catalog.monitoring import COOLDOWN_SQL, SINCE, SIGNALS_SQL, _cooled, signals
 from vigilo.plans.registry import register
 from vigilo.presets import clinical as C
+from vigilo.presets import driver as D
 from vigilo.sources.tables import table
 
+STATES = ["ny", "CA", "N1", "TEX", "wa"]
+REQUEST_AS_OF = "2024-01-30 12:00:00"
+
 # ---- A2 / A3 / A4 / A5: one row per customer --------------------------------------------
 PRIORITY_GROUPS = {"urgent": ["1-URGENT"], "high": ["2-HIGH"], "other": ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}
 LARGE_ORDER = 150000.0
@@ -181,3 +188,100 @@ SELECT n_qualified, selected_model, selected_score, {", ".join("rk." + m for m i
        (SELECT count(*) FROM rk) AS n_models, '{",".join(f"{k}>={v}" for k, v in MINIMA.items())}' AS minima,
        '{",".join(f"{k}*{v}" for k, v in C.RANKING_WEIGHTS.items())}' AS criteria, TIMESTAMP '{DECIDED}' AS decided_at
 FROM choice LEFT JOIN rk ON model = selected_model""")(selection_log)
+
+
+# ---- S3 / S6 / P27 / P23: patient documents in both layouts, as events and as form risks ------
+DOCUMENT_ROWS = 500      # patients of one document
+PATIENT = "id: bigint, age: int, diagnosisDate: string, comorbidities: array<string>, symptoms: array<string>"
+DOCUMENT = f"patients array<struct<{PATIENT}>>, doctor_input_patients array<struct<{PATIENT}>>"
+
+
+def patient_documents_frame(spark, sf):
+    """Documents written as JSON (every second one in the legacy layout) and read back."""
+    import uuid
+    from vigilo.session import scratch_dir
+    from vigilo.sources import tables as TB
+    fact = clinical_fact(spark, sf)
+    named = lambda kind: F.array_sort(F.collect_set(F.when(
+        (F.col("txn_type") == kind) & (F.col("txn_desc") != C.INDEX_CODE), F.col("txn_desc"))))
+    per = fact.groupBy(F.col("patient_id").alias("id")).agg(
+        (F.lit(20) + F.max("patient_id") % 70).cast("int").alias("age"),
+        F.date_format(F.min("txn_dt"), "yyyy-MM-dd").alias("diagnosisDate"),
+        named("CONDITIONS").alias("comorbidities"), named("SYMPTOMS").alias("symptoms"))
+    docs = per.withColumn("_doc", F.floor(F.col("id") / DOCUMENT_ROWS)).groupBy("_doc").agg(
+        F.collect_list(F.struct("id", "age", "diagnosisDate", "comorbidities", "symptoms")).alias("p"))
+    legacy = F.col("_doc") % 2 == 1
+    path = scratch_dir(spark, f"patients-{uuid.uuid4().hex[:8]}")
+    (docs.select(F.when(~legacy, F.col("p")).alias("patients"), F.when(legacy, F.col("p")).alias("doctor_input_patients"))
+     .write.option("maxRecordsPerFile", 1).json(path))
+    return TB.read_documents(spark, path, DOCUMENT)
+
+
+PER_SQL = f"""per AS (SELECT patient_id AS id, (20 + patient_id % 70)::INTEGER AS age, min(txn_dt)::DATE AS d,
+  coalesce(list(DISTINCT txn_desc) FILTER (WHERE txn_type = 'CONDITIONS' AND txn_desc <> '{C.INDEX_CODE}'), []) AS co,
+  coalesce(list(DISTINCT txn_desc) FILTER (WHERE txn_type = 'SYMPTOMS' AND txn_desc <> '{C.INDEX_CODE}'), []) AS sy
+  FROM ({D.FACT_SQL}) GROUP BY 1, 2)"""
+
+
+def patient_documents(spark, sf):
+    events = FE.documents_to_events(patient_documents_frame(spark, sf))
+    return events.groupBy("txn_type", "txn_desc").agg(
+        F.count(F.lit(1)).alias("n"), F.min("txn_dt").cast("timestamp_ntz").alias("first_dt"))
+
+
+register("patient_documents", ops=("S3", "S6", "P27"), sql=f"""
+WITH {PER_SQL},
+e AS (SELECT 'CONDITIONS' AS txn_type, unnest(co) AS txn_desc, d FROM per
+      UNION ALL SELECT 'SYMPTOMS', unnest(sy), d FROM per
+      UNION ALL SELECT 'CONDITIONS', '{C.INDEX_CODE}', d FROM per WHERE len(co) = 0)
+SELECT txn_type, txn_desc, count(*) AS n, min(d)::TIMESTAMP AS first_dt FROM e GROUP BY 1, 2""")(patient_documents)
+
+
+def form_risks(spark, sf):
+    docs = patient_documents_frame(spark, sf).withColumn(
+        "contraindicationLevel", F.element_at(F.array(*[F.lit(x) for x in C.FORM_CONTRA_MULTIPLIER]),
+                                              (F.col("id") % 3 + 1).cast("int")))
+    return FE.form_risk(docs).select("id", "risk_score", "risk_level", "has_alert")
+
+
+register("form_risks", ops=("P23", "S3"), sql=f"""
+WITH {PER_SQL},
+s AS (SELECT id, age, len(co) AS n_co, (2 * len(co) + len(sy) + CASE WHEN age >= 65 THEN 3 WHEN age >= 50 THEN 1 ELSE 0 END)
+             * ([{", ".join(str(x) for x in C.FORM_CONTRA_MULTIPLIER.values())}])[id % 3 + 1] AS risk_score FROM per)
+SELECT id, risk_score::DOUBLE AS risk_score, CASE {" ".join(f"WHEN risk_score >= {a} THEN '{b}'" for a, b in C.FORM_RISK_LEVELS)}
+         ELSE 'Low Risk' END AS risk_level,
+       risk_score >= {C.FORM_ALERT_SCORE} OR (age >= 65 AND n_co >= 2) AS has_alert
+FROM s""")(form_risks)
+
+
+# ---- P25 in full: checks of a request before it is scored ---------------------------------------
+def request_validation(spark, sf):
+    fact = clinical_fact(spark, sf)
+    as_of = F.lit(REQUEST_AS_OF).cast("timestamp_ntz")
+    per = fact.groupBy("patient_id").agg(
+        F.max((F.col("txn_type") == "CONDITIONS").cast("int")).alias("has_condition"),
+        F.max("txn_dt").alias("last_dt"), F.min("txn_dt").alias("first_dt"))
+    state = F.element_at(F.array(*[F.lit(x) for x in STATES]), (F.col("patient_id") % len(STATES) + 1).cast("int"))
+    age = (F.col("patient_id") % 130).cast("int")
+    days = S.day_diff("last_dt", "first_dt")
+    errors = S.validate_rows([
+        (F.col("has_condition") == 0, "At least one CONDITIONS transaction is required"),
+        (F.col("last_dt") > as_of, "Diagnosis date cannot be in the future"),
+        ((age < 0) | (age > 120), "Patient age must be between 0 and 120"),
+        ((days < 0) | (days > 30), "Symptom to diagnosis days must be between 0 and 30"),
+        (~state.rlike("^[A-Za-z]{2}$"), "Physician state must be a 2-letter code")])
+    return per.select("patient_id", F.array_join(errors, "; ").alias("errors"))
+
+
+register("request_validation", ops=("P25",), sql=f"""
+WITH per AS (SELECT patient_id, max(CASE WHEN txn_type = 'CONDITIONS' THEN 1 ELSE 0 END) AS c, max(txn_dt) AS l,
+                    min(txn_dt) AS f FROM ({D.FACT_SQL}) GROUP BY 1),
+v AS (SELECT *, floor((epoch_us(l) - epoch_us(f)) / 86400000000.0) AS days,
+             ([{", ".join(repr(x) for x in STATES)}])[patient_id % {len(STATES)} + 1] AS state FROM per)
+SELECT patient_id, concat_ws('; ',
+  CASE WHEN c = 0 THEN 'At least one CONDITIONS transaction is required' END,
+  CASE WHEN l > TIMESTAMP '{REQUEST_AS_OF}' THEN 'Diagnosis date cannot be in the future' END,
+  CASE WHEN patient_id % 130 > 120 THEN 'Patient age must be between 0 and 120' END,
+  CASE WHEN days < 0 OR days > 30 THEN 'Symptom to diagnosis days must be between 0 and 30' END,
+  CASE WHEN NOT regexp_full_match(state, '[A-Za-z]{{2}}') THEN 'Physician state must be a 2-letter code' END) AS errors
+FROM v""")(request_validation)

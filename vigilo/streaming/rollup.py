@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vigilo.operators.aggregates import bucket_part, merged_deviation
+
 
 def rollup_stream(sdf: DataFrame, size: str, slide: str | None = None, watermark: str = "10 minutes",
                   keys: Sequence[str] = ("metric_name",), ts: str = "timestamp", value: str = "value",
@@ -40,16 +42,14 @@ def rollup_stream(sdf: DataFrame, size: str, slide: str | None = None, watermark
         return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           *keys, "count", "sum", "min", "max", "mean", "std", "p50", "p95", "p99")
     buckets = src.groupBy(F.window(ts, slide).alias("b"), *keys).agg(
-        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
+        F.count(v).alias("n"), F.sum(v).alias("s"), bucket_part(v).alias("part"),
         F.min(v).alias("mn"), F.max(v).alias("mx"))
     wins = buckets.groupBy(F.window(F.window_time("b"), size, slide).alias("w"), *keys).agg(
         F.sum("n").alias("count"), F.sum("s").alias("sum"), F.min("mn").alias("min"),
-        F.max("mx").alias("max"), F.sum("ss").alias("_ss"))
-    mean = F.col("sum") / F.col("count")
-    var = F.greatest(F.col("_ss") / F.col("count") - mean * mean, F.lit(0.0))
+        F.max("mx").alias("max"), F.collect_list("part").alias("parts"))         # size / slide parts at most
     return wins.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
                        F.col("count").cast("long").alias("count"), "sum", "min", "max",
-                       mean.alias("mean"), F.sqrt(var).alias("std"))
+                       (F.col("sum") / F.col("count")).alias("mean"), merged_deviation(F.col("parts")).alias("std"))
 
 
 def append_batches(path: str, partition_by: Sequence[str] = ()):
