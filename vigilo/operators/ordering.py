@@ -14,20 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# O1 -------------------------------------------------------------------------
-def sort_by(df: DataFrame, cols: Sequence[str], descending: Sequence[bool] | None = None) -> DataFrame:
-    desc = descending or [False] * len(cols)
-    return df.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in zip(cols, desc)])
-
 
 # O2 -------------------------------------------------------------------------
 def top_k(df: DataFrame, col: str, k: int, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.col(col).desc(), *[F.col(t).asc() for t in tie]).limit(k)
 
 
-def bottom_k(df: DataFrame, col: str, k: int, tie: Sequence[str] = ()) -> DataFrame:
-    return df.orderBy(F.col(col).asc(), *[F.col(t).asc() for t in tie]).limit(k)
-
 
 # O3 -------------------------------------------------------------------------
 def recent(df: DataFrame, ts: str, n: int, tie: Sequence[str] = ()) -> DataFrame:

@@ -273,5 +273,4 @@ def category_coverage(train: DataFrame, test: DataFrame, cols: Sequence[str]) ->
         .withColumn("valid", F.col("n_seen") == F.col("n_test_values"))
 
 
-def thresholds_table(spark, mapping: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), "name string, value double")
+

@@ -157,7 +157,7 @@ register("feature_importance", ops=("L12", "L20"))(feature_importance_q)
 
 def cross_validation_q(spark, sf):
     prep = _prepared(spark, sf)
-    res = ML.cross_validate("logistic_regression", prep, NUMERIC + CATEGORICAL, "target", "patient_id", k=3,
+    res = ML.cross_validate("logistic_regression", prep, NUMERIC + CATEGORICAL, "target", "patient_id", k=5,
                             seed=SEED)
     return spark.createDataFrame([(res["metric"], res["mean"], res["std"])], "metric string, mean double, std double")
 
