@@ -166,8 +166,10 @@ def chi2_drift(ref: DataFrame, new: DataFrame, cols: Sequence[str], with_p: bool
 
 # D6 -------------------------------------------------------------------------
 def detect_drift(ref: DataFrame, new: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                 min_new_rows: int = 100, max_features: int | None = None) -> DataFrame:
+                 min_new_rows: int = 100, max_features: int | None = None,
+                 multivariate: Sequence[str] = ()) -> DataFrame:
     """All features with the source's gates; only drifted features are returned.
+    ``multivariate`` names the columns of the principal-component check.
 
     With fewer than ``min_new_rows`` new rows the result is one row that says
     so.  ``max_features`` (off by default) checks the first features only.
@@ -187,6 +189,10 @@ def detect_drift(ref: DataFrame, new: DataFrame, numeric: Sequence[str], categor
         parts.append(ch.select("feature", F.lit("chi2_test").alias("test_method"),
                                F.col("chi2").alias("test_statistic"), "p_value", "drift_score",
                                "drift_detected"))
+    if len(multivariate) > 1:
+        pc = pca_drift(ref, new, multivariate)
+        parts.append(pc.select("feature", F.lit("pca_ks").alias("test_method"), F.col("ks_statistic").alias("test_statistic"),
+                               "p_value", F.col("ks_statistic").alias("drift_score"), "drift_detected"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -200,6 +206,12 @@ def detect_drift(ref: DataFrame, new: DataFrame, numeric: Sequence[str], categor
             .withColumn("severity", severity(F.col("drift_score"))).unionByName(too_few))
 
 
+def route_by_profile(profile: DataFrame) -> tuple[list[str], list[str]]:
+    """Numeric and categorical features of a reference profile (one row per column is read)."""
+    kinds = {r["feature"]: r["kind"] for r in profile.select("feature", "kind").collect()}
+    return tuple(sorted(f for f, k in kinds.items() if k == kind) for kind in ("numeric", "categorical"))
+
+
 # D7 -------------------------------------------------------------------------
 def compare_distributions(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -> DataFrame:
     def stats(df, prefix):
@@ -261,8 +273,9 @@ def reference_profile(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 # D5 -------------------------------------------------------------------------
-def pca_drift(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """KS drift on the first principal component, fitted on the reference only."""
+def pca_drift(ref: DataFrame, new: DataFrame, cols: Sequence[str], min_rows: int = 10) -> DataFrame:
+    """KS drift on the first principal component, fitted on the reference only, with
+    its flag and severity; no row when a side has fewer than ``min_rows`` rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -276,5 +289,7 @@ def pca_drift(ref: DataFrame, new: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     def pc(df):
         return model.transform(df.select(*cols)).select(vector_to_array("_pc")[0].alias("pc1"))
-    out = ks_drift(pc(ref), pc(new), ["pc1"])
-    return out.withColumn("feature", F.lit("multivariate_pc1"))
+    out = ks_drift(pc(ref), pc(new), ["pc1"]).filter((F.col("n_ref") >= min_rows) & (F.col("n_new") >= min_rows))
+    return out.withColumns({"feature": F.lit("multivariate_pc1"),
+                            "drift_detected": F.col("p_value") < C.DRIFT_P_VALUE,
+                            "severity": severity(F.col("ks_statistic"))})

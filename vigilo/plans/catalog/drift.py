@@ -12,6 +12,7 @@ from vigilo.sources.tables import table
 SPLIT = "1998-06-01 00:00:00"
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATEGORICAL = ["l_returnflag", "l_linestatus"]
+DERIVED = {"ship_day": "strftime(l_shipdate, '%Y-%m-%d')"}     # a category with thousands of values
 
 
 def periods(spark, sf):
@@ -29,10 +30,10 @@ def _ks_sql(x: str) -> str:
             f"{DR.KS_TERMS + 1}), lambda k: 2 * pow(-1.0, k - 1) * exp(-2 * k * k * {x} * {x}))), 0.0), 1.0) END")
 
 
-def ks_sql() -> str:
+def ks_sql(cols=NUMERIC) -> str:
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, {side} AS side FROM {src}"
-        for c in NUMERIC for side, src in ((0, "ref"), (1, "new")))
+        for c in cols for side, src in ((0, "ref"), (1, "new")))
     return f"""{PERIODS_SQL},
 l AS ({long}),
 c AS (SELECT feature, value, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS n_ref,
@@ -59,10 +60,10 @@ def _band_sql(x: str) -> str:
         f" ELSE '{C.DRIFT_SEVERITY_DEFAULT}' END"
 
 
-def chi2_sql() -> str:
+def chi2_sql(cols=CATEGORICAL) -> str:
     long = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, {side} AS side FROM {src}"
-        for c in CATEGORICAL for side, src in ((0, "ref"), (1, "new")))
+        f"SELECT '{c}' AS feature, CAST({DERIVED.get(c, c)} AS VARCHAR) AS category, {side} AS side FROM {src}"
+        for c in cols for side, src in ((0, "ref"), (1, "new")))
     return f"""{PERIODS_SQL},
 cl AS ({long}),
 cells AS (SELECT feature, category, CAST(sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS o_ref,
@@ -116,8 +117,9 @@ def detect_drift_q(spark, sf):
     return _detected(spark, sf).select("feature", "test_method", "test_statistic", "drift_score", "severity")
 
 
-DETECT_SQL = f"""{ks_sql()},
-{chi2_sql().split(',', 2)[2].lstrip()},
+def detect_sql(numeric=NUMERIC, categorical=CATEGORICAL) -> str:
+    return f"""{ks_sql(numeric)},
+{chi2_sql(categorical).split(',', 2)[2].lstrip()},
 dd AS (
   SELECT feature, 'ks_test' AS test_method, ks_statistic AS test_statistic, ks_statistic AS drift_score,
          {_band_sql('ks_statistic')} AS severity
@@ -126,9 +128,30 @@ dd AS (
   SELECT feature, 'chi2_test', chi2, drift_score, severity FROM ch
   WHERE drift_detected AND (SELECT count(*) FROM new) >= 100)"""
 
+
+DETECT_SQL = detect_sql()
+
 register("detect_drift", ops=("D6", "D2", "D3"), sql=f"WITH {DETECT_SQL} SELECT * FROM dd")(detect_drift_q)
 
 
+# ---- D6 with D1: every feature by the test that its reference profile asks for, many categories included ----
+ROUTED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_partkey", "ship_day"]
+ROUTED_NUMERIC = ["l_extendedprice"]     # the only one whose values rarely repeat
+
+
+def detect_drift_routed(spark, sf):
+    ref, new = (p.withColumn("ship_day", F.date_format("l_shipdate", "yyyy-MM-dd")) for p in periods(spark, sf))
+    numeric, categorical = DR.route_by_profile(DR.reference_profile(ref.select(*ROUTED)))
+    return DR.detect_drift(ref, new, numeric, categorical).select(
+        "feature", "test_method", "test_statistic", "drift_score", "severity")
+
+
+register("detect_drift_routed", ops=("D6", "D1", "D2", "D3"),
+         sql=f"WITH {detect_sql(ROUTED_NUMERIC, [c for c in ROUTED if c not in ROUTED_NUMERIC])} SELECT * FROM dd")(
+    detect_drift_routed)
+
+
+
 def drift_summary_q(spark, sf):
     return DR.drift_summary(_detected(spark, sf), len(NUMERIC) + len(CATEGORICAL))
 

@@ -67,7 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         path = configured
-    elif not fallback and not spark.sparkContext.master.startswith("local["):
+    elif not fallback and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         path = fallback or tempfile.mkdtemp(prefix="vigilo-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
