@@ -368,12 +368,15 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
     prep = right_size(prep.checkpoint(eager=True))
     features = list(numeric) + list(categorical)
     tr, te = prep.filter(~F.col("is_test")), prep.filter(F.col("is_test"))
-    rows = None
+    rows, failed = None, []
     for kind in kinds:
         try:
             m = evaluate_model(train(kind, tr, features, label, seed), te, label)
             m = m.withColumn("model", F.lit(kind))
         except Exception as exc:  # one failed model does not stop the rest
+            failed.append(exc)
+            if len(failed) == len(kinds):
+                raise
             m = spark.createDataFrame([(kind, str(exc)[:200])], "model string, error string")
         rows = m if rows is None else rows.unionByName(m, allowMissingColumns=True)
     # One row per model: materialise before ranking reads it twice.

@@ -176,16 +176,17 @@ def conversation_documents(spark, sf):
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("transactions"))
     path = scratch_dir(spark, f"docs-{uuid.uuid4().hex[:8]}")
     TB.write_documents(docs, path, {"data_source": "conversations"})
-    back = spark.read.json(path + "/records")
+    back = spark.read.schema("conv_id bigint, transactions array<struct<turn: bigint, role: string, text: string>>").json(
+        path + "/records")
     rows = TB.explode_requests(back, "conv_id", "transactions")
-    meta_total = spark.read.json(path + "/metadata").select("total")
+    meta_total = spark.read.schema("total bigint, data_source string").json(path + "/metadata").select("total")
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"),
                                     F.sum(F.length("text")).alias("n_chars"),
                                     F.count_distinct("conv_id").alias("n_documents")) \
         .withColumn("documents_total", meta_total.scalar())
 
 
-register("conversation_documents", ops=("S3", "S4", "S6", "P27"), sql="""
+register("conversation_documents", ops=("S4", "S6"), sql="""
 SELECT role, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT conv_id) AS n_documents,
        (SELECT count(DISTINCT conv_id) FROM conversations) AS documents_total
 FROM conversations GROUP BY role""")(conversation_documents)
