@@ -202,12 +202,12 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 8 Viterbi
 @register()
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = viterbi.decode(viterbi.encode(_table(spark, sf_dir, "documents")))
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
-                        F.crc32("ids").alias("ids_crc32"),
-                        (F.octet_length("merged_ids") / 4).cast("long").alias("n_merged_ids"),
-                        F.crc32("merged_ids").alias("merged_ids_crc32"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = viterbi.encode(_table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        (F.octet_length("merged_ids") / 4).cast("long").alias("n_merged_ids"),
+        F.crc32("merged_ids").alias("merged_ids_crc32"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "ids")
+    return viterbi.decode(coded).select("doc_id", "n_ids", "ids_crc32", "n_merged_ids", "merged_ids_crc32",
+                                        (F.md5("decoded") == F.col("text_md5")).alias("round_trip"))
 
 
 # ----------------------------------------------------------------- 9 toxicity

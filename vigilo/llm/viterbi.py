@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ from vigilo.llm.words import mix, sub_batches
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-BATCH_CELLS = 1 << 21      # words times length of one matrix
-CACHED = 400_000           # parts remembered by a worker
+BATCH_CELLS = 1 << 18      # words times length of one matrix
+CACHED = 300_000           # parts remembered by a worker
+INDEX_BITS = 18            # of the index into the sorted keys
+TEXT_BYTES = 2 << 20       # text of one batch
 _PART = re.compile(r" *[^ ]+| +")
+_LINE_PART = re.compile(r" *[^ \n]+| +|\n")     # where no piece holds a line break
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,6 +84,12 @@ class Pieces:
             raise ValueError("two pieces share a hash")
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
         self.scores = np.array(scores, np.float64)[self.ids]
+        # Where the keys with given upper bits start; most substrings have none.
+        many = np.bincount(self._upper(self.keys), minlength=1 << INDEX_BITS)
+        self.first = (np.cumsum(many) - many).astype(np.int32)
+        self.some = many > 0
+        self.steps = int(many.max(initial=1)) - 1
+        self.part = _PART if any("\n" in pieces[i] for i in normal) else _LINE_PART
         self.unknown = min(self.scores, default=0.0) - UNKNOWN_PENALTY
         byte = {int(pieces[i][3:5], 16): i for i, k in enumerate(kinds) if k == "byte"}
         self.unknown_id = next((i for i, k in enumerate(kinds) if k == "unknown"), 0)
@@ -96,66 +106,85 @@ class Pieces:
                 else "normal" for i in ids]
         return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], kind)
 
+    @staticmethod
+    def _upper(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - INDEX_BITS)).view(np.int64)
+
     def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the sorted keys, and whether the hash is there."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return at, self.keys[at] == h
-
-    def encode_parts(self, parts: list[str], merged: bool = False) -> list[bytes]:
-        """Ids (little-endian unsigned 32-bit) of parts of any length: best path, or merge order."""
-        advance = self._merged if merged else self._equal_length
-        out: list[bytes] = [b""] * len(parts)
-        by_length: dict[int, list[int]] = {}
-        for i, p in enumerate(parts):
-            by_length.setdefault(len(p), []).append(i)
-        for length, rows in by_length.items():
-            size = max(1, BATCH_CELLS // max(length, 1))
-            for a in range(0, len(rows), size):
-                some = rows[a:a + size]
-                for i, ids in zip(some, advance([parts[i] for i in some], length)):
-                    out[i] = ids
-        return out
-
-    def _equal_length(self, words: list[str], length: int) -> list[bytes]:
-        codes = _codes(words, length)
-        power, inverse = _powers(length + 1)
-        total = _prefix_hashes(codes, power)
-        n = len(words)
+        """Which hashes are pieces (positions in ``h``), and their places among the sorted keys."""
+        upper = self._upper(h)
+        maybe = np.flatnonzero(self.some[upper])
+        h = h[maybe]
+        at = self.first[upper[maybe]]
+        for _ in range(self.steps):
+            at = np.minimum(at + (self.keys[at] < h), len(self.keys) - 1)
+        known = self.keys[at] == h
+        return maybe[known], at[known]
+
+    def encode_parts(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and their number per part, of the best path and in merge order, for parts in order of length."""
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        a = 0
+        while a < len(parts):
+            length = len(parts[a])
+            b = a + 1
+            most = a + max(1, BATCH_CELLS // max(length, 1))
+            while b < min(len(parts), most) and len(parts[b]) == length:
+                b += 1
+            codes = _codes(parts[a:b], length)
+            power, inverse = _powers(length + 1)
+            total = _prefix_hashes(codes, power)
+            found[0].append(self._equal_length(codes, total, inverse))
+            found[1].append(self._merged(codes, total, inverse))
+            a = b
+        none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return [tuple(map(np.concatenate, zip(*x))) if x else none for x in found]
+
+    def _equal_length(self, codes: np.ndarray, total: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = codes.shape[1]
+        total = np.ascontiguousarray(total.T)            # by place, then word
+        n = len(codes)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0.0
-        back = np.zeros((length + 1, n), np.int16)       # length of the last piece
+        back = np.ones((length + 1, n), np.int16)        # length of the last piece
         piece = np.full((length + 1, n), -1, np.int64)   # its id, -1: unknown character
         for end in range(1, length + 1):
+            top, length_of, id_of = best[end], back[end], piece[end]
             for size in range(min(self.longest, end), 0, -1):
                 start = end - size
-                h = (total[:, end] - total[:, start]) * inverse[start]
-                at, known = self._probe(h)
-                score = np.where(known, self.scores[at], self.unknown if size == 1 else -np.inf) + best[start]
-                better = score > best[end]
-                best[end][better] = score[better]
-                back[end][better] = size
-                piece[end][better] = np.where(known, self.ids[at], -1)[better]
+                rows, at = self._probe((total[end] - total[start]) * inverse[start])
+                score = best[start, rows] + self.scores[at]
+                better = score > top[rows]
+                rows, at = rows[better], at[better]
+                top[rows] = score[better]
+                length_of[rows] = size
+                id_of[rows] = self.ids[at]
+            unknown = best[end - 1] + self.unknown       # a single character, where it is better still
+            rows = np.flatnonzero(unknown > top)
+            single, _ = self._probe((total[end][rows] - total[end - 1][rows]) * inverse[end - 1])
+            rows = np.delete(rows, single)
+            top[rows] = unknown[rows]
+            length_of[rows] = 1
+            id_of[rows] = -1
         # Backpointers, from the end of every word.
-        starts = np.zeros((length, n), bool)
+        ends = np.zeros((n, length + 1), bool)
         place, rows = np.full(n, length), np.arange(n)
         while len(rows):
+            ends[rows, place] = True
             place = place - back[place, rows]
-            starts[place, rows] = True
             rows, place = rows[place > 0], place[place > 0]
-        ends = np.ones((length, n), bool)
-        ends[:-1] = starts[1:]
-        return self._written(words, ends, piece[1:])
+        row, place = np.nonzero(ends)
+        return self._written(codes, row, place - 1, piece[place, row])
 
-    def _merged(self, words: list[str], length: int) -> list[bytes]:
-        codes = _codes(words, length)
-        power, inverse = _powers(length + 1)
-        total = _prefix_hashes(codes, power)
-        n = len(words)
+    def _merged(self, codes: np.ndarray, total: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, length = codes.shape
 
         def worth(rows, start, end):
             """Score of the piece at [start, end) of each row, or -inf."""
-            at, known = self._probe((total[rows, end] - total[rows, start]) * inverse[start])
-            return np.where(known, self.scores[at], -np.inf)
+            out = np.full(len(rows), -np.inf)
+            known, at = self._probe((total[rows, end] - total[rows, start]) * inverse[start])
+            out[known] = self.scores[at]
+            return out
 
         every = np.repeat(np.arange(n), max(length - 1, 0))
         first = np.tile(np.arange(length - 1), n)
@@ -184,28 +213,26 @@ class Pieces:
             left = i > 0
             r, a, b = rows[left], before[rows[left], i[left]], k[left]
             score[r, a] = worth(r, a, b)
-        ends = np.ones((n, length), bool)
-        ends[:, :-1] = starts[:, 1:]
         row, start = np.nonzero(starts)
         stop = after[row, start]
-        at, known = self._probe((total[row, stop] - total[row, start]) * inverse[start])
-        piece = np.full((length, n), -1, np.int64)
-        piece[stop - 1, row] = np.where(known, self.ids[at], -1)
-        return self._written(words, ends.T, piece)
-
-    def _written(self, words: list[str], ends: np.ndarray, piece: np.ndarray) -> list[bytes]:
-        """Ids of every word from the places where pieces end (length by words)."""
-        row, place = np.nonzero(ends.T)
-        ids = piece[place, row]
-        border = np.searchsorted(row, np.arange(len(words) + 1))
-        raw = ids.astype("<u4").tobytes()
-        out = [raw[4 * a:4 * b] for a, b in zip(border[:-1], border[1:])]
-        for r in np.unique(row[ids < 0]):
-            flat: list[int] = []
-            for i, p in zip(ids[border[r]:border[r + 1]], place[border[r]:border[r + 1]]):
-                flat += [int(i)] if i >= 0 else self._fallback(words[r][p])
-            out[r] = np.array(flat, "<u4").tobytes()
-        return out
+        known, at = self._probe((total[row, stop] - total[row, start]) * inverse[start])
+        piece = np.full(len(row), -1, np.int64)
+        piece[known] = self.ids[at]
+        return self._written(codes, row, stop - 1, piece)
+
+    def _written(self, codes: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and their number per word; an unknown
+        character (id -1, at ``place``) is written as its bytes."""
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):
+            chars, which = np.unique(codes[row[lost], place[lost]], return_inverse=True)
+            spelled = [self._fallback(chr(c)) for c in chars.tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[lost] = np.array([len(x) for x in spelled])[which]
+            out = np.repeat(ids, many)
+            out[out < 0] = np.concatenate([spelled[w] for w in which.tolist()])
+            ids, row = out, np.repeat(row, many)
+        return ids.astype(np.uint32), np.bincount(row, minlength=len(codes))
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown_id]
@@ -221,26 +248,58 @@ def pieces(path: str) -> Pieces:
     return Pieces.load(path)
 
 
+class Ragged:
+    """Rows of ids in one flat array."""
+
+    def __init__(self):
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int64)
+
+    def append(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``rows`` one after the other, and the number of each."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rows] - (ends - size), size)
+        return self.flat[at], size
+
+
 class Encoder:
     """Ids of texts; the parts of recent texts are remembered, their number is bounded."""
 
     def __init__(self, table: Pieces):
         self.table = table
-        self.best: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.row: dict[str, int] = {}
+        self.known = [Ragged(), Ragged()]      # best path, merge order
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Best-path ids and merge-order ids of every text."""
-        parts = [_PART.findall(" " + t) if t else [] for t in texts]
+        parts = [self.table.part.findall(" " + t) if t else [] for t in texts]
         distinct = set().union(*parts) if parts else set()
-        new = list(distinct.difference(self.best))
-        if len(self.best) + len(new) > CACHED:
-            self.best, self.merged = {}, {}
-            new = list(distinct)
-        escaped = [p.replace(" ", SPACE) for p in new]
-        self.best.update(zip(new, self.table.encode_parts(escaped)))
-        self.merged.update(zip(new, self.table.encode_parts(escaped, merged=True)))
-        return tuple([b"".join(map(known.__getitem__, row)) for row in parts] for known in (self.best, self.merged))
+        new = sorted(distinct.difference(self.row), key=len)
+        if len(self.row) + len(new) > CACHED:      # forget all but what this batch needs
+            kept = [p for p in distinct if p in self.row]
+            rows = np.fromiter(map(self.row.__getitem__, kept), np.int64, len(kept))
+            for i, known in enumerate(self.known):
+                self.known[i] = Ragged()
+                self.known[i].append(*known.take(rows))
+            self.row = dict(zip(kept, range(len(kept))))
+        for known, found in zip(self.known, self.table.encode_parts([p.replace(" ", SPACE) for p in new])):
+            known.append(*found)
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        many = np.fromiter(map(len, parts), np.int64, len(parts))
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(parts)), np.int64, int(many.sum()))
+        border = np.concatenate(([0], np.cumsum(many)))
+        out = []
+        for known in self.known:
+            ids, size = known.take(rows)
+            raw = ids.astype("<u4").tobytes()
+            at = (4 * np.concatenate(([0], np.cumsum(size)))[border]).tolist()
+            out.append([raw[a:b] for a, b in zip(at, at[1:])])
+        return out[0], out[1]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -250,7 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Encoder(pieces(path))
-        for batch in sub_batches(batches):
+        for batch in sub_batches(batches, limit=TEXT_BYTES):
             ids = worker.texts([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"),
                                               *(pa.array(x, pa.binary()) for x in ids)],
