@@ -43,9 +43,9 @@ EMBEDDED = 1 << 14       # hash buckets of the embeddings
 WORD_DIM = 4
 GRAM_DIM = 4
 HIDDEN = 8
-MAX_TOXIC = 1500         # rows labelled toxic that training may read
-MAX_CLEAN = 2500         # rows labelled clean that training may read
-MAX_TEXT = 20_000        # longest text (characters) that training may read; scoring has no limit
+MAX_TOXIC = 1200         # rows labelled toxic that training may read
+MAX_CLEAN = 3200         # rows labelled clean that training may read
+MAX_TEXT = 6_000        # longest text (characters) that training may read; scoring has no limit
 EPOCHS = 5
 FOLDS = 4
 THRESHOLD = 0.3
@@ -276,11 +276,11 @@ def project(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     return {side: x @ w["W" + side] + w["c" + side] for side in "fb"}
 
 
-def window_scores(weights: dict, odds: dict, batch: Batch, windows, chunk: int = 8192) -> np.ndarray:
+def window_scores(weights: dict, odds: dict, batch: Batch, windows, chunk: int = 4096) -> np.ndarray:
     """Logit of every window."""
     x = word_inputs(weights, odds, batch.vocab)
-    # The last row stands for places past the end of a window.
-    projected = {s: np.vstack([p, np.zeros((1, 3 * HIDDEN), np.float32)]) for s, p in project(weights, x).items()}
+    # The last row stands for places that are not read.
+    projected = project(weights, np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]))
     doc, start, n = windows
     ids = np.append(batch.ids, 0)
     out = np.empty(len(doc), np.float32)
