@@ -320,7 +320,7 @@ def validate_rows(rules: Sequence[tuple[Column, str]]) -> Column:
 # P26 ------------------------------------------------------------------------
 def recommend_action(alert: ColumnOrName, meets: ColumnOrName, prediction: ColumnOrName) -> Column:
     return (F.when(col(alert) & col(meets),
-                   F.struct(F.lit("high").alias("priority"), F.lit("Consider prescribing").alias("title")))
+                   F.struct(F.lit("high").alias("priority"), F.lit(C.ACTION_TITLES["high"]).alias("title")))
             .when((col(prediction) == 1) & ~col(alert),
-                  F.struct(F.lit("medium").alias("priority"), F.lit("Review eligibility").alias("title")))
-            .otherwise(F.struct(F.lit("low").alias("priority"), F.lit("Routine care").alias("title"))))
+                  F.struct(F.lit("medium").alias("priority"), F.lit(C.ACTION_TITLES["medium"]).alias("title")))
+            .otherwise(F.struct(F.lit("low").alias("priority"), F.lit(C.ACTION_TITLES["low"]).alias("title"))))

@@ -218,9 +218,7 @@ def quality_summary(scores: DataFrame) -> DataFrame:
     """Per-table recommendations (only below 80 overall; per-dimension cut 90)
     plus an overall average row."""
     advice = F.array_compact(F.array(
-        F.when(F.col("completeness_score") < 90, F.lit("Improve completeness")),
-        F.when(F.col("consistency_score") < 90, F.lit("Resolve duplicates and formatting")),
-        F.when(F.col("validity_score") < 90, F.lit("Review outliers"))))
+        *[F.when(F.col(c) < 90, F.lit(text)) for c, text in C.QUALITY_ADVICE.items()]))
     per = scores.withColumn("recommendations",
                             F.when(F.col("overall_score") < 80, F.array_join(advice, "; ")).otherwise(F.lit("")))
     avg = scores.agg(F.lit("ALL").alias("table_name"),

@@ -196,9 +196,9 @@ def quality_summary_q(spark, sf):
 register("quality_summary", ops=("Q8", "X3"), sql=f"""
 WITH s AS ({_scores_sql()}),
 per AS (SELECT *, CASE WHEN overall_score < 80 THEN array_to_string(list_filter([
-            CASE WHEN completeness_score < 90 THEN 'Improve completeness' END,
-            CASE WHEN consistency_score < 90 THEN 'Resolve duplicates and formatting' END,
-            CASE WHEN validity_score < 90 THEN 'Review outliers' END], lambda x: x IS NOT NULL), '; ')
+            CASE WHEN completeness_score < 90 THEN 'Review missing data' END,
+            CASE WHEN consistency_score < 90 THEN 'Check for duplicates and format issues' END,
+            CASE WHEN validity_score < 90 THEN 'Review outliers and data ranges' END], lambda x: x IS NOT NULL), '; ')
           ELSE '' END AS recommendations FROM s),
 a AS (SELECT 'ALL' AS table_name, round(avg(completeness_score), 2) AS completeness_score,
              round(avg(consistency_score), 2) AS consistency_score, round(avg(validity_score), 2) AS validity_score,

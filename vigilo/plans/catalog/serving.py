@@ -269,8 +269,8 @@ d AS (SELECT *, probability >= 0.5 AS pred1,
 SELECT patient_id, meets_criteria, alert_recommended,
        CASE WHEN alert_recommended AND meets_criteria THEN 'high' WHEN pred1 AND NOT alert_recommended THEN 'medium'
             ELSE 'low' END AS priority,
-       CASE WHEN alert_recommended AND meets_criteria THEN 'Consider prescribing'
-            WHEN pred1 AND NOT alert_recommended THEN 'Review eligibility' ELSE 'Routine care' END AS title
+       CASE WHEN alert_recommended AND meets_criteria THEN 'Consider Drug A Prescription'
+            WHEN pred1 AND NOT alert_recommended THEN 'Clinical Review Recommended' ELSE 'Continue Current Treatment' END AS title
 FROM d"""
 
 

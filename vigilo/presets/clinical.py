@@ -121,3 +121,11 @@ RECENT_DAYS = 365
 # Words that make an event count for the recent cohort (any case).
 COHORT_KEYWORDS = ["DISEASE_X", "IMMUNOCOMPROMISED", "DIABETES", "HEART_DISEASE", "HYPERTENSION", "COUGH", "FEVER",
                    "SHORTNESS_OF_BREATH", "CHEST_PAIN", "FATIGUE", "OBESITY"]
+
+# Titles of the recommended action, by priority.
+ACTION_TITLES = {"high": "Consider Drug A Prescription", "medium": "Clinical Review Recommended",
+                 "low": "Continue Current Treatment"}
+# Advice per quality dimension that scores low.
+QUALITY_ADVICE = {"completeness_score": "Review missing data",
+                  "consistency_score": "Check for duplicates and format issues",
+                  "validity_score": "Review outliers and data ranges"}
