@@ -1,15 +1,18 @@
 """Operators on Spark against brute force, and their defined results on awkward tables."""
 
 import hashlib
+import itertools
 import os
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vigilo.llm import cascade, debruijn, masked_lm, omh, packing, perspectives, topk, toxicity, viterbi, warc
+from vigilo.llm.words import Words
 
 SF = os.environ.get("VIGILO_TEST_SF", "/root/testdata/sf0.001")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30000))
@@ -147,6 +150,46 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert all(got[100 + k] == 100 + k for k in range(40))
 
 
+def family(variants, start=0):
+    """An original of 95 words and variants with three passages of their own: like the original, unlike each other."""
+    base = [f"o{start}x{i}" for i in range(95)]
+    rows = [(start + 5, " ".join(base))]
+    for k, slots in enumerate(itertools.islice(itertools.combinations(range(19), 3), variants)):
+        rows.append((start + 10 + k, " ".join(f"p{start}x{k}y{i}" if i // 5 in slots else w for i, w in enumerate(base))))
+    return rows
+
+
+def sketched(rows):
+    column = Words(pa.array([t for _, t in rows]))
+    h = column.hashes()
+    return omh.sketches(column), [h[column.ptr[i]:column.ptr[i + 1]] for i in range(len(rows))]
+
+
+def test_variants_like_their_original_only_are_one_class(spark):
+    rows = family(960)
+    value, parts = sketched(rows)
+    assert all(omh.similar(parts[0], p) for p in parts[1:])
+    assert not any(omh.similar(parts[i], p) for i in (1, 500) for j, p in enumerate(parts) if j not in (0, i))
+    got = omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    met = {rows[i][0] for i in np.flatnonzero((value == value[0]).any(axis=1))}
+    assert len(met) > 900
+    assert met <= {r.doc_id for r in got.collect() if r.class_id == 5}
+
+
+def test_pairs_without_a_pivot_are_settled(spark, monkeypatch):
+    rows = family(60) + family(30, 1000) + [(2000 + k, " ".join(f"u{k}y{i}" for i in range(95))) for k in range(20)]
+    value, parts = sketched(rows)
+    expected = {i: i for i, _ in rows}
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (value[i] == value[j]).any() and omh.similar(parts[i], parts[j]):
+            x, y = sorted((expected[rows[i][0]], expected[rows[j][0]]))
+            expected = {k: x if c == y else c for k, c in expected.items()}
+    monkeypatch.setattr(omh, "links", lambda *a: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(omh, "BLOCK_MEMBERS", 16)
+    got = omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == expected
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = omh.near_duplicates(odd).collect()
     cls = {r.doc_id: r.class_id for r in rows}

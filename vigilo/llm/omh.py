@@ -8,13 +8,21 @@ same order: its probability follows edit similarity.  Texts that agree in a
 sketch are candidates and are verified by a banded word alignment: similar if
 ``1 - edits / longer length >= 0.8``.
 
-A sketch value that thousands of texts share is not expanded into pairs: its
-members are compared with its least member, the pivot.  Where unrelated texts
-share a value (a common line), two successive sketches together are a second,
-purer key with a pivot of its own, so a text whose first pivot is a stranger
-still meets its relatives.  The comparisons of a pivot are dealt to groups of
-bounded size, each with a copy of the pivot's text.  Linked texts form classes
-by alternating large and small stars.  The result has one row per document.
+A sketch value that thousands of texts share is not expanded into pairs at once:
+its members are first compared with one member, the pivot, the one that shares
+its values with the most texts (the original of a family of variants).  Where
+unrelated texts share a value (a common line), two successive sketches together
+are a second, purer key with a pivot of its own.  The comparisons of a pivot are
+dealt to groups of bounded size, each with a copy of the pivot's text.
+
+Then every pair that shares a value and is not in one class yet is settled.  The
+members of a value outside its largest class are dealt to blocks of bounded size
+and meet each other and the largest class, block by block, in cells; a pair that
+shares several values meets in the first.  Lengths and word bags (counts of
+hashed words, whose distance is a lower bound) rule out strangers without their
+texts; the texts of the others are aligned, members with many partners first,
+unless a link made before has put both in one class.  Linked texts form classes by
+alternating large and small stars.  The result has one row per document.
 
 Defined results: texts without words (null, empty, blank) are one class; texts
 of fewer than five words have one shingle, all their words; equal texts share a
@@ -38,6 +46,9 @@ ORDER = 2            # shingles of one sketch
 SIMILARITY = 0.8
 GROUP_MEMBERS = 256  # comparisons of one group
 GROUP_WORDS = 1 << 18  # words of one group, unless one text is longer
+BLOCK_MEMBERS = 4096  # texts of one block; two blocks meet in a cell
+BLOCK_WORDS = 1 << 19  # words of one block
+BAG = 256            # counters of a word bag
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -86,6 +97,13 @@ def sketches(words: Words, n: int = SKETCHES) -> np.ndarray:
     return out
 
 
+def bags(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Counts of the words of every document by hash, at most 255 each."""
+    n = len(ptr) - 1
+    at = np.repeat(np.arange(n), np.diff(ptr)) * BAG + (h % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches):
         words = Words(batch.column("text"))
@@ -95,7 +113,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(words.counts.astype(np.int64)),
-             pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["doc_id", "text_key", "n", "keys"])
+             pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+             pa.array([x.tobytes() for x in bags(words.hashes(), words.ptr)], pa.binary())],
+            ["doc_id", "text_key", "n", "keys", "bag"])
 
 
 # ----------------------------------------------------------------------- alignment
@@ -199,6 +219,111 @@ def _verify(least: float):
     return run
 
 
+def _partners(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of a cell that may be similar, are in different classes and meet in no earlier sketch."""
+    block, root, n = (table.column(c).to_numpy() for c in ("block", "root", "n"))
+    x, y, sketch = (table.column(c)[0].as_py() for c in ("x", "y", "sketch"))
+    keys = table.column("keys").combine_chunks().flatten().to_numpy()
+    keys = keys.reshape(len(n), len(keys) // len(n))[:, :sketch]
+    bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(len(n), BAG).astype(np.int16)
+    second = np.flatnonzero(block == y)
+    for i in np.flatnonzero(block == x):
+        j = second[second > i] if x == y else second
+        longer = np.maximum(n[i], n[j])
+        most = np.floor((1 - least) * longer + 1e-9).astype(np.int64)
+        fit = (root[j] != root[i]) & (longer - np.minimum(n[i], n[j]) <= most)
+        j, longer, most = j[fit], longer[fit], most[fit]
+        fit = np.abs(bag[j] - bag[i]).sum(axis=1) <= n[i] + n[j] - 2 * (longer - most)
+        j = j[fit]
+        j = j[~(keys[j] == keys[i]).any(axis=1)]
+        if len(j):
+            yield int(i), j
+
+
+def _near(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Members of one cell whose texts are needed."""
+        some = np.zeros(table.num_rows, bool)
+        for i, j in _partners(table, least):
+            some[i] = True
+            some[j] = True
+        return table.filter(pa.array(some)).select(["id", "key", "sketch", "x", "y", "block"])
+    return run
+
+
+def _settle(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of one cell: every pair is aligned unless links made before join it."""
+        ids = table.column("id").to_numpy()
+        found = [(np.full(len(j), i), j) for i, j in _partners(table, least)]
+        links_a, links_b = [], []
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            words = Words(table.column("text").combine_chunks())
+            h = words.hashes()
+            parts = [h[words.ptr[i]:words.ptr[i + 1]] for i in range(len(ids))]
+            many = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+            hub = np.where(many[a] >= many[b], a, b)
+            above = np.unique(table.column("root").to_numpy(), return_inverse=True)[1].tolist()
+            top = list(range(len(ids)))
+
+            def find(i: int) -> int:
+                while top[i] != i:
+                    top[i] = top[top[i]]
+                    i = top[i]
+                return i
+
+            for at in np.lexsort((hub, -many[hub])).tolist():
+                i, j = int(a[at]), int(b[at])
+                p, q = find(above[i]), find(above[j])
+                if p != q and similar(parts[i], parts[j], least):
+                    top[p] = q
+                    links_a.append(int(ids[i]))
+                    links_b.append(int(ids[j]))
+        return pa.table({"a": pa.array(links_a, pa.int64()), "b": pa.array(links_b, pa.int64())})
+    return run
+
+
+def more_links(texts: DataFrame, signs: DataFrame, linked: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` among all pairs that share a sketch value and are not in one class of ``linked``."""
+    rooted = signs.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    member = rooted.select("id", "n", "root", F.posexplode(F.slice("keys", 1, SKETCHES)).alias("sketch", "key"))
+    # By value: the largest class and the blocks inside and outside it; done where there is one class only.
+    by_root = member.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
+    by_key = (by_root.groupBy("key").agg(F.max(F.struct("m", "words", "root")).alias("big"), F.sum("m").alias("m"),
+                                         F.sum("words").alias("words"), F.count("*").alias("roots"))
+              .where("roots > 1"))
+
+    def blocks(m, words):
+        return F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(words / BLOCK_WORDS), F.lit(1)).cast("int")
+
+    by_key = by_key.select("key", F.col("big.root").alias("main"),
+                           blocks(F.col("m") - F.col("big.m"), F.col("words") - F.col("big.words")).alias("rest"),
+                           blocks(F.col("big.m"), F.col("big.words")).alias("inner"))
+    mixed = F.xxhash64("id", "key")
+    dealt = member.join(by_key, "key").withColumn("block", F.when(
+        F.col("root") == F.col("main"), F.col("rest") + F.pmod(mixed, F.col("inner")).cast("int")).otherwise(
+        F.pmod(mixed, F.col("rest")).cast("int")))
+    # A block of the rest meets all blocks, a block of the largest class those of the rest.
+    meets = F.when(F.col("block") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("rest") + F.col("inner") - 1))
+    cells = (dealt.withColumn("other", F.explode(meets))
+             .select("id", "key", "sketch", "block", F.least("block", "other").alias("x"),
+                     F.greatest("block", "other").alias("y")))
+    own = rooted.select("id", "n", "root", "bag", F.slice("keys", 1, SKETCHES).alias("keys"))
+    near = (cells.join(own, "id").withColumn("keys", F.slice("keys", F.lit(1), F.col("sketch")))
+            .groupBy("key", "x", "y")
+            .applyInArrow(_near(least), "id long, key long, sketch int, x int, y int, block int"))
+    places = near.groupBy("id").agg(F.collect_list(F.struct("key", "sketch", "x", "y", "block")).alias("to"))
+    wanted = places.join(rooted.select("id", "text_key", "n", "root", "bag", F.slice("keys", 1, SKETCHES).alias("keys")), "id")
+    row = ("id long, text string, n long, root long, bag binary, keys array<long>, "
+           "to array<struct<key:long,sketch:int,x:int,y:int,block:int>>")
+    return (texts.join(wanted, "text_key").select("id", "text", "n", "root", "bag", "keys", "to")
+            .mapInArrow(_keep_first, row)
+            .select("*", F.explode("to").alias("at")).select("id", "text", "n", "root", "bag", "keys", "at.*")
+            .groupBy("key", "x", "y").applyInArrow(_settle(least), "a long, b long"))
+
+
 def links(texts: DataFrame, signs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links ``a, b`` between distinct texts.
 
@@ -206,9 +331,12 @@ def links(texts: DataFrame, signs: DataFrame, least: float = SIMILARITY) -> Data
     ``text_key, text`` of all rows.
     """
     key = signs.select("id", "n", F.explode("keys").alias("key"))
-    pivots = (key.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("m"))
-              .where("m > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    pairs = (key.join(pivots, "key").where("id <> pivot")
+    shared = key.join(key.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key").checkpoint()
+    support = shared.groupBy("id").agg(F.sum("m").alias("support"))
+    pivots = (shared.join(support, "id").groupBy("key")
+              .agg(F.max(F.struct("support", (-F.col("id")).alias("last"), "n")).alias("p"))
+              .select("key", (-F.col("p.last")).alias("pivot"), F.col("p.n").alias("pivot_n")))
+    pairs = (shared.join(pivots, "key").where("id <> pivot")
              .where(F.least("n", "pivot_n") >= F.greatest("n", "pivot_n") * least - 1e-9)
              .select("id", "pivot", "n").distinct())
     # Groups of a pivot: bounded in members and in words.
@@ -256,11 +384,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple
     plain = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                         F.col("_text_key").alias("text_key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = plain.mapInArrow(_sketch_rows, f"doc_id {kind}, text_key binary, n long, keys array<long>")
+    signed = plain.mapInArrow(_sketch_rows, f"doc_id {kind}, text_key binary, n long, keys array<long>, bag binary")
     signs = (signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"),
-                                            F.first("n").alias("n"), F.first("keys").alias("keys"))
+                                            F.first("n").alias("n"), F.first("keys").alias("keys"),
+                                            F.first("bag").alias("bag"))
              .withColumn("id", F.monotonically_increasing_id()).checkpoint())
-    linked = components(links(plain.select("text_key", "text"), signs, least))
+    plain = plain.select("text_key", "text")
+    linked = components(links(plain, signs, least))
+    linked = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))
+                        .unionByName(more_links(plain, signs, linked, least)))
     texts = (signs.select("id", "text_key", "least", "rows", "n").join(linked, "id", "left")
              .withColumn("root", F.coalesce("root", "id")))
     return rows, texts
