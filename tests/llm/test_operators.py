@@ -320,6 +320,28 @@ def test_pseudo_likelihood_is_the_sum_over_tokens(documents, odd):
     assert masked_lm.score(odd.limit(0)).count() == 0
 
 
+def test_unseen_words_lower_the_score(spark):
+    common = [(i, "the cat sat on the mat and the dog ran to the house " * 3 + f"rare{i}ing other{i % 5}ing") for i in range(40)]
+    fillers = [(100 + i, f"filler{i} filler{i} filler{i}") for i in range(120)]
+    docs = spark.createDataFrame(common + fillers, "doc_id long, text string")
+    model = masked_lm.fit(docs)
+    known = masked_lm.vocabulary(docs, model["frequent"])
+    assert known[0].count() > masked_lm.SUFFIX_CLASSES
+    turned = docs.withColumn("text", F.regexp_replace("text", "(rare|other)(\\d+)ing", "zq$2xing"))
+    a = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs, model=model, known=known).collect()}
+    b = {r.doc_id: r.log_likelihood for r in masked_lm.score(turned, model=model, known=known).collect()}
+    assert all(b[i] < a[i] for i in range(40))
+    own = {r.doc_id: r.log_likelihood for r in masked_lm.score(docs.unionByName(docs.limit(0))).collect()}
+    assert own == pytest.approx(a, rel=1e-6)
+    words_of = {r["word"]: r for r in known[0].collect()}
+    size = {r["class"]: r["size"] for r in known[1].collect()}
+    for i, text in (common[3], fillers[7]):
+        h = Words(pa.array([text])).hashes().view(np.int64).tolist()
+        _, s = masked_lm.score_batch(model, pa.array([text]))
+        inner = sum(np.log((words_of[x]["n"] + 1) / size[words_of[x]["class"]]) for x in h if x in words_of)
+        assert a[i] == pytest.approx(s[0] + inner, rel=1e-6)
+
+
 # -------------------------------------------------------------------- sentencepiece
 def test_ids_against_the_library(documents, texts):
     import sentencepiece

@@ -2,7 +2,14 @@
 
 A bidirectional window network predicts every token from the tokens on both
 sides: ``tanh(left[l] + right[r] + b)`` into a softmax over the token classes.
-A text scores the sum of the conditional log-probabilities of all its tokens.
+A text scores the sum of the conditional log-probabilities of all its tokens,
+``log P(class | neighbours) + log P(token | class)``.
+
+The second term comes from the vocabulary, the counts of all words of the corpus
+in a Spark table that is joined to the words of every text: ``(n + 1) / (tokens +
+words + 1)`` within the class, so an unseen word counts as one more word that
+never occurred.  A frequent word is its class and adds nothing.  The network's
+contexts are those of classes, at most ``CLASSES ** 3`` at any size.
 
 Token classes come from the word counts of the whole corpus: the ``FREQUENT``
 most frequent words are classes of their own, other words share
@@ -36,6 +43,7 @@ EDGE = FREQUENT + SUFFIX_CLASSES      # the ends of a text
 CLASSES = EDGE + 1
 HIDDEN = 24
 STEPS = 150
+UNIT = 1 << 32        # log P(token | class) is kept in whole units, so sums do not depend on their order
 
 
 # --------------------------------------------------------------------------- counts
@@ -96,6 +104,51 @@ def context_counts(texts: DataFrame, frequent: np.ndarray) -> np.ndarray:
     return out.reshape(CLASSES, CLASSES, CLASSES)
 
 
+# ----------------------------------------------------------------------- vocabulary
+def _class_words(frequent: np.ndarray, by_text: bool):
+    """Words outside the frequent ones with class and count, by batch or by text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches):
+            words = Words(batch.column("text"))
+            c = classes(words, frequent)
+            rare = np.flatnonzero(c >= FREQUENT)
+            h, c = words.hashes()[rare], c[rare]
+            doc = words.doc[rare] if by_text else np.zeros(len(rare), np.int64)
+            order = np.lexsort((h, doc))
+            h, c, doc = h[order], c[order], doc[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(fresh)
+            n = np.diff(np.append(first, len(h)))
+            columns = {"word": pa.array(h[first].view(np.int64)), "class": pa.array(c[first].astype(np.int32)),
+                       "n": pa.array(n.astype(np.int64))}
+            if by_text:
+                columns["text_key"] = batch.column("text_key").take(pa.array(doc[first]))
+            for a in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_pydict({k: x[a:a + (1 << 16)] for k, x in columns.items()})
+    return run
+
+
+def vocabulary(texts: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Counts ``word, class, n`` of all words that share a class, and ``class, size`` of these classes."""
+    counts = (texts.select("text").mapInArrow(_class_words(frequent, False), "word long, class int, n long")
+              .groupBy("word", "class").agg(F.sum("n").alias("n")).checkpoint())
+    return counts, counts.groupBy("class").agg((F.sum("n") + F.count("*") + 1).alias("size"))
+
+
+def token_scores(rows: DataFrame, known: tuple[DataFrame, DataFrame], frequent: np.ndarray) -> DataFrame:
+    """``text_key, within``: mean of log P(token | class) over a text's words outside the frequent ones."""
+    counts, sizes = known
+    asked = rows.select("text", "text_key").mapInArrow(_class_words(frequent, True),
+                                                       "word long, class int, n long, text_key long")
+    # At most SUFFIX_CLASSES rows; a class without any word has the unseen word only.
+    each = (asked.join(counts.select("word", F.col("n").alias("seen")), "word", "left")
+            .join(F.broadcast(sizes), "class", "left"))
+    log = F.round(F.log((F.coalesce("seen", F.lit(0)) + 1) / F.coalesce("size", F.lit(1))) * UNIT).cast("long")
+    # Copies of a text add the same again to both sums.
+    return each.groupBy("text_key").agg((F.sum(F.col("n") * log) / F.sum("n") / UNIT).alias("within"))
+
+
 # -------------------------------------------------------------------------- network
 def log_probabilities(w: dict[str, np.ndarray]) -> np.ndarray:
     """Log-probability of every class given its two neighbours (left, right, class)."""
@@ -168,19 +221,35 @@ def score_batch(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.counts, out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = model or fit(rows.select("text"))
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None,
+          known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood``.
+
+    ``known`` is the ``vocabulary`` of the corpus that ``model`` was fitted to; a
+    model given without one scores the classes only.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    if model is None:
+        model = fit(rows.select("text"))
+        known = vocabulary(rows, model["frequent"])
     shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("frequent", "table")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches):
-            n, s = score_batch(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s)],
-                                             ["doc_id", "n_tokens", "log_likelihood"])
+            column = batch.column("text")
+            n, s = score_batch(shared.value, column)
+            words = Words(column)
+            total = np.concatenate(([0], np.cumsum(classes(words, shared.value["frequent"]) >= FREQUENT)))
+            rare = total[words.ptr[1:]] - total[words.ptr[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n.astype(np.int64)),
+                                              pa.array(rare.astype(np.int64)), pa.array(s)],
+                                             ["doc_id", "text_key", "n_tokens", "rare", "log_likelihood"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double")
+    out = rows.mapInArrow(run, f"doc_id {kind}, text_key long, n_tokens long, rare long, log_likelihood double")
+    if known:
+        out = out.join(token_scores(rows, known, model["frequent"]), "text_key", "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce(F.col("rare") * F.col("within"), F.lit(0.0)))
+    out = out.select("doc_id", "n_tokens", "log_likelihood")
     return out.withColumn("mean_log_likelihood",
                           F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
