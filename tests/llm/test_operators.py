@@ -398,6 +398,12 @@ def test_toxicity_learns_nothing_from_held_out_rows_and_other_columns(spark, doc
     assert a == b
 
 
+def test_without_a_model_all_rows_stay(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (5, 0)], "doc_id long, toxic int")
+    for known in (labels, labels.limit(0)):
+        assert toxicity.filter_toxic(odd, known).count() == len(ROWS)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 0), (4, None), (5, 1), (7, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()

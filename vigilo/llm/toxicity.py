@@ -536,8 +536,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, columns unchanged (no shuffle)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    """The documents that score below the threshold, columns unchanged (no shuffle); all without a model."""
+    model = fit(docs, labels, id_col, text_col)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, text_col, 2 << 20):
