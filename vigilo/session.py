@@ -9,6 +9,8 @@ directory when none is configured (local runs and tests).
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -97,6 +99,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint location for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    """A sub-folder of the shared checkpoint location for written tables, removed when the driver's Python ends."""
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+    atexit.register(remove_dir, spark, path)
+    return path
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, through the file system that Spark uses for it.
+
+    Quiet where the session has ended or the folder is gone: nothing depends on
+    the deletion.
+    """
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
