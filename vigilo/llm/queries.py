@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilo.llm import cascade, debruijn, masked_lm, omh, packing, perspectives, topk, toxicity, viterbi, warc
+from vigilo.llm import cascade, debruijn, digest, masked_lm, omh, packing, perspectives, pq, topk, toxicity, transducer, viterbi, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -234,3 +234,122 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 @register(_OP10_SQL)
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+# ------------------------------------------------------------ 11 fingerprints
+_OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, length(text) AS n, coalesce(lead(rid) OVER w, first_value(rid) OVER w) AS next_rid,
+             coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+      FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(text))),
+t AS (SELECT rid, 0 AS edited, text FROM o
+      UNION ALL SELECT rid, 1, left(text, n - n // 3) || left(next_text, n // 3) FROM o),
+h AS (SELECT *, regexp_extract_all(hex(encode(text)), '..') AS hs FROM t),
+b AS (SELECT rid, edited, list_transform(hs, lambda x: ('0x' || x)::BIGINT) AS bs FROM h),
+g AS (SELECT rid, edited, unnest(list_transform(range(1, len(bs) - {digest._SPAN - 1}), lambda i:
+             (bs[i] + 256 * bs[i + {digest.OFFSETS[1]}] + 65536 * bs[i + {digest.OFFSETS[2]}])
+             * {digest.FACTOR} % 4294967296 // 16777216)) AS bucket FROM b),
+c AS (SELECT rid, edited, bucket, count(*) AS k FROM g GROUP BY ALL),
+f AS (SELECT rid, edited, u.bucket, coalesce(k, 0) AS k FROM (SELECT rid, edited, unnest(range(256)) AS bucket FROM t) u
+      LEFT JOIN c USING (rid, edited, bucket)),
+q AS (SELECT rid, edited, list_sort(list(k)) AS ks FROM f GROUP BY ALL),
+s AS (SELECT rid, edited, bucket, (k > ks[64])::INT + (k > ks[128])::INT + (k > ks[192])::INT AS q
+      FROM f JOIN q USING (rid, edited)),
+l AS (SELECT rid, edited, len(bs) + 1 AS m, length(bin(len(bs) + 1)) - 1 AS e FROM b),
+n AS (SELECT rid, edited, 8 * e + m * 8 // (1 << e) - 8 AS code FROM l),
+x AS (SELECT rid, edited, bucket // 2 AS pair, printf('%x', sum(CASE WHEN bucket % 2 = 0 THEN 4 * q ELSE q END)::BIGINT) AS digit
+      FROM s GROUP BY ALL),
+p AS (SELECT rid, edited, printf('%03x', any_value(code)::BIGINT) || string_agg(digit, '' ORDER BY pair) AS print
+      FROM x JOIN n USING (rid, edited) GROUP BY ALL),
+y AS (SELECT rid, 1 AS other, rid AS other_rid FROM o UNION ALL SELECT rid, 0, next_rid FROM o),
+v AS (SELECT rid, edited, code, list(q ORDER BY bucket) AS qs FROM s JOIN n USING (rid, edited) GROUP BY ALL),
+z AS (SELECT y.rid, y.other, 1 - (list_sum(list_transform(range(1, 257), lambda i:
+               CASE abs(a.qs[i] - c.qs[i]) WHEN 3 THEN {digest.FAR_STEP} ELSE abs(a.qs[i] - c.qs[i]) END))
+             + {digest.LENGTH_STEP} * least(abs(a.code - c.code), {digest.LENGTH_STEPS}))::DOUBLE / {digest.BOUND} AS near
+      FROM y JOIN v a ON a.rid = y.rid AND a.edited = 0 JOIN v c ON c.rid = other_rid AND c.edited = other)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(e.text) AS edited_sha256, p0.print AS fingerprint,
+       p1.print AS edited_fingerprint, z1.near AS near_edited, z0.near AS near_next
+FROM o JOIN t e ON e.rid = o.rid AND e.edited = 1
+       JOIN p p0 ON p0.rid = o.rid AND p0.edited = 0 JOIN p p1 ON p1.rid = o.rid AND p1.edited = 1
+       JOIN z z1 ON z1.rid = o.rid AND z1.other = 1 JOIN z z0 ON z0.rid = o.rid AND z0.other = 0
+"""
+
+
+@register(_OP11_SQL)
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.neighbour_edits(_table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------ 12 source divergence
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d),
+t AS (SELECT rid, lang, source,
+             translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM w),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v))::HUGEINT AS p
+      FROM f JOIN s USING (lang, source) JOIN v USING (lang)),
+l AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)))::HUGEINT AS q
+      FROM f JOIN (SELECT lang, sum(total) AS total FROM s GROUP BY ALL) USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+      FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term', item, value FROM z)
+SELECT lang, source, part, item, value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@register(_OP12_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.audit(_table(spark, sf_dir, "documents"))
+
+
+# -------------------------------------------------------- 13 vector compression
+def _op13_sql() -> str:
+    ctes, n = [], pq.PARTS
+    for r in range(pq.ROUNDS + 1):
+        ctes.append(f"""
+a{r} AS (SELECT rid, dim, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+         SELECT v.rid, v.dim, v.part, entry, sum((v.x - e.x) * (v.x - e.x))::BIGINT AS d
+         FROM v JOIN e{r} e ON e.dim = v.dim AND e.i = v.i GROUP BY ALL) GROUP BY ALL)""")
+        if r < pq.ROUNDS:
+            ctes.append(f"""
+s{r} AS (SELECT dim, i, entry, sum(x)::BIGINT AS s, count(*) AS c FROM v JOIN a{r} USING (rid, dim, part) GROUP BY ALL),
+e{r + 1} AS (SELECT e.dim, e.part, e.i, e.entry, coalesce((s - ((s % c) + c) % c) // c, e.x) AS x
+       FROM e{r} e LEFT JOIN s{r} USING (dim, i, entry))""")
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT rid, vec_id, len(embedding) AS dim, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM k),
+bad AS (SELECT DISTINCT rid FROM u WHERE x IS NULL OR NOT isfinite(x)),
+v AS MATERIALIZED (SELECT rid, vec_id, dim, i, ({n} * i - 1) // dim AS part, floor({pq.SCALE} * x::DOUBLE)::BIGINT AS x
+      FROM u WHERE rid NOT IN (SELECT rid FROM bad)),
+f AS (SELECT rid, row_number() OVER (PARTITION BY dim ORDER BY vec_id NULLS LAST, xs) - 1 AS entry
+      FROM (SELECT rid, vec_id, dim, list(x ORDER BY i) AS xs FROM v GROUP BY ALL)),
+e0 AS (SELECT dim, part, i, entry, x FROM v JOIN f USING (rid) WHERE entry < {pq.ENTRIES}),{",".join(ctes)},
+h AS (SELECT dim, sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM e{pq.ROUNDS} GROUP BY dim),
+c AS (SELECT rid, dim, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+      FROM a{pq.ROUNDS} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM c JOIN k USING (rid) JOIN h USING (dim)
+"""
+
+
+@register(_op13_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = pq.compress(_table(spark, sf_dir, "embeddings"))
+    marks = [x for dim, own in books.items() for x in (F.lit(dim), F.lit(pq.codebook_digest(own)))]
+    mark = F.element_at(F.create_map(*marks), F.col("dim")) if marks else F.lit(None).cast("string")
+    return pq.label_errors(codes).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error",
+                                         "label_error", mark.alias("codebooks_sha256"))
