@@ -11,14 +11,14 @@ sketch are candidates and are verified by a banded word alignment: similar if
 A sketch value that thousands of texts share is not expanded into pairs at once:
 its members are first compared with one member, the pivot, the one that shares
 its values with the most texts (the original of a family of variants).  Where
-unrelated texts share a value (a common line), two successive sketches together
-are a second, purer key with a pivot of its own.  The comparisons of a pivot are
-dealt to groups of bounded size, each with a copy of the pivot's text.
+a value is crowded (unrelated texts share a common line), two successive sketches
+together are a second, purer key with a pivot of its own.  The comparisons of a
+pivot are dealt to groups of bounded size, each with a copy of the pivot's text.
 
 Then every pair that shares a value and is not in one class yet is settled.  The
-members of a value outside its largest class are dealt to blocks of bounded size
-and meet each other and the largest class, block by block, in cells; a pair that
-shares several values meets in the first.  Lengths and word bags (counts of
+members of a crowded value are dealt to bands of length and in them to blocks of
+bounded size, which meet in cells, except that the largest class does not meet
+itself; a pair that shares several values meets in the first.  Lengths and word bags (counts of
 hashed words, whose distance is a lower bound) rule out strangers without their
 texts; the texts of the others are aligned, members with many partners first,
 unless a link made before has put both in one class.  Linked texts form classes by
@@ -49,6 +49,8 @@ GROUP_WORDS = 1 << 18  # words of one group, unless one text is longer
 BLOCK_MEMBERS = 4096  # texts of one block; two blocks meet in a cell
 BLOCK_WORDS = 1 << 19  # words of one block
 BAG = 256            # counters of a word bag
+CROWD = 64           # members from which a value is crowded
+FILTER_BITS = 1 << 27  # largest table of wanted texts that is broadcast (16 MB)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -98,18 +100,22 @@ def sketches(words: Words, n: int = SKETCHES) -> np.ndarray:
 
 
 def bags(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Counts of the words of every document by hash, at most 255 each."""
+    """Counts of the words of every document by hash, at most 15 each, two to a byte."""
     n = len(ptr) - 1
     at = np.repeat(np.arange(n), np.diff(ptr)) * BAG + (h % np.uint64(BAG)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8).reshape(n, BAG)
+    count = np.minimum(np.bincount(at, minlength=n * BAG), 15).astype(np.uint8).reshape(n, BAG)
+    return count[:, ::2] << 4 | count[:, 1::2]
+
+
+def counters(packed: np.ndarray) -> np.ndarray:
+    """The counters of packed bags."""
+    return np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int16)
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches):
         words = Words(batch.column("text"))
-        value = sketches(words)
-        pair = mix(value * np.uint64(3) + np.roll(value, -1, axis=1))
-        keys = np.concatenate([value, pair], axis=1).view(np.int64)
+        keys = sketches(words).view(np.int64)
         offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(words.counts.astype(np.int64)),
@@ -222,10 +228,9 @@ def _verify(least: float):
 def _partners(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Pairs of a cell that may be similar, are in different classes and meet in no earlier sketch."""
     block, root, n = (table.column(c).to_numpy() for c in ("block", "root", "n"))
-    x, y, sketch = (table.column(c)[0].as_py() for c in ("x", "y", "sketch"))
-    keys = table.column("keys").combine_chunks().flatten().to_numpy()
-    keys = keys.reshape(len(n), len(keys) // len(n))[:, :sketch]
-    bag = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(len(n), BAG).astype(np.int16)
+    x, y = (table.column(c)[0].as_py() for c in ("x", "y"))
+    early = table.column("early").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    bag = counters(np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(len(n), BAG // 2))
     second = np.flatnonzero(block == y)
     for i in np.flatnonzero(block == x):
         j = second[second > i] if x == y else second
@@ -235,7 +240,7 @@ def _partners(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]
         j, longer, most = j[fit], longer[fit], most[fit]
         fit = np.abs(bag[j] - bag[i]).sum(axis=1) <= n[i] + n[j] - 2 * (longer - most)
         j = j[fit]
-        j = j[~(keys[j] == keys[i]).any(axis=1)]
+        j = j[~(early[j] == early[i]).any(axis=1)]
         if len(j):
             yield int(i), j
 
@@ -247,7 +252,7 @@ def _near(least: float):
         for i, j in _partners(table, least):
             some[i] = True
             some[j] = True
-        return table.filter(pa.array(some)).select(["id", "key", "sketch", "x", "y", "block"])
+        return table.filter(pa.array(some)).select(["id", "key", "x", "y", "block", "early"])
     return run
 
 
@@ -284,54 +289,131 @@ def _settle(least: float):
     return run
 
 
-def more_links(texts: DataFrame, signs: DataFrame, linked: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` among all pairs that share a sketch value and are not in one class of ``linked``."""
-    rooted = signs.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    member = rooted.select("id", "n", "root", F.posexplode(F.slice("keys", 1, SKETCHES)).alias("sketch", "key"))
-    # By value: the largest class and the blocks inside and outside it; done where there is one class only.
-    by_root = member.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
-    by_key = (by_root.groupBy("key").agg(F.max(F.struct("m", "words", "root")).alias("big"), F.sum("m").alias("m"),
-                                         F.sum("words").alias("words"), F.count("*").alias("roots"))
-              .where("roots > 1"))
-
-    def blocks(m, words):
-        return F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(words / BLOCK_WORDS), F.lit(1)).cast("int")
+def _cells(member: DataFrame, least: float) -> DataFrame:
+    """Places of the members of every key that holds several classes: ``id, key, block, x, y`` (a cell is key, x, y).
 
+    A key that fits in one block is one cell.  The members of a larger one are
+    dealt to bands of length (a similar pair lies in one band or in neighbouring
+    ones), in a band to its largest class and the rest, and there to blocks of
+    bounded size; blocks of the rest meet each other and those of the largest
+    class, blocks of the largest class do not meet.
+    """
+    by_root = member.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("m", "words", "root")).alias("big"), F.sum("m").alias("m"),
+                                        F.sum("words").alias("words"), F.count("*").alias("roots")).where("roots > 1")
     by_key = by_key.select("key", F.col("big.root").alias("main"),
-                           blocks(F.col("m") - F.col("big.m"), F.col("words") - F.col("big.words")).alias("rest"),
-                           blocks(F.col("big.m"), F.col("big.words")).alias("inner"))
-    mixed = F.xxhash64("id", "key")
-    dealt = member.join(by_key, "key").withColumn("block", F.when(
-        F.col("root") == F.col("main"), F.col("rest") + F.pmod(mixed, F.col("inner")).cast("int")).otherwise(
-        F.pmod(mixed, F.col("rest")).cast("int")))
-    # A block of the rest meets all blocks, a block of the largest class those of the rest.
-    meets = F.when(F.col("block") >= F.col("rest"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("rest") + F.col("inner") - 1))
-    cells = (dealt.withColumn("other", F.explode(meets))
-             .select("id", "key", "sketch", "block", F.least("block", "other").alias("x"),
-                     F.greatest("block", "other").alias("y")))
-    own = rooted.select("id", "n", "root", "bag", F.slice("keys", 1, SKETCHES).alias("keys"))
-    near = (cells.join(own, "id").withColumn("keys", F.slice("keys", F.lit(1), F.col("sketch")))
+                           ((F.col("m") > BLOCK_MEMBERS) | (F.col("words") > BLOCK_WORDS)).alias("large"))
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-np.log(least) + 1e-12)).cast("int")
+    dealt = member.join(by_key, "key").select(
+        "key", "id", "n", F.when(F.col("large"), band).otherwise(0).alias("band"),
+        F.when(F.col("large") & (F.col("root") == F.col("main")), 1).otherwise(0).alias("side"))
+    size = dealt.groupBy("key", "band", "side").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_WORDS), F.lit(1)).cast("int").alias("blocks"))
+    size = size.checkpoint()
+    other = size.select("key", F.col("band").alias("b"), F.col("side").alias("s"), F.col("blocks").alias("k"))
+    code = lambda at, side, k: (at * 2 + side).cast("long") * (1 << 32) + k
+    meets = (size.join(other, "key").where("abs(band - b) <= 1 AND (side = 0 OR s = 0)")
+             .groupBy("key", "band", "side").agg(F.first("blocks").alias("blocks"), F.flatten(F.collect_list(F.transform(
+                 F.sequence(F.lit(0), F.col("k") - 1), lambda i: code(F.col("b"), F.col("s"), i)))).alias("others")))
+    return (dealt.join(meets, ["key", "band", "side"])
+            .withColumn("block", code(F.col("band"), F.col("side"), F.pmod(F.xxhash64("id", "key"), F.col("blocks"))))
+            .select("id", "key", "block", F.explode("others").alias("other"))
+            .select("id", "key", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+
+
+def more_links(texts: DataFrame, signs: DataFrame, shared: DataFrame, linked: DataFrame,
+               least: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` among all pairs that share a sketch value and are not in one class of ``linked``."""
+    root = F.coalesce("root", "id").alias("root")
+    member = shared.join(linked, "id", "left").select("id", "n", root, "key")
+    rooted = signs.join(linked, "id", "left").select("id", "text_key", F.col("n").cast("int").alias("n"), root, "bag", "keys")
+    # Values of the sketches before a key's own tell whether a pair has met already; half of each is enough for that.
+    early = F.transform(F.slice("keys", F.lit(1), F.array_position("keys", F.col("key")).cast("int") - 1),
+                        lambda k: F.shiftright(k, 32).cast("int"))
+    near = (_cells(member, least).join(rooted.drop("text_key"), "id").withColumn("early", early).drop("keys")
             .groupBy("key", "x", "y")
-            .applyInArrow(_near(least), "id long, key long, sketch int, x int, y int, block int"))
-    places = near.groupBy("id").agg(F.collect_list(F.struct("key", "sketch", "x", "y", "block")).alias("to"))
-    wanted = places.join(rooted.select("id", "text_key", "n", "root", "bag", F.slice("keys", 1, SKETCHES).alias("keys")), "id")
-    row = ("id long, text string, n long, root long, bag binary, keys array<long>, "
-           "to array<struct<key:long,sketch:int,x:int,y:int,block:int>>")
-    return (texts.join(wanted, "text_key").select("id", "text", "n", "root", "bag", "keys", "to")
+            .applyInArrow(_near(least), "id long, key long, x long, y long, block long, early array<int>"))
+    places = near.groupBy("id").agg(F.collect_list(F.struct("key", "x", "y", "block", "early")).alias("to"))
+    wanted = places.join(rooted.select("id", "text_key", "n", "root", "bag"), "id").checkpoint()
+    row = ("id long, text string, n int, root long, bag binary, "
+           "to array<struct<key:long,x:long,y:long,block:long,early:array<int>>>")
+    return (_present(texts, wanted).join(wanted, "text_key").select("id", "text", "n", "root", "bag", "to")
             .mapInArrow(_keep_first, row)
-            .select("*", F.explode("to").alias("at")).select("id", "text", "n", "root", "bag", "keys", "at.*")
+            .select("*", F.explode("to").alias("at")).select("id", "text", "n", "root", "bag", "at.*")
             .groupBy("key", "x", "y").applyInArrow(_settle(least), "a long, b long"))
 
 
-def links(texts: DataFrame, signs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def _bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches and the positions that their keys have in a table of ``size`` bits (a power of two)."""
+    for batch in batches:
+        if batch.num_rows:
+            halves = np.frombuffer(b"".join(batch.column("text_key").to_pylist()), np.uint64).reshape(-1, 2)
+            yield batch, (halves & np.uint64(size - 1)).astype(np.int64)
+
+
+def _present(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose key is not wanted, so that they are not moved.
+
+    The wanted keys set bits in a table (two bits a key, at most 2 MB from a task
+    and 16 MB in all); rows whose bits are not both set go.  Beyond the size
+    that such a table serves, all rows stay and the join sorts them out.
+    """
+    n = wanted.count()
+    size = 1 << max(13, (16 * max(n, 1) - 1).bit_length())
+    if size > FILTER_BITS:
+        return texts
+    chunk = 1 << 10
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size // 8, np.uint8)
+        for _, at in _bits(batches, size):
+            np.bitwise_or.at(table, at.ravel() >> 3, (1 << (at.ravel() & 7)).astype(np.uint8))
+        parts = table.reshape(-1, chunk)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)),
+                                          pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "bits"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(-1, chunk)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()),
+                         "bits": pa.array([np.bitwise_or.reduce(bits, axis=0).tobytes()], pa.binary())})
+
+    rows = (wanted.select("text_key").mapInArrow(marks, "part int, bits binary")
+            .groupBy("part").applyInArrow(merged, "part int, bits binary").collect())
+    table = np.zeros((size // 8 // chunk, chunk), np.uint8)
+    for r in rows:
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at in _bits(batches, size):
+            hit = (held.value[at >> 3] >> (at & 7) & 1).all(axis=1)
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    return texts.mapInArrow(keep, "text_key binary, text string")
+
+
+def shared_values(signs: DataFrame) -> DataFrame:
+    """Sketch values of several texts: ``id, n, place, key, m`` (``m`` texts have the value)."""
+    single = signs.select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "key"))
+    often = single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return single.join(often, "key").checkpoint()
+
+
+def links(texts: DataFrame, signs: DataFrame, shared: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links ``a, b`` between distinct texts.
 
-    ``signs``: ``id, text_key, n, keys`` of the distinct texts; ``texts``:
-    ``text_key, text`` of all rows.
+    ``signs``: ``id, text_key, n, keys`` of the distinct texts; ``shared``: their
+    shared values; ``texts``: ``text_key, text`` of all rows.
     """
-    key = signs.select("id", "n", F.explode("keys").alias("key"))
-    shared = key.join(key.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key").checkpoint()
+    # Two successive sketches together, where one alone is crowded.
+    crowded = shared.where(F.col("m") > CROWD).select("id", "n", "place").join(signs.select("id", "keys"), "id").select(
+        "id", "n", F.xxhash64(F.element_at("keys", F.col("place") + 1),
+                              F.element_at("keys", F.pmod(F.col("place") + 1, F.lit(SKETCHES)) + 1), "place").alias("key"))
+    double = crowded.join(crowded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    double = double.checkpoint()
+    shared = shared.select("key", "id", "n", "m").unionByName(double.select("key", "id", "n", "m"))
     support = shared.groupBy("id").agg(F.sum("m").alias("support"))
     pivots = (shared.join(support, "id").groupBy("key")
               .agg(F.max(F.struct("support", (-F.col("id")).alias("last"), "n")).alias("p"))
@@ -350,8 +432,8 @@ def links(texts: DataFrame, signs: DataFrame, least: float = SIMILARITY) -> Data
         lambda i: F.struct(F.col("pivot").alias("pivot"), i.alias("part")))).alias("to"))
     # One row per text: at most as many places as it has keys, and its own groups.
     places = sent.unionByName(own).groupBy("id").agg(F.collect_set("to").alias("to"))
-    wanted = signs.select("id", "text_key").join(places, "id")
-    return (texts.join(wanted, "text_key").select("id", "text", "to")
+    wanted = signs.select("id", "text_key").join(places, "id").checkpoint()
+    return (_present(texts, wanted).join(wanted, "text_key").select("id", "text", "to")
             .mapInArrow(_keep_first, "id long, text string, to array<struct<pivot:long,part:int>>")
             .select("id", "text", F.explode("to").alias("to"))
             .select(F.col("to.pivot").alias("pivot"), F.col("to.part").alias("part"), "id", "text")
@@ -390,9 +472,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple
                                             F.first("bag").alias("bag"))
              .withColumn("id", F.monotonically_increasing_id()).checkpoint())
     plain = plain.select("text_key", "text")
-    linked = components(links(plain, signs, least))
+    shared = shared_values(signs)
+    linked = components(links(plain, signs, shared, least))
     linked = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))
-                        .unionByName(more_links(plain, signs, linked, least)))
+                        .unionByName(more_links(plain, signs, shared, linked, least)))
     texts = (signs.select("id", "text_key", "least", "rows", "n").join(linked, "id", "left")
              .withColumn("root", F.coalesce("root", "id")))
     return rows, texts
