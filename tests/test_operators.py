@@ -417,17 +417,22 @@ def test_sessions_do_not_change_the_alert_folds(spark):
         t += timedelta(minutes=rng.choice([1, 5, 20, 59, 60, 61, 119, 120, 121, 400]))
         rows.append((f"u{rng.randrange(2)}", rng.choice(["a", "b"]), rng.choice([None, "m"]), i, t, rng.choice([15, 60])))
     df = spark.createDataFrame(rows, "u string, alert_type string, metric string, id int, ts timestamp, cooldown_minutes int")
-    pdf = df.toPandas()
-    window = timedelta(minutes=60)
-
-    def whole(keys, fn, col):
-        groups = [g for _, g in pdf.groupby(keys, dropna=False)] if keys else [pdf]
-        return {int(i): v for g in groups for i, v in zip(*(lambda o: (o["id"], o[col]))(fn(g)))}
+    minute = 60_000_000
+
+    def whole(keys, start, args, at=0):
+        """Decisions by one decider per key, without sessions."""
+        out, deciders = {}, {}
+        for r in sorted(df.collect(), key=lambda r: (r["ts"], r["id"])):
+            decide = deciders.setdefault(tuple(r[k] for k in keys), None) or start()
+            deciders[tuple(r[k] for k in keys)] = decide
+            out[r["id"]] = decide(int((r["ts"] - datetime(2024, 1, 1)).total_seconds()) * 1_000_000, *(a(r) for a in args))[at]
+        return out
+    cooldown = lambda r: r["cooldown_minutes"]
     got = {r["id"]: r["emitted"] for r in AL.apply_cooldown(df, ["alert_type", "metric"], "ts", ["id"]).collect()}
-    assert got == whole(["alert_type", "metric"], lambda g: AL._cooldown(g, "ts", ["id"]), "emitted")
+    assert got == whole(["alert_type", "metric"], AL._Cooldown, [cooldown])
     for keys in ([], ["u"]):
         got = {r["id"]: r["emitted"] for r in AL.apply_rate_limit(df, 2, 60, keys, "ts", ["id"]).collect()}
-        assert got == whole(keys, lambda g: AL._rate_limit(g, "ts", ["id"], 2, window, None), "emitted")
+        assert got == whole(keys, lambda: AL._RateLimit(2, 60 * minute), [lambda r: True])
         got = {r["id"]: r["suppressed_by"] for r in AL.apply_alert_policy(df, max_alerts=2, tenant_cols=keys, order=["id"]).collect()}
-        assert got == whole(keys, lambda g: AL._policy(g, "ts", ["id"], ["alert_type", "metric"], 2, window), "suppressed_by")
+        assert got == whole(keys, lambda: AL._Policy(2, 60 * minute), [cooldown, lambda r: r["alert_type"], lambda r: r["metric"]], 1)
     assert AL.with_sessions(df, ["u"], "ts", 60).select("u", "_session").distinct().count() > 10

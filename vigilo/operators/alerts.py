@@ -1,30 +1,30 @@
 """Alert rules, cooldown, rate limit and life cycle.
 
 Rule evaluation is a join of signals to the (small, caller-defined, hence
-broadcast) rule table.  Cooldown and rate limit are greedy, order-dependent
-folds: whether an alert is sent depends on the alerts *sent* before it, so
-they cannot be written with ``lag``.  They run as grouped ``applyInPandas``
-folds - cooldown per ``(alert_type, metric)`` key, the rate limit per tenant -
-over *alert candidates*, which are produced per signal window.  After a quiet
-time as long as the longest cooldown and the rate window no earlier alert can
-matter, so every key's or tenant's candidates are cut into sessions at such
-gaps and each session is folded on its own.
+broadcast) rule table.  Cooldown and rate limit are greedy and depend on order:
+whether an alert is sent depends on the alerts *sent* before it, so they cannot
+be written with ``lag``.  They run as one ordered scan - cooldown per
+``(alert_type, metric)`` key, the rate limit per tenant - over *alert
+candidates*, which are produced per signal window.  After a quiet time as long
+as the longest cooldown and the rate window no earlier alert can matter, so
+every key's or tenant's candidates are cut into sessions at such gaps; sessions
+are dealt to tasks, sorted there and read batch by batch with the state of one.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
-from datetime import timedelta
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from vigilo.presets import clinical as C
 
-FOLD_PARTS = 512     # sessions are dealt to so many groups by a hash
+MINUTE = 60_000_000  # microseconds
 
 RULE_SCHEMA = ("name string, alert_type string, threshold double, severity string, "
                "channels array<string>, cooldown_minutes int, enabled boolean")
@@ -89,82 +89,58 @@ def evaluate_rules_inline(signals: DataFrame, rules: DataFrame, value: str = "va
         F.array_sort(F.transform("_m", lambda r: r["name"])).alias("matched_rules"))
 
 
-# M12 / M13 folds --------------------------------------------------------------
-def _in_order(pdf: pd.DataFrame, by: list[str], ts: str, order: list[str]) -> tuple[pd.DataFrame, list[bool]]:
-    """Rows by session and time, and whether each row starts a session."""
-    pdf = pdf.sort_values([*by, ts, *order], kind="mergesort").reset_index(drop=True)
-    fresh = pd.Series(False, index=pdf.index)
-    for c in by:
-        before = pdf[c].shift()
-        fresh |= ~((pdf[c] == before) | (pdf[c].isna() & before.isna()))
-    if len(fresh):
-        fresh.iloc[0] = True
-    return pdf, fresh.tolist()
-
-
-def _cooldown(pdf: pd.DataFrame, ts: str, order: list[str], by: list[str] = ()) -> pd.DataFrame:
-    pdf, fresh = _in_order(pdf, list(by), ts, order)
-    last = None
-    sent = []
-    for new, t, cd in zip(fresh, pdf[ts], pdf["cooldown_minutes"]):
-        if new:
-            last = None
-        ok = last is None or not (last > t - timedelta(minutes=int(cd)))
-        sent.append(ok)
-        if ok:
-            last = t
-    pdf["emitted"] = sent
-    return pdf
-
-
-def _rate_limit(pdf: pd.DataFrame, ts: str, order: list[str], max_alerts: int, window: timedelta,
-                flag: str | None, by: list[str] = ()) -> pd.DataFrame:
-    pdf, fresh = _in_order(pdf, list(by), ts, order)
-    recent: deque = deque()
-    sent = []
-    for new, t, candidate in zip(fresh, pdf[ts], pdf[flag] if flag else [True] * len(pdf)):
-        if new:
-            recent.clear()
-        while recent and not (recent[0] > t - window):
-            recent.popleft()
-        ok = bool(candidate) and len(recent) < max_alerts
-        sent.append(ok)
-        if ok:
-            recent.append(t)
-    pdf["emitted"] = sent
-    return pdf
-
-
-def _policy(pdf: pd.DataFrame, ts: str, order: list[str], key_cols: list[str], max_alerts: int,
-            window: timedelta, by: list[str] = ()) -> pd.DataFrame:
+# M12 / M13 ordered scans ------------------------------------------------------
+class _Cooldown:
+    """Sent unless a sent alert of the session lies within the cooldown."""
+
+    added = [pa.field("emitted", pa.bool_())]
+
+    def __init__(self):
+        self.last = None
+
+    def __call__(self, t: int, minutes: int) -> tuple:
+        sent = self.last is None or self.last <= t - minutes * MINUTE
+        if sent:
+            self.last = t
+        return (sent,)
+
+
+class _RateLimit:
+    """At most ``most`` sent in any trailing window; ``candidate`` false is never sent."""
+
+    added = [pa.field("emitted", pa.bool_())]
+
+    def __init__(self, most: int, window: int):
+        self.most, self.window, self.recent = most, window, deque()
+
+    def __call__(self, t: int, candidate: bool) -> tuple:
+        while self.recent and self.recent[0] <= t - self.window:
+            self.recent.popleft()
+        sent = bool(candidate) and len(self.recent) < self.most
+        if sent:
+            self.recent.append(t)
+        return (sent,)
+
+
+class _Policy:
     """Exact coupled semantics: cooldown against *sent* alerts of the key, then
     the rate limit against all sent alerts; a suppressed alert leaves no trace."""
-    pdf, fresh = _in_order(pdf, list(by), ts, order)
-    last: dict = {}
-    recent: deque = deque()
-    reason = []
-    keys = zip(*[pdf[k].where(pdf[k].notna(), None) for k in key_cols])
-    for new, t, k, minutes in zip(fresh, pdf[ts], keys, pdf["cooldown_minutes"]):
-        if new:
-            last.clear()
-            recent.clear()
-        while recent and not (recent[0] > t - window):
-            recent.popleft()
-        if k in last and last[k] > t - timedelta(minutes=int(minutes)):
-            reason.append("cooldown")
-        elif len(recent) >= max_alerts:
-            reason.append("rate_limit")
-        else:
-            reason.append(None)
-            last[k] = t
-            recent.append(t)
-    pdf["emitted"] = [r is None for r in reason]
-    pdf["suppressed_by"] = reason
-    return pdf
-
-
-def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    return T.StructType(list(schema.fields) + list(fields))
+
+    added = [pa.field("emitted", pa.bool_()), pa.field("suppressed_by", pa.string())]
+
+    def __init__(self, most: int, window: int):
+        self.most, self.window, self.recent, self.last = most, window, deque(), {}
+
+    def __call__(self, t: int, minutes: int, *key) -> tuple:
+        while self.recent and self.recent[0] <= t - self.window:
+            self.recent.popleft()
+        if key in self.last and self.last[key] > t - minutes * MINUTE:
+            return False, "cooldown"
+        if len(self.recent) >= self.most:
+            return False, "rate_limit"
+        self.last[key] = t
+        self.recent.append(t)
+        return True, None
 
 
 def with_sessions(alerts: DataFrame, keys: Sequence[str], ts: str, horizon_minutes: int) -> DataFrame:
@@ -190,51 +166,68 @@ def _longest_cooldown(alerts: DataFrame) -> int:
     return int(alerts.agg(F.max("cooldown_minutes")).first()[0] or 0)
 
 
-def _fold(alerts: DataFrame, keys: Sequence[str], ts: str, horizon: int, fn, *added: T.StructField) -> DataFrame:
-    """``fn`` over the sessions of every key, with ``added`` columns; many sessions share a task's batch."""
-    by = [*keys, "_session"]
-    cut = with_sessions(alerts, keys, ts, horizon).withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(FOLD_PARTS)))
-    schema = _with(alerts.schema, *added)
-    names = [f.name for f in schema.fields]
-    return cut.groupBy("_part").applyInPandas(lambda pdf: fn(pdf, by)[names], schema)
-
+def _scan(alerts: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], horizon: int, start: Callable[[], Callable],
+          args: Sequence[str]) -> DataFrame:
+    """One pass over the sessions of every key in time order, with the columns that ``start().added`` names.
 
-def apply_cooldown(alerts: DataFrame, key_cols: Sequence[str] = ("alert_type", "metric"),
-                   ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    Sessions are dealt to tasks by a hash and sorted there; the pass reads batch
+    after batch and holds one session's state, however long the session is.
+    ``start`` makes a session's decider, called with each row's time in
+    microseconds and its ``args``.
+    """
+    by = [*keys, "_session"]
+    names, added = alerts.columns, start().added
+    cut = with_sessions(alerts, keys, ts, horizon).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    dealt = cut.repartition(*by).sortWithinPartitions(*by, "_at", *order)
+    schema = T.StructType([*alerts.schema.fields, *[T.StructField(f.name, from_arrow_type(f.type)) for f in added]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, decide = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in args]
+            times = batch.column("_at").to_pylist()
+            for own, t, *row in zip(zip(*(batch.column(c).to_pylist() for c in by)), times, *columns):
+                if decide is None or own != session:
+                    session, decide = own, start()
+                out.append(decide(t, *row))
+            results = [pa.array(list(x), f.type) for x, f in zip(zip(*out), added)] if out else \
+                [pa.array([], f.type) for f in added]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *results], [*names, *(f.name for f in added)])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def apply_cooldown(alerts: DataFrame, key_cols: Sequence[str] = ("alert_type", "metric"), ts: str = "ts",
+                   order: Sequence[str] = (), longest_cooldown: int | None = None) -> DataFrame:
     """An alert is sent unless a *sent* alert of the same key lies within
-    its (longest applicable) cooldown; a null metric is a key of its own."""
-    order = list(order)
-    return _fold(alerts, list(key_cols), ts, _longest_cooldown(alerts), lambda pdf, by: _cooldown(pdf, ts, order, by),
-                 T.StructField("emitted", T.BooleanType()))
+    its (longest applicable) cooldown; a null metric is a key of its own.
+    ``longest_cooldown`` saves a pass over the alerts to find it."""
+    horizon = _longest_cooldown(alerts) if longest_cooldown is None else longest_cooldown
+    return _scan(alerts, list(key_cols), ts, order, horizon, _Cooldown, ["cooldown_minutes"])
 
 
 def apply_rate_limit(alerts: DataFrame, max_alerts: int = C.MAX_ALERTS_PER_HOUR, window_minutes: int = 60,
                      tenant_cols: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = (),
                      only_where: str | None = None) -> DataFrame:
     """At most ``max_alerts`` sent in any trailing window (per tenant, or
-    all alerts when no tenant column is given).  ``only_where`` names a boolean
-    column of candidates (e.g. the cooldown result); the others are not sent
-    and do not count.  The output's ``emitted`` replaces ``only_where``."""
-    order = list(order)
-    src = alerts.withColumnRenamed(only_where, "_cand") if only_where else alerts
-    if "emitted" in src.columns:
-        src = src.drop("emitted")
-    win = timedelta(minutes=window_minutes)
-    out = _fold(src, list(tenant_cols), ts, window_minutes,
-                lambda pdf, by: _rate_limit(pdf, ts, order, max_alerts, win, "_cand" if only_where else None, by),
-                T.StructField("emitted", T.BooleanType()))
-    return out.drop("_cand")
+    all alerts when no tenant column is given; their sessions still run apart).
+    ``only_where`` names a boolean column of candidates (e.g. the cooldown
+    result); the others are not sent and do not count.  The output's ``emitted``
+    replaces ``only_where``."""
+    src = alerts.withColumn("_cand", F.col(only_where) if only_where else F.lit(True)).drop("emitted", only_where or "emitted")
+    return _scan(src, list(tenant_cols), ts, order, window_minutes,
+                 lambda: _RateLimit(max_alerts, window_minutes * MINUTE), ["_cand"]).drop("_cand")
 
 
 def apply_alert_policy(alerts: DataFrame, key_cols: Sequence[str] = ("alert_type", "metric"),
                        max_alerts: int = C.MAX_ALERTS_PER_HOUR, window_minutes: int = 60,
-                       tenant_cols: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
-    """Cooldown and rate limit in one fold with the source's exact coupling."""
-    order, key_cols = list(order), list(key_cols)
-    win = timedelta(minutes=window_minutes)
-    return _fold(alerts, list(tenant_cols), ts, max(_longest_cooldown(alerts), window_minutes),
-                 lambda pdf, by: _policy(pdf, ts, order, key_cols, max_alerts, win, by),
-                 T.StructField("emitted", T.BooleanType()), T.StructField("suppressed_by", T.StringType()))
+                       tenant_cols: Sequence[str] = (), ts: str = "ts", order: Sequence[str] = (),
+                       longest_cooldown: int | None = None) -> DataFrame:
+    """Cooldown and rate limit in one pass with the source's exact coupling."""
+    longest = _longest_cooldown(alerts) if longest_cooldown is None else longest_cooldown
+    return _scan(alerts, list(tenant_cols), ts, order, max(longest, window_minutes),
+                 lambda: _Policy(max_alerts, window_minutes * MINUTE), ["cooldown_minutes", *key_cols])
 
 
 # M14 ------------------------------------------------------------------------

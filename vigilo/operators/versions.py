@@ -38,16 +38,28 @@ def field_text(df: DataFrame, c: str) -> F.Column:
     return x.cast("string")
 
 
-def row_hashes(df: DataFrame, cols: Sequence[str]) -> tuple[F.Column, F.Column]:
-    """Two independent 52-bit integers from the md5 of the row's canonical text.
+def with_row_hashes(df: DataFrame, cols: Sequence[str], keep: Sequence[F.Column] = ()) -> DataFrame:
+    """``one`` and ``two``, independent 52-bit integers from the md5 of each row's canonical text, besides ``keep``.
 
-    Every field carries its length, so no text can pass for two fields.
+    Every field carries its length, so no text can pass for two fields.  Texts,
+    digest and integers are projections of their own: each is used more than
+    once by the next, so the optimiser leaves them apart and none is computed
+    twice.
     """
-    def field(c: str) -> F.Column:
-        t = field_text(df, c)
-        return F.when(t.isNull(), "N").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t))
-    digest = F.md5(F.concat(*[field(c) for c in cols]))
-    return tuple(F.conv(F.substring(digest, at, 13), 16, 10).cast("long") for at in (1, 14))
+    texts = df.select(*keep, *[field_text(df, c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    kept = texts.columns[:len(keep)]
+    fields = [F.when(F.col(t).isNull(), "N").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), F.col(t)))
+              for t in texts.columns[len(keep):]]
+    digest = texts.select(*kept, F.md5(F.concat(*fields)).alias("_digest"))
+    return digest.select(*kept, *[F.conv(F.substring("_digest", at, 13), 16, 10).cast("long").alias(name)
+                                  for at, name in ((1, "one"), (14, "two"))])
+
+
+def _combined(one: str, two: str) -> list[F.Column]:
+    """XOR and modular sum of hashes or of such combinations: both merge in any order."""
+    total = F.sum(F.col(two).cast("decimal(20,0)")) % F.lit(SUM_MODULUS).cast("decimal(20,0)")
+    return [F.coalesce(F.bit_xor(one), F.lit(0)).alias("content_xor"),
+            F.coalesce(total, F.lit(0)).cast("long").alias("content_sum")]
 
 
 def schema_text(df: DataFrame, cols: Sequence[str] | None = None) -> str:
@@ -58,11 +70,7 @@ def schema_text(df: DataFrame, cols: Sequence[str] | None = None) -> str:
 # V1 -------------------------------------------------------------------------
 def fingerprint(df: DataFrame, name: str, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or df.columns)
-    one, two = row_hashes(df, cols)
-    total = F.sum(two.cast("decimal(20,0)")) % F.lit(SUM_MODULUS).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.coalesce(F.bit_xor(one), F.lit(0)).alias("content_xor"),
-                  F.coalesce(total, F.lit(0)).cast("long").alias("content_sum")) \
+    return with_row_hashes(df, cols).agg(F.count(F.lit(1)).alias("row_count"), *_combined("one", "two")) \
         .select(F.lit(name).alias("dataset"), "row_count", F.lit(len(cols)).alias("column_count"),
                 F.md5(F.lit(schema_text(df, cols))).alias("schema_hash"), "content_xor", "content_sum")
 
@@ -75,6 +83,60 @@ def dataset_manifest(tables: Mapping[str, DataFrame], cols: Mapping[str, Sequenc
     return out
 
 
+# V1 / V6 as a tree: files, folders, dataset ------------------------------------
+FILE_MANIFEST = ("folder string, file string, file_size long, modified timestamp, row_count long, content_xor long, "
+                 "content_sum long")
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """``path, folder, file, file_size, modified`` of a table's files, without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", *_place(), F.col("_metadata.file_size").alias("file_size"),
+                        F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def _place() -> list[F.Column]:
+    whole = F.col("_metadata.file_path")
+    return [F.regexp_replace(whole, "/[^/]*$", "").alias("folder"), F.regexp_extract(whole, "([^/]*)$", 1).alias("file")]
+
+
+def file_manifest(spark: SparkSession, path: str, files: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
+    """Leaves of the tree: row count and fingerprint of each of some files of the table at ``path``."""
+    if not files:
+        return spark.createDataFrame([], FILE_MANIFEST)
+    schema = spark.read.parquet(path).schema
+    df = spark.read.schema(schema).option("basePath", path).parquet(*files)
+    keep = [*_place(), F.col("_metadata.file_size").alias("file_size"),
+            F.col("_metadata.file_modification_time").alias("modified")]
+    leaf = ["folder", "file", "file_size", "modified"]
+    return with_row_hashes(df, list(cols or df.columns), keep).groupBy(*leaf) \
+        .agg(F.count(F.lit(1)).alias("row_count"), *_combined("one", "two"))
+
+
+def update_manifest(spark: SparkSession, path: str, stored: DataFrame | None = None,
+                    cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The file manifest of a table now, and the files that were read for it.
+
+    Files that ``stored`` holds with the same size and time keep their
+    fingerprints; only the others are scanned.  Files that are gone drop out.
+    The paths of the scanned files pass the driver, as they do in any scan.
+    """
+    now = list_files(spark, path)
+    leaf = ["folder", "file", "file_size", "modified"]
+    if stored is None:
+        stored = spark.createDataFrame([], FILE_MANIFEST)
+    fresh = [r["path"] for r in now.join(stored.select(*leaf), leaf, "left_anti").select("path").collect()]
+    known = stored.join(now.select(*leaf), leaf, "left_semi").select("folder", "file", "file_size", "modified", "row_count",
+                                                                     "content_xor", "content_sum")
+    return known.unionByName(file_manifest(spark, path, fresh, cols)), fresh
+
+
+def fold_manifest(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Inner nodes: fingerprints merged by folder, or (without ``by``) the root, which equals the table's own."""
+    return files.groupBy(*by).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+                                  *_combined("content_xor", "content_sum"))
+
+
 # V2 -------------------------------------------------------------------------
 def dataset_metadata(df: DataFrame, label: str) -> DataFrame:
     """Rows, feature count (label excluded), class counts and columns with nulls."""

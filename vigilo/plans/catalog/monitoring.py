@@ -232,6 +232,7 @@ cand AS (SELECT {tenant} alert_type, detail, ts, any_value(metric) AS metric, an
 
 CANDIDATES_SQL = candidates_sql()
 TENANT = ["user_id"]     # the rate limit holds per user of the events
+LONGEST_COOLDOWN = max(cooldown for *_, cooldown in C.DEFAULT_ALERT_RULES)
 
 register("alert_candidates", ops=("M11",), sql=f"""
 WITH {CANDIDATES_SQL}
@@ -240,7 +241,8 @@ SELECT alert_type, detail, ts, value, severity, channels, cooldown_minutes, matc
 
 
 def _cooled(spark, sf):
-    return AL.apply_cooldown(_candidates(spark, sf), ["alert_type", "metric"], "ts", ["detail"])
+    return AL.apply_cooldown(_candidates(spark, sf), ["alert_type", "metric"], "ts", ["detail"],
+                             longest_cooldown=LONGEST_COOLDOWN)
 
 
 def alert_cooldown(spark, sf):
@@ -288,7 +290,8 @@ SELECT user_id, alert_type, detail, ts, severity, emitted FROM r""")(alert_rate_
 
 def alert_policy(spark, sf):
     out = AL.apply_alert_policy(_candidates(spark, sf, TENANT), ["alert_type", "metric"], RATE_LIMIT, 60,
-                                tenant_cols=TENANT, ts="ts", order=["alert_type", "detail"])
+                                tenant_cols=TENANT, ts="ts", order=["alert_type", "detail"],
+                                longest_cooldown=LONGEST_COOLDOWN)
     return out.select("user_id", "alert_type", "detail", "ts", "severity", "emitted", "suppressed_by")
 
 
@@ -371,3 +374,27 @@ m AS (
 SELECT metric_name, count(*) AS count, avg(value) AS mean,
        CAST(min(CAST(timestamp AS DATE)) AS TIMESTAMP) AS first_day
 FROM m WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY GROUP BY 1""")(metric_store)
+
+
+def retention_delete(spark, sf):
+    """Metrics appended by day, two weeks kept: what was there, what was deleted and what a reader finds, by day."""
+    import uuid
+    from vigilo.session import scratch_dir
+    path = scratch_dir(spark, f"metric-store-{uuid.uuid4().hex[:8]}")
+    TB.append_table(MO.prediction_metrics(predictions(spark, sf)), path, "timestamp", "dt")
+    before = spark.read.parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("rows_before")).checkpoint()
+    report = TB.delete_expired(spark, path, "timestamp", days=14, as_of=AS_OF).select("dt", "rows_removed")
+    left = spark.read.parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("rows_left"))
+    return before.join(report, "dt", "left").join(left, "dt", "left").select(
+        F.col("dt").cast("timestamp_ntz").alias("day"), "rows_before", F.coalesce("rows_removed", F.lit(0)).alias("rows_removed"),
+        F.coalesce("rows_left", F.lit(0)).alias("rows_left"))
+
+
+register("retention_delete", ops=("S8", "S7"), sql=f"""
+WITH p AS ({D.PRED_SQL}),
+m AS (SELECT timestamp FROM p WHERE prediction IS NOT NULL UNION ALL SELECT timestamp FROM p WHERE probability IS NOT NULL
+      UNION ALL SELECT timestamp FROM p WHERE response_time_ms IS NOT NULL
+      UNION ALL SELECT timestamp FROM p WHERE actual_label IS NOT NULL AND prediction IS NOT NULL),
+k AS (SELECT CAST(CAST(timestamp AS DATE) AS TIMESTAMP) AS day, timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AS old FROM m)
+SELECT day, count(*) AS rows_before, count(*) FILTER (old) AS rows_removed, count(*) FILTER (NOT old) AS rows_left
+FROM k GROUP BY 1""")(retention_delete)

@@ -15,6 +15,7 @@ from vigilo.operators import alerts as AL
 from vigilo.plans.registry import register
 from vigilo.session import scratch_dir
 from vigilo.streaming.alerts import alert_stream
+from vigilo.streaming.merged import read_merged, start_merge
 from vigilo.streaming.rollup import rollup_stream, start_append
 
 
@@ -40,24 +41,29 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
+ROLLUP_KEYS = ["window_start", "window_end", "metric_name"]
+
+
 def metric_rollup_stream(spark, sf):
+    """All windows of the replayed events, the last ones too: update output merged by window and metric."""
     ev = _event_stream(spark, sf).select(F.col("ts").alias("timestamp"),
                                          F.col("event_type").alias("metric_name"), "value")
-    agg = rollup_stream(ev, "1 hour", watermark="1 hour", exact_percentiles=True)
-    out = _replay(agg, "rollup")
+    agg = rollup_stream(ev, "1 hour", watermark="1 hour")
+    name = f"rollup-{uuid.uuid4().hex[:8]}"
+    path = scratch_dir(spark, "table-" + name)
+    start_merge(agg, path, scratch_dir(spark, "stream-" + name), ROLLUP_KEYS, available_now=True).awaitTermination()
+    out = read_merged(spark, path, ROLLUP_KEYS, agg.schema)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-# Append mode emits a window once the watermark (latest event time less an hour) reaches its end.
+# percentile_approx gives values that occur, as quantile_disc does.
 register("metric_rollup_stream", ops=("M3", "S7"), sql="""
-WITH w AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
-         time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
-         event_type AS metric_name, count(value) AS count, sum(value) AS sum, min(value) AS min,
-         max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS p50,
-         quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99
-  FROM events GROUP BY 1, 2, 3)
-SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")(metric_rollup_stream)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       event_type AS metric_name, count(value) AS count, sum(value) AS sum, min(value) AS min,
+       max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, quantile_disc(value, 0.5) AS p50,
+       quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3""")(metric_rollup_stream)
 
 
 def alert_stream_replay(spark, sf):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilo.operators import joins as J
 from vigilo.operators import versions as V
 from vigilo.plans.registry import register
+from vigilo.session import scratch_dir
 from vigilo.sources.tables import table
 
 # All columns of the tables, with Spark's type names (the oracle has no other way to know them).
@@ -59,6 +62,38 @@ register("dataset_manifest", ops=("V1",), sql=" UNION ALL ".join(
     _fingerprint_sql(n, n, COLUMNS[n]) for n in ("orders", "customer", "lineitem")))(manifest_q)
 
 
+def manifest_update(spark, sf):
+    """Orders stored by year, fingerprinted, extended by the orders since the cut, fingerprinted again: only
+    the added files are read the second time.  One row per folder."""
+    path = scratch_dir(spark, f"orders-{uuid.uuid4().hex[:8]}")
+    orders = table(spark, sf, "orders").withColumn("o_year", F.year("o_orderdate"))
+    cut = F.lit(OLD_CUT).cast("timestamp_ntz")
+    cols = list(COLUMNS["orders"])
+    orders.filter(F.col("o_orderdate") < cut).write.partitionBy("o_year").parquet(path)
+    first, _ = V.update_manifest(spark, path, cols=cols)
+    first = first.checkpoint()
+    orders.filter(F.col("o_orderdate") >= cut).write.mode("append").partitionBy("o_year").parquet(path)
+    second, _ = V.update_manifest(spark, path, first, cols)
+    second = second.checkpoint()
+    year = F.regexp_extract("folder", "o_year=([0-9]+)$", 1).cast("int").alias("o_year")
+    added = second.join(first.select("folder", "file"), ["folder", "file"], "left_anti") \
+        .groupBy("folder").agg(F.sum("row_count").alias("rows_added"))
+    return V.fold_manifest(second, ["folder"]).join(added, "folder", "left") \
+        .select(year, "row_count", "content_xor", "content_sum", F.coalesce("rows_added", F.lit(0)).alias("rows_added"))
+
+
+def _manifest_update_sql() -> str:
+    text = " || ".join(_field_sql(c, kind) for c, kind in COLUMNS["orders"].items())
+    return (f"SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, count(*) AS row_count, "
+            f"bit_xor({_hash_sql('digest', 1)}) AS content_xor, "
+            f"CAST(sum({_hash_sql('digest', 14)}) % {V.SUM_MODULUS} AS BIGINT) AS content_sum, "
+            f"CAST(count(*) FILTER (o_orderdate >= TIMESTAMP '{OLD_CUT}') AS BIGINT) AS rows_added "
+            f"FROM (SELECT *, md5({text}) AS digest FROM orders) GROUP BY ALL")
+
+
+register("manifest_update", ops=("V1", "V6"), sql=_manifest_update_sql())(manifest_update)
+
+
 # ---- V3 / V6: an older snapshot of the catalogue against the current one ---------------
 def _old_new(spark, sf):
     t = lambda n: table(spark, sf, n)

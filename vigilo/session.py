@@ -105,12 +105,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder, through the file system that Spark uses for it.
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.delete(target, True) and fs.exists(target):
+        raise OSError(f"could not delete {path}")
 
-    Quiet where the session has ended or the folder is gone: nothing depends on
-    the deletion.
-    """
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder; quiet where the session has ended, as nothing depends on it."""
     with contextlib.suppress(Exception):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_dir(spark, path)

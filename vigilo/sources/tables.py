@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilo.session import delete_dir
+
 SUPPORTED_FORMATS = ("parquet", "csv", "json", "orc")
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -128,6 +130,40 @@ def apply_retention(df: DataFrame, ts_col: str, days: int = 30, as_of=None,
     return out.filter(F.col(ts_col) >= cutoff)
 
 
+def delete_expired(spark: SparkSession, path: str, ts_col: str, days: int = 30, as_of=None, date_col: str = "dt") -> DataFrame:
+    """Delete rows older than ``days`` from a table that :func:`append_table` wrote; one report row per touched day.
+
+    Folders before the cut's day are dropped whole (their rows are counted from
+    the files' footers).  The folder of the cut's day is rewritten without its
+    expired rows by dynamic partition overwrite, which counts them in the same
+    pass and puts the new files in place when they are complete.  No younger
+    folder is read.  Rows without a time stay.  A run that failed half-way is
+    finished by running it again.  Report: ``dt, rows_before, rows_removed``.
+    """
+    if as_of is None:
+        raise ValueError("as_of is required: the clock is a parameter")
+    path = path.rstrip("/")
+    stored = spark.read.parquet(path)
+    cutoff = F.lit(as_of).cast(stored.schema[ts_col].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")
+    day = spark.range(1).select(F.to_date(cutoff)).first()[0]
+    report = [(r[date_col], r["n"], r["n"]) for r in
+              stored.filter(F.col(date_col) < F.lit(day)).groupBy(date_col).agg(F.count(F.lit(1)).alias("n")).collect()]
+    for gone, _, _ in report:
+        delete_dir(spark, f"{path}/{date_col}={gone}")
+    seen = Observation()
+    last = stored.filter(F.col(date_col) == F.lit(day))
+    if not last.isEmpty():
+        last.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(ts_col) < cutoff).alias("old")) \
+            .filter(~F.coalesce(F.col(ts_col) < cutoff, F.lit(False))) \
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
+        rows, old = seen.get["rows"], seen.get["old"]
+        if rows == old:                  # nothing left: an overwrite by partitions does not touch an empty one
+            delete_dir(spark, f"{path}/{date_col}={day}")
+        report.append((day, rows, old))
+    spark.catalog.refreshByPath(path)
+    return spark.createDataFrame(report, f"{date_col} date, rows_before long, rows_removed long")
+
+
 def retention_report(df: DataFrame, ts_col: str, days: int = 30, as_of=None) -> DataFrame:
     cutoff = F.lit(as_of).cast(df.schema[ts_col].dataType) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.agg(F.count(F.lit(1)).alias("rows_before"),

@@ -2,10 +2,14 @@
 
 ``rollup_stream`` is the streaming twin of
 :func:`vigilo.operators.monitor.rollup_windows`: event-time windows behind a
-watermark, append output (a window is emitted once, when the watermark
-passes its end).  Sliding windows chain two stateful aggregations - slide-sized
-buckets first, then windows over the buckets' ``window_time`` - so the state
-holds one small row per bucket instead of size/slide copies of every event.
+watermark.  With append output a window is emitted once, when the watermark
+passes its end, so a stream that stops keeps back its last windows; with update
+output into a merged table (:mod:`vigilo.streaming.merged`) every window is there
+from its first event on and corrected until the watermark passes it.  Sliding
+windows in append mode chain two stateful aggregations - slide-sized buckets
+first, then windows over the buckets' ``window_time`` - so the state holds one
+small row per bucket; Spark allows update mode for one aggregation only, so with
+``chained=False`` events are expanded to their windows before the partial sums.
 Percentiles on streams are ``percentile_approx`` by default (exact
 ``percentile`` keeps every value in state); exact is an option for tumbling
 windows.
@@ -24,7 +28,7 @@ from vigilo.operators.aggregates import bucket_part, merged_deviation
 
 def rollup_stream(sdf: DataFrame, size: str, slide: str | None = None, watermark: str = "10 minutes",
                   keys: Sequence[str] = ("metric_name",), ts: str = "timestamp", value: str = "value",
-                  exact_percentiles: bool = False) -> DataFrame:
+                  exact_percentiles: bool = False, chained: bool = True) -> DataFrame:
     keys = list(keys)
     # withWatermark needs TIMESTAMP (not TIMESTAMP_NTZ); the session clock is UTC.
     src = (sdf.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -32,10 +36,10 @@ def rollup_stream(sdf: DataFrame, size: str, slide: str | None = None, watermark
            .filter(F.col(value).isNotNull())
            .withWatermark(ts, watermark))
     v = F.col(value)
-    if slide is None or slide == size:
+    if slide is None or slide == size or not chained:
         pct = (lambda q: F.percentile(v, q)) if exact_percentiles else \
             (lambda q: F.percentile_approx(v, q, 10000).cast("double"))
-        out = src.groupBy(F.window(ts, size).alias("w"), *keys).agg(
+        out = src.groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(
             F.count(v).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"),
             F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
             pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"))
