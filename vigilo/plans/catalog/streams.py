@@ -74,8 +74,8 @@ def alert_stream_replay(spark, sf):
     sig = ev.select("user_id", F.lit("model_error").alias("alert_type"), F.lit(None).cast("string").alias("metric"),
                     F.col("event_id").alias("detail"), F.col("ts").cast("timestamp").alias("ts"),
                     (F.col("value") / 400.0).alias("value"))
-    out = alert_stream(sig, AL.rules_table(spark), [], ts="ts", order=["detail"],
-                       tenant_cols=["user_id"], max_alerts=RATE_LIMIT)
+    out = alert_stream(sig, AL.rules_table(spark), ts="ts", order=["detail"], tenant_cols=["user_id"],
+                       max_alerts=RATE_LIMIT)
     res = _replay(out, "alerts")
     return res.select("user_id", "detail", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", "emitted",
                       "suppressed_by")
