@@ -46,7 +46,8 @@ HIDDEN = 8
 MAX_TOXIC = 1200         # rows labelled toxic that training may read
 MAX_CLEAN = 3200         # rows labelled clean that training may read
 MAX_TEXT = 6_000        # longest text (characters) that training may read; scoring has no limit
-EPOCHS = 5
+BATCH = 32               # windows of one gradient step
+STEPS = 800              # gradient steps of training, at every size
 FOLDS = 4
 THRESHOLD = 0.3
 _GRAMS = (3, 4, 5, 6)
@@ -392,11 +393,13 @@ def distinct_texts(words: Words, sketches: int = 6) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], prior: float | None = None, seed: int = 11,
-          epochs: int = EPOCHS) -> dict:
+          steps: int = STEPS) -> dict:
     """Model of labelled texts; deterministic for the same rows in the same order.
 
     A training document sees the evidence of the other folds only, as an unseen
-    document would.  ``prior`` is the share of toxic rows among all labelled
+    document would.  Passes over the windows follow each other until ``steps``
+    batches have been learned, whatever the size of the sample (the last pass is
+    finished).  ``prior`` is the share of toxic rows among all labelled
     rows (default: in the sample); rows are weighted to it.
     """
     y = np.asarray(labels, np.int64)
@@ -416,12 +419,10 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
     ids = np.append(batch.ids, 0)
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in weights.items()}
     step = 0
-    size = 64 if len(telling[0]) > 2048 else 16
-    epochs *= 1 if size == 64 else 3
-    for epoch in range(epochs):
-        rate = 0.01 * (1 - epoch / epochs)
+    while step < steps:
+        rate = 0.01 * (1 - step / steps)
         doc, start, n = telling
-        if epoch:       # what the network itself takes for the most toxic window of each document
+        if step:        # what the network itself takes for the most toxic window of each document
             logit = np.empty(len(windows[0]), np.float32)
             for f in range(FOLDS):
                 own = fold[windows[0]] == f
@@ -433,8 +434,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
         weight = of_class[doc] / np.bincount(doc, minlength=batch.n_docs)[doc]
         weight = (weight / weight.mean()).astype(np.float32)
         order = rng.permutation(len(doc))
-        picks = [x[a:a + size] for f in range(FOLDS) for x in [order[fold[doc[order]] == f]]
-                 for a in range(0, len(x), size)]
+        picks = [x[a:a + BATCH] for f in range(FOLDS) for x in [order[fold[doc[order]] == f]]
+                 for a in range(0, len(x), BATCH)]
         for i in rng.permutation(len(picks)):
             pick = picks[i]
             part_odds = odds[fold[doc[pick[0]]]]
@@ -486,10 +487,13 @@ def _adam_rows(weights, moment, name, rows, grads, step, rate=0.01):
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
                     text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
                     max_clean: int = MAX_CLEAN, max_text: int = MAX_TEXT) -> tuple[list[str], list[int]]:
-    """Labelled texts chosen by a hash of the id, in a fixed order; at most
-    ``max_toxic + max_clean`` rows of at most ``max_text`` characters."""
+    """Labelled texts chosen by a hash of the id, in a fixed order, among those of
+    at most ``max_text`` characters; at most ``max_toxic`` and ``max_clean`` rows.
+    An id with both labels counts as toxic."""
     known = (labels.where(allowed & F.col(label_col).isin(0, 1))
-             .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"]))
+             .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
+    short = docs.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= max_text).select(F.col(id_col).alias("id"))
+    known = known.join(short, "id", "left_semi")
     mixed = F.xxhash64("id")
     chosen = (known.where("y = 1").orderBy(mixed, "id").limit(max_toxic)
               .unionByName(known.where("y = 0").orderBy(mixed, "id").limit(max_clean)))
