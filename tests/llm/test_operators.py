@@ -190,6 +190,31 @@ def test_pairs_without_a_pivot_are_settled(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == expected
 
 
+def test_sketches_find_pairs_at_the_stated_similarity():
+    rng = np.random.default_rng(2)
+    for share, least in ((0.15, 0.95), (0.2, 0.82)):
+        rows = []
+        for k in range(150):
+            text = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+            other = list(text)
+            for i in rng.choice(300, int(share * 300), replace=False):
+                other[i] = f"z{k}x{i}"
+            rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        value, parts = sketched(rows)
+        assert all(omh.similar(a, b) for a, b in zip(parts[::2], parts[1::2]))
+        assert (value[::2] == value[1::2]).any(axis=1).mean() >= least
+
+
+def test_the_table_of_wanted_texts_loses_none(spark, monkeypatch):
+    texts = spark.range(3000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("text_key"), F.col("id").cast("string").alias("text"))
+    wanted = texts.where("cast(text as int) % 10 = 3").select("text_key")
+    left = {r.text for r in omh._present(texts, wanted).collect()}
+    assert {str(i) for i in range(3, 3000, 10)} <= left and len(left) < 500
+    assert omh._present(texts, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(omh, "FILTER_BITS", 8)
+    assert omh._present(texts, wanted).count() == 3000
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = omh.near_duplicates(odd).collect()
     cls = {r.doc_id: r.class_id for r in rows}
@@ -404,6 +429,14 @@ def test_without_a_model_all_rows_stay(spark, odd):
         assert toxicity.filter_toxic(odd, known).count() == len(ROWS)
 
 
+def test_training_rows_are_chosen_among_short_texts(spark):
+    docs = spark.createDataFrame([(k, "long " * 9 if k < 20 else f"short {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(21, 0), (20, None)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, F.lit(True), max_toxic=10, max_clean=10, max_text=20)
+    assert len(texts) == 20 and sum(y) == 10 and all(t.startswith("short") for t in texts)
+    assert dict(zip(texts, y))["short 21"] == 1          # both labels: the larger
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 0), (4, None), (5, 1), (7, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()
