@@ -19,8 +19,9 @@ From the counts, every (language, source) group gives term ``t`` the weight
 ``f = floor((p - q)**2 / (p + q))``.  Part ``pair`` sums f over all kept terms
 against each other source of the language; part ``term`` lists the ten terms
 with the largest f against the whole language among those with p > q.  The sums
-run over blocks of ordinals of one language, cut so that a block has at most
-``CELLS`` (source, term) cells.
+run over blocks of ordinals of one language, cut so that a block has about
+``CELLS`` (source, term) cells, and as many terms as sources at least: a block
+then sends on fewer pair sums than it has cells.
 
 Defined results: null text, language and source count as ''; rows are documents
 one by one, repeated or not; a language without kept terms has pair values 0
@@ -49,7 +50,7 @@ MIN_DOCS, TOP = 10, 10
 SCALE_STEPS = 3                # 10**9 as three factors of 1000
 SHARD = 1 << 18                # terms of one transducer, at most
 PASS_BYTES = 64 << 20          # transducers broadcast at once, at most (one at least)
-CELLS = 1 << 20                # (source, term) cells of a block
+CELLS = 1 << 15                # (source, term) cells of a block, unless it would hold fewer terms than sources
 FLUSH = 1 << 21                # ordinals gathered before they are counted
 _TERM_BYTE = np.zeros(256, bool)
 _TERM_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -430,7 +431,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("total").alias("lang_total")) \
         .join(shards.groupBy("lang").agg(F.sum("n_terms").alias("n_kept")), "lang", "left") \
         .withColumn("n_kept", F.coalesce("n_kept", F.lit(0))) \
-        .withColumn("width", F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("n_sources"))))
+        .withColumn("width", F.greatest(F.col("n_sources"), F.floor(F.lit(cells) / F.col("n_sources"))))
     langs = _written(langs, "languages")
     blocks = langs.filter("n_kept > 0").withColumn("block", F.explode(F.expr("sequence(0L, (n_kept - 1) div width)"))) \
         .select("lang", "block", "n_kept", "lang_total", (F.col("block") * F.col("width")).alias("begin"),
