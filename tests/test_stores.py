@@ -187,3 +187,26 @@ def test_ordered_scan_carries_state_over_batches(spark, tenants):
         assert [got[r[5]].emitted for r in own] == [w is None for w in want]
         alone = plain_policy([(r[1], r[5], None, 0) for r in own], 3, 60)
         assert [limit[r[5]] for r in own] == [w is None for w in alone]
+
+
+# ---------------------------------------------------------------- Q9, training rows
+def test_cleaning_is_counted_by_the_writing_pass(spark, tmp_path):
+    from vigilo.plans.cleaning import clean_transactions, write_cleaned
+    rows = [("2024-01-02 00:00:00", 1, 5, "a", "x"), ("nonsense", 1, None, "a", "x"), ("2031-01-01 00:00:00", 2, -1, None, "nan"),
+            ("2024-01-02 00:00:00", 1, 5, "a", "x"), (None, -3, 4, "a", "x"), ("2024-01-03 00:00:00", 3, -7, "a", "x")]
+    df = spark.createDataFrame(rows, "txn_dt string, patient_id long, physician_id long, txn_type string, txn_desc string")
+    path = str(tmp_path / "clean")
+    got = write_cleaned(df.repartition(3), "2025-01-01 00:00:00", path).first().asDict()
+    assert got == {"initial_rows": 6, "invalid_dates": 1, "future_dates": 1, "filled_physician_ids": 1, "invalid_patient_ids": 1,
+                   "invalid_physician_ids": 1, "final_rows": 3}
+    assert rows_of(spark.read.parquet(path)) == rows_of(clean_transactions(df, "2025-01-01 00:00:00", sort=False))
+    empty = write_cleaned(df.limit(0), "2025-01-01 00:00:00", str(tmp_path / "none")).first()
+    assert set(empty.asDict().values()) == {0}
+
+
+def test_training_rows_lie_alike_however_the_input_was_cut(spark):
+    from vigilo.operators.ml import spread
+    df = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    place = [[(r.p, r.id) for r in spread(d, 4).select(F.spark_partition_id().alias("p"), "id").collect()]
+             for d in (df, df.repartition(9), df.orderBy(F.desc("id")))]
+    assert place[0] == place[1] == place[2] and len({p for p, _ in place[0]}) == 4

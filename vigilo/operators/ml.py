@@ -197,17 +197,20 @@ def production_features(dictionary: DataFrame, leakage: Sequence[str] = ()) -> D
     return d.filter(~F.col("Variable").isin(*leakage)) if leakage else d
 
 
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PART = 500_000
+LEAST_PARTS = 4
 
 
-def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Before iterative fitting (one Spark job per optimizer step), merge
-    partitions down to about ``rows_per_partition`` rows each - never up, and
-    without a shuffle - so small training tables do not pay per-task overhead
-    on every iteration while large ones keep their parallelism."""
-    want = max(1, math.ceil(df.count() / rows_per_partition))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Training rows dealt to ``parts`` partitions by a hash of the row, sorted there and written once.
+
+    Forests and boosted trees draw their samples per partition and row, so rows
+    lie in the same place in every run and after every retry, however the input
+    was cut.  The default is one partition per 500,000 rows and four at least:
+    an optimizer step is a job of its own, whose tasks should be worth starting.
+    """
+    parts = parts or max(LEAST_PARTS, -(-df.count() // ROWS_PER_PART))
+    return df.repartition(parts, F.xxhash64(*df.columns)).sortWithinPartitions(*df.columns).checkpoint(eager=True)
 
 
 # L11-L15 ----------------------------------------------------------------------
@@ -299,7 +302,7 @@ def cross_validate(kind: str, df: DataFrame, features: Sequence[str], label: str
                    seed: int = 42, params: Mapping | None = None, metric: str = "pr_auc") -> dict:
     """k stratified folds (hash-ranked); returns mean and population std of the metric."""
     # Fold ids are computed once and checkpointed; each fold reads them back.
-    folded = right_size(fold_column(df, label, id_col, k, seed).checkpoint(eager=True))
+    folded = spread(fold_column(df, label, id_col, k, seed))
     values = []
     for f in range(k):
         m = train(kind, folded.filter(F.col("fold") != f), features, label, seed, params)
@@ -365,7 +368,7 @@ def train_and_evaluate(df: DataFrame, numeric: Sequence[str], categorical: Seque
     prep = apply_scaler(prep, stats).withColumn(label, F.col(label).cast("double"))
     # Reliable checkpoint (shared checkpoint dir): every model reads the same
     # prepared rows without recomputing the split and the fitted transforms.
-    prep = right_size(prep.checkpoint(eager=True))
+    prep = spread(prep)
     features = list(numeric) + list(categorical)
     tr, te = prep.filter(~F.col("is_test")), prep.filter(F.col("is_test"))
     rows, failed = None, []

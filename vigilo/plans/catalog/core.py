@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilo.functions import scalar as S
@@ -11,6 +13,7 @@ from vigilo.operators import windows as W
 from vigilo.plans import cleaning as CL
 from vigilo.plans.registry import register
 from vigilo.presets import driver as D
+from vigilo.session import scratch_dir
 from vigilo.sources.tables import table
 
 TS_AS_OF = f"TIMESTAMP '{D.AS_OF}'"
@@ -137,33 +140,38 @@ def clean_transactions_q(spark, sf):
         .withColumn("txn_dt", F.col("txn_dt").cast("timestamp_ntz"))
 
 
-register("clean_transactions", ops=("F3", "P5", "P6", "P1", "P3", "P7", "W3", "O1"), sql=f"""
-WITH r AS ({RAW_TXN_SQL}),
+_CLEAN_TXN_SQL = f"""r AS ({RAW_TXN_SQL}),
 c AS (
   SELECT CASE WHEN TRY_CAST(txn_dt AS TIMESTAMP) > {TS_AS_OF} THEN {TS_AS_OF}
               ELSE TRY_CAST(txn_dt AS TIMESTAMP) END AS txn_dt,
          patient_id, CAST(coalesce(physician_id, -1) AS BIGINT) AS physician_id,
          upper({_blank_sql('txn_type')}) AS txn_type,
          upper({_blank_sql('txn_desc')}) AS txn_desc, value
-  FROM r)
-SELECT DISTINCT * FROM c
-WHERE patient_id > 0 AND (physician_id > 0 OR physician_id = -1)""")(clean_transactions_q)
+  FROM r),
+cleaned AS (SELECT DISTINCT * FROM c WHERE patient_id > 0 AND (physician_id > 0 OR physician_id = -1))"""
+
+register("clean_transactions", ops=("F3", "P5", "P6", "P1", "P3", "P7", "W3", "O1"),
+         sql=f"WITH {_CLEAN_TXN_SQL} SELECT * FROM cleaned")(clean_transactions_q)
 
 
 # --- Q9 ----------------------------------------------------------------------
 def cleaning_report(spark, sf):
-    return CL.cleaning_counts(raw_transactions(spark, sf), D.AS_OF)
+    """Counts of the pass that writes the cleaned facts, and the rows that a reader of the written table finds."""
+    path = scratch_dir(spark, f"cleaned-{uuid.uuid4().hex[:8]}")
+    report = CL.write_cleaned(raw_transactions(spark, sf), D.AS_OF, path)
+    return report.withColumn("read_rows", spark.read.parquet(path).agg(F.count(F.lit(1))).scalar())
 
 
-register("cleaning_report", ops=("Q9",), sql=f"""
-WITH r AS ({RAW_TXN_SQL})
+register("cleaning_report", ops=("Q9", "S5"), sql=f"""
+WITH {_CLEAN_TXN_SQL}
 SELECT count(*) AS initial_rows,
   CAST(sum(CASE WHEN txn_dt IS NOT NULL AND TRY_CAST(txn_dt AS TIMESTAMP) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS invalid_dates,
   CAST(sum(CASE WHEN TRY_CAST(txn_dt AS TIMESTAMP) > {TS_AS_OF} THEN 1 ELSE 0 END) AS BIGINT) AS future_dates,
   CAST(sum(CASE WHEN physician_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS filled_physician_ids,
   CAST(sum(CASE WHEN patient_id IS NULL OR patient_id <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_patient_ids,
   CAST(sum(CASE WHEN coalesce(physician_id, -1) = -1 OR coalesce(physician_id, -1) > 0 THEN 0 ELSE 1 END) AS BIGINT)
-    AS invalid_physician_ids
+    AS invalid_physician_ids,
+  (SELECT count(*) FROM cleaned) AS final_rows, (SELECT count(*) FROM cleaned) AS read_rows
 FROM r""")(cleaning_report)
 
 

@@ -143,7 +143,7 @@ def _prepared(spark, sf):
     split, tr = ML.prepare_split(feats, "target", "patient_id", 0.2, SEED)
     codes = ML.fit_encoder(tr, CATEGORICAL).checkpoint(eager=True)
     prep = ML.apply_encoder(ML.apply_imputer(split, ML.fit_imputer(tr, NUMERIC, CATEGORICAL)), codes, CATEGORICAL)
-    return ML.right_size(prep.withColumn("target", F.col("target").cast("double")).checkpoint(eager=True))
+    return ML.spread(prep.withColumn("target", F.col("target").cast("double")))
 
 
 def feature_importance_q(spark, sf):

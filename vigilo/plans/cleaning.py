@@ -2,13 +2,13 @@
 
 Each plan is one lazy chain of column expressions and filters; the only
 shuffles are the de-duplication (a partial aggregate) and the final sort.
-Per-rule row counts for the cleaning report (Q9) come from
-:func:`cleaning_counts`, a single aggregate over the same expressions.
+The cleaning report (Q9) is observed by the pass that writes the cleaned rows
+(:func:`write_cleaned`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vigilo.functions import scalar as S
@@ -70,18 +70,32 @@ def clean_transactions(df: DataFrame, as_of: str, ts_col: str = "txn_dt",
     return out.orderBy(patient_col, ts_col) if sort else out
 
 
-def cleaning_counts(df: DataFrame, as_of: str, ts_col: str = "txn_dt",
-                    patient_col: str = "patient_id", physician_col: str = "physician_id") -> DataFrame:
-    """Q9: initial rows and per-rule counts in one aggregate."""
+def _count_exprs(as_of: str, ts_col: str, patient_col: str, physician_col: str) -> list[Column]:
     parsed = S.coerce_ts(ts_col, as_of)
-    raw_ts = F.col(ts_col)
     phys = S.fill_cast(physician_col, -1)
-    return df.agg(
-        F.count(F.lit(1)).alias("initial_rows"),
-        F.sum(F.when(raw_ts.isNotNull() & parsed.isNull(), 1).otherwise(0)).alias("invalid_dates"),
-        F.sum(F.when(S.coerce_ts(ts_col, "9999-12-31") > F.lit(as_of).cast("timestamp"), 1)
-              .otherwise(0)).alias("future_dates"),
-        F.sum(F.when(F.col(physician_col).isNull(), 1).otherwise(0)).alias("filled_physician_ids"),
-        F.sum(F.when(~S.valid_id(patient_col), 1).otherwise(0)).alias("invalid_patient_ids"),
-        F.sum(F.when(~S.valid_id(phys, allow=[-1]), 1).otherwise(0)).alias("invalid_physician_ids"),
-    )
+    rules = {
+        "invalid_dates": F.col(ts_col).isNotNull() & parsed.isNull(),
+        "future_dates": S.coerce_ts(ts_col, "9999-12-31") > F.lit(as_of).cast("timestamp"),
+        "filled_physician_ids": F.col(physician_col).isNull(),
+        "invalid_patient_ids": ~S.valid_id(patient_col),
+        "invalid_physician_ids": ~S.valid_id(phys, allow=[-1]),
+    }
+    return [F.count(F.lit(1)).alias("initial_rows"),
+            *[F.sum(F.when(rule, 1).otherwise(0)).alias(name) for name, rule in rules.items()]]
+
+
+def write_cleaned(df: DataFrame, as_of: str, path: str, ts_col: str = "txn_dt", patient_col: str = "patient_id",
+                  physician_col: str = "physician_id", **columns) -> DataFrame:
+    """Q9: clean the fact rows (F3), write them to ``path`` and report what was met on the way.
+
+    The rule counts are observed on the raw rows and the final count on the
+    cleaned ones by the pass that writes them: no second scan.
+    """
+    met, left = Observation(), Observation()
+    raw = df.observe(met, *_count_exprs(as_of, ts_col, patient_col, physician_col))
+    clean_transactions(raw, as_of, ts_col, patient_col, physician_col, sort=False, **columns) \
+        .observe(left, F.count(F.lit(1)).alias("final_rows")).write.parquet(path)
+    seen = {**met.get, **left.get}
+    # An empty table has no sums.
+    return df.sparkSession.createDataFrame([tuple(v or 0 for v in seen.values())],
+                                           ", ".join(f"{name} long" for name in seen))
