@@ -192,7 +192,7 @@ def test_pairs_without_a_pivot_are_settled(spark, monkeypatch):
 
 def test_sketches_find_pairs_at_the_stated_similarity():
     rng = np.random.default_rng(2)
-    for share, least in ((0.1, 0.98), (0.15, 0.85), (0.2, 0.6)):
+    for share, least in ((0.05, 0.99), (0.1, 0.88), (0.15, 0.55), (0.2, 0.3)):
         rows = []
         for k in range(150):
             text = [f"w{x}" for x in rng.integers(0, 5000, 300)]
