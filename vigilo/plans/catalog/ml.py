@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilo.operators import ml as ML
+from vigilo.operators import neighbours as NB
 from vigilo.plans.catalog.core import RAW_PATIENTS_SQL, raw_patients
 from vigilo.plans.catalog.features import model_ready_features
 from vigilo.plans.registry import register
@@ -146,6 +147,65 @@ def _prepared(spark, sf):
     return ML.spread(prep.withColumn("target", F.col("target").cast("double")))
 
 
+# ---- J13 / L6 ---------------------------------------------------------------------
+def minority_neighbours_q(spark, sf):
+    train = _prepared(spark, sf).filter(~F.col("is_test"))
+    return NB.minority_neighbours(train, "target", "patient_id", NUMERIC + CATEGORICAL)
+
+
+def oversample_q(spark, sf):
+    train = _prepared(spark, sf).filter(~F.col("is_test"))
+    return NB.oversample(train, "target", "patient_id", NUMERIC + CATEGORICAL, seed=SEED)
+
+
+def _rare_class_sql() -> str:
+    """CTEs up to ``p``: nearest rows of every rare training row, and ``m``: those rows with their turn."""
+    from vigilo.plans.catalog.features import _features_sql
+    feats = NUMERIC + CATEGORICAL
+    fill = ", ".join(f"CAST(trunc(quantile_cont(CAST({c} AS DOUBLE), 0.5)) AS BIGINT) AS {c}" for c in NUMERIC)
+    nums = ", ".join(f"CAST(coalesce(tr.{c}, fill.{c}) AS DOUBLE) AS {c}" for c in NUMERIC)
+    codes = ", ".join(f"CAST(dense_rank() OVER (ORDER BY tr.{c}) - 1 AS DOUBLE) AS {c}" for c in CATEGORICAL)
+    squares = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in feats)
+    return f"""
+WITH f AS ({_features_sql()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(CAST(patient_id AS VARCHAR) || ':{SEED}')) AS pos,
+             count(*) OVER (PARTITION BY target) AS n FROM f),
+tr AS (SELECT * FROM r WHERE pos > round(n * 0.2)),
+fill AS (SELECT {fill} FROM tr),
+x AS (SELECT patient_id, target, {nums}, {codes} FROM tr, fill),
+c AS (SELECT target, count(*) AS rows_, (SELECT max(k) FROM (SELECT count(*) AS k FROM tr GROUP BY target)) AS most
+      FROM tr GROUP BY target),
+rare AS (SELECT target, rows_, CAST(floor(most * {NB.TARGET_RATIO}) AS BIGINT) - rows_ AS more FROM c
+         WHERE most > {NB.LEAST_IMBALANCE} * rows_ AND floor(most * {NB.TARGET_RATIO}) > rows_
+           AND rows_ = (SELECT min(rows_) FROM c)),
+m AS (SELECT x.*, rare.rows_, rare.more,
+             row_number() OVER (ORDER BY md5(CAST(patient_id AS VARCHAR) || ':{SEED}')) AS turn
+      FROM x JOIN rare USING (target)),
+p AS (SELECT * FROM (
+        SELECT a.patient_id, b.patient_id AS neighbour, {squares} AS distance2,
+               CAST(row_number() OVER (PARTITION BY a.patient_id ORDER BY {squares}, b.patient_id) AS INT) AS rank
+        FROM m a JOIN m b ON a.patient_id <> b.patient_id) WHERE rank <= {NB.NEIGHBOURS})"""
+
+
+def _oversample_sql() -> str:
+    made = ", ".join(f"x.{c} + weight * (y.{c} - x.{c}) AS {c}" for c in NUMERIC + CATEGORICAL)
+    return _rare_class_sql() + f""",
+t AS (SELECT patient_id, rows_, unnest(range(1, more // rows_ + CAST(turn <= more % rows_ AS BIGINT) + 1)) AS copy
+      FROM m),
+h AS (SELECT *, md5(patient_id || ':' || copy || ':{SEED}') AS h FROM t),
+d AS (SELECT patient_id, CAST(copy AS INT) AS copy,
+             CAST('0x' || substr(h, 1, 8) AS BIGINT) % least({NB.NEIGHBOURS}, rows_ - 1) + 1 AS pick,
+             CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS weight FROM h)
+SELECT d.patient_id, d.copy, p.neighbour, d.weight, {made}, CAST(x.target AS DOUBLE) AS target
+FROM d JOIN p ON p.patient_id = d.patient_id AND p.rank = d.pick
+       JOIN m x ON x.patient_id = d.patient_id JOIN m y ON y.patient_id = p.neighbour"""
+
+
+register("minority_neighbours", ops=("J13",),
+         sql=_rare_class_sql() + " SELECT patient_id, rank, neighbour, distance2 FROM p")(minority_neighbours_q)
+register("oversample", ops=("L6", "J13"), sql=_oversample_sql())(oversample_q)
+
+
 def feature_importance_q(spark, sf):
     prep = _prepared(spark, sf)
     model = ML.train("random_forest", prep.filter(~F.col("is_test")), NUMERIC + CATEGORICAL, "target", SEED)
