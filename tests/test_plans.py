@@ -9,7 +9,7 @@ from vigilo.plans.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 # Queries that write files, fit models or run streams are audited elsewhere.
-SKIP = {"model_training", "hyperparameter_search", "cross_validation", "feature_importance",
+SKIP = {"model_training", "hyperparameter_search", "grid_search", "cross_validation", "feature_importance",
         "importance_summary", "metric_rollup_stream", "alert_stream", "csv_roundtrip",
         "conversation_documents", "version_history", "metric_store", "model_input_table",
         "reference_profile", "pca_drift"}

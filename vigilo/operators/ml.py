@@ -11,16 +11,20 @@ class is sorted in one task.  Model fitting is Spark ML (distributed).
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel,
+                                       NaiveBayes, RandomForestClassifier)
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.operators.aggregates import mode_of, unpivot_numeric
@@ -74,9 +78,9 @@ def apply_encoder(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataF
     out = df
     for c in cols:
         m = codes.filter(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        # A categorical vocabulary is small; broadcasting it also keeps a hot
-        # category value from landing in one join task.
-        out = (out.join(F.broadcast(m), out[c].cast("string") == F.col("_v"), "left")
+        # No hint: a vocabulary may be large (a provider id).  AQE broadcasts it
+        # when its measured size allows, else a hot category is split as a skewed join.
+        out = (out.join(m, out[c].cast("string") == F.col("_v"), "left")
                .withColumn(c, F.coalesce(F.col("_code"), F.lit(0))).drop("_v", "_code"))
     return out
 
@@ -215,7 +219,13 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
 
 # L11-L15 ----------------------------------------------------------------------
 def make_estimator(kind: str, features: str = "features", label: str = "label", weight: str | None = "weight",
-                   seed: int = 42, params: Mapping | None = None):
+                   seed: int = 42, params: Mapping | None = None, rows: int | None = None):
+    """The Spark estimator of a model type.
+
+    ``rows`` (training rows) turns ``totalGain`` of the boosted trees, a loss
+    reduction summed over rows, into Spark's gain per row; without it no least
+    gain is asked for.
+    """
     p = dict(params or {})
     common = dict(featuresCol=features, labelCol=label)
     if kind == "logistic_regression":
@@ -232,6 +242,9 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
         preset = dict(BOOSTED_PRESETS["gradient_boosting" if kind == "gbt" else kind], **p)
         est = GBTClassifier(**common, maxIter=preset["maxIter"], maxDepth=preset["maxDepth"],
                             stepSize=preset["stepSize"], subsamplingRate=preset["subsamplingRate"],
+                            featureSubsetStrategy=f"{preset.get('columnShare', 1.0):.6f}",
+                            minInstancesPerNode=preset.get("minInstancesPerNode", 1),
+                            minInfoGain=preset.get("totalGain", 0.0) / rows if rows else 0.0,
                             validationTol=preset.get("validationTol", 0.01), seed=seed)
         if kind in EARLY_STOPPING:
             est.setValidationIndicatorCol(VALIDATION_COL)
@@ -249,10 +262,11 @@ def make_estimator(kind: str, features: str = "features", label: str = "label",
 MODEL_TYPES = ("xgboost", "gradient_boosting", "random_forest", "logistic_regression", "svm", "naive_bayes")
 BOOSTED = ("gbt", "gradient_boosting", "xgboost")
 EARLY_STOPPING = ("xgboost",)
-# --- fixed values: boosted-tree presets (trees, depth, learning rate, subsample) ---
+# --- fixed values: boosted-tree presets (trees, depth, learning rate, row and column shares, least rows, gain) ---
 BOOSTED_PRESETS = {
     "xgboost": {"maxIter": 799, "maxDepth": 7, "stepSize": 0.2610570842357371,
-                "subsamplingRate": 0.9130034518395074},
+                "subsamplingRate": 0.9130034518395074, "columnShare": 0.8549084927445061,
+                "minInstancesPerNode": 3, "totalGain": 0.029685899839029244},
     "gradient_boosting": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 1.0},
 }
 # --- end fixed values -------------------------------------------------------------
@@ -272,15 +286,82 @@ def assemble(features: Sequence[str]) -> VectorAssembler:
 def train(kind: str, df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42,
           params: Mapping | None = None) -> PipelineModel:
     data = with_class_weight(df, label) if kind != "naive_bayes" else df
+    if kind == "svm":
+        return calibrated_svm(data, features, label, seed, params)
+    rows = None
+    if kind in BOOSTED:
+        rows = df.count()
     if kind in EARLY_STOPPING:
         data = with_validation_flag(data, features, seed)
-    est = make_estimator(kind, label=label, seed=seed, params=params)
+    est = make_estimator(kind, label=label, seed=seed, params=params, rows=rows)
     return Pipeline(stages=[assemble(features), est]).fit(data)
 
 
+PARALLEL_FITS = 8      # fits that the driver submits at a time; their tasks share the cluster
+CALIBRATION_FOLDS = 5
+
+
+def in_parallel(jobs: Sequence[Callable], parallelism: int = PARALLEL_FITS) -> list:
+    """Results of driver-side calls that each run Spark jobs, in their order."""
+    if not jobs:
+        return []
+    pool = ThreadPool(min(parallelism, len(jobs)))
+    try:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs, chunksize=1)
+    finally:
+        pool.close()
+
+
+def platt(margins: DataFrame, label: str, margin: str = "margin") -> LogisticRegressionModel:
+    """P(class 1 | margin) by an unpenalised logistic fit.
+
+    Targets are smoothed to (n1 + 1) / (n1 + 2) and 1 / (n0 + 2), each row as a
+    weighted pair of both classes, so that separable margins keep a finite slope.
+    """
+    n = {r[label]: r["n"] for r in margins.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    up, down = (n.get(1, 0) + 1) / (n.get(1, 0) + 2), 1 / (n.get(0, 0) + 2)
+    share = F.when(F.col(label) == 1, F.lit(up)).otherwise(F.lit(down))
+    pairs = margins.select(margin, F.explode(F.array(
+        F.struct(F.lit(1.0).alias("y"), share.alias("w")),
+        F.struct(F.lit(0.0).alias("y"), (1 - share).alias("w")))).alias("t")).select(margin, "t.y", "t.w")
+    return LogisticRegression(featuresCol=margin, labelCol="y", weightCol="w", regParam=0.0, maxIter=100,
+                              predictionCol="calibrated", rawPredictionCol="calibrated_raw",
+                              probabilityCol="probability").fit(pairs)
+
+
+def calibrated_svm(data: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42,
+                   params: Mapping | None = None, folds: int = CALIBRATION_FOLDS) -> PipelineModel:
+    """A linear SVM whose ``probability`` is fitted on the margins of held-out folds.
+
+    Folds come from a hash of the row's features; a fold without which a class
+    would be missing is not held out.  ``data`` carries ``weight``;
+    ``prediction`` stays the side of the plane.
+    """
+    asm = assemble(features)
+    fold = F.pmod(F.xxhash64(*[F.col(c) for c in features], F.lit(seed)), F.lit(folds))
+    rows = asm.transform(data).select("features", label, "weight", fold.alias("_fold")).checkpoint(eager=True)
+    margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
+    est = make_estimator("svm", label=label, seed=seed, params=params)
+
+    def held_out(f: int) -> Callable:
+        def job():
+            model = est.fit(rows.filter(F.col("_fold") != f))
+            return margin.transform(model.transform(rows.filter(F.col("_fold") == f))).select("margin", label)
+        return job
+
+    counts = {(r["_fold"], r[label]): r["n"] for r in rows.groupBy("_fold", label)
+              .agg(F.count(F.lit(1)).alias("n")).collect()}                    # folds x classes
+    classes = {c for _, c in counts}
+    present = [f for f in sorted({f for f, _ in counts}) if {c for g, c in counts if g != f} == classes]
+    *parts, final = in_parallel([held_out(f) for f in present] + [lambda: est.fit(rows)])
+    # Without a fold that can be held out: the margins of the rows themselves.
+    margins = reduce(DataFrame.unionByName, parts or [margin.transform(final.transform(rows)).select("margin", label)])
+    return PipelineModel([asm, final, margin, platt(margins.checkpoint(eager=True), label)])
+
+
 # L23 ------------------------------------------------------------------------
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Batch scoring: ``score`` = positive-class probability (raw margin for SVM)."""
+    """Batch scoring: ``score`` = positive-class probability (raw margin where a model has none)."""
     out = model.transform(df)
     col = "probability" if "probability" in out.columns else "rawPrediction"
     # A model fitted on one class has a one-element probability vector: no score.
@@ -298,45 +379,150 @@ def evaluate_model(model: PipelineModel, test: DataFrame, label: str = "label")
 
 
 # L17 ------------------------------------------------------------------------
+SCORED_AT_ONCE = 40    # fitted models whose held-out scores are written by one job
+
+
+def fold_data(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 5,
+              seed: int = 42) -> DataFrame:
+    """Rows prepared once for any number of fits: features as a vector, label, fold and hold-out flag."""
+    flagged = with_validation_flag(fold_column(df, label, id_col, k, seed), features, seed)
+    return assemble(features).transform(spread(flagged)).select(
+        "features", F.col(label).cast("double").alias("label"), "fold", VALIDATION_COL).checkpoint(eager=True)
+
+
+def evaluate_folds(kind: str, folds: DataFrame, param_sets: Sequence[Mapping], seed: int = 42, metric: str = "pr_auc",
+                   parallelism: int = PARALLEL_FITS) -> list[dict]:
+    """``params, metric, mean, std, folds`` for every parameter set, in their order.
+
+    All fits (sets x folds) run ``parallelism`` at a time over ``fold_data``
+    rows; held-out scores of all models are evaluated together, by model and
+    fold.  The standard deviation is that of the population; a fold without a
+    value (one class only) is left out, and without any the mean is NaN.
+    """
+    counts = {(r["fold"], r["label"]): r["n"] for r in folds.groupBy("fold", "label")
+              .agg(F.count(F.lit(1)).alias("n")).collect()}                    # folds x classes
+    numbers = sorted({f for f, _ in counts})
+    classes = sorted({c for _, c in counts})
+
+    def fit(number: int, params: Mapping, fold: int) -> Callable:
+        def job():
+            sizes = {c: sum(n for (f, d), n in counts.items() if f != fold and d == c) for c in classes}
+            total, present = sum(sizes.values()), [c for c in classes if sizes[c]]
+            if not present:
+                return None
+            weight = F.lit(None).cast("double")
+            for c in present:
+                weight = F.when(F.col("label") == c, F.lit(total / (len(present) * sizes[c]))).otherwise(weight)
+            rows = folds.filter(F.col("fold") != fold).withColumn("weight", weight)
+            model = make_estimator(kind, seed=seed, params=params, rows=total).fit(rows)
+            return score(model, folds.filter(F.col("fold") == fold)).select(
+                F.lit(number).alias("number"), "fold", "label", "prediction", "score")
+        return job
+
+    jobs = [fit(i, p, f) for i, p in enumerate(param_sets) for f in numbers]
+    values: dict[int, list] = {i: [] for i in range(len(param_sets))}
+    for at in range(0, len(jobs), SCORED_AT_ONCE):
+        parts = [x for x in in_parallel(jobs[at:at + SCORED_AT_ONCE], parallelism) if x is not None]
+        if not parts:
+            continue
+        scored = reduce(DataFrame.unionByName, parts).checkpoint(eager=True)
+        for r in evaluate(scored, "label", "prediction", "score", ["number", "fold"]).collect():
+            values[r["number"]].append((r["fold"], r[metric]))
+    out = []
+    for i, p in enumerate(param_sets):
+        per = [v for _, v in sorted(values[i])]
+        known = [v for v in per if v is not None]
+        mean = sum(known) / len(known) if known else float("nan")
+        std = math.sqrt(sum((v - mean) ** 2 for v in known) / len(known)) if known else float("nan")
+        out.append({"params": dict(p), "metric": metric, "mean": mean, "std": std, "folds": per})
+    return out
+
+
 def cross_validate(kind: str, df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 5,
                    seed: int = 42, params: Mapping | None = None, metric: str = "pr_auc") -> dict:
-    """k stratified folds (hash-ranked); returns mean and population std of the metric."""
-    # Fold ids are computed once and checkpointed; each fold reads them back.
-    folded = spread(fold_column(df, label, id_col, k, seed))
-    values = []
-    for f in range(k):
-        m = train(kind, folded.filter(F.col("fold") != f), features, label, seed, params)
-        values.append(evaluate_model(m, folded.filter(F.col("fold") == f), label).first()[metric])
-    vals = [v for v in values if v is not None]
-    mean = sum(vals) / len(vals) if vals else float("nan")
-    std = math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals)) if vals else float("nan")
-    return {"metric": metric, "mean": mean, "std": std, "folds": values}
+    """k stratified folds (hash-ranked); mean and population std of the metric."""
+    return evaluate_folds(kind, fold_data(df, features, label, id_col, k, seed), [params or {}], seed, metric)[0]
 
 
 # L18 / L19 ------------------------------------------------------------------------
+def _best_first(results: Sequence[dict]) -> list[dict]:
+    return sorted(results, key=lambda r: -r["mean"] if r["mean"] == r["mean"] else math.inf)
+
+
+def parameter_grid(values: Mapping[str, Sequence]) -> list[dict]:
+    """Every combination, names in sorted order, the last name running fastest."""
+    names = sorted(values)
+    return [dict(zip(names, v)) for v in itertools.product(*(values[n] for n in names))]
+
+
 def grid_search(kind: str, df: DataFrame, features: Sequence[str], label: str, id_col: str,
-                grid: Sequence[Mapping], k: int = 3, seed: int = 42) -> list[dict]:
-    """Evaluate every parameter set by k-fold average precision; best first."""
-    res = [dict(params=dict(p), **cross_validate(kind, df, features, label, id_col, k, seed, p)) for p in grid]
-    return sorted(res, key=lambda r: -(r["mean"] if r["mean"] == r["mean"] else -1))
+                grid: Sequence[Mapping], k: int = 5, seed: int = 42) -> list[dict]:
+    """Every parameter set by k-fold average precision; best first, ties in grid order."""
+    return _best_first(evaluate_folds(kind, fold_data(df, features, label, id_col, k, seed), grid, seed))
+
+
+# --- fixed values: search ranges of the boosted trees (low, high, scale) -------
+SEARCH_SPACE = {
+    "stepSize": (0.01, 0.3, "log"),
+    "maxDepth": (3, 10, "int"),
+    "subsamplingRate": (0.6, 1.0, "linear"),
+    "columnShare": (0.6, 1.0, "linear"),
+    "minInstancesPerNode": (1, 10, "int"),
+    "totalGain": (0.0, 1.0, "linear"),
+}
+# --- end fixed values -----------------------------------------------------------
 
 
-def random_search(kind: str, df: DataFrame, features: Sequence[str], label: str, id_col: str,
-                  space: Mapping[str, tuple], n: int = 5, k: int = 3, seed: int = 42) -> list[dict]:
-    """Seeded draws from (low, high) ranges (ints stay ints), then grid search."""
+def draw(space: Mapping[str, tuple], n: int, seed: int = 42) -> list[dict]:
+    """n seeded parameter sets from (low, high, scale) ranges."""
     rnd = random.Random(seed)
-    grid = []
+    out = []
     for _ in range(n):
         p = {}
-        for name, (lo, hi) in space.items():
-            p[name] = rnd.randint(lo, hi) if isinstance(lo, int) and isinstance(hi, int) else rnd.uniform(lo, hi)
-        grid.append(p)
-    return grid_search(kind, df, features, label, id_col, grid, k, seed)
+        for name, (lo, hi, scale) in space.items():
+            if scale == "int":
+                p[name] = rnd.randint(lo, hi)
+            elif scale == "log":
+                p[name] = math.exp(rnd.uniform(math.log(lo), math.log(hi)))
+            else:
+                p[name] = rnd.uniform(lo, hi)
+        out.append(p)
+    return out
+
+
+def random_search(kind: str, df: DataFrame, features: Sequence[str], label: str, id_col: str,
+                  space: Mapping[str, tuple] = SEARCH_SPACE, n: int = 100, k: int = 5, seed: int = 42) -> list[dict]:
+    """Seeded draws, each by k folds; best first."""
+    return grid_search(kind, df, features, label, id_col, draw(space, n, seed), k, seed)
+
+
+def successive_halving(kind: str, df: DataFrame, features: Sequence[str], label: str, id_col: str,
+                       space: Mapping[str, tuple] = SEARCH_SPACE, n: int = 100, budgets: Sequence[int] = (8, 32, 128),
+                       resource: str = "maxIter", k: int = 5, seed: int = 42) -> list[dict]:
+    """Draws that meet growing budgets of trees; those that fall behind leave early.
+
+    Every draw is evaluated by k folds at the first budget, then the best part
+    (as much fewer as the budget grows, one at least, ties to the earlier
+    draw) at the next, so each round costs about the same.  Returns one record per draw and
+    round: ``draw, round, budget, params, mean, std``, the last round first,
+    best first in it.
+    """
+    folds = fold_data(df, features, label, id_col, k, seed)
+    alive = list(enumerate(draw(space, n, seed)))
+    rounds = []
+    for number, budget in enumerate(budgets):
+        res = evaluate_folds(kind, folds, [{**p, resource: budget} for _, p in alive], seed)
+        ranked = _best_first([dict(r, draw=i, round=number, budget=budget) for (i, _), r in zip(alive, res)])
+        rounds.append(ranked)
+        if number + 1 < len(budgets):
+            keep = max(1, len(alive) * budget // budgets[number + 1])
+            best = {r["draw"] for r in ranked[:keep]}
+            alive = [(i, p) for i, p in alive if i in best]
+    return [r for ranked in reversed(rounds) for r in ranked]
 
 
 # L20 ------------------------------------------------------------------------
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame | None:
-    from pyspark.sql import SparkSession
     est = model.stages[-1]
     spark = SparkSession.getActiveSession()
     if hasattr(est, "featureImportances"):

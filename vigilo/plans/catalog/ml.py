@@ -225,15 +225,38 @@ def cross_validation_q(spark, sf):
 register("cross_validation", ops=("L17",))(cross_validation_q)
 
 
+# Four boosted-tree parameters, every combination by five folds.
+GRID = {"maxDepth": [2, 4], "stepSize": [0.05, 0.2], "subsamplingRate": [0.7, 1.0], "columnShare": [0.7, 1.0]}
+GRID_TREES = 2
+DRAWS = 9
+BUDGETS = (2, 6)
+
+
+def grid_search_q(spark, sf):
+    grid = [{**p, "maxIter": GRID_TREES} for p in ML.parameter_grid(GRID)]
+    res = ML.grid_search("gradient_boosting", _prepared(spark, sf), NUMERIC + CATEGORICAL, "target", "patient_id",
+                         grid, k=5, seed=SEED)
+    return spark.createDataFrame(
+        [(i + 1, p["maxDepth"], p["stepSize"], p["subsamplingRate"], p["columnShare"], r["mean"], r["std"])
+         for i, r in enumerate(res) for p in [r["params"]]],
+        "rank int, max_depth int, learning_rate double, subsample double, column_share double, mean_pr_auc double, "
+        "std_pr_auc double")
+
+
+register("grid_search", ops=("L18", "L17"))(grid_search_q)
+
+
 def hyperparameter_search_q(spark, sf):
-    prep = _prepared(spark, sf)
-    res = ML.random_search("logistic_regression", prep, NUMERIC + CATEGORICAL, "target", "patient_id",
-                           {"regParam": (0.001, 1.0)}, n=3, k=3, seed=SEED)
-    return spark.createDataFrame([(float(r["params"]["regParam"]), r["mean"], r["std"]) for r in res],
-                                 "reg_param double, mean_pr_auc double, std_pr_auc double")
+    res = ML.successive_halving("gradient_boosting", _prepared(spark, sf), NUMERIC + CATEGORICAL, "target",
+                                "patient_id", n=DRAWS, budgets=BUDGETS, k=5, seed=SEED)
+    return spark.createDataFrame(
+        [(r["draw"], r["round"], r["budget"], p["stepSize"], p["maxDepth"], p["subsamplingRate"], p["columnShare"],
+          p["minInstancesPerNode"], p["totalGain"], r["mean"], r["std"]) for r in res for p in [r["params"]]],
+        "draw int, round int, trees int, learning_rate double, max_depth int, subsample double, column_share double, "
+        "least_rows int, total_gain double, mean_pr_auc double, std_pr_auc double")
 
 
-register("hyperparameter_search", ops=("L18", "L19"))(hyperparameter_search_q)
+register("hyperparameter_search", ops=("L19", "L17"))(hyperparameter_search_q)
 
 
 # ---- S11 + L10 + P19 + P20 + P8 + P21 + P24 + X4: the model input table -----------------------
