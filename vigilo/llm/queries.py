@@ -68,13 +68,21 @@ def _id_sql(kind: str, name: str) -> str:
             f"|| {h}[21:32] || '>'")
 
 
+def _encoded_sql(x: str) -> str:
+    """Control characters of ``x`` percent-encoded (see warc.encoded)."""
+    out = x
+    for c in warc.CONTROLS:
+        out = f"replace({out}, chr({c}), '%{c:02X}')"
+    return f"CASE WHEN regexp_matches({x}, '[\\x00-\\x1F\\x7F]') THEN {out} ELSE {x} END"
+
+
 def _op1_sql() -> str:
     nl = "chr(13) || chr(10)"
     field = lambda name, value: f"'{name}: ' || {value} || {nl}"
     vis = f"regexp_replace(payload, {_text(warc.HIDDEN)}, '', 'g')"
     body = (f"regexp_replace(regexp_replace(vis, {_text(warc.BLOCK_TAG)}, chr(10), 'g'), {_text(warc.ANY_TAG)}, '', 'g')")
     title = f"regexp_replace(regexp_extract(vis, {_text(warc.TITLE)}, 1), {_text(warc.ANY_TAG)}, '', 'g')"
-    links = f"regexp_extract_all(vis, {_text(warc.LINK)}, 1)"
+    links = f"list_transform(regexp_extract_all(vis, {_text(warc.LINK)}, 1), lambda x: {_encoded_sql('x')})"
     header = " || ".join([
         f"'WARC/1.1' || {nl}", field("WARC-Type", "record_type"), field("WARC-Record-ID", "record_id"),
         field("WARC-Refers-To", "refers_to"), field("WARC-Refers-To-Target-URI", "target_uri"),
@@ -82,7 +90,7 @@ def _op1_sql() -> str:
         field("WARC-Block-Digest", "block_digest"), field("Content-Type", "content_type"),
         field("Content-Length", "content_length"), nl])
     return f"""
-WITH p AS (SELECT page_id AS source_id, coalesce(url, '') AS target_uri, '{warc.FETCHED}' AS date,
+WITH p AS (SELECT page_id AS source_id, {_encoded_sql("coalesce(url, '')")} AS target_uri, '{warc.FETCHED}' AS date,
                   coalesce(html, '') AS payload FROM pages),
 q AS (SELECT *, 'HTTP/1.1 200 OK' || {nl} || 'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: '
              || strlen(payload) || {nl} || {nl} AS http_header, {_digest_sql('payload')} AS payload_digest,

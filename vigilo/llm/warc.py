@@ -9,7 +9,9 @@ same ids.  ``write_records`` writes records as WARC files.
 
 Defined results: a null page is an empty page; a null url an empty target;
 repeated pages (same id, url and html) give records with equal ids; an empty
-table gives no records; further columns are ignored.
+table gives no records; further columns are ignored.  Line breaks and other control
+characters of a url or outlink are percent-encoded, so that no page can write a
+header line of its own; a page of any length is read whole.
 """
 
 from __future__ import annotations
@@ -51,6 +53,7 @@ ANY_TAG = r"<[a-zA-Z/!?][^<>]*>"
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 BLANKS = r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+"
 TITLE = r"(?is)<title\b[^<>]*>(.*?)</title"
+CONTROLS = (*range(32), 127)   # never written into a header or field as they are
 LINK = r"""(?i)<a\b[^<>]*?\bhref[ \t]*=[ \t]*["']([^"'<>]*)["']"""
 
 
@@ -58,6 +61,17 @@ _HIDDEN, _BLOCK_TAG, _ANY_TAG, _REFERENCE, _BLANKS, _TITLE, _LINK = (
     re.compile(x, re.ASCII) for x in (HIDDEN, BLOCK_TAG, ANY_TAG, REFERENCE, BLANKS, TITLE, LINK))
 
 
+_CONTROL = {c: f"%{c:02X}" for c in CONTROLS}
+
+
+def encoded(url: Column) -> Column:
+    """``url`` with its control characters percent-encoded."""
+    out = url
+    for c, code in _CONTROL.items():
+        out = F.replace(out, F.lit(chr(c)), F.lit(code))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), out).otherwise(url)
+
+
 def _character(m: re.Match) -> str:
     ref = m[1]
     if ref[0] != "#":
@@ -78,7 +92,7 @@ def page_parts(html: str) -> tuple[str, str, str]:
     shown = _HIDDEN.sub("", html)
     text = tidy(_ANY_TAG.sub("", _BLOCK_TAG.sub("\n", shown)))
     title = _TITLE.search(shown)
-    links = "".join(f"outlink: {x}{CRLF}" for x in _LINK.findall(shown))
+    links = "".join(f"outlink: {x.translate(_CONTROL)}{CRLF}" for x in _LINK.findall(shown))
     return text, tidy(_ANY_TAG.sub("", title[1])).replace("\n", " ") if title else "", links
 
 
@@ -106,7 +120,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Response records of fetched pages: ``source_id, record_id, target_uri,
     date, http_header, payload, payload_digest, block_digest``."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    url = F.coalesce(F.col(url_col), F.lit(""))
+    url = encoded(F.coalesce(F.col(url_col), F.lit("")))
     header = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                       F.octet_length(html).cast("string"), F.lit(CRLF * 2))
     p = pages.select(F.col(id_col).alias("source_id"), url.alias("target_uri"), F.lit(fetched).alias("date"),
