@@ -5,7 +5,10 @@ no rule rejects it, so the verdict does not depend on the order of the rules.
 The order decides the work: each rule's cost (seconds per document) and
 selectivity (share rejected) are estimated on a Bernoulli sample of
 ``sample_rows`` expected documents, and rules run by rejection per cost, each
-only over the documents that are still alive.
+only over the documents that are still alive.  Features that are there already
+(the base rule's, the output's) cost nothing and are cut to the living rows;
+a feature that a rule asks for first is computed for those rows alone, from the
+words as found once.
 
 Defined results: null text counts as empty (no words, fails the base rule);
 repeated rows are judged one by one; an empty table gives an empty result;
@@ -16,7 +19,7 @@ further columns are ignored and never clash because only ``id_col`` and
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +45,31 @@ class Batch:
     """Features of a batch, each computed once and only when a rule asks for it."""
 
     def __init__(self, column: pa.Array):
-        self.words = Words(column)
-        self.n_words = self.words.counts
+        self._words = Words(column)
+        self.n_words = self._words.counts
         self._cache: dict[str, np.ndarray] = {}
 
+    def take(self, rows: np.ndarray) -> Batch:
+        """Some documents with the features known so far; words are copied only if another one is asked for."""
+        out = object.__new__(Batch)
+        out._words, out._from = None, (self, rows)
+        out.n_words = self.n_words[rows]
+        out._cache = {k: x[rows] for k, x in self._cache.items()}
+        return out
+
+    def again(self) -> Batch:
+        """The same documents; features computed here are not known to ``self``."""
+        out = object.__new__(Batch)
+        out._words, out.n_words, out._cache = self.words, self.n_words, dict(self._cache)
+        return out
+
+    @property
+    def words(self) -> Words:
+        if self._words is None:
+            batch, rows = self._from
+            self._words = batch.words.take(rows)
+        return self._words
+
     def _get(self, name: str, make) -> np.ndarray:
         if name not in self._cache:
             self._cache[name] = make()
@@ -130,12 +154,17 @@ def base_failed(b: Batch) -> np.ndarray:
     return (b.n_words < MIN_WORDS) | (100 * b.n_repeat_words > MAX_REPEAT_PERCENT * b.n_words)
 
 
-def _measure(rules: dict):
+def output_features(b: Batch) -> list[np.ndarray]:
+    return [b.n_words, b.word_chars, b.n_symbols, b.lines[:, 1], b.n_repeat_words]
+
+
+def _measure(rules: dict, known: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches):
-            rows = []
+            rows, whole = [], Batch(batch.column("text"))
+            known(whole)                  # what is computed for every document in any case
             for name, rule in rules.items():
-                b = Batch(batch.column("text"))     # nothing shared: every rule pays for its own features
+                b = whole.again()         # nothing else shared: every rule pays for its own features
                 began = time.perf_counter()
                 hit = int(np.count_nonzero(rule(b)))
                 rows.append((name, time.perf_counter() - began, hit, batch.num_rows))
@@ -144,9 +173,11 @@ def _measure(rules: dict):
 
 
 def rule_order(docs: DataFrame, rules: dict | None = None, text_col: str = "text",
-               sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[str]:
+               sample_rows: int = SAMPLE_ROWS, seed: int = 7, known: Callable = base_failed) -> list[str]:
     """Rule names by estimated rejection per cost, best first.
 
+    A cost is what a rule adds to the features that ``known`` computes anyway.
+
     The sample has about ``sample_rows`` documents (all, if the table is
     smaller); only one row per rule reaches the driver.
     """
@@ -156,28 +187,25 @@ def rule_order(docs: DataFrame, rules: dict | None = None, text_col: str = "text
     if n > sample_rows:
         text = text.sample(sample_rows / n, seed)
     seen = {r.rule: r for r in (
-        text.mapInArrow(_measure(rules), "rule string, seconds double, hits long, docs long")
+        text.mapInArrow(_measure(rules, known), "rule string, seconds double, hits long, docs long")
         .groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits"),
                              F.sum("docs").alias("docs")).collect())}
     gain = {k: ((r.hits + 1) / (r.docs + 2)) / max(r.seconds / r.docs, 1e-9) for k, r in seen.items()}
     return sorted(rules, key=lambda k: (-gain.get(k, 0.0), k))
 
 
-def _short_circuit(column: pa.Array, batch: Batch, order: list[str], rules: dict, alive: np.ndarray) -> np.ndarray:
+def _short_circuit(batch: Batch, order: list[str], rules: dict, alive: np.ndarray) -> np.ndarray:
     """Documents that no rule rejects; a rule sees only those still alive."""
     kept = alive.copy()
     rows = np.flatnonzero(alive)
-    view = batch if alive.all() else None
+    view = batch if alive.all() else batch.take(rows)
     for name in order:
         if not len(rows):
             break
-        if view is None:
-            view = Batch(column.take(pa.array(rows)))
         hit = rules[name](view)
         if hit.any():
             kept[rows[hit]] = False
-            rows = rows[~hit]
-            view = None
+            rows, view = rows[~hit], view.take(np.flatnonzero(~hit))
     return kept
 
 
@@ -188,18 +216,17 @@ def quality_cascade(docs: DataFrame, rules: dict | None = None, id_col: str = "d
     ``order`` fixes the rule order; by default it is estimated first.
     """
     rules = RULES if rules is None else rules
-    order = rule_order(docs, rules, text_col) if order is None else order
+    order = rule_order(docs, rules, text_col, known=output_features) if order is None else order
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches):
             b = Batch(batch.column("text"))
+            features = output_features(b)
             failed = base_failed(b)
-            kept = _short_circuit(batch.column("text"), b, order, rules, ~failed)
+            kept = _short_circuit(b, order, rules, ~failed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in (
-                    b.n_words, b.word_chars, b.n_symbols, b.lines[:, 1], b.n_repeat_words)]
-                + [pa.array(failed), pa.array(kept)],
+                [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in features] + [pa.array(failed), pa.array(kept)],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                  "base_failed", "kept"])
 
@@ -215,8 +242,7 @@ def filter_quality(docs: DataFrame, rules: dict | None = None, text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, text_col):
-            column = batch.column(text_col)
-            b = Batch(column)
-            yield batch.filter(pa.array(_short_circuit(column, b, order, rules, ~base_failed(b))))
+            b = Batch(batch.column(text_col))
+            yield batch.filter(pa.array(_short_circuit(b, order, rules, ~base_failed(b))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -92,6 +92,22 @@ class Words:
         self.counts = np.diff(self.ptr)
         self._inside = inside
 
+    def take(self, rows: np.ndarray) -> Words:
+        """The words of some documents, without looking for them again."""
+        out = object.__new__(Words)
+        spans = [slice(a, b) for a, b in zip(self.offsets[rows].tolist(), self.offsets[rows + 1].tolist())]
+        none = slice(0, 0)
+        out.data = np.concatenate([self.data[x] for x in spans] or [self.data[none]])
+        out._inside = np.concatenate([self._inside[x] for x in spans] or [self._inside[none]])
+        out.n_docs, out.counts = len(rows), self.counts[rows]
+        out.offsets, out.ptr = np.zeros(len(rows) + 1, np.int64), np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(self.offsets[rows + 1] - self.offsets[rows], out=out.offsets[1:])
+        np.cumsum(out.counts, out=out.ptr[1:])
+        word = np.arange(out.ptr[-1]) + np.repeat(self.ptr[rows] - out.ptr[:-1], out.counts)
+        moved = np.repeat(out.offsets[:-1] - self.offsets[rows], out.counts)
+        out.starts, out.ends = self.starts[word] + moved, self.ends[word] + moved
+        return out
+
     @property
     def doc(self) -> np.ndarray:
         """Document index of every word."""
