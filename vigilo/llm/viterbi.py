@@ -8,7 +8,12 @@ hashes of all substrings ending there probe the sorted hashes of the pieces,
 the best score so far plus the piece's score is maximised over the batch, and
 the winning length is stored as backpointer.  Ties take the longest last
 piece.  A character without a piece costs ten less than the worst piece and is
-written as its UTF-8 bytes.
+written as its UTF-8 bytes.  A part of more than ``LONG_PART`` characters
+(text without spaces) has hardly a second of its length: there the loops are
+turned round.  All substrings of one length are probed at once, and one pass
+over the pieces found, by end, stores the same backpointers; merges take the
+best pair from a heap.  Work is linear in the part's length (times a logarithm
+for merges), the results are the same.
 
 This is the unigram reading of the piece table: the segmentation of largest
 total piece score.  A model file of BPE type means something else by its
@@ -20,14 +25,17 @@ no pair is a piece.  ``encode`` returns both.
 Defined results: null and empty texts have no ids; repeated rows are encoded
 alike; an empty table gives an empty result; further columns are ignored;
 decoding the ids of a text gives the text back (U+2581 itself comes back as a
-space).
+space); a text of any length, with or without spaces, is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -39,6 +47,8 @@ from vigilo.llm.words import mix, sub_batches
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 BATCH_CELLS = 1 << 18      # words times length of one matrix
+LONG_PART = 256            # characters from which a part advances on its own
+PROBED = 1 << 20           # substrings of a long part that are probed at once
 CACHED = 300_000           # parts remembered by a worker
 INDEX_BITS = 18            # of the index into the sorted keys
 TEXT_BYTES = 2 << 20       # text of one batch
@@ -128,6 +138,12 @@ class Pieces:
         while a < len(parts):
             length = len(parts[a])
             b = a + 1
+            if length > LONG_PART:
+                codes = _codes(parts[a:b], length)
+                for out, ids in zip(found, self._long(codes)):
+                    out.append(ids)
+                a = b
+                continue
             most = a + max(1, BATCH_CELLS // max(length, 1))
             while b < min(len(parts), most) and len(parts[b]) == length:
                 b += 1
@@ -140,6 +156,110 @@ class Pieces:
         none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return [tuple(map(np.concatenate, zip(*x))) if x else none for x in found]
 
+    def _long(self, codes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Best path and merge order of one long part."""
+        length = codes.shape[1]
+        power, inverse = _powers(length + 1)
+        total = _prefix_hashes(codes, power)[0]
+        starts, sizes, places = [], [], []
+        for size in range(min(self.longest, length), 0, -1):
+            for a in range(0, length - size + 1, PROBED):
+                b = min(a + PROBED, length - size + 1)
+                rows, at = self._probe((total[a + size:b + size] - total[a:b]) * inverse[a:b])
+                starts.append(rows + a)
+                sizes.append(np.full(len(rows), size, np.int16))
+                places.append(at.astype(np.int32))
+        start, size, at = map(np.concatenate, (starts, sizes, places))
+        return self._long_path(codes, start, size, at), self._long_merged(codes, start, size, at)
+
+    def _long_path(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray,
+                   at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = codes.shape[1]
+        end = start + size
+        order = np.argsort(end, kind="stable")             # at one end the longest piece comes first
+        many = np.bincount(end, minlength=length + 1)
+        upto = np.cumsum(many)
+        back, piece = np.ones(length + 1, np.int16), np.full(length + 1, -1, np.int64)
+        recent = [0.0]                                     # best of the last ends, as many as a piece is long
+        for a in range(1, length + 1, PROBED):
+            b = min(a + PROBED, length + 1)
+            lo, hi = upto[a - 1], upto[b - 1]
+            chosen = order[lo:hi]
+            worth = self.scores[at[chosen]].tolist()
+            width, ids = size[chosen].tolist(), self.ids[at[chosen]].tolist()
+            ends = (upto[a:b] - lo).tolist()
+            m, base = 0, a - len(recent)                   # place of recent[0]
+            for e in range(a, b):
+                top, step, name, single = -np.inf, 1, -1, False
+                for m in range(m, ends[e - a]):
+                    s = recent[e - width[m] - base] + worth[m]
+                    single |= width[m] == 1
+                    if s > top:
+                        top, step, name = s, width[m], ids[m]
+                m = ends[e - a]
+                s = recent[e - 1 - base] + self.unknown    # a single character, where it is better still
+                if s > top and not single:
+                    top, step, name = s, 1, -1
+                recent.append(top)
+                back[e], piece[e] = step, name
+            recent = recent[-self.longest:]
+        place, stops = length, []
+        while place > 0:
+            stops.append(place)
+            place -= int(back[place])
+        stop = np.array(stops[::-1], np.int64)
+        return self._written(codes, np.zeros(len(stop), np.int64), stop - 1, piece[stop])
+
+    def _long_merged(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray,
+                     at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length, wide = codes.shape[1], self.longest + 1
+        key = start * wide + size
+        order = np.argsort(key)
+        keys, places = array("q", key[order].tobytes()), array("i", at[order].astype(np.intc).tobytes())
+        scores = self.scores
+
+        def worth(a: int, b: int) -> float | None:
+            """Score of the piece at [a, b), if it is one."""
+            if b - a >= wide:
+                return None
+            k = a * wide + b - a
+            i = bisect_left(keys, k)
+            return float(scores[places[i]]) if i < len(keys) and keys[i] == k else None
+
+        pair = size == 2
+        heap = list(zip((-scores[at[pair]]).tolist(), start[pair].tolist(), (start[pair] + 2).tolist()))
+        heapify(heap)                                      # best score first, then the leftmost
+        after, before = array("q", range(1, length + 1)), array("q", range(-1, length - 1))
+        symbol = bytearray(b"\x01") * length
+        while heap:
+            _, i, k = heappop(heap)
+            if not symbol[i]:
+                continue
+            j = after[i]
+            if j >= length or after[j] != k:               # a pair that is no more
+                continue
+            after[i] = k
+            symbol[j] = 0
+            if k < length:
+                before[k] = i
+                s = worth(i, after[k])
+                if s is not None:
+                    heappush(heap, (-s, i, after[k]))
+            if i > 0:
+                s = worth(before[i], k)
+                if s is not None:
+                    heappush(heap, (-s, before[i], k))
+        first = np.flatnonzero(np.frombuffer(symbol, np.uint8))
+        stop = np.frombuffer(after, np.int64)[first]
+        key = first * wide + (stop - first)
+        sorted_keys = np.frombuffer(keys, np.int64)
+        where = np.minimum(np.searchsorted(sorted_keys, key), max(len(sorted_keys) - 1, 0))
+        piece = np.full(len(first), -1, np.int64)
+        if len(sorted_keys):
+            known = (sorted_keys[where] == key) & (stop - first < wide)
+            piece[known] = self.ids[np.frombuffer(places, np.intc)[where[known]]]
+        return self._written(codes, np.zeros(len(first), np.int64), stop - 1, piece)
+
     def _equal_length(self, codes: np.ndarray, total: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = codes.shape[1]
         total = np.ascontiguousarray(total.T)            # by place, then word
