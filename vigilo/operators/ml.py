@@ -298,7 +298,7 @@ def train(kind: str, df: DataFrame, features: Sequence[str], label: str = "label
 
 
 PARALLEL_FITS = 8      # fits that the driver submits at a time; their tasks share the cluster
-CALIBRATION_FOLDS = 5
+CALIBRATION_FOLDS = 3
 
 
 def in_parallel(jobs: Sequence[Callable], parallelism: int = PARALLEL_FITS) -> list:
