@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from vigilo.operators import ml as ML
 from vigilo.operators.evaluation import evaluate
@@ -82,6 +82,16 @@ def test_one_class_and_few_rows(spark):
     assert len(both) == 2
 
 
+def test_models_score_in_a_session_that_has_observed(spark, rows):
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get == {"n": 400}
+    assert 0 < ML.cross_validate("logistic_regression", rows, ["a", "b", "c"], "y", "id", k=2)["mean"] <= 1
+    for kind in ("logistic_regression", "random_forest", "svm"):
+        scored = ML.score(ML.train(kind, rows, ["a", "b", "c"], "y"), rows).select("score").checkpoint()
+        assert scored.where("score between 0 and 1").count() == 400
+
+
 def scored_frame(spark):
     return spark.createDataFrame([("u", 1.0, 1, 0.9), ("u", 0.0, 0, 0.2), ("v", 0.0, 1, 0.7)],
                                  "m string, y double, p int, s double")
