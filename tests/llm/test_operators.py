@@ -437,6 +437,15 @@ def test_training_rows_are_chosen_among_short_texts(spark):
     assert dict(zip(texts, y))["short 21"] == 1          # both labels: the larger
 
 
+def test_toxicity_is_learned_in_a_task_from_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    want = toxicity.labelled_sample(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, prior: {"process": os.getpid(), "rows": (texts, y)})
+    got = toxicity.fit(docs, labels)
+    assert got["process"] != os.getpid() and got["rows"] == want
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 0), (4, None), (5, 1), (7, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()

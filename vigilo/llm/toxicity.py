@@ -26,6 +26,7 @@ further columns are never read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -484,10 +485,10 @@ def _adam_rows(weights, moment, name, rows, grads, step, rate=0.01):
     weights[name][touched] -= 0.1 * rate * g / (np.sqrt(s[touched]) + 1e-6)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
-                    text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
-                    max_clean: int = MAX_CLEAN, max_text: int = MAX_TEXT) -> tuple[list[str], list[int]]:
-    """Labelled texts chosen by a hash of the id, in a fixed order, among those of
+def sample_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id",
+                text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
+                max_clean: int = MAX_CLEAN, max_text: int = MAX_TEXT) -> DataFrame:
+    """Labelled texts ``text, y`` chosen by a hash of the id, in a fixed order, among those of
     at most ``max_text`` characters; at most ``max_toxic`` and ``max_clean`` rows.
     An id with both labels counts as toxic."""
     known = (labels.where(allowed & F.col(label_col).isin(0, 1))
@@ -498,9 +499,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col:
     chosen = (known.where("y = 1").orderBy(mixed, "id").limit(max_toxic)
               .unionByName(known.where("y = 0").orderBy(mixed, "id").limit(max_clean)))
     # The sample has at most max_toxic + max_clean ids: a proven bound for the broadcast.
-    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .join(F.broadcast(chosen), "id").where(F.length("text") <= max_text).dropDuplicates(["id"])
-            .orderBy(mixed, "id").limit(max_toxic + max_clean).collect())
+            .orderBy(mixed, "id").limit(max_toxic + max_clean).select("text", "y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *args, **kwargs) -> tuple[list[str], list[int]]:
+    """The rows of :func:`sample_rows`, at the driver."""
+    rows = sample_rows(docs, labels, allowed, *args, **kwargs).collect()
     return [r.text for r in rows], [r.y for r in rows]
 
 
@@ -511,11 +517,26 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> dict | None:
-    """Model of the rows that may be learned from; None without rows of both labels."""
+    """Model of the rows that may be learned from; None without rows of both labels.
+
+    The sample is learned in a task, so that neither its texts nor the memory of
+    training (several times the texts) stay with the driver, which gets the model.
+    """
     allowed = ~held_out(F.col(id_col))
-    texts, y = labelled_sample(docs, labels, allowed, id_col, text_col, label_col)
     prior = labels.where(allowed & F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
-    return train(texts, y, prior) if len(set(y)) == 2 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            y += batch.column("y").to_pylist()
+        if len(set(y)) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y, prior))], pa.binary())], ["model"])
+
+    # The sample is bounded and its order matters: one partition.
+    sample = sample_rows(docs, labels, allowed, id_col, text_col, label_col).coalesce(1)
+    found = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def _scores(shared, column: pa.Array) -> np.ndarray:
